@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from copyloom.llm.common import LOWER, chunks, stored, text_bytes, word_hashes
 
-DEPTH = 4
+DEPTH = 5
 #: Bytes of the model that a scoring pass broadcasts; a larger model is dealt to several passes over the texts, whose sums are added.
 PASS_BYTES = 96_000_000
 GATHERED = 4_000_000
@@ -172,7 +172,7 @@ def gram_logs(g: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray], d
         byte, q = g & 255, np.full(len(g), 0.5)
         bits, one = (1 << s) | (byte >> (8 - s)), ((byte >> (7 - s)) & 1).astype(bool)
         for d in range(depth, -1, -1):
-            key = (d << 40) | (((g >> 8) & ((1 << (8 * d)) - 1)) << 8) | bits
+            key = (d << 56) | (((g >> 8) & ((1 << (8 * d)) - 1)) << 8) | bits
             at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             met = keys[at] == key
             here = np.where(one, p[at], 1.0 - p[at])
@@ -214,11 +214,11 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, depth: int = DEPT
     held_out = default_held_out(doc) if held_out is None else held_out
     slim = docs.select(F.monotonically_increasing_id().alias("uid"), doc.alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
     counts = stored(corpus_counts(slim.where("not held_out").select("text"), depth), "counts")
-    nodes = stored(tree_nodes(counts, depth).select(((F.col("d").cast("long") * F.lit(1 << 40)) + F.col("key")).alias("key"), F.col("p").cast("float"), F.col("own").cast("float")), "model")
+    nodes = stored(tree_nodes(counts, depth).select(((F.col("d").cast("long") * F.lit(1 << 56)) + F.col("key")).alias("key"), F.col("p").cast("float"), F.col("own").cast("float")), "model")
     total = counts.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     base_of = np.log10(total.n + 0.5 * (total.v + 1))
     passes = max(1, -(-(12 * total.v) // pass_bytes), -(-(16 * nodes.count()) // pass_bytes))
-    last_byte = F.when(F.col("key") >= 1 << 40, F.expr("(key >> 8) & 255"))
+    last_byte = F.when(F.col("key") >= F.lit(1 << 56), F.expr("(key >> 8) & 255"))
     parts = []
     for k in range(passes):
         w = counts.where("kind = 0").where(F.pmod(F.col("key"), F.lit(passes)) == k).select("key", "n").toArrow()
