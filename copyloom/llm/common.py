@@ -67,7 +67,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def tiles(nodes: DataFrame, block: int) -> DataFrame:
     """Deals nodes (group, band, node, ...) to tiles such that any two nodes of a group whose bands differ by at most
-    1 meet in at least one tile. Adds tile (long, its lowest bit set if the tile is compared with itself) and side.
+    1 meet in at least one tile. Adds tiles, an array of (tile, side): tile a long, its lowest bit set if the tile is compared
+    with itself. The caller explodes it, after what else a node needs is at hand.
 
     A group of up to `block` nodes is one tile. Larger ones are cut into blocks within bands, and each pair of blocks
     is a tile of its own, so no task holds more than 2 * `block` nodes at once (about; blocks are dealt by hash).
@@ -87,13 +88,14 @@ def tiles(nodes: DataFrame, block: int) -> DataFrame:
             if(i <= j, 0, 1) as side)),
         if(nb_next is null, array(), transform(sequence(0, nb_next - 1), j -> struct(xxhash64(group, band, i, band + 1, j) & -2L as tile, 0 as side))),
         if(nb_prev is null, array(), transform(sequence(0, nb_prev - 1), j -> struct(xxhash64(group, band - 1, j, band, i) & -2L as tile, 1 as side))))""")
-    at = at.withColumn("t", F.explode(F.when(F.col("total") <= block, one).otherwise(many)))
-    return at.select(F.col("t.tile").alias("tile"), F.col("t.side").alias("side"), *[c for c in nodes.columns if c != "group"])
+    at = at.withColumn("tiles", F.when(F.col("total") <= block, one).otherwise(many))
+    return at.select("tiles", *[c for c in nodes.columns if c != "group"])
 
 
-def by_tile(tiled: DataFrame) -> DataFrame:
-    """Brings the rows of a tile together in order; runs() then cuts them apart."""
-    return tiled.repartition("tile").sortWithinPartitions("tile", "side")
+def by_tile(nodes: DataFrame) -> DataFrame:
+    """A row for each tile of a node, the rows of a tile together in order; runs() then cuts them apart."""
+    rest = [c for c in nodes.columns if c != "tiles"]
+    return nodes.select(F.inline("tiles"), *rest).repartition("tile").sortWithinPartitions("tile", "side")
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:

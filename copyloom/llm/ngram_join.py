@@ -2,14 +2,16 @@
 
 Two sets with Jaccard similarity of t or more share a shingle among the first n - ceil(t n) + 1 of each in any common order;
 here rare shingles come first, by a sketch of counts over all documents. Documents that share such a shingle, directly or by others,
-form a group, and no link leaves a group. Groups are dealt to tiles by size band, and within a tile
-the bitmaps rule out most pairs before the exact test. Documents with equal sets stand for one another.
+form a group, and no link leaves a group. Groups are dealt to tiles by size band, where the bit counts of the bitmaps rule out
+most pairs; what is left falls into smaller groups, whose tiles carry the sets and decide by exact intersection.
+Documents with equal sets stand for one another.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +22,13 @@ from pyspark.sql import functions as F
 from copyloom.llm.common import Forest, by_tile, chunks, components, mixed, runs, stored, text_bytes, tiles, word_hashes
 
 WORDS, PERCENT = 5, 75
-#: Counters of the sketch by which shingles are ordered, and the rows that carry them. The size doesn't grow with the data.
-SKETCH_BITS, SKETCH_ROWS = 20, 16
-#: Documents in a block of a tile, and shingles that a task gathers before it gives out what it has of them.
-BLOCK, GATHERED = 512, 1_500_000
+#: Counters of the sketch by which shingles are ordered, and the rows that carry them. Its size doesn't grow with the data (counters
+#: stop at 255); the result is the same for any order, so what collides only makes groups larger.
+SKETCH_BITS, SKETCH_ROWS = 25, 64
+#: Bits of a bitmap: the power of two from twice the set's size, within these limits.
+BITMAP = (256, 1 << 15)
+#: Documents in a block of a tile of sets, of bitmaps, and shingles that a task gathers before it gives out what it has of them.
+BLOCK, MAP_BLOCK, GATHERED = 512, 4096, 1_500_000
 _FACTORS = [np.uint64(x | 1) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
 
 
@@ -55,31 +60,48 @@ def _first(n: np.ndarray | int, percent: int):
     return n - (n * percent + 99) // 100 + 1
 
 
+def bitmap(x: np.ndarray) -> bytes:
+    bits = min(BITMAP[1], max(BITMAP[0], 1 << int(2 * len(x) - 1).bit_length()))
+    row = np.zeros(bits, bool)
+    row[(x & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(row).tobytes()
+
+
 def set_table(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Rows (doc_id, n, fp) of all documents, and rows (part, counts) of the sketch: how often each slot's shingles occur."""
+    """Rows (doc_id, n, fp, bits) of all documents, and rows (part, counts) of the sketch: how often each slot's shingles occur."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["doc_id", "n", "fp", "part", "counts"]
+        counts = np.zeros(1 << SKETCH_BITS, np.uint8)
+        names = ["doc_id", "n", "fp", "bits", "part", "counts"]
+        some: list[np.ndarray] = []
+        held = 0
+
+        def settle() -> None:
+            slot, n = np.unique(_slot(np.concatenate(some)), return_counts=True)
+            counts[slot] = np.minimum(counts[slot] + np.minimum(n, 255), 255)
+            some.clear()
+
         for batch in batches:
-            n, fp, some, held = [], [], [], 0
+            n, fp, maps = [], [], []
             for x in shingle_sets(batch.column(1), words):
                 n.append(len(x))
                 fp.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
+                maps.append(bitmap(x) if len(x) else None)
                 some.append(x)
                 held += len(x)
                 if held > 1 << 20:
-                    counts += np.bincount(_slot(np.concatenate(some)), minlength=len(counts)).astype(np.uint32)
-                    some, held = [], 0
-            if some:
-                counts += np.bincount(_slot(np.concatenate(some)), minlength=len(counts)).astype(np.uint32)
+                    settle()
+                    held = 0
             k = len(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(maps, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+        if some:
+            settle()
         if counts.any():
-            rows = counts.reshape(SKETCH_ROWS, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(SKETCH_ROWS, pa.int64()), pa.nulls(SKETCH_ROWS, pa.int64()), pa.nulls(SKETCH_ROWS, pa.binary()), pa.array(range(SKETCH_ROWS), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=names)
+            rows = [zlib.compress(r.tobytes(), 1) for r in counts.reshape(SKETCH_ROWS, -1)]
+            none = [pa.nulls(SKETCH_ROWS, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(SKETCH_ROWS), pa.int32()), pa.array(rows, pa.binary())], names=names)
 
-    return docs.mapInArrow(measure, "doc_id long, n long, fp binary, part int, counts binary")
+    return docs.mapInArrow(measure, "doc_id long, n long, fp binary, bits binary, part int, counts binary")
 
 
 def _sketch(table: DataFrame) -> np.ndarray:
@@ -88,20 +110,24 @@ def _sketch(table: DataFrame) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(counts, np.uint32).astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "sums"])
+            for part, counts in zip(*batch.columns, strict=True):
+                x = np.frombuffer(zlib.decompress(counts.as_py()), np.uint8).astype(np.uint16)
+                sums[part.as_py()] = np.minimum(sums.get(part.as_py(), 0) + x, 255).astype(np.uint16)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.uint8).tobytes() for x in sums.values()], pa.binary())], names=["part", "sums"])
+
+    rows = table.where("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part int, sums binary").toArrow()
+    out = np.zeros((SKETCH_ROWS, (1 << SKETCH_BITS) // SKETCH_ROWS), np.uint8)
+    for part, sums in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+        out[part] = np.frombuffer(sums.as_buffer(), np.uint8)
+    return out.reshape(-1)
 
-    rows = table.where("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part int, sums binary").collect()
-    out = np.zeros((SKETCH_ROWS, (1 << SKETCH_BITS) // SKETCH_ROWS), np.uint64)
-    for r in rows:
-        out[r.part] = np.frombuffer(r.sums, np.uint64)
-    return np.minimum(out.reshape(-1), 2**32 - 1).astype(np.uint32)
 
+def _postings(docs: DataFrame, sketch, words: int, percent: int) -> DataFrame:
+    """Rows (h, a): documents with the same h share one of their first shingles, directly or by others.
 
-def _shared(docs: DataFrame, sketch, words: int, percent: int) -> DataFrame:
-    """Edges (a, b) that join documents sharing one of their first shingles, and postings (h, a) of one document for each shingle
-    and task, from which the edges between tasks follow."""
+    A task gives one document for each shingle, and ties the others that it met to that one by an h of their own, so that even
+    a shingle of all documents has no more rows than there are tasks (and flushes within them).
+    """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
@@ -117,10 +143,10 @@ def _shared(docs: DataFrame, sketch, words: int, percent: int) -> DataFrame:
             start = np.flatnonzero(new)
             low = np.minimum.reduceat(d, start)
             mine = low[np.cumsum(new) - 1]
-            a = d[d != mine]
-            pairs = np.unique(np.stack([a, mine[d != mine]], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            hs = pa.concat_arrays([pa.array(h[start].view(np.int64)), pa.nulls(len(pairs), pa.int64())])
-            return pa.RecordBatch.from_arrays([hs, pa.array(np.concatenate([low, pairs[:, 0]])), pa.concat_arrays([pa.nulls(len(start), pa.int64()), pa.array(pairs[:, 1])])], names=["h", "a", "b"])
+            pairs = np.unique(np.stack([d, mine], 1)[d != mine], axis=0)
+            tie = mixed(mixed(pairs[:, 0].view(np.uint64) + np.uint64(1)) ^ pairs[:, 1].view(np.uint64))
+            hs = np.concatenate([h[start], tie, tie]).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(hs), pa.array(np.concatenate([low, pairs[:, 0], pairs[:, 1]]))], names=["h", "a"])
 
         size = 0
         for batch in batches:
@@ -138,7 +164,58 @@ def _shared(docs: DataFrame, sketch, words: int, percent: int) -> DataFrame:
         if held:
             yield out()
 
-    return docs.mapInArrow(gather, "h long, a long, b long")
+    return docs.mapInArrow(gather, "h long, a long")
+
+
+def _forest_rows(forest: Forest, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    roots = forest.roots()
+    away = np.flatnonzero(roots != np.arange(len(node)))
+    if len(away):
+        yield pa.RecordBatch.from_arrays([pa.array(node[away]), pa.array(node[roots[away]])], names=["a", "b"])
+
+
+def _tile_bounds(percent: int):
+    """Joins documents within each tile whose bitmaps don't rule out a link: each bit that differs is a shingle that only one
+    has, so n + m - 2 * overlap is at least their number. Gives a forest."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches):
+            itself = bool(t.column("tile")[0].as_py() & 1)
+            n = t.column("n").to_numpy()
+            order = np.argsort(n, kind="stable")
+            n, node, side = n[order], t.column("node").to_numpy()[order], t.column("side").to_numpy()[order]
+            raw = t.column("bits").to_pylist()
+            raw = [raw[i] for i in order]
+            size = np.array([len(x) // 8 for x in raw])  # words; they grow with n
+            starts = np.flatnonzero(np.r_[True, size[1:] != size[:-1]])
+            own = {int(size[s]): (s, np.frombuffer(b"".join(raw[s:e]), np.uint64).reshape(e - s, -1)) for s, e in zip(starts, np.r_[starts[1:], len(n)], strict=True)}
+            half = {w: (s, m[:, : w // 2] | m[:, w // 2 :]) for w, (s, m) in own.items()}
+            forest, ends = Forest(len(n)), np.searchsorted(n, (n * 100) // percent, "right")
+            for i in range(len(n)):
+                w = int(size[i])
+                mine = own[w][1][i - own[w][0]]
+                for s, m in (own[w], half.get(2 * w, (len(n), None))):
+                    lo, hi = max(i + 1, s), min(int(ends[i]), s + (0 if m is None else len(m)))
+                    if lo >= hi:
+                        continue
+                    js = np.arange(lo, hi)
+                    use = forest.up[lo:hi] != forest.up[i]
+                    if not itself:
+                        use &= side[lo:hi] != side[i]
+                    if not use.all():
+                        js = js[use]
+                        rows = m[js - s]
+                    else:
+                        rows = m[lo - s : hi - s]
+                    if not len(js):
+                        continue
+                    apart = np.bitwise_count(rows ^ mine).sum(1, dtype=np.int64)
+                    most = (n[i] + n[js] - apart) // 2
+                    for j in js[100 * most >= percent * (n[i] + n[js] - most)].tolist():
+                        forest.join(i, j)
+            yield from _forest_rows(forest, node)
+
+    return bounded
 
 
 def _tile_links(percent: int):
@@ -154,12 +231,6 @@ def _tile_links(percent: int):
             n, node, side = n[order], t.column("node").to_numpy()[order], t.column("side").to_numpy()[order]
             raw = t.column("shingles").to_pylist()
             sets = [np.frombuffer(raw[i], np.uint64) for i in order]
-            bits = 1 << min(13, max(8, int(2 * n[-1]).bit_length()))
-            maps = np.zeros((len(n), bits // 64), np.uint64)
-            for i, x in enumerate(sets):
-                row = np.zeros(bits, bool)
-                row[(x & np.uint64(bits - 1)).astype(np.int64)] = True
-                maps[i] = np.packbits(row).view(np.uint64)
             forest, ends = Forest(len(n)), np.searchsorted(n, (n * 100) // percent, "right")
             for i in range(len(n)):
                 js = np.arange(i + 1, ends[i])
@@ -167,9 +238,6 @@ def _tile_links(percent: int):
                     js = js[side[js] != side[i]]
                 if not len(js):
                     continue
-                apart = np.bitwise_count(maps[js] ^ maps[i]).sum(1).astype(np.int64)
-                most = (n[i] + n[js] - apart) // 2
-                js = js[100 * most >= percent * (n[i] + n[js] - most)]
                 mine = forest.root(i)
                 js = [j for j in js.tolist() if forest.root(j) != mine]
                 for lo in range(0, len(js), 256):
@@ -180,10 +248,7 @@ def _tile_links(percent: int):
                     both = np.add.reduceat(sets[i][at] == flat, np.concatenate([[0], np.cumsum(size)[:-1]]))
                     for j in np.asarray(some)[100 * both >= percent * (n[i] + size - both)].tolist():
                         forest.join(i, j)
-            roots = forest.roots()
-            away = np.flatnonzero(roots != np.arange(len(n)))
-            if len(away):
-                yield pa.RecordBatch.from_arrays([pa.array(node[away]), pa.array(node[roots[away]])], names=["a", "b"])
+            yield from _forest_rows(forest, node)
 
     return linked
 
@@ -194,19 +259,26 @@ def ngram_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     table = stored(set_table(slim, words), "sets")
-    sets = table.where("part is null").select("doc_id", "n", "fp")
+    every = table.where("part is null")
+    sets = every.select("doc_id", "n", "fp")
     sketch = spark.sparkContext.broadcast(_sketch(table))
-    found = stored(_shared(slim, sketch, words, percent), "shared")
-    low = F.min("a").over(Window.partitionBy("h"))  # as many rows in a window as there were tasks, at most
-    between = found.where("h is not null").select("a", low.alias("b")).where("a != b")
+    low = F.min("a").over(Window.partitionBy("h"))  # a window has a row for each task at most
+    shared = _postings(slim, sketch, words, percent).select("a", low.alias("b")).where("a != b")
     known = sets.where("fp is not null and doc_id is not null")
     stands = stored(known.groupBy("fp", "n").agg(F.min("doc_id").alias("node")), "classes")
     equal = stored(known.join(stands, ["fp", "n"]).where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct(), "equal")
-    groups = components(found.where("h is null").select("a", "b").unionByName(between).unionByName(equal))
-    # Only one document of each set, and only of groups with two sets or more, goes on.
-    many = groups.join(stands, "node").withColumnRenamed("component", "group")
-    some = many.groupBy("group").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("group")
-    many = stored(many.join(some, "group").select("node", "group", "n", "fp"), "grouped")
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
+
+    def grouped(edges: DataFrame) -> DataFrame:
+        """Of groups with two sets or more, one document of each set."""
+        many = stored(components(edges).join(stands, "node").withColumnRenamed("component", "group"), "many")
+        some = many.groupBy("group").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("group")
+        return stored(many.join(some, "group").select("node", "group", "n", "fp", band.alias("band")), "grouped")
+
+    maps = every.select(F.col("doc_id").alias("node"), "fp", "bits").join(grouped(shared.unionByName(equal)), ["node", "fp"]).dropDuplicates(["node", "fp"])
+    maps = tiles(maps.select("group", "band", "node", "n", "bits"), MAP_BLOCK).select("tiles", "node", "n", "bits")
+    close = stored(by_tile(maps).mapInArrow(_tile_bounds(percent), "a long, b long"), "close")
+    dealt = stored(tiles(grouped(close), BLOCK).drop("band"), "tiles")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,13 +287,11 @@ def ngram_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
                 raw = [x.tobytes() for x in shingle_sets(part.column("text"), words)]
                 fps = [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in raw]
                 same = [f == g for f, g in zip(fps, part.column("fp").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("group"), part.column("n"), pa.array(raw, pa.binary())], names=["node", "group", "n", "shingles"]).filter(pa.array(same))
+                yield pa.RecordBatch.from_arrays([part.column("tiles"), part.column("node"), part.column("n"), pa.array(raw, pa.binary())], names=["tiles", "node", "n", "shingles"]).filter(pa.array(same))
 
-    texts = slim.withColumnRenamed("doc_id", "node").join(many, "node")
-    nodes = texts.mapInArrow(with_sets, "node long, group long, n long, shingles binary")
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
-    nodes = stored(nodes.select("group", "node", "n", band.alias("band"), "shingles"), "nodes")
-    near = by_tile(tiles(nodes, BLOCK)).mapInArrow(_tile_links(percent), "a long, b long")
+    texts = slim.withColumnRenamed("doc_id", "node").join(dealt, "node")
+    nodes = texts.mapInArrow(with_sets, "tiles array<struct<tile:long,side:int>>, node long, n long, shingles binary")
+    near = by_tile(nodes).mapInArrow(_tile_links(percent), "a long, b long")
     return sets, stored(near.unionByName(equal), "links")
 
 
