@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from copyloom.llm.common import Forest, by_tile, chunks, components, mixed, runs, stored, text_bytes, tiles, word_hashes
+from copyloom.llm.common import Forest, by_tile, chunks, components, mixed, runs, small, stored, text_bytes, tiles, word_hashes
 
 WORDS, PERCENT = 5, 75
 #: Counters of the sketch by which shingles are ordered, and the rows that carry them. Its size doesn't grow with the data (counters
@@ -28,7 +28,7 @@ SKETCH_BITS, SKETCH_ROWS = 25, 64
 #: Bits of a bitmap: the power of two from twice the set's size, within these limits.
 BITMAP = (256, 1 << 15)
 #: Documents in a block of a tile of sets, of bitmaps, and shingles that a task gathers before it gives out what it has of them.
-BLOCK, MAP_BLOCK, GATHERED = 512, 4096, 1_500_000
+BLOCK, MAP_BLOCK, GATHERED = 512, 4096, 800_000
 _FACTORS = [np.uint64(x | 1) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
 
 
@@ -289,7 +289,7 @@ def ngram_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
                 same = [f == g for f, g in zip(fps, part.column("fp").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("tiles"), part.column("node"), part.column("n"), pa.array(raw, pa.binary())], names=["tiles", "node", "n", "shingles"]).filter(pa.array(same))
 
-    texts = slim.withColumnRenamed("doc_id", "node").join(dealt, "node")
+    texts = slim.withColumnRenamed("doc_id", "node").join(small(dealt), "node")
     nodes = texts.mapInArrow(with_sets, "tiles array<struct<tile:long,side:int>>, node long, n long, shingles binary")
     near = by_tile(nodes).mapInArrow(_tile_links(percent), "a long, b long")
     return sets, stored(near.unionByName(equal), "links")
