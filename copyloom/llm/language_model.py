@@ -23,7 +23,7 @@ DEPTH = 5
 PASS_BYTES = 96_000_000
 GATHERED = 4_000_000
 _END = np.uint64(0x5BD1E9955BD1E995)
-_CACHE_BITS = 20
+_CACHE_BITS = 22
 _CACHES: dict = {}
 
 
@@ -184,10 +184,10 @@ def gram_logs(g: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray], d
 def _cached_logs(g: np.ndarray, model, name: str, depth: int) -> np.ndarray:
     if name not in _CACHES:
         _CACHES.clear()
-        _CACHES[name] = (np.full(1 << _CACHE_BITS, 2**64 - 1, np.uint64), np.zeros(1 << _CACHE_BITS))
+        _CACHES[name] = (np.full(1 << _CACHE_BITS, 2**64 - 1, np.uint64), np.zeros(1 << _CACHE_BITS, np.float32))
     keys, logs = _CACHES[name]
     slot = ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _CACHE_BITS)).astype(np.int64)
-    out = logs[slot]
+    out = logs[slot].astype(np.float64)
     miss = np.flatnonzero(keys[slot] != g)
     if len(miss):
         new, at = np.unique(g[miss], return_inverse=True)

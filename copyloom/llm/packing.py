@@ -22,6 +22,7 @@ WINDOW, END_ID = 2048, 1
 #: Words whose ids a Python worker remembers; it forgets all when there are more.
 REMEMBERED = 600_000
 _TOKENIZERS: dict = {}
+_MARKS = ".,;:!?$%&*#|"
 
 
 def default_tokenizer() -> str:
@@ -42,12 +43,24 @@ class _Ids(dict):
 
         self.model = Tokenizer.from_file(path)
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: set[str]) -> None:
+        """Marks at the end of a word are pieces of their own, so the word before them is encoded once for all of them."""
         if len(self) > REMEMBERED:
             self.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self]
-        for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[w] = array("I", e.ids).tobytes()
+        new = [w for w in words if w not in self]
+        parts = {}
+        for w in new:
+            core = w.rstrip(_MARKS)
+            if core and core[-1].isalnum():
+                parts[w] = (core.lower() if core.isascii() else core, w[len(core) :])
+            else:
+                parts[w] = (w, "")
+        ask = list({x for pair in parts.values() for x in pair if x not in self})
+        for x, e in zip(ask, self.model.encode_batch_fast(ask, add_special_tokens=False), strict=True):
+            self[x] = array("I", e.ids).tobytes()
+        for w, (core, marks) in parts.items():
+            if w not in self:
+                self[w] = self[core] + self[marks]
 
 
 def token_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -65,7 +78,7 @@ def token_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
             for lo in range(0, batch.num_rows, 128):
                 some = batch.slice(lo, 128)
                 words = [(x or "").replace("\n", " ").split(" ") for x in some.column(1).to_pylist()]
-                ids.learn([w for x in words for w in x])
+                ids.learn(set().union(*words))
                 out = [b"".join(map(ids.__getitem__, x)) + end for x in words]
                 n = [len(x) // 4 for x in out]
                 starts = []
