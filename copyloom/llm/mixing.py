@@ -45,10 +45,13 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 def _draw(rng: np.random.Generator, colors: np.ndarray, n: int) -> np.ndarray:
     """A multivariate hypergeometric draw; counts beyond NumPy's range are drawn in lots of equal size and a remainder."""
-    lot = int(colors.sum() // 900_000_000) + 1
+    total = int(colors.sum())
+    lot = total // 900_000_000 + 1
     lots, rest = colors // lot, colors % lot
-    take = max(min(n // lot, int(lots.sum())), -(-(n - int(rest.sum())) // lot), 0)
-    return lot * rng.multivariate_hypergeometric(lots, take, method="marginals") + rng.multivariate_hypergeometric(rest, n - lot * take, method="marginals")
+    if lot == 1:
+        return rng.multivariate_hypergeometric(colors, n, method="marginals")
+    share = lambda x: int(x.sum()) * n // total
+    return lot * rng.multivariate_hypergeometric(lots, share(lots), method="marginals") + rng.multivariate_hypergeometric(rest, share(rest), method="marginals")
 
 
 def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
