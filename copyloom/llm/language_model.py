@@ -20,7 +20,7 @@ from copyloom.llm.common import LOWER, chunks, stored, text_bytes, word_hashes
 
 DEPTH = 5
 #: Bytes of the model that a scoring pass broadcasts; a larger model is dealt to several passes over the texts, whose sums are added.
-PASS_BYTES = 96_000_000
+PASS_BYTES = 56_000_000
 GATHERED = 4_000_000
 _END = np.uint64(0x5BD1E9955BD1E995)
 _CACHE_BITS = 22
@@ -221,12 +221,8 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, depth: int = DEPT
     last_byte = F.when(F.col("key") >= F.lit(1 << 56), F.expr("(key >> 8) & 255"))
     parts = []
     for k in range(passes):
-        w = counts.where("kind = 0").where(F.pmod(F.col("key"), F.lit(passes)) == k).select("key", "n").toArrow()
-        m = nodes.where(last_byte.isNull() | (last_byte % passes == k)).toArrow()
-        order = np.argsort(key := w.column("key").to_numpy().view(np.uint64))
-        words = (key[order], np.minimum(w.column("n").to_numpy()[order], 2**32 - 1).astype(np.uint32))
-        order = np.argsort(key := m.column("key").to_numpy())
-        tree = tuple(m.column(c).to_numpy()[order] for c in ("key", "p", "own"))
+        words = _sorted(counts.where("kind = 0").where(F.pmod(F.col("key"), F.lit(passes)) == k).select("key", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")), np.uint64)
+        tree = _sorted(nodes.where(last_byte.isNull() | (last_byte % passes == k)), np.int64)
         parts.append(slim.mapInArrow(_scorer(spark.sparkContext.broadcast((words, tree)), k, passes, base_of, depth), slim.select("uid", "doc_id", "held_out").schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double").add("n_bytes", "long")))
     out = parts[0]
     for p in parts[1:]:
@@ -237,6 +233,17 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, depth: int = DEPT
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total.n).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
 
 
+def _sorted(table: DataFrame, kind: type) -> tuple[np.ndarray, ...]:
+    """The columns of a table of at most a pass's bytes, in the order of its first."""
+    got = table.toArrow()
+    cols = []
+    while got.num_columns:  # each column is freed as soon as it is copied
+        cols.append(got.column(0).to_numpy())
+        got = got.remove_column(0)
+    order = np.argsort(cols[0].view(kind))
+    return tuple(cols.pop(0).view(kind)[order] if k == 0 else cols.pop(0)[order] for k in range(len(cols)))
+
+
 def _scorer(model, k: int, passes: int, base_of: float, depth: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (words, n), tree = model.value
