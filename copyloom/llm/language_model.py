@@ -21,6 +21,8 @@ from copyloom.llm.common import LOWER, chunks, stored, text_bytes, word_hashes
 DEPTH = 5
 #: Bytes of the model that a scoring pass broadcasts; a larger model is dealt to several passes over the texts, whose sums are added.
 PASS_BYTES = 56_000_000
+#: Bytes of a piece in which the model reaches the driver.
+PIECE_BYTES = 400_000
 GATHERED = 4_000_000
 _END = np.uint64(0x5BD1E9955BD1E995)
 _CACHE_BITS = 22
@@ -234,12 +236,15 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, depth: int = DEPT
 
 
 def _sorted(table: DataFrame, kind: type) -> tuple[np.ndarray, ...]:
-    """The columns of a table of at most a pass's bytes, in the order of its first."""
-    got = table.toArrow()
+    """The columns of a table of at most a pass's bytes, in the order of its first. It comes in pieces small enough to be sent
+    with the tasks' results, so that the driver holds no large blocks beside them."""
+    got = table.repartition(PASS_BYTES // PIECE_BYTES, "key").toArrow()
     cols = []
     while got.num_columns:  # each column is freed as soon as it is copied
         cols.append(got.column(0).to_numpy())
         got = got.remove_column(0)
+    del got
+    pa.default_memory_pool().release_unused()
     order = np.argsort(cols[0].view(kind))
     return tuple(cols.pop(0).view(kind)[order] if k == 0 else cols.pop(0)[order] for k in range(len(cols)))
 
