@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,3 +90,96 @@ def transmission(at: DataFrame) -> DataFrame:
         F.regr_slope("child_value", "mother_value").alias("slope_mother"), F.corr("child_value", "mid").alias("corr_mid"), F.corr("father_value", "mother_value").alias("corr_parents"),
         F.stddev_samp(F.col("child_value") - F.col("mid")).alias("sd_residual"),
     )
+
+
+def heredity_errors(at: DataFrame, x: str, y: str) -> DataFrame:
+    """(n, slope, se): the slope of y on x and its error by squared residuals, each row with its own variance (n / (n - 2))."""
+    fit = at.agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mx_"), F.avg(y).alias("my_"), F.regr_slope(y, x).alias("slope"))
+    u = F.col(x) - F.col("mx_")
+    e = F.col(y) - F.col("my_") - F.col("slope") * u
+    sums = at.crossJoin(F.broadcast(fit)).groupBy("n", "slope").agg(F.sum(u * u).alias("xx_"), F.sum(u * u * e * e).alias("mid_"))  # fit is one row
+    return sums.select("n", "slope", (F.sqrt(F.col("mid_") * F.col("n") / (F.col("n") - 2)) / F.col("xx_")).alias("se"))
+
+
+def agreement(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, log_median, log_sd, pearson, spearman) of pairs (keys, x, y), both above 0. Equal values share their mean rank."""
+    at = pairs.where("x > 0 and y > 0").withColumn("log_", F.log(F.col("y") / F.col("x")))
+    for c in ("x", "y"):
+        same = F.count(F.lit(1)).over(Window.partitionBy(*keys, c))
+        at = at.withColumn(f"rank_{c}", F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (same - 1) / 2)
+    return at.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile("log_", 0.5).alias("log_median"), F.stddev_samp("log_").alias("log_sd"), F.corr("x", "y").alias("pearson"), F.corr("rank_x", "rank_y").alias("spearman")
+    )
+
+
+def adjust(rows: DataFrame, value: str, covariates: list[str]) -> DataFrame:
+    """Adds adjusted, the value without its linear part on the covariates (its mean stays), and r2. The sums of products are Spark's;
+    the driver solves one equation for each covariate."""
+    names = [*covariates, value]
+    ok = rows.where(" and ".join(f"`{c}` is not null" for c in names))
+    mean = ok.agg(*(F.avg(c).alias(c) for c in names)).first()
+    if mean[value] is None:
+        return rows.withColumn("adjusted", F.col(value)).withColumn("r2", F.lit(None).cast("double"))
+    mid = {c: F.col(c) - mean[c] for c in names}
+    sums = ok.agg(*(F.sum(mid[a] * mid[b]).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j >= i)).first()
+    m = np.array([[sums[f"{min(i, j)}_{max(i, j)}"] for j in range(len(names))] for i in range(len(names))])
+    beta = np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=None)[0]
+    part = sum((float(b) * mid[c] for b, c in zip(beta, covariates, strict=True)), F.lit(0.0))
+    r2 = float(beta @ m[:-1, -1] / m[-1, -1]) if m[-1, -1] else 0.0
+    return rows.withColumn("adjusted", F.col(value) - part).withColumn("r2", F.lit(r2))
+
+
+def present(rows: DataFrame, keys: list[str], share: float = 0.9) -> DataFrame:
+    """(keys, window, present): windows with a value in at least `share` of the samples that have any. rows: (keys, sample, window, y)."""
+    have = rows.where(F.col("y").isNotNull() & ~F.isnan("y"))
+    samples = have.groupBy(*keys).agg(F.count_distinct("sample").alias("samples_"))
+    at = have.groupBy(*keys, "window").agg(F.count_distinct("sample").alias("n_")).join(samples, keys)
+    return at.select(*keys, "window", (F.col("n_") / F.col("samples_")).alias("present")).where(F.col("present") >= share)
+
+
+def ranked(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+
+
+def capture_curve(rows: DataFrame) -> DataFrame:
+    """(class, rank, median, p10): what share of a class's reads the intervals up to a rank hold, over samples. rows: (sample, class, rank, share),
+    each rank there for each sample."""
+    order = Window.partitionBy("class", "sample").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    at = rows.withColumn("sum_", F.sum("share").over(order))
+    return at.groupBy("class", "rank").agg(F.percentile("sum_", 0.5).alias("median"), F.percentile("sum_", 0.1).alias("p10"))
+
+
+def capture_bound(statistics: DataFrame, kept: DataFrame) -> DataFrame:
+    """(class, bound): what is captured at least if only the kept ranks are read: the full capture less the largest shares of the others, or
+    the curve at the longest prefix of ranks that is kept whole, whichever is more. statistics: (class, rank, share_max, curve); kept: (class, rank)."""
+    at = statistics.join(kept.select("class", "rank", F.lit(True).alias("kept_")).distinct(), ["class", "rank"], "left").withColumn("kept_", F.coalesce("kept_", F.lit(False)))
+    first = at.groupBy("class").agg(F.min(F.when(~F.col("kept_"), F.col("rank"))).alias("gap_"), F.max_by("curve", "rank").alias("full_"), F.sum(F.when(~F.col("kept_"), F.col("share_max")).otherwise(0.0)).alias("lost_"))
+    curve = at.join(first, "class").groupBy("class", "full_", "lost_").agg(F.max(F.when(F.col("gap_").isNull() | (F.col("rank") < F.col("gap_")), F.struct("rank", "curve")))["curve"].alias("prefix_"))
+    return curve.select("class", F.greatest(F.col("full_") - F.col("lost_"), F.coalesce("prefix_", F.lit(0.0))).alias("bound"))
+
+
+def families(links: DataFrame, folder: str) -> DataFrame:
+    """(person, family) of everyone in links (child, father, mother): people who share a trio, or are tied by others, are one family, named by its
+    smallest person. Each round, a family takes the smallest name next to it and names point to their own name's name; it is written to the folder, which all
+    executors must share, so that a round doesn't repeat those before it."""
+    spark = links.sparkSession
+    at = links.select("child", F.explode(F.array("father", "mother")).alias("parent")).where("child is not null and parent is not null and child != parent")
+    at.select(F.col("child").alias("a"), F.col("parent").alias("b")).distinct().write.parquet(f"{folder}/edges")
+    ties = spark.read.parquet(f"{folder}/edges")
+    both = ties.unionByName(ties.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both.groupBy(F.col("a").alias("person")).agg(F.least(F.first("a"), F.min("b")).alias("family")).write.parquet(f"{folder}/0")
+    k = 0
+    while True:
+        names = spark.read.parquet(f"{folder}/{k}")
+        near = both.join(names.toDF("b", "family"), "b").groupBy(F.col("a").alias("person")).agg(F.min("family").alias("near_"))
+        met = names.join(near, "person").select("person", F.col("family").alias("was_"), F.least("family", "near_").alias("low_"))
+        low = met.groupBy(F.col("was_").alias("old_")).agg(F.min("low_").alias("low_"))
+        nxt = met.select("person", "was_").join(low, F.col("was_") == F.col("old_")).select("person", "was_", F.col("low_").alias("family"))
+        jump = names.toDF("family", "jump_")
+        nxt = nxt.join(jump, "family", "left").select("person", "was_", F.least("family", F.coalesce("jump_", "family")).alias("family"))
+        k += 1
+        nxt.write.parquet(f"{folder}/{k}-changed")
+        done = spark.read.parquet(f"{folder}/{k}-changed")
+        if done.where("was_ != family").isEmpty():
+            return done.select("person", "family")
+        done.select("person", "family").write.parquet(f"{folder}/{k}")

@@ -57,3 +57,30 @@ def price(queries: DataFrame, slices: DataFrame, keys: list[str], width: int) ->
     met = overlaps(queries, slices, keys, width).select("query", "slice", "size").distinct()
     once = met.select("slice", "size").distinct().agg(F.coalesce(F.sum("size"), F.lit(0)).alias("floor_bytes"), F.count(F.lit(1)).alias("slices"))
     return met.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).crossJoin(once)
+
+
+def places(df: DataFrame, keys: list[str], gap: int, span: int) -> DataFrame:
+    """(keys, start, end, members): intervals, in order, that follow the one before within `gap` and end within `span` of their place's first start.
+    What begins a place depends on where the last one began, so a key's intervals are one array; keys are contigs of a few thousand regions."""
+    a = F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"))))
+    kind = "array<struct<s:long,e:long,n:long>>"
+
+    def step(acc, x):
+        last = F.element_at(acc, -1)
+        new = F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(1).cast("long").alias("n")))
+        grown = F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"), (last["n"] + 1).alias("n")))
+        goes_on = (x["s"] - last["e"] <= gap) & (x["e"] - last["s"] <= span)
+        return F.when(F.size(acc) == 0, new).otherwise(F.when(goes_on, F.concat(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(F.concat(acc, new)))
+
+    at = df.groupBy(*keys).agg(F.aggregate(a, F.array().cast(kind), step).alias("p")).select(*keys, F.explode("p").alias("p"))
+    return at.select(*keys, F.col("p.s").alias("start"), F.col("p.e").alias("end"), F.col("p.n").alias("members"))
+
+
+def subtract(a: DataFrame, merged: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """What of the intervals of a (with a column id) merged intervals don't cover: keys, id, start, end."""
+    met = overlaps(a, merged, keys, width).groupBy(*keys, "id", "start", "end").agg(F.array_sort(F.collect_list(F.struct(F.col("start_b").alias("s"), F.col("end_b").alias("e")))).alias("cut"))
+    rest = a.select(*keys, "id", "start", "end").join(met, [*keys, "id", "start", "end"], "left")
+    lows = F.concat(F.array(F.col("start")), F.transform(F.coalesce("cut", F.array().cast("array<struct<s:long,e:long>>")), lambda x: x["e"]))
+    highs = F.concat(F.transform(F.coalesce("cut", F.array().cast("array<struct<s:long,e:long>>")), lambda x: x["s"]), F.array(F.col("end")))
+    at = rest.select(*keys, "id", F.explode(F.arrays_zip(lows.alias("start"), highs.alias("end"))).alias("p"))
+    return at.select(*keys, "id", F.col("p.start").alias("start"), F.col("p.end").alias("end")).where("start < end")

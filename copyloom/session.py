@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -32,3 +33,12 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(top.parent))
     spark.sparkContext.addPyFile(str(out))
     _SHIPPED.add(app)
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder's name in the one that spark.checkpoint.dir names; a temporary one is set where there is none (tests, local mode)."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="copyloom-"))
+        where = spark.sparkContext.getCheckpointDir()
+    return f"{where}/copyloom-{what}-{uuid.uuid4().hex}"
