@@ -13,20 +13,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copyloom.llm.common import LOWER, chunks, stored, text_bytes, word_hashes
 
 DEPTH = 5
-#: Bytes of the model that a scoring pass broadcasts; a larger model is dealt to several passes over the texts, whose sums are added.
-PASS_BYTES = 56_000_000
-#: Bytes of a piece in which the model reaches the driver.
-PIECE_BYTES = 400_000
+#: Rows of a scan's partition that are scored with one table of the words and grams they have, as a power of two.
+CHUNK_BITS = 12
 GATHERED = 4_000_000
 _END = np.uint64(0x5BD1E9955BD1E995)
-_CACHE_BITS = 22
-_CACHES: dict = {}
+_NO_KEY = np.uint64(2**64 - 1)
+_SLOT_BITS = 22
 
 
 def default_held_out(doc_id: Column) -> Column:
@@ -56,40 +55,104 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return key[start], np.add.reduceat(n, start)
 
 
-def corpus_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(kind, key, n) over all texts: kind 0 words by hash (and ends of texts), kind 1 grams."""
+def _keys(buf: np.ndarray, offs: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(kind, keys) of texts: kind 0 words by hash and ends of texts, kind 1 grams."""
+    h, _ = word_hashes(buf, offs)
+    yield 0, np.concatenate([h, np.full(len(offs) - 1, _END)])
+    yield 1, grams(buf, offs, depth)[0]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw: list[list[np.ndarray]] = [[], []]
-        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
 
-        def settle(kind: int) -> None:
-            if raw[kind]:
-                held[kind].append(np.unique(np.concatenate(raw[kind]), return_counts=True))
-                raw[kind] = []
+class _Gathered:
+    """Keys of both kinds with their counts, given out as batches when there are many."""
+
+    def __init__(self):
+        self.raw: list[list[np.ndarray]] = [[], []]
+        self.held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+
+    def add(self, kind: int, keys: np.ndarray, weight: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        self.raw[kind].append(keys)
+        if sum(map(len, self.raw[kind])) > GATHERED:
+            self.settle(kind, weight)
+            if sum(len(k) for k, _ in self.held[kind]) > GATHERED // 2:
+                yield self.out(kind)
 
-        def out(kind: int) -> pa.RecordBatch:
-            key, n = _merged(held[kind])
-            held[kind] = []
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+    def settle(self, kind: int, weight: int = 1) -> None:
+        """Counts the raw keys; weight 0 tells that they are met but not learnt from."""
+        if self.raw[kind]:
+            key, n = np.unique(np.concatenate(self.raw[kind]), return_counts=True)
+            self.held[kind].append((key, n * weight))
+            self.raw[kind] = []
+
+    def out(self, kind: int) -> tuple[int, np.ndarray, np.ndarray]:
+        key, n = _merged(self.held[kind])
+        self.held[kind] = []
+        return kind, key, n
+
+    def rest(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for kind in (0, 1):
+            self.settle(kind)
+            if self.held[kind]:
+                yield self.out(kind)
 
+
+def corpus_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(kind, key, n) of all texts (text, learnt): n counts the texts learnt from, and is 0 for what only others have."""
+
+    def batch_of(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [_Gathered(), _Gathered()]
         for batch in batches:
-            buf, offs = text_bytes(batch.column(0))
-            for i, j in chunks(offs):
-                b, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                h, _ = word_hashes(b, o)
-                for kind, x in enumerate((np.concatenate([h, np.full(j - i, _END)]), grams(b, o, depth)[0])):
-                    raw[kind].append(x)
-                    if sum(map(len, raw[kind])) > GATHERED:
-                        settle(kind)
-                        if sum(len(k) for k, _ in held[kind]) > GATHERED // 2:
-                            yield out(kind)
+            learnt = batch.column(1)
+            for weight, rows in ((1, batch.filter(learnt)), (0, batch.filter(pc.invert(learnt)))):
+                buf, offs = text_bytes(rows.column(0))
+                for i, j in chunks(offs):
+                    for kind, keys in _keys(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], depth):
+                        for some in got[weight].add(kind, keys, weight):
+                            yield batch_of(*some)
         for kind in (0, 1):
-            settle(kind)
-            if held[kind]:
-                yield out(kind)
+            got[0].settle(kind, 0)
+            got[1].settle(kind)
+            got[1].held[kind] += got[0].held[kind]
+        for some in got[1].rest():
+            yield batch_of(*some)
+
+    return texts.select("text", "learnt").mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
-    return texts.mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+def wanted_keys(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(chunk, kind, key): the words and grams that each chunk of texts (chunk, text) has, each once (or once a flush)."""
+
+    def batch_of(chunk: int, kind: int, key: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), chunk)), pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64))], names=["chunk", "kind", "key"])
+
+    def want(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, now = _Gathered(), -1
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            for s, e in _cuts(at):
+                if at[s] != now:
+                    for kind, key, _ in got.rest():
+                        yield batch_of(now, kind, key)
+                    now = int(at[s])
+                buf, offs = text_bytes(batch.column(1).slice(s, e - s))
+                for i, j in chunks(offs):
+                    for kind, keys in _keys(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], depth):
+                        for _, key, _ in got.add(kind, keys):
+                            yield batch_of(now, kind, key)
+        for kind, key, _ in got.rest():
+            yield batch_of(now, kind, key)
+
+    return texts.select("chunk", "text").mapInArrow(want, "chunk long, kind int, key long")
+
+
+def _cuts(tag: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of equal tags start and end."""
+    if not len(tag):
+        return []
+    cuts = [0, *(np.flatnonzero(tag[1:] != tag[:-1]) + 1).tolist(), len(tag)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -104,21 +167,23 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
 
 
 def level_nodes(ctx: np.ndarray, byte: np.ndarray, n: np.ndarray, child: tuple[np.ndarray, np.ndarray] | None):
-    """The binary nodes of one depth: key (ctx << 8 | bits so far with a leading 1), p of a 1, weight of the node's own estimate,
-    and the log of the weighted probability. child: sums of the children's logs by key, None at the deepest level."""
+    """The binary nodes of one depth, from grams that may repeat: key (ctx << 8 | bits so far with a leading 1), p of a 1, weight
+    of the node's own estimate, and the log of the weighted probability; then for each gram's eight decisions, bit by bit, the
+    node's place and whether a 1 follows. child: sums of the children's logs by key, None at the deepest level."""
     keys = np.concatenate([ctx << 8 | (1 << s) | (byte >> (8 - s)) for s in range(8)])
     ones = np.concatenate([(byte >> (7 - s)) & 1 for s in range(8)]).astype(bool)
     w = np.tile(n.astype(np.float64), 8)
     key, at = np.unique(keys, return_inverse=True)
-    b = np.bincount(at, w * ones, len(key))
-    a = np.bincount(at, w * ~ones, len(key))
+    b = np.bincount(at, w * ones, len(key)).astype(np.float64)  # without grams it is of integers
+    a = np.bincount(at, w * ~ones, len(key)).astype(np.float64)
     kt = _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1) - 1.1447298858494002
+    p = (b + 0.5) / (a + b + 1)
     if child is None:
-        return key, (b + 0.5) / (a + b + 1), np.ones(len(key)), kt
+        return key, p, np.ones(len(key)), kt, at, ones
     below = np.zeros(len(key))
     below[np.searchsorted(key, child[0])] = child[1]
     both = np.logaddexp(kt, below) - np.log(2)
-    return key, (b + 0.5) / (a + b + 1), np.exp(kt - np.log(2) - both), both
+    return key, p, np.exp(kt - np.log(2) - both), both, at, ones
 
 
 def _summed(key: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,149 +196,141 @@ def _up(key: np.ndarray, depth: int) -> np.ndarray:
     return ((key >> 8) & ((1 << (8 * depth - 8)) - 1)) << 8 | (key & 255)
 
 
-NODE = "d int, key long, p double, own double, log double"
-
-
-def tree_nodes(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Rows NODE of all depths. Contexts that share their last two bytes are worked on together (at most 256 ** (depth - 1)
-    grams, far fewer in text); the two top levels, at most 131,072 rows, are one group."""
-    deep = min(2, depth)
+def gram_logs(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(key, x) for all grams of counts: x is log10 of the probability of the gram's byte after its context.
 
-    def frame(d: int, got) -> pd.DataFrame:
-        return pd.DataFrame({"d": d, "key": got[0], "p": got[1], "own": got[2], "log": got[3]})
-
-    def levels(key: np.ndarray, n: np.ndarray, top: int, bottom: int, child):
-        for d in range(bottom, top - 1, -1):
-            k, m = _summed(key & ((1 << (8 * d + 8)) - 1), n.astype(np.float64))
-            got = level_nodes(k >> 8, k & 255, m, child)
-            child = _summed(_up(got[0], d), got[3]) if d else None
-            yield frame(d, got)
+    Contexts that share their last two bytes are worked on together, from the deepest up (at most 256 ** (depth - 1) grams, far
+    fewer in text). The two top levels have at most 131,072 rows whatever the corpus; these are broadcast.
+    """
+    spark, deep = counts.sparkSession, min(2, depth)
 
     def lower(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat(list(levels(rows.key.to_numpy(), rows.n.to_numpy(), deep, depth, None)))
-
-    def upper(rows: pd.DataFrame) -> pd.DataFrame:
-        g, c = rows[rows.log.isna()], rows[rows.log.notna()].sort_values("key")
-        return pd.concat(list(levels(g.key.to_numpy(), g.n.to_numpy(), 0, deep - 1, (c.key.to_numpy(), c.log.to_numpy()))))
+        g, n = rows.key.to_numpy(), rows.n.to_numpy()
+        q, child = np.full(8 * len(g), 0.5), None
+        for d in range(depth, deep - 1, -1):
+            k = g & ((1 << (8 * d + 8)) - 1)
+            key, p, own, log, at, one = level_nodes(k >> 8, k & 255, n, child)
+            q = own[at] * np.where(one, p[at], 1 - p[at]) + (1 - own[at]) * q
+            child = _summed(_up(key, d), log)
+        raw = [x.tobytes() for x in np.ascontiguousarray(q.reshape(8, -1).T, np.float32)]
+        return pd.concat([pd.DataFrame({"key": g, "q": raw, "log": np.nan}), pd.DataFrame({"key": child[0], "q": None, "log": child[1]})])
 
     g = counts.where("kind = 1").select("key", "n")
-    low = stored(g.groupBy(F.expr("(key >> 8) & 65535").alias("pair")).applyInPandas(lower, NODE), "nodes")
-    mask = (1 << (8 * deep)) - 1
-    top = g.groupBy(F.expr(f"key & {mask}").alias("key")).agg(F.sum("n").alias("n")).withColumn("log", F.lit(None).cast("double"))
-    up = F.expr(f"(((key >> 8) & {(1 << (8 * deep - 8)) - 1}) << 8) | (key & 255)")
-    sums = low.where(F.col("d") == deep).groupBy(up.alias("key")).agg(F.sum("log").alias("log")).select("key", F.lit(0).cast("long").alias("n"), "log")
-    return low.unionByName(top.unionByName(sums).groupBy(F.lit(0).alias("all")).applyInPandas(lambda rows: upper(rows), NODE))
-
-
-def gram_logs(g: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray], depth: int = DEPTH) -> np.ndarray:
-    """log10 of the probability of each gram's byte after its context. Nodes never met predict 1/2."""
-    keys, p, own = model
-    g = g.astype(np.int64)
-    out = np.zeros(len(g))
-    for s in range(8):
-        byte, q = g & 255, np.full(len(g), 0.5)
-        bits, one = (1 << s) | (byte >> (8 - s)), ((byte >> (7 - s)) & 1).astype(bool)
-        for d in range(depth, -1, -1):
-            key = (d << 56) | (((g >> 8) & ((1 << (8 * d)) - 1)) << 8) | bits
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            met = keys[at] == key
-            here = np.where(one, p[at], 1.0 - p[at])
-            q = np.where(met, own[at] * here + (1.0 - own[at]) * q, 0.5)
-        out += np.log10(q)
-    return out
-
-
-def _cached_logs(g: np.ndarray, model, name: str, depth: int) -> np.ndarray:
-    if name not in _CACHES:
-        _CACHES.clear()
-        _CACHES[name] = (np.full(1 << _CACHE_BITS, 2**64 - 1, np.uint64), np.zeros(1 << _CACHE_BITS, np.float32))
-    keys, logs = _CACHES[name]
-    slot = ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _CACHE_BITS)).astype(np.int64)
-    out = logs[slot].astype(np.float64)
-    miss = np.flatnonzero(keys[slot] != g)
-    if len(miss):
-        new, at = np.unique(g[miss], return_inverse=True)
-        got = gram_logs(new, model, depth)
-        out[miss] = got[at]
-        keys[slot[miss]], logs[slot[miss]] = g[miss], out[miss]
-    return out
-
-
-def _segment_sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([[0.0], np.cumsum(x)])
-    return sums[at[1:]] - sums[at[:-1]]
-
-
-def lm_scores(docs: DataFrame, held_out: Column | None = None, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text", pass_bytes: int = PASS_BYTES) -> DataFrame:
+    low = stored(g.groupBy(F.expr("(key >> 8) & 65535").alias("pair")).applyInPandas(lower, "key long, q binary, log double"), "lower")
+    top = g.groupBy(F.expr(f"key & {(1 << (8 * deep)) - 1}").alias("key")).agg(F.sum("n").alias("n")).toPandas()
+    below = low.where("q is null").groupBy("key").agg(F.sum("log").alias("log")).orderBy("key").toPandas()
+    child, shared = (below.key.to_numpy(np.int64), below["log"].to_numpy(np.float64)), []
+    for d in range(deep - 1, -1, -1):
+        k = top.key.to_numpy(np.int64) & ((1 << (8 * d + 8)) - 1)
+        key, p, own, log, _, _ = level_nodes(k >> 8, k & 255, top.n.to_numpy(np.float64), child)
+        child = _summed(_up(key, d), log) if d else None
+        dense = np.full((2, 1 << (8 * d + 8)), 0.5)
+        dense[:, key] = p, own
+        shared.append(dense)
+    levels = spark.sparkContext.broadcast(shared)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, out = batch.column(0).to_numpy(), np.zeros(batch.num_rows)
+            q = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, 8).astype(np.float64)
+            byte = g & 255
+            for s in range(8):
+                x, bits, one = q[:, s], (1 << s) | (byte >> (8 - s)), ((byte >> (7 - s)) & 1).astype(bool)
+                for d, (p, own) in zip(range(deep - 1, -1, -1), levels.value, strict=True):
+                    key = (((g >> 8) & ((1 << (8 * d)) - 1)) << 8) | bits
+                    x = own[key] * np.where(one, p[key], 1 - p[key]) + (1 - own[key]) * x
+                out += np.log10(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["key", "x"])
+
+    return low.where("q is not null").select("key", "q").mapInArrow(finish, "key long, x double")
+
+
+class _Values:
+    """Looks up what a chunk's keys are worth: first by a slot of the key's hash, then where slots clash by its sorted place."""
+
+    def __init__(self, held: list[tuple[np.ndarray, np.ndarray]]):
+        key, x = (np.concatenate(c) for c in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64), np.zeros(0))
+        order = np.argsort(key)
+        self.key, self.x = key[order], x[order]
+        bits = min(_SLOT_BITS, max(8, int(4 * len(key)).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.slot_key, self.slot_x = np.full(1 << bits, _NO_KEY), np.zeros(1 << bits)
+        at = self.slot(self.key)
+        self.slot_key[at], self.slot_x[at] = self.key, self.x
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        at = self.slot(key)
+        out = self.slot_x[at]
+        miss = np.flatnonzero(self.slot_key[at] != key)
+        if len(miss):
+            want = key[miss]
+            at = np.searchsorted(self.key, want)
+            if at.max() >= len(self.key) or (self.key[at] != want).any():
+                raise ValueError("a chunk's text has a word or gram without an answer")
+            out[miss] = self.x[at]
+        return out
+
+
+def lm_scores(docs: DataFrame, held_out: Column | None = None, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text", chunk_bits: int = CHUNK_BITS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the
     model's probability of the text's bytes with A-Z lower-cased and its end), bits_per_byte (its code length).
 
     Learns from rows that held_out leaves out. Null texts count as empty: they have the end alone. Repeated rows count each. With
     nothing to learn from every node predicts 1/2 and every base count is 0. An empty table gives an empty one.
+
+    The model stays a table: each chunk of documents asks for the words and grams it has, a join answers, and the answers meet the
+    chunk's texts in one task, which holds the answers and streams the texts. The chunks are written first, as docs may come in another order when
+    read again.
     """
-    spark = docs.sparkSession
     doc = F.col(id_col)
     held_out = default_held_out(doc) if held_out is None else held_out
-    slim = docs.select(F.monotonically_increasing_id().alias("uid"), doc.alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    counts = stored(corpus_counts(slim.where("not held_out").select("text"), depth), "counts")
-    nodes = stored(tree_nodes(counts, depth).select(((F.col("d").cast("long") * F.lit(1 << 56)) + F.col("key")).alias("key"), F.col("p").cast("float"), F.col("own").cast("float")), "model")
-    total = counts.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    base_of = np.log10(total.n + 0.5 * (total.v + 1))
-    passes = max(1, -(-(12 * total.v) // pass_bytes), -(-(16 * nodes.count()) // pass_bytes))
-    last_byte = F.when(F.col("key") >= F.lit(1 << 56), F.expr("(key >> 8) & 255"))
-    parts = []
-    for k in range(passes):
-        words = _sorted(counts.where("kind = 0").where(F.pmod(F.col("key"), F.lit(passes)) == k).select("key", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")), np.uint64)
-        tree = _sorted(nodes.where(last_byte.isNull() | (last_byte % passes == k)), np.int64)
-        parts.append(slim.mapInArrow(_scorer(spark.sparkContext.broadcast((words, tree)), k, passes, base_of, depth), slim.select("uid", "doc_id", "held_out").schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double").add("n_bytes", "long")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if passes > 1:
-        out = out.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")), F.max("n_bytes").alias("n_bytes"))
+    slim = docs.select(F.shiftright(F.monotonically_increasing_id(), chunk_bits).alias("chunk"), doc.alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    slim = stored(slim, "chunked")
+    counts = stored(corpus_counts(slim.select("text", (~F.col("held_out")).alias("learnt")), depth), "counts")
+    total = counts.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
+    base_of = float(np.log10(total.n + 0.5 * (total.v + 1)))
+    words = counts.where("kind = 0").select("kind", "key", F.col("n").cast("double").alias("x"))
+    values = words.unionByName(gram_logs(counts, depth).select(F.lit(1).alias("kind"), "key", "x"))
+    answers = wanted_keys(slim, depth).join(values.hint("merge"), ["kind", "key"]).select("chunk", "kind", "key", "x")
+    rows = answers.unionByName(slim.withColumn("kind", F.lit(2)), allowMissingColumns=True).select("chunk", "kind", "key", "x", "doc_id", "held_out", "text")
+    met = rows.repartition("chunk").sortWithinPartitions("chunk", "kind")
+    schema = slim.select("doc_id", "held_out").schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double").add("n_bytes", "long")
+    out = met.mapInArrow(_scorer(base_of, depth), schema)
     bits = -F.col("score") / F.lit(float(np.log10(2))) / F.col("n_bytes")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total.n).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
 
 
-def _sorted(table: DataFrame, kind: type) -> tuple[np.ndarray, ...]:
-    """The columns of a table of at most a pass's bytes, in the order of its first. It comes in pieces small enough to be sent
-    with the tasks' results, so that the driver holds no large blocks beside them."""
-    got = table.repartition(PASS_BYTES // PIECE_BYTES, "key").toArrow()
-    cols = []
-    while got.num_columns:  # each column is freed as soon as it is copied
-        cols.append(got.column(0).to_numpy())
-        got = got.remove_column(0)
-    del got
-    pa.default_memory_pool().release_unused()
-    order = np.argsort(cols[0].view(kind))
-    return tuple(cols.pop(0).view(kind)[order] if k == 0 else cols.pop(0)[order] for k in range(len(cols)))
-
+def _scorer(base_of: float, depth: int):
+    def texts(rows: pa.RecordBatch, words: _Values, tree: _Values) -> Iterator[pa.RecordBatch]:
+        buf, offs = text_bytes(rows.column("text"))
+        for i, j in chunks(offs):
+            b, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+            h, at = word_hashes(b, o)
+            h = np.insert(h, at[1:], _END)
+            at = at + np.arange(len(at))
+            c = words.of(h)
+            g, ga = grams(b, o, depth)
+            sums = [np.add.reduceat(x, at[:-1]) for x in ((c > 0).astype(np.int64), np.log10(c + 0.5) - base_of)]
+            cols = [np.diff(at), *sums, np.add.reduceat(tree.of(g), ga[:-1]), np.diff(o) + 1]
+            ids = [rows.column(x).slice(i, j - i) for x in ("doc_id", "held_out")]
+            yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, cols)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
 
-def _scorer(model, k: int, passes: int, base_of: float, depth: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (words, n), tree = model.value
-        tree = tree if len(tree[0]) else (np.array([-1]), np.zeros(1, np.float32), np.zeros(1, np.float32))
+        now, held, found = -1, [[], []], None
         for batch in batches:
-            buf, offs = text_bytes(batch.column(3))
-            for i, j in chunks(offs):
-                b, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                h, at = word_hashes(b, o)
-                h = np.insert(h, at[1:], _END)
-                at = at + np.arange(len(at))
-                mine = h.view(np.int64) % passes == k
-                c = np.zeros(len(h))
-                if len(words):
-                    x = np.minimum(np.searchsorted(words, h), len(words) - 1)
-                    c = np.where(words[x] == h, n[x], 0).astype(np.float64)
-                base = np.where(mine, np.log10(c + 0.5) - base_of, 0.0)
-                g, ga = grams(b, o, depth)
-                if passes > 1:
-                    own = ((g >> np.uint64(8)) & np.uint64(255)) % np.uint64(passes) == k
-                    logs = np.zeros(len(g))
-                    logs[own] = _cached_logs(g[own], tree, f"{id(model)}-{model.value is None}-{k}", depth)
-                else:
-                    logs = _cached_logs(g, tree, f"{id(model)}-{k}", depth)
-                cols = [np.add.reduceat(mine.astype(np.int64), at[:-1]), np.add.reduceat((mine & (c > 0)).astype(np.int64), at[:-1]), np.add.reduceat(base, at[:-1]), np.add.reduceat(logs, ga[:-1]), np.diff(o) + 1]
-                yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(i, j - i) for x in range(3)), *map(pa.array, cols)], names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
+            chunk, kind = batch.column("chunk").to_numpy(), batch.column("kind").to_numpy()
+            for s, e in _cuts(chunk * 4 + kind):
+                if chunk[s] != now:
+                    now, held, found = chunk[s], [[], []], None
+                part = batch.slice(s, e - s)
+                if kind[s] < 2:
+                    held[kind[s]].append((part.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), part.column("x").to_numpy(zero_copy_only=False)))
+                    continue
+                if found is None:
+                    found, held = [_Values(h) for h in held], [[], []]
+                yield from texts(part, *found)
 
     return score

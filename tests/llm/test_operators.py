@@ -282,7 +282,7 @@ def test_language_model(spark):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(words[w] > 0 for w in tokens), total)
         assert math.isclose(r.base_score, base, rel_tol=1e-9, abs_tol=1e-6) and math.isclose(r.score, score, rel_tol=1e-4, abs_tol=1e-4)
         assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 1)
-    split = by_id(language_model.lm_scores(table(spark, some), depth=depth, pass_bytes=20_000))
+    split = by_id(language_model.lm_scores(table(spark, some), depth=depth, chunk_bits=1))
     assert all(math.isclose(split[i].score, got[i].score, rel_tol=1e-6) and split[i].n_known == got[i].n_known and math.isclose(split[i].base_score, got[i].base_score) for i in got)
     assert language_model.lm_scores(empty(spark)).count() == 0
 
