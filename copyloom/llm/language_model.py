@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from copyloom.llm.common import LOWER, chunks, stored, text_bytes, word_hashes
 
 DEPTH = 5
-#: Rows of a scan's partition that are scored with one table of the words and grams they have, as a power of two.
-CHUNK_BITS = 12
+#: A chunk is scored with one table of the words and grams it has: so many rows of a partition at most, as a power of two, where
+#: partitions of less than so many bytes are read together. Larger chunks repeat fewer words and grams.
+CHUNK_BITS, CHUNK_BYTES = 15, 64_000_000
 GATHERED = 4_000_000
 _END = np.uint64(0x5BD1E9955BD1E995)
 _NO_KEY = np.uint64(2**64 - 1)
@@ -287,7 +288,8 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, depth: int = DEPT
     """
     doc = F.col(id_col)
     held_out = default_held_out(doc) if held_out is None else held_out
-    slim = docs.select(F.shiftright(F.monotonically_increasing_id(), chunk_bits).alias("chunk"), doc.alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    n_bytes = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first().n or 0
+    slim = docs.coalesce(n_bytes // CHUNK_BYTES + 1).select(F.shiftright(F.monotonically_increasing_id(), chunk_bits).alias("chunk"), doc.alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
     slim = stored(slim, "chunked")
     counts = stored(corpus_counts(slim.select("text", (~F.col("held_out")).alias("learnt")), depth), "counts")
     total = counts.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
