@@ -23,7 +23,8 @@ DEPTH = 5
 #: A chunk is scored with one table of the words and grams it has: so many rows of a partition at most, as a power of two, where
 #: partitions of less than so many bytes are read together. Larger chunks repeat fewer words and grams.
 CHUNK_BITS, CHUNK_BYTES = 15, 64_000_000
-GATHERED = 4_000_000
+#: Raw keys that a task gathers before it counts them, and different keys that it holds before it gives them out.
+GATHERED, HELD = 1_000_000, 2_000_000
 _END = np.uint64(0x5BD1E9955BD1E995)
 _NO_KEY = np.uint64(2**64 - 1)
 _SLOT_BITS = 22
@@ -74,8 +75,10 @@ class _Gathered:
         self.raw[kind].append(keys)
         if sum(map(len, self.raw[kind])) > GATHERED:
             self.settle(kind, weight)
-            if sum(len(k) for k, _ in self.held[kind]) > GATHERED // 2:
-                yield self.out(kind)
+            if sum(len(k) for k, _ in self.held[kind]) > HELD + GATHERED:
+                self.held[kind] = [_merged(self.held[kind])]
+                if len(self.held[kind][0][0]) > HELD:
+                    yield self.out(kind)
 
     def settle(self, kind: int, weight: int = 1) -> None:
         """Counts the raw keys; weight 0 tells that they are met but not learnt from."""
