@@ -26,7 +26,6 @@ CHUNK_BITS, CHUNK_BYTES = 15, 64_000_000
 #: Raw keys that a task gathers before it counts them, and different keys that it holds before it gives them out.
 GATHERED, HELD = 1_000_000, 2_000_000
 _END = np.uint64(0x5BD1E9955BD1E995)
-_NO_KEY = np.uint64(2**64 - 1)
 _SLOT_BITS = 22
 
 
@@ -253,29 +252,27 @@ class _Values:
     """Looks up what a chunk's keys are worth: first by a slot of the key's hash, then where slots clash by its sorted place."""
 
     def __init__(self, held: list[tuple[np.ndarray, np.ndarray]]):
-        key, x = (np.concatenate(c) for c in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64), np.zeros(0))
+        key, x = (np.concatenate(c) for c in zip(*held, strict=True)) if held else (np.zeros(1, np.uint64), np.full(1, np.nan))
+        held.clear()
         order = np.argsort(key)
         self.key, self.x = key[order], x[order]
-        bits = min(_SLOT_BITS, max(8, int(4 * len(key)).bit_length()))
+        bits = min(_SLOT_BITS, max(8, int(2 * len(key)).bit_length()))
         self.shift = np.uint64(64 - bits)
-        self.slot_key, self.slot_x = np.full(1 << bits, _NO_KEY), np.zeros(1 << bits)
-        at = self.slot(self.key)
-        self.slot_key[at], self.slot_x[at] = self.key, self.x
+        self.place = np.zeros(1 << bits, np.int32)
+        self.place[self.slot(self.key)] = np.arange(len(key), dtype=np.int32)
 
     def slot(self, key: np.ndarray) -> np.ndarray:
         return ((key * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def of(self, key: np.ndarray) -> np.ndarray:
-        at = self.slot(key)
-        out = self.slot_x[at]
-        miss = np.flatnonzero(self.slot_key[at] != key)
+        at = self.place[self.slot(key)]
+        miss = np.flatnonzero(self.key[at] != key)
         if len(miss):
             want = key[miss]
-            at = np.searchsorted(self.key, want)
-            if at.max() >= len(self.key) or (self.key[at] != want).any():
+            at[miss] = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+            if (self.key[at[miss]] != want).any():
                 raise ValueError("a chunk's text has a word or gram without an answer")
-            out[miss] = self.x[at]
-        return out
+        return self.x[at]
 
 
 def lm_scores(docs: DataFrame, held_out: Column | None = None, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text", chunk_bits: int = CHUNK_BITS) -> DataFrame:
