@@ -33,6 +33,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The table with a column row_ in front that tells its rows apart, stored, so that all who read it see the same numbers."""
+    return stored(df.select(F.monotonically_increasing_id().alias("row_"), "*"), "numbered")
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a stored table for broadcast if it has at most so many rows; else the planner shuffles it."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

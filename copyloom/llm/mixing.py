@@ -74,17 +74,19 @@ def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING, block_words: int | None = BLOCK_WORDS,
-    shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sized, targets, draws): a row per document (uid, doc_id, source, size), a row per source, and a row per draw of a
-    block (uid, block, words, shard, position). block_words None: a document is one block.
+    block (uid, block, words, shard, position). block_words None: a document is one block. uid is row_col, which must tell rows
+    apart, where it is given.
 
     A null source is a source of its own, last in order; null texts have size 0 and are never drawn. Repeated rows are
     drawn as rows of their own. A block is drawn once per epoch, so at most `ceiling` times, rounded up to whole draws. Draws
     depend on doc_id and seed, not on partitions, but for rows that repeat a doc_id. Empty tables give empty ones.
     """
     size = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    sized = stored(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")), "sized")
+    uid = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    sized = stored(docs.select(uid.alias("uid"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")), "sized")
     targets = stored(source_targets(sized, weights, share, ceiling), "targets")
     unit = F.lit(2**62) if block_words is None else F.lit(block_words)
     blocks = sized.where("size > 0").select("uid", "doc_id", "source", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / unit).cast("long") - 1)).alias("block"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copyloom.llm import exact_dedup, mixing, ngram_join, quality
-from copyloom.llm.common import stored
+from copyloom.llm.common import numbered, stored
 from copyloom.llm.queries import packed
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -18,28 +18,29 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts; rows that repeat a doc_id and its text count once."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id_"), "text_sha256").distinct()
-    text = exact_dedup.ascii_lower(F.coalesce("text", F.lit("")))
-    at = docs.withColumn("text_sha256", F.sha2(F.encode(text, "UTF-8"), 256))
-    same = at["doc_id"].eqNullSafe(kept["kept_id_"]) & (at["text_sha256"] == kept["text_sha256"])
-    return at.join(kept, same, "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    """One row of each group of equal texts: the one with the largest doc_id, and any one of those that repeat it."""
+    rows = numbered(docs.select(*COLUMNS))
+    kept = exact_dedup.exact_dedup(rows.withColumn("id_", F.struct("doc_id", "row_")), id_col="id_").where("kept").select("doc_id.row_")
+    return rows.join(kept, "row_", "left_semi").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
-    found = ngram_join.ngram_join(docs)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("gone_")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_"], "left_anti").select(*COLUMNS)
+    """The row with the smallest doc_id of each group of near copies, null last; of those that repeat it, one by a hash of their texts."""
+    rows = numbered(docs.select(*COLUMNS))
+    found = ngram_join.ngram_join(rows, id_col="row_").select(F.col("doc_id").alias("row_"), F.col("component_id").alias("group_"))
+    found = stored(found.join(rows.select("row_", F.struct(F.isnull("doc_id"), "doc_id", F.xxhash64("text"), "row_").alias("order_")), "row_"), "grouped-rows")
+    first = found.groupBy("group_").agg(F.min("order_").getField("row_").alias("first_"), F.count(F.lit(1)).alias("n_")).where("n_ > 1")
+    gone = found.join(first, "group_").where("row_ != first_").select("row_")
+    return rows.join(gone, "row_", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mixture draws, whole, as often as it draws them, shard by shard in shuffled order."""
-    sized, _, draws = mixing.mix(docs, block_words=None)
-    n = draws.join(sized.select("uid", "doc_id"), "uid").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times_"), F.min("shard").alias("shard_"), F.min("position").alias("position_"))
-    n = stored(n.withColumnRenamed("doc_id", "drawn_"), "drawn")
-    at = docs.join(n, docs["doc_id"].eqNullSafe(n["drawn_"])).withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times_").cast("int"))))
-    return at.select(*COLUMNS)
+    """The rows that the mixture draws, whole, as often as it draws them. The order of draws depends on doc_id and text."""
+    rows = numbered(docs.select(*COLUMNS))
+    keyed = rows.withColumn("key_", F.struct("doc_id", F.xxhash64("text")))
+    _, _, draws = mixing.mix(keyed, block_words=None, id_col="key_", row_col="row_")
+    drawn = stored(draws.select(F.col("uid").alias("row_")), "drawn")
+    return rows.join(drawn, "row_").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

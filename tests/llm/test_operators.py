@@ -323,3 +323,37 @@ def test_pipeline(spark):
     assert Counter(lower(t) for t in seen[2].values()) == Counter(dict.fromkeys(low, 1))
     assert max(Counter(r.doc_id for r in rows).values()) <= 2
     assert p.pack_sequences(spark, docs, sf).agg({"length": "sum"}).first()[0] > 0
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """Null and repeated ids: what is decided for one row holds for no other."""
+    import corpus_pipeline as p
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+
+    def docs(rows):
+        return spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], schema).repartition(3)
+
+    rng = random.Random(3)
+    vocab = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(500)]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    marks = lambda t: " ".join(w + rng.choice(["###", "%%%"]) for w in t.split())
+
+    lab = [(i, say(40) if i % 3 else marks(say(40)), "a") for i in range(300)]
+    spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    good, bad = [say(40) for _ in range(3)], [marks(say(40)) for _ in range(3)]
+    odd = [(None, good[0], "a"), (None, good[1], "a"), (None, bad[0], "a"), (None, bad[1], "a"), (900, good[2], "a"), (900, bad[2], "a")]
+    kept = {r.text for r in p.keep_quality(spark, docs(lab + odd), str(tmp_path)).collect()}
+    assert kept & {*good, *bad} == set(good)
+
+    copies = [(7, "same text", "a"), (7, "SAME text", "a"), (None, "x", "a"), (None, "X", "a"), (None, "y", "a"), (3, "same TEXT", "a")]
+    assert Counter((r.doc_id, lower(r.text)) for r in p.drop_copies(spark, docs(copies), "").collect()) == Counter([(7, "same text"), (None, "x"), (None, "y")])
+
+    base, other, third = say(60), say(60), say(60)
+    near = [(None, base, "a"), (None, base + " tail", "a"), (5, other, "a"), (5, third, "a"), (4, other + " tail", "a")]
+    left = Counter((r.doc_id, r.text) for r in p.drop_near_copies(spark, docs(near), "").collect())
+    assert left[5, third] == 1 and left[4, other + " tail"] == 1 and left[None, base] + left[None, base + " tail"] == 1 and left.total() == 3
+
+    many = [(None, say(30), "a") for _ in range(40)] + [(8, say(30), "a") for _ in range(40)]
+    drawn = Counter(r.text for r in p.mix_sources(spark, docs(many), "").collect())
+    assert set(drawn) <= {t for _, t, _ in many} and max(drawn.values()) <= 2 and abs(drawn.total() - 120) <= 1
