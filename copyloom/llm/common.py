@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +34,29 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _scanned(df: DataFrame) -> bool:
+    """Whether the rows of df are those of Parquet files, one for one."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if not plan.nodeName().startswith(("Relation", "LogicalRelation")):
+        return False
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
 def numbered(df: DataFrame) -> DataFrame:
-    """The table with a column row_ in front that tells its rows apart, stored, so that all who read it see the same numbers."""
-    return stored(df.select(F.monotonically_increasing_id().alias("row_"), "*"), "numbered")
+    """The table with a column row_ in front that tells its rows apart, the same whenever it is read: the numbers of the file and of
+    the row within it for Parquet files; other tables are stored with a number."""
+    if not _scanned(df):
+        return stored(df.select(F.monotonically_increasing_id().alias("row_"), "*"), "numbered")
+    at = df.select(F.col("_metadata.file_path").alias("file_"), F.col("_metadata.row_index").alias("index_"), "*")
+    names = sorted(r[0] for r in at.select("file_").distinct().collect())
+    files = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(names)), "k_ long, file_ string"))
+    return at.join(files, "file_").select((F.shiftleft("k_", 33) + F.col("index_")).alias("row_"), *df.columns)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -122,9 +122,9 @@ def mix(
     return sized, targets, draws.select("uid", "block", "words", "shard", F.xxhash64("draw", "source", F.lit(seed + 1)).alias("position"))
 
 
-def shuffled(draws: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The draws with each shard's rows together, in its own shuffled order."""
-    return draws.repartitionByRange(shards, "shard", "position").sortWithinPartitions("shard", "position")
+def shuffled(draws: DataFrame) -> DataFrame:
+    """The draws with each shard's rows together, in its own shuffled order; partitions are ranges of it, as many as Spark's setting says."""
+    return draws.repartitionByRange("shard", "position").sortWithinPartitions("shard", "position")
 
 
 def mixed_counts(docs: DataFrame, **how) -> DataFrame:

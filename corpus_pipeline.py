@@ -35,12 +35,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that the mixture draws, whole, as often as it draws them. The order of draws depends on doc_id and text."""
+    """The rows that the mixture draws, whole, as often as it draws them, each at its own place: shard by shard in shuffled order.
+
+    The order depends on doc_id and text. Each partition, and each file that it is written to, holds a range of it in order; a
+    reader that takes files in another order permutes whole ranges."""
     rows = numbered(docs.select(*COLUMNS))
     keyed = rows.withColumn("key_", F.struct("doc_id", F.xxhash64("text")))
     _, _, draws = mixing.mix(keyed, block_words=None, id_col="key_", row_col="row_")
-    drawn = stored(draws.select(F.col("uid").alias("row_")), "drawn")
-    return rows.join(drawn, "row_").select(*COLUMNS)
+    drawn = stored(draws.select(F.col("uid").alias("row_"), "shard", "position"), "drawn")
+    return mixing.shuffled(rows.join(drawn, "row_")).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -357,3 +357,32 @@ def test_pipeline_decides_by_row(spark, tmp_path):
     many = [(None, say(30), "a") for _ in range(40)] + [(8, say(30), "a") for _ in range(40)]
     drawn = Counter(r.text for r in p.mix_sources(spark, docs(many), "").collect())
     assert set(drawn) <= {t for _, t, _ in many} and max(drawn.values()) <= 2 and abs(drawn.total() - 120) <= 1
+
+
+def test_pipeline_mixes_in_shuffled_order(spark):
+    """The stage's rows, as written and read, come by (shard, position), and copies of a document don't stand side by side."""
+    import corpus_pipeline as p
+
+    rows = [(i, f"w{i} and some more words", "en", f"src{i % 2}", 9) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    keyed = docs.selectExpr("doc_id as row_", "source", "text", "struct(doc_id, xxhash64(text)) as key_")
+    _, _, draws = mixing.mix(keyed, block_words=None, id_col="key_", row_col="row_")
+    want = [r.uid for r in draws.orderBy("shard", "position").collect()]
+    out = p.mix_sources(spark, docs, "")
+    got = [r.doc_id for r in out.collect()]
+    assert got == want and len(got) == 600
+    assert sum(a == b for a, b in zip(got, got[1:], strict=False)) < 10 and max(Counter(got).values()) == 2
+    files = {}
+    for r in common.stored(out, "mixed").selectExpr("doc_id", "input_file_name() as f").collect():
+        files.setdefault(r.f, []).append(r.doc_id)
+    assert sum((files[f] for f in sorted(files)), []) == want
+
+
+def test_numbered(spark, tmp_path):
+    spark.range(5000).selectExpr("id % 7 as v", "id").repartition(3).write.parquet(f"{tmp_path}/t")
+    read = spark.read.parquet(f"{tmp_path}/t")
+    for df, scanned in ((read.select("v", "id"), True), (read.selectExpr("v", "explode(array(id, id)) as id"), False), (spark.range(9), False)):
+        assert common._scanned(df) == scanned
+        rows = common.numbered(df)
+        assert rows.columns == ["row_", *df.columns] and rows.select("row_").distinct().count() == df.count()
+        assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, rows.repartition(2).collect()))
