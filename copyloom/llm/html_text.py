@@ -14,17 +14,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_HIDDEN = set("head script style template noscript title meta link svg math iframe object audio video canvas datalist select textarea".split())
+_HIDDEN = set("head script style template noscript title meta link iframe object audio video canvas datalist annotation annotation-xml".split())
+#: What head can hold; anything else ends it. Parts of a drawing that are only referred to; the others show the text in text and foreignObject.
+_IN_HEAD = set("base basefont bgsound link meta title style script noscript noframes template html head".split())
+_FOREIGN, _SVG_TEXT = {"svg", "math"}, {"text", "foreignobject"}
+_SVG_HIDDEN = set("defs symbol desc metadata clippath mask marker pattern lineargradient radialgradient filter".split())
 _SPACED = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset hr".split())
-_BLOCK = _SPACED | set("html body address article aside details dialog dd div dt fieldset figcaption footer form header hgroup legend li main menu nav section summary center tr caption thead tbody tfoot".split())
+_BLOCK = _SPACED | set("html body address article aside details dialog dd div dt fieldset figcaption footer form header hgroup legend li main menu nav section summary center tr caption thead tbody tfoot option optgroup".split())
 #: An element ends those of the second set that are open, up to one of the third.
 _CELL, _ROW = {"td", "th"}, {"td", "th", "tr"}
 _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": (_CELL, {"tr", "table"}), "th": (_CELL, {"tr", "table"}),
     "tr": (_ROW, {"table"}), "thead": (_ROW | {"thead", "tbody", "tfoot"}, {"table"}), "tbody": (_ROW | {"thead", "tbody", "tfoot"}, {"table"}), "tfoot": (_ROW | {"thead", "tbody", "tfoot"}, {"table"}),
-    "body": ({"head"}, {"html"}), "option": ({"option"}, {"select"}),
+    "body": ({"head"}, {"html"}), "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}),
 }
-_ENDS_P = _BLOCK - {"html", "body", "li", "dt", "dd", "tr", "thead", "tbody", "tfoot", "caption", "legend", "summary"}
+_ENDS_P = _BLOCK - {"html", "body", "li", "dt", "dd", "tr", "thead", "tbody", "tfoot", "caption", "legend", "summary", "option", "optgroup"}
 
 
 class _Sheet:
@@ -80,7 +84,8 @@ class _Renderer(HTMLParser):
         self.sheets = [_Sheet()]
         self.tables: list[list[list[list[str]]]] = []
         self.lists: list[list] = []
-        self.pre = 0
+        self.pre = self.foreign = self.svg = 0
+        self.fresh = False  # right after <textarea>, where a line feed doesn't count
 
     def _hidden(self) -> bool:
         return bool(self.open) and self.open[-1][1]
@@ -88,6 +93,8 @@ class _Renderer(HTMLParser):
     def _close(self, k: int) -> None:
         while len(self.open) > k:
             tag, hidden = self.open.pop()
+            self.foreign -= tag in _FOREIGN
+            self.svg -= tag == "svg"
             if hidden:
                 continue
             sheet = self.sheets[-1]
@@ -104,6 +111,10 @@ class _Renderer(HTMLParser):
             elif tag == "pre":
                 self.pre -= 1
                 sheet.end(1)
+            elif tag == "textarea":
+                self.pre -= 1
+            elif tag == "text" and self.svg:
+                sheet.space = True
             elif tag in _BLOCK:
                 sheet.end(int(tag in _SPACED))
 
@@ -121,6 +132,14 @@ class _Renderer(HTMLParser):
         sheet.end(1)
 
     def handle_starttag(self, tag: str, attrs) -> None:
+        self.fresh = False
+        if self.open and self.open[-1][0] == "head":
+            if tag in ("html", "head"):
+                return
+            if tag not in _IN_HEAD:
+                self._close(len(self.open) - 1)
+        elif tag == "head" and any(x != "html" for x, _ in self.open):
+            return
         if tag in _ENDS:
             ended, limit = _ENDS[tag]
             for k in range(len(self.open) - 1, -1, -1):
@@ -139,7 +158,7 @@ class _Renderer(HTMLParser):
                     break
         a = {k: v or "" for k, v in attrs}
         style = a.get("style", "").replace(" ", "").lower()
-        hidden = self._hidden() or tag in _HIDDEN or "hidden" in a or "display:none" in style or "visibility:hidden" in style
+        hidden = self._hidden() or tag in _HIDDEN or (self.svg and tag in _SVG_HIDDEN) or "hidden" in a or "display:none" in style or "visibility:hidden" in style
         if tag in _VOID:
             if not hidden:
                 sheet = self.sheets[-1]
@@ -150,7 +169,9 @@ class _Renderer(HTMLParser):
                 elif tag == "input" and a.get("type", "").lower() in ("submit", "button", "reset") and a.get("value"):
                     sheet.add(a["value"], False)
             return
-        self.open.append((tag, hidden))
+        self.open.append((tag, bool(hidden)))
+        self.foreign += tag in _FOREIGN
+        self.svg += tag == "svg"
         if hidden:
             return
         sheet = self.sheets[-1]
@@ -175,11 +196,25 @@ class _Renderer(HTMLParser):
         elif tag == "pre":
             sheet.end(1)
             self.pre += 1
+        elif tag == "textarea":
+            if sheet.line and sheet.space:
+                sheet.line += " "
+            sheet.space, self.fresh = False, True
+            self.pre += 1
+        elif tag == "text" and self.svg:
+            sheet.space = True
         elif tag in _BLOCK:
             sheet.end(int(tag in _SPACED))
+            if tag == "optgroup" and a.get("label"):
+                sheet.add(a["label"], False)
+                sheet.end(0)
 
     def handle_startendtag(self, tag: str, attrs) -> None:
+        """In svg and math, and for these themselves, the slash closes; elsewhere browsers ignore it."""
+        inside = self.foreign
         self.handle_starttag(tag, attrs)
+        if (inside or tag in _FOREIGN) and self.open and self.open[-1][0] == tag:
+            self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
@@ -190,9 +225,17 @@ class _Renderer(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if not self._hidden():
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self._close(len(self.open) - 1)
+        if self.fresh:
+            data, self.fresh = data.removeprefix("\r").removeprefix("\n"), False
+        if not self._hidden() and not (self.svg and self._drawn()):
             self.sheets[-1].add(data, self.pre > 0)
 
+    def _drawn(self) -> bool:
+        """Whether the innermost of svg and the elements that show text in it is svg itself."""
+        return next(x for x, _ in reversed(self.open) if x == "svg" or x in _SVG_TEXT) == "svg"
+
     def result(self) -> str:
         self._close(0)
         return "\n".join(self.sheets[0].text()).strip("\n")

@@ -386,3 +386,18 @@ def test_numbered(spark, tmp_path):
         rows = common.numbered(df)
         assert rows.columns == ["row_", *df.columns] and rows.select("row_").distinct().count() == df.count()
         assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, rows.repartition(2).collect()))
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<head><title>T</title><p>Hello</p>you", "Hello\n\nyou"), ("<html><head><meta charset=x><title>T</title>Hello <b>you", "Hello you"), ("<head> <style>x</style>\n<script>y</script> <div>a</div></head>b", "a\nb"),
+        ("<head><title>T</title></head><body>a", "a"), ("<head><head><title>T</title><img src=x>a", "a"), ("<body>a<head>b", "ab"),
+        ("<p>a <svg/>b</p>c", "a b\n\nc"), ("<div>a <math/> b</div>", "a b"), ("a <svg><title>t</title><defs><text>no</text></defs> x <path d=1/><text x=1>one</text><text>two</text></svg> b", "a one two b"),
+        ("a <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> b", "a x=1 b"), ("note <textarea>\nfirst\n second</textarea>", "note first\n second"),
+        ("<p>pick<select><option>one<option selected>two</select></p>z", "pick\none\ntwo\n\nz"), ("<select><optgroup label=G><option>a</optgroup><optgroup label=H><option>b</select>", "G\na\nH\nb"),
+        ("<datalist><option>a</datalist>b<template><p>c</template>", "b"),
+    ],
+)
+def test_html_visible_text(page, want):
+    assert html_text.render(page) == want
