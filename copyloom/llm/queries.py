@@ -43,8 +43,7 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = warc.derivatives(warc.responses(_table(spark, sf_dir, "pages")))
-    return made.drop("block")
+    return warc.derivatives(warc.responses(_table(spark, sf_dir, "pages")))
 
 
 def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -401,3 +401,16 @@ def test_numbered(spark, tmp_path):
 )
 def test_html_visible_text(page, want):
     assert html_text.render(page) == want
+
+
+def test_warc_query_gives_whole_records(spark):
+    """The blocks, which digests and lengths are of, come with them: metadata fields, and the page's text."""
+    from copyloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    got = queries.op7_warc(spark, sf).collect()
+    texts = Counter(html_text.render(r.html) for r in pages)
+    assert Counter(bytes(r.block).decode() for r in got if r.warc_type == "conversion") == texts and len(got) == 2 * len(pages)
+    assert all(r.block_digest == "sha256:" + hashlib.sha256(r.block).hexdigest() and r.content_length == len(r.block) for r in got)
+    assert all(f"source-record-id: {r.refers_to}".encode() in bytes(r.block) for r in got if r.warc_type == "metadata")
