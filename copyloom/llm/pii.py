@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from copyloom.llm.common import stored
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of scoring; seeds that a pattern needs; share of known instances that makes a pattern, and its instances, trusted.
-ROUNDS, SUPPORT, TRUST = 3, 5, 0.8
+#: Known instances that a pattern needs; share of known instances that makes a pattern, and its instances, trusted; mean rise of
+#: scores in a round at which they count as settled.
+SUPPORT, TRUST, SETTLED = 5, 0.8, 1e-6
 
 _RUN = re.compile(r"[A-Za-z0-9._%+@-]*@[A-Za-z0-9._%+@-]*")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -118,19 +119,26 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 
 def _bootstrapped(seen: DataFrame) -> DataFrame:
-    """Rows of seen, not seeds, whose instance ends as known: (uid, kind, start, end)."""
+    """Rows of seen, not seeds, whose instance ends as known: (uid, kind, start, end).
+
+    Instances found in one round count as support in the next, by their score. Scores only rise, so rounds come to rest; they
+    end when none adds an instance or raises scores further, as rising scores alone can still carry a pattern over TRUST.
+    """
     graph = stored(seen.select("kind", "instance", "seed", F.explode("patterns").alias("pattern")).groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
-    seeds = graph.groupBy("kind", "pattern").agg(F.count_if("seed").alias("seeds"), F.count(F.lit(1)).alias("all"))
-    # Patterns without the support never gain it, as support counts seeds; they leave the graph at once.
-    live = stored(seeds.where(F.col("seeds") >= SUPPORT).select("kind", "pattern"), "live")
-    edges = stored(graph.join(live, ["kind", "pattern"]).withColumn("score", F.col("seed").cast("double")), "edges")
-    best = None
-    for _ in range(ROUNDS):
-        rated = edges.groupBy("kind", "pattern").agg(F.avg("score").alias("trust")).where(F.col("trust") >= TRUST)
-        best = edges.join(rated, ["kind", "pattern"]).groupBy("kind", "instance").agg(F.max("trust").alias("best"))
-        best = stored(best, "best")
-        edges = stored(edges.join(best, ["kind", "instance"], "left").select("kind", "pattern", "instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score")), "edges")
-    return seen.where("not seed").join(best.where(F.col("best") >= TRUST).select("kind", "instance"), ["kind", "instance"]).select("uid", "kind", "start", "end")
+    # Patterns with fewer instances than the support asks for never gain it; all others can.
+    live = graph.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") >= SUPPORT).select("kind", "pattern")
+    graph = stored(graph.join(live, ["kind", "pattern"]), "live")
+    score = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0)))
+    edges, before = graph.withColumn("best", F.lit(None).cast("double")), (0, 0.0)
+    while True:
+        rated = edges.withColumn("score", score).groupBy("kind", "pattern").agg(F.avg("score").alias("trust"), F.count_if(F.col("score") >= TRUST).alias("known"))
+        rated = rated.where((F.col("trust") >= TRUST) & (F.col("known") >= SUPPORT))
+        best = stored(graph.join(rated, ["kind", "pattern"]).groupBy("kind", "instance").agg(F.max("trust").alias("best")), "best")
+        now = best.agg(F.count(F.lit(1)), F.coalesce(F.sum("best"), F.lit(0.0))).first()
+        if now[0] == before[0] and now[1] - before[1] <= SETTLED * max(1, now[0]):
+            break
+        edges, before = graph.join(best, ["kind", "instance"], "left"), now
+    return seen.where("not seed").join(best.select("kind", "instance"), ["kind", "instance"]).select("uid", "kind", "start", "end")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -414,3 +414,18 @@ def test_warc_query_gives_whole_records(spark):
     assert Counter(bytes(r.block).decode() for r in got if r.warc_type == "conversion") == texts and len(got) == 2 * len(pages)
     assert all(r.block_digest == "sha256:" + hashlib.sha256(r.block).hexdigest() and r.content_length == len(r.block) for r in got)
     assert all(f"source-record-id: {r.refers_to}".encode() in bytes(r.block) for r in got if r.warc_type == "metadata")
+
+
+def test_pii_found_instances_induce_patterns(spark):
+    """Numbers that follow a word which no seed follows, four words away from the seeds, are found; those after a word of strangers aren't."""
+    number = lambda i: f"{200 + i // 1000}-{i % 1000:03d}-{1000 + i}"
+    some, old, i = [f"phone: +1 555 {k // 100:03d} {1000 + k}" for k in range(1080)], [], 0
+    for word, new in (("phone:", 180), ("tel", 30), ("call", 5), ("ring", 1), ("code", 9)):
+        if word == "code":
+            old = []
+        fresh = [number(i + k) for k in range(new)]
+        some += [f"{word} {x}" for x in old + fresh]
+        old, i = fresh, i + new
+    got = pii.find_pii(table(spark, some)).collect()
+    assert all(len(r.base) == 1 and not r.added for r in got if r.doc_id < 1080)
+    assert {r.doc_id: len(r.added) for r in got if r.doc_id >= 1080} == {k: int(not some[k].startswith("code")) for k in range(1080, len(some))}
