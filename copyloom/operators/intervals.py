@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Starts that a window of merge() orders at once; further ones meet by a row for each such range.
+RANGE = 1 << 14
+
+
 def merge(df: DataFrame, keys: list[str], gap: int = 0) -> DataFrame:
     """Intervals of a key joined while the next start is at most `gap` beyond the running end: keys, start, end, members."""
-    order = Window.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    at = df.withColumn("new_", F.when(F.col("start") - reach <= gap, 0).otherwise(1))
-    at = at.withColumn("run_", F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return at.groupBy(*keys, "run_").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("members")).drop("run_")
+    at = _islands(df, keys, gap, max(RANGE, 64 * gap))
+    return at.groupBy(*keys, "island_").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("members")).drop("island_")
 
 
 def complement(merged: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,21 +63,62 @@ def price(queries: DataFrame, slices: DataFrame, keys: list[str], width: int) ->
     return met.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).crossJoin(once)
 
 
+def _islands(df: DataFrame, keys: list[str], gap: int, width: int) -> DataFrame:
+    """df with island_, the start of the stretch that a row lies in; stretches of a key are more than `gap` apart. Windows hold the
+    starts of `width`, or a row for each such range of a key."""
+    at = df.withColumn("bucket_", F.floor(F.col("start") / width))
+    on = [*keys, "bucket_"]
+    earlier = Window.partitionBy(*keys).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*on).orderBy("start", "end")
+
+    def carried(at: DataFrame, what, name: str) -> DataFrame:
+        top = at.groupBy(*on).agg(F.max(what).alias("top_")).select(*(F.col(c).alias(f"{c}k_") for c in on), "top_", F.col("bucket_"), *keys)
+        base = top.withColumn(name, F.max("top_").over(earlier)).drop("top_", *on)
+        same = F.lit(True)
+        for c in on:
+            same = same & at[c].eqNullSafe(base[f"{c}k_"])
+        return at.join(base, same).drop(*(f"{c}k_" for c in on))
+
+    at = carried(at, F.col("end"), "reach_")
+    reach = F.greatest("reach_", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    at = at.withColumn("new_", F.when(reach.isNull() | (F.col("start") - reach > gap), F.col("start")))
+    at = carried(at, F.col("new_"), "last_")
+    return at.withColumn("island_", F.greatest("last_", F.max("new_").over(order.rowsBetween(Window.unboundedPreceding, 0)))).drop("bucket_", "reach_", "new_", "last_")
+
+
 def places(df: DataFrame, keys: list[str], gap: int, span: int) -> DataFrame:
     """(keys, start, end, members): intervals, in order, that follow the one before within `gap` and end within `span` of their place's first start.
-    What begins a place depends on where the last one began, so a key's intervals are one array; keys are contigs of a few thousand regions."""
-    a = F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"))))
-    kind = "array<struct<s:long,e:long,n:long>>"
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        new = F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(1).cast("long").alias("n")))
-        grown = F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"), (last["n"] + 1).alias("n")))
-        goes_on = (x["s"] - last["e"] <= gap) & (x["e"] - last["s"] <= span)
-        return F.when(F.size(acc) == 0, new).otherwise(F.when(goes_on, F.concat(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(F.concat(acc, new)))
-
-    at = df.groupBy(*keys).agg(F.aggregate(a, F.array().cast(kind), step).alias("p")).select(*keys, F.explode("p").alias("p"))
-    return at.select(*keys, F.col("p.s").alias("start"), F.col("p.e").alias("end"), F.col("p.n").alias("members"))
+    What begins a place depends on where the last one began, so rows are folded in order, but no further than to the next gap that no place crosses."""
+    slim = df.select(*keys, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    at = _islands(slim, keys, gap, 64 * max(gap, span, 1)).select(*keys, "island_", "start", "end")
+    at = at.repartition(*keys, "island_").sortWithinPartitions(*keys, "island_", "start", "end")
+    schema = slim.select(*keys, "start", "end").withColumn("members", F.lit(0).cast("long")).schema
+    names = schema.names
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, island, now, out = [], None, None, []
+
+        def made() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+
+        for batch in batches:
+            kinds = [*batch.schema.types[: len(keys)], pa.int64(), pa.int64(), pa.int64()]
+            for *at, s, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at == island and None not in (s, e, now[1]) and s - now[1] <= gap and e - now[0] <= span:
+                    now = (now[0], max(now[1], e), now[2] + 1)
+                    continue
+                if now:
+                    out.append((*island[:-1], *now))
+                island, now = at, (s, e, 1)
+            if out:
+                yield made()
+        if now:
+            out.append((*island[:-1], *now))
+            yield made()
+
+    return at.mapInArrow(fold, schema)
 
 
 def subtract(a: DataFrame, merged: DataFrame, keys: list[str], width: int) -> DataFrame:

@@ -70,3 +70,27 @@ def test_no_issues_where_all_agree(spark):
     c = spark.createDataFrame([("s", "x", "p"), ("t", "x", "p")], "sample string, class string, panel string")
     assert contracts.issues(c.select("class").distinct(), c, c, "panel").count() == 0
     assert rows(contracts.missing_classes(spark.createDataFrame([("x",), ("y",)], "class string"), c)) == [("s", "y"), ("t", "y")]
+
+
+def test_places_of_one_key_in_islands(spark):
+    """A key with all rows is cut where no place crosses, equals the fold over the whole key, and isn't gathered in one array."""
+    rng = np.random.default_rng(8)
+    data = sorted((int(s), int(s + n)) for s, n in zip(rng.integers(-50_000, 50_000, 2000), rng.integers(1, 90, 2000), strict=True))
+    df = spark.createDataFrame([("a", s, e) for s, e in data] + [(None, 5, 6)], "contig string, start long, end long").repartition(3)
+    want = []
+    for s, e in data:
+        if want and s - want[-1][1] <= 20 and e - want[-1][0] <= 150:
+            want[-1] = (want[-1][0], max(want[-1][1], e), want[-1][2] + 1)
+        else:
+            want.append((s, e, 1))
+    got = intervals.places(df, ["contig"], 20, 150)
+    assert rows(got.where("contig = 'a'"), "start", "end", "members") == sorted(want) and got.where("contig is null").count() == 1
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    assert intervals._islands(df, ["contig"], 20, 4096).select("contig", "island_").distinct().count() > 100
+    merged = []
+    for s, e in data:
+        if merged and s - merged[-1][1] <= 3:
+            merged[-1] = (merged[-1][0], max(merged[-1][1], e), merged[-1][2] + 1)
+        else:
+            merged.append((s, e, 1))
+    assert rows(intervals.merge(df.where("contig = 'a'"), ["contig"], 3), "start", "end", "members") == sorted(merged)
