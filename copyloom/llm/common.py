@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side is broadcast; larger sides are joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Edges up to which one task joins what contraction has left of a graph: 16 bytes each.
+ONE_TASK = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,29 +67,40 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all nodes of edges (a, b), in one task."""
+    ends = [np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:2]], 1) for batch in batches]
+    nodes, at = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *ends]), return_inverse=True)
+    forest = Forest(len(nodes))  # nodes are in order, so a root is its tree's smallest
+    for x, y in at.reshape(-1, 2).tolist():
+        forest.join(x, y)
+    for lo in range(0, len(nodes), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)]) for x in (nodes, nodes[forest.roots()])], names=["node", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for all nodes of edges (a, b); the component is its smallest node.
+    """(node, component) for all nodes of edges (a, b), which are longs; the component is its smallest node.
 
-    Each round hooks every node to its smallest neighbour (or itself) and contracts the edges, until none is left;
-    every round is written to the shared folder. Self-loops and repeated edges do no harm; nodes that have
+    Each round hooks every node to its smallest neighbour (or itself) and contracts the edges, until at most ONE_TASK are left, which
+    one task joins; every round is written to the shared folder. Self-loops and repeated edges do no harm; nodes that have
     no edge to another node are not returned. Nothing is returned for an empty table.
     """
     cur = stored(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     hooks: list[DataFrame] = []
-    while not cur.isEmpty():
+    while cur.count() > ONE_TASK:
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("to")), "hooks")
         hooks.append(hook)
         ha, hb = hook.toDF("a", "x"), hook.toDF("b", "y")
         nxt = cur.join(ha, "a").join(hb, "b").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         cur = stored(nxt, "edges")
+    last = stored(cur.coalesce(1).mapInArrow(_forest, "node long, component long"), "labels")
     if not hooks:
-        return cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        return last
     at = hooks[0].select("node", F.col("to").alias("component"))
-    for hook in hooks[1:]:
+    for hook in [*hooks[1:], last]:
         at = at.join(hook.toDF("component", "next"), "component", "left").select("node", F.coalesce("next", "component").alias("component"))
-    if len(hooks) > 1:
-        at = stored(at, "labels")
+    at = stored(at, "labels")
     root = at.groupBy("component").agg(F.least(F.min("node"), F.first("component")).alias("low"))
     return at.join(root, "component").select("node", F.col("low").alias("component"))
 
@@ -144,6 +158,14 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, as idle Python workers keep what they once took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Forest:
     """Union-find over 0..n-1."""
 

@@ -17,14 +17,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copyloom.llm.common import LOWER, chunks, stored, text_bytes, word_hashes
+from copyloom.llm.common import LOWER, chunks, give_back, stored, text_bytes, word_hashes
 
 DEPTH = 5
 #: A chunk is scored with one table of the words and grams it has: so many rows of a partition at most, as a power of two, where
 #: partitions of less than so many bytes are read together. Larger chunks repeat fewer words and grams.
 CHUNK_BITS, CHUNK_BYTES = 15, 64_000_000
 #: Raw keys that a task gathers before it counts them, and different keys that it holds before it gives them out.
-GATHERED, HELD = 1_000_000, 2_000_000
+GATHERED, HELD = 500_000, 2_500_000
+#: Keys are dealt to buckets by hash: a power of two that follows the number of chunks, within these limits.
+BUCKET_BITS = (7, 14)
 _END = np.uint64(0x5BD1E9955BD1E995)
 _SLOT_BITS = 22
 
@@ -49,7 +51,9 @@ def grams(buf: np.ndarray, offs: np.ndarray, depth: int = DEPTH) -> tuple[np.nda
 
 
 def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, with their sums."""
     key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
     order = np.argsort(key, kind="stable")
     key, n = key[order], n[order]
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -64,90 +68,165 @@ def _keys(buf: np.ndarray, offs: np.ndarray, depth: int) -> Iterator[tuple[int,
 
 
 class _Gathered:
-    """Keys of both kinds with their counts, given out as batches when there are many."""
+    """Keys with their counts; a key that is only met, not learnt from, counts 0."""
 
     def __init__(self):
         self.raw: list[list[np.ndarray]] = [[], []]
-        self.held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-
-    def add(self, kind: int, keys: np.ndarray, weight: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        self.raw[kind].append(keys)
-        if sum(map(len, self.raw[kind])) > GATHERED:
-            self.settle(kind, weight)
-            if sum(len(k) for k, _ in self.held[kind]) > HELD + GATHERED:
-                self.held[kind] = [_merged(self.held[kind])]
-                if len(self.held[kind][0][0]) > HELD:
-                    yield self.out(kind)
-
-    def settle(self, kind: int, weight: int = 1) -> None:
-        """Counts the raw keys; weight 0 tells that they are met but not learnt from."""
-        if self.raw[kind]:
-            key, n = np.unique(np.concatenate(self.raw[kind]), return_counts=True)
-            self.held[kind].append((key, n * weight))
-            self.raw[kind] = []
-
-    def out(self, kind: int) -> tuple[int, np.ndarray, np.ndarray]:
-        key, n = _merged(self.held[kind])
-        self.held[kind] = []
-        return kind, key, n
-
-    def rest(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        for kind in (0, 1):
-            self.settle(kind)
-            if self.held[kind]:
-                yield self.out(kind)
-
-
-def corpus_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(kind, key, n) of all texts (text, learnt): n counts the texts learnt from, and is 0 for what only others have."""
-
-    def batch_of(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = self.size = 0
+
+    def add(self, keys: np.ndarray, learnt: bool) -> bool:
+        """Whether there are so many that they should be given out."""
+        self.raw[learnt].append(keys)
+        self.waiting += len(keys)
+        return self.waiting > GATHERED and self.hold(*self._settled())
+
+    def hold(self, *counted: tuple[np.ndarray, np.ndarray]) -> bool:
+        self.held += counted
+        self.size += sum(len(k) for k, _ in counted)
+        if self.size <= HELD:
+            return False
+        self.held = [_merged(self.held)]
+        self.size = len(self.held[0][0])
+        return self.size > HELD - GATHERED
+
+    def _settled(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for learnt, some in enumerate(self.raw):
+            if some:
+                key, n = np.unique(np.concatenate(some), return_counts=True)
+                some.clear()
+                yield key, n.astype(np.uint32) * np.uint32(learnt)
+        self.waiting = 0
+
+    def out(self) -> tuple[np.ndarray, np.ndarray] | None:
+        self.hold(*self._settled())
+        self.size = 0
+        return _merged(self.held) if self.held else None
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers in order as few bytes: byte planes, compressed."""
+    return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=n * size, codec="zstd"), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
+def _unpacked_keys(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpacked(raw, n, np.uint64), dtype=np.uint64)
+
+
+def _bucket(key: np.ndarray, bits: int) -> np.ndarray:
+    return ((key ^ key >> np.uint64(23) ^ key >> np.uint64(41)) & np.uint64((1 << bits) - 1)).astype(np.int32)
+
+
+def _bucket_of(key: str, bits: int) -> Column:
+    """The same in SQL."""
+    return F.expr(f"cast(({key} ^ shiftrightunsigned({key}, 23) ^ shiftrightunsigned({key}, 41)) & {(1 << bits) - 1} as int)")
+
+
+def chunk_keys(texts: DataFrame, bits: int, depth: int = DEPTH) -> DataFrame:
+    """(bucket, chunk, kind, n, keys, counts): the different words and grams of each chunk of texts (chunk, text, learnt), once or once a
+    flush, packed by bucket, with how often they are learnt from."""
+    names = ["bucket", "chunk", "kind", "n", "keys", "counts"]
+
+    def dealt(chunk: int, kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        bucket = _bucket(key, bits)
+        order = np.argsort(bucket, kind="stable")
+        bucket, key, n = bucket[order], key[order], n[order]
+        cuts = _cuts(bucket)
+        size = len(cuts)
+        keys = [packed(np.diff(key[s:e], prepend=np.uint64(0))) for s, e in cuts]
+        cols = [pa.array([int(bucket[s]) for s, _ in cuts], pa.int32()), pa.array([chunk] * size, pa.int64()), pa.array([kind] * size, pa.int32()), pa.array([e - s for s, e in cuts], pa.int64())]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(keys, pa.binary()), pa.array([packed(n[s:e].astype(np.uint32)) for s, e in cuts], pa.binary())], names=names)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, now = [_Gathered(), _Gathered()], -1
+
+        def rest(kinds=(0, 1)) -> Iterator[pa.RecordBatch]:
+            for kind in kinds:
+                if found := got[kind].out():
+                    yield dealt(now, kind, *found)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [_Gathered(), _Gathered()]
-        for batch in batches:
-            learnt = batch.column(1)
-            for weight, rows in ((1, batch.filter(learnt)), (0, batch.filter(pc.invert(learnt)))):
-                buf, offs = text_bytes(rows.column(0))
-                for i, j in chunks(offs):
-                    for kind, keys in _keys(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], depth):
-                        for some in got[weight].add(kind, keys, weight):
-                            yield batch_of(*some)
-        for kind in (0, 1):
-            got[0].settle(kind, 0)
-            got[1].settle(kind)
-            got[1].held[kind] += got[0].held[kind]
-        for some in got[1].rest():
-            yield batch_of(*some)
-
-    return texts.select("text", "learnt").mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-def wanted_keys(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(chunk, kind, key): the words and grams that each chunk of texts (chunk, text) has, each once (or once a flush)."""
-
-    def batch_of(chunk: int, kind: int, key: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), chunk)), pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64))], names=["chunk", "kind", "key"])
-
-    def want(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, now = _Gathered(), -1
         for batch in batches:
             at = batch.column(0).to_numpy()
             for s, e in _cuts(at):
                 if at[s] != now:
-                    for kind, key, _ in got.rest():
-                        yield batch_of(now, kind, key)
+                    yield from rest()
                     now = int(at[s])
-                buf, offs = text_bytes(batch.column(1).slice(s, e - s))
-                for i, j in chunks(offs):
-                    for kind, keys in _keys(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], depth):
-                        for _, key, _ in got.add(kind, keys):
-                            yield batch_of(now, kind, key)
-        for kind, key, _ in got.rest():
-            yield batch_of(now, kind, key)
+                    give_back()
+                part = batch.slice(s, e - s)
+                learnt = part.column(2)
+                for weight, rows in ((True, part.filter(learnt)), (False, part.filter(pc.invert(learnt)))):
+                    buf, offs = text_bytes(rows.column(1))
+                    for i, j in chunks(offs):
+                        for kind, keys in _keys(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], depth):
+                            if got[kind].add(keys, weight):
+                                yield from rest((kind,))
+        yield from rest()
+        give_back()
+
+    return texts.select("chunk", "text", "learnt").mapInArrow(gather, "bucket int, chunk long, kind int, n long, keys binary, counts binary")
+
+
+def corpus_counts(asked: DataFrame) -> DataFrame:
+    """(kind, key, n): the sums over all chunks; n is 0 for what only texts not learnt from have. Tasks add up what they read first, which is
+    most of it where the rows of a bucket stand together."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [_Gathered(), _Gathered()]
+
+        def rest(kinds=(0, 1)) -> Iterator[pa.RecordBatch]:
+            for kind in kinds:
+                if found := got[kind].out():
+                    key, n = found
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+
+        for batch in batches:
+            for kind, n, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if got[kind].hold((_unpacked_keys(keys, n), unpacked(counts, n, np.uint32).astype(np.int64))):
+                    yield from rest((kind,))
+        yield from rest()
+        give_back()
+
+    return asked.select("kind", "n", "keys", "counts").mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
+def answered(asked: DataFrame, values: DataFrame, bits: int) -> DataFrame:
+    """(chunk, kind, n, keys, x): what the keys of each row of asked are worth. values: (kind, key, x). A task holds the values of one bucket."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, found = -1, [[], []], None
+        for batch in batches:
+            bucket, asks = batch.column("bucket").to_numpy(), batch.column("keys").is_valid().to_numpy(zero_copy_only=False)
+            for s, e in _cuts(bucket * 2 + asks):
+                if bucket[s] != now:
+                    now, held, found = bucket[s], [[], []], None
+                    give_back()
+                part = batch.slice(s, e - s)
+                if not asks[s]:
+                    kind, key, x = (part.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "key", "x"))
+                    for k in (0, 1):
+                        held[k].append((key[kind == k].astype(np.int64).view(np.uint64), x[kind == k]))
+                    continue
+                if found is None:
+                    found, held = [_Values(h) for h in held], [[], []]
+                cols = [part.column(c) for c in ("chunk", "kind", "n", "keys")]
+                out = [packed(found[k].of(_unpacked_keys(raw, n)).astype(_WORTH[k])) for k, n, raw in zip(*(c.to_pylist() for c in cols[1:]), strict=True)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.binary())], names=["chunk", "kind", "n", "keys", "x"])
+        found = None
+        give_back()
+
+    worth = values.select(_bucket_of("key", bits).alias("bucket"), "kind", "key", "x")
+    both = worth.unionByName(asked.drop("counts"), allowMissingColumns=True).select("bucket", "kind", "key", "x", "chunk", "n", "keys")
+    return both.repartition("bucket").sortWithinPartitions("bucket", F.col("keys").isNotNull()).mapInArrow(answer, "chunk long, kind int, n long, keys binary, x binary")
+
 
-    return texts.select("chunk", "text").mapInArrow(want, "chunk long, kind int, key long")
+#: How the worth of a word (its count) and of a gram (a logarithm) are sent.
+_WORTH = (np.float64, np.float32)
 
 
 def _cuts(tag: np.ndarray) -> list[tuple[int, int]]:
@@ -282,22 +361,25 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, depth: int = DEPT
     Learns from rows that held_out leaves out. Null texts count as empty: they have the end alone. Repeated rows count each. With
     nothing to learn from every node predicts 1/2 and every base count is 0. An empty table gives an empty one.
 
-    The model stays a table: each chunk of documents asks for the words and grams it has, a join answers, and the answers meet the
-    chunk's texts in one task, which holds the answers and streams the texts. The chunks are written first, as docs may come in another order when
-    read again.
+    The model stays a table: each chunk of documents asks for the words and grams it has, with its counts of them; their sums are the
+    corpus's counts, a second pass over the questions answers them, and the answers meet the chunk's texts in one task, which holds the
+    answers and streams the texts. Questions and answers are packed arrays, dealt by the hash of the key, so no key or context is a
+    hot group. The chunks are written first, as docs may come in another order when read again.
     """
     doc = F.col(id_col)
     held_out = default_held_out(doc) if held_out is None else held_out
     n_bytes = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first().n or 0
     slim = docs.coalesce(n_bytes // CHUNK_BYTES + 1).select(F.shiftright(F.monotonically_increasing_id(), chunk_bits).alias("chunk"), doc.alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
     slim = stored(slim, "chunked")
-    counts = stored(corpus_counts(slim.select("text", (~F.col("held_out")).alias("learnt")), depth), "counts")
+    bits = min(max(int(n_bytes // CHUNK_BYTES).bit_length(), BUCKET_BITS[0]), BUCKET_BITS[1])
+    asked = chunk_keys(slim.select("chunk", "text", (~F.col("held_out")).alias("learnt")), bits, depth)
+    asked = stored(asked.repartition("bucket").sortWithinPartitions("bucket"), "asked")
+    counts = stored(corpus_counts(asked), "counts")
     total = counts.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     base_of = float(np.log10(total.n + 0.5 * (total.v + 1)))
     words = counts.where("kind = 0").select("kind", "key", F.col("n").cast("double").alias("x"))
     values = words.unionByName(gram_logs(counts, depth).select(F.lit(1).alias("kind"), "key", "x"))
-    answers = wanted_keys(slim, depth).join(values.hint("merge"), ["kind", "key"]).select("chunk", "kind", "key", "x")
-    rows = answers.unionByName(slim.withColumn("kind", F.lit(2)), allowMissingColumns=True).select("chunk", "kind", "key", "x", "doc_id", "held_out", "text")
+    rows = answered(asked, values, bits).unionByName(slim.withColumn("kind", F.lit(2)), allowMissingColumns=True).select("chunk", "kind", "n", "keys", "x", "doc_id", "held_out", "text")
     met = rows.repartition("chunk").sortWithinPartitions("chunk", "kind")
     schema = slim.select("doc_id", "held_out").schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double").add("n_bytes", "long")
     out = met.mapInArrow(_scorer(base_of, depth), schema)
@@ -327,12 +409,16 @@ def _scorer(base_of: float, depth: int):
             for s, e in _cuts(chunk * 4 + kind):
                 if chunk[s] != now:
                     now, held, found = chunk[s], [[], []], None
+                    give_back()
                 part = batch.slice(s, e - s)
                 if kind[s] < 2:
-                    held[kind[s]].append((part.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), part.column("x").to_numpy(zero_copy_only=False)))
+                    for n, raw, x in zip(*(part.column(c).to_pylist() for c in ("n", "keys", "x")), strict=True):
+                        held[kind[s]].append((_unpacked_keys(raw, n), unpacked(x, n, _WORTH[kind[s]]).astype(np.float64)))
                     continue
                 if found is None:
                     found, held = [_Values(h) for h in held], [[], []]
                 yield from texts(part, *found)
+        found = None
+        give_back()
 
     return score
