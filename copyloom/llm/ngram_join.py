@@ -104,8 +104,8 @@ def set_table(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.mapInArrow(measure, "doc_id long, n long, fp binary, bits binary, part int, counts binary")
 
 
-def _sketch(table: DataFrame) -> np.ndarray:
-    """The sketch summed over all tasks, one row of counters in a group."""
+def _sketch(table: DataFrame) -> list[bytes]:
+    """The sketch summed over all tasks: SKETCH_ROWS compressed rows of counters."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -113,13 +113,12 @@ def _sketch(table: DataFrame) -> np.ndarray:
             for part, counts in zip(*batch.columns, strict=True):
                 x = np.frombuffer(zlib.decompress(counts.as_py()), np.uint8).astype(np.uint16)
                 sums[part.as_py()] = np.minimum(sums.get(part.as_py(), 0) + x, 255).astype(np.uint16)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.uint8).tobytes() for x in sums.values()], pa.binary())], names=["part", "sums"])
+        raw = [zlib.compress(x.astype(np.uint8).tobytes(), 1) for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(raw, pa.binary())], names=["part", "sums"])
 
-    rows = table.where("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part int, sums binary").toArrow()
-    out = np.zeros((SKETCH_ROWS, (1 << SKETCH_BITS) // SKETCH_ROWS), np.uint8)
-    for part, sums in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-        out[part] = np.frombuffer(sums.as_buffer(), np.uint8)
-    return out.reshape(-1)
+    none = zlib.compress(bytes((1 << SKETCH_BITS) // SKETCH_ROWS), 1)
+    found = {r.part: bytes(r.sums) for r in table.where("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part int, sums binary").collect()}
+    return [found.get(k, none) for k in range(SKETCH_ROWS)]
 
 
 def _postings(docs: DataFrame, sketch, words: int, percent: int) -> DataFrame:
@@ -130,7 +129,7 @@ def _postings(docs: DataFrame, sketch, words: int, percent: int) -> DataFrame:
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
+        counts = np.frombuffer(b"".join(map(zlib.decompress, sketch.value)), np.uint8)
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
@@ -278,6 +277,7 @@ def ngram_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
     maps = every.select(F.col("doc_id").alias("node"), "fp", "bits").join(grouped(shared.unionByName(equal)), ["node", "fp"]).dropDuplicates(["node", "fp"])
     maps = tiles(maps.select("group", "band", "node", "n", "bits"), MAP_BLOCK).select("tiles", "node", "n", "bits")
     close = stored(by_tile(maps).mapInArrow(_tile_bounds(percent), "a long, b long"), "close")
+    sketch.destroy()  # what came of it is stored
     dealt = stored(tiles(grouped(close), BLOCK).drop("band"), "tiles")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
