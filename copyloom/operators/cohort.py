@@ -101,12 +101,24 @@ def heredity_errors(at: DataFrame, x: str, y: str) -> DataFrame:
     return sums.select("n", "slope", (F.sqrt(F.col("mid_") * F.col("n") / (F.col("n") - 2)) / F.col("xx_")).alias("se"))
 
 
+def mean_ranks(rows: DataFrame, keys: list[str], value: str, name: str, parts: int = 64) -> DataFrame:
+    """(keys, value, name): the rank of each different value in its key; equal values share their mean rank. Values are ordered part by part of
+    about equal size, so no window holds a key."""
+    n = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_"))
+    cuts = n.groupBy(*keys).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10 * parts).alias("cuts_"))
+    at = n.join(cuts, keys).withColumn("part_", F.size(F.filter("cuts_", lambda x: x < F.col(value)))).drop("cuts_")
+    before = Window.partitionBy(*keys).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    base = at.groupBy(*keys, "part_").agg(F.sum("n_").alias("sum_")).withColumn("base_", F.coalesce(F.sum("sum_").over(before), F.lit(0))).drop("sum_")
+    inside = Window.partitionBy(*keys, "part_").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    at = at.withColumn("upto_", F.sum("n_").over(inside)).join(base, [*keys, "part_"])
+    return at.select(*keys, value, (F.col("base_") + F.col("upto_") - (F.col("n_") - 1) / 2).alias(name))
+
+
 def agreement(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, log_median, log_sd, pearson, spearman) of pairs (keys, x, y), both above 0. Equal values share their mean rank."""
     at = pairs.where("x > 0 and y > 0").withColumn("log_", F.log(F.col("y") / F.col("x")))
     for c in ("x", "y"):
-        same = F.count(F.lit(1)).over(Window.partitionBy(*keys, c))
-        at = at.withColumn(f"rank_{c}", F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (same - 1) / 2)
+        at = at.join(mean_ranks(at, keys, c, f"rank_{c}"), [*keys, c])
     return at.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.percentile("log_", 0.5).alias("log_median"), F.stddev_samp("log_").alias("log_sd"), F.corr("x", "y").alias("pearson"), F.corr("rank_x", "rank_y").alias("spearman")
     )

@@ -31,12 +31,16 @@ def mixed_resources(counts: DataFrame, what: str) -> DataFrame:
 
 
 def region_match(bundle: DataFrame, counted: DataFrame) -> DataFrame:
-    """(sample, region, role, state): state is both, missing (in the bundle alone) or extra (in the counts alone)."""
-    samples = counted.select("sample").distinct()
-    every = samples.crossJoin(bundle.select("region", F.col("role").alias("role_")))  # a bundle has a few thousand regions
-    at = every.join(counted.select("sample", "region", F.lit(True).alias("here_")).distinct(), ["sample", "region"], "full")
-    state = F.when(F.col("role_").isNull(), "extra").when(F.col("here_").isNull(), "missing").otherwise("both")
-    return at.select("sample", "region", F.col("role_").alias("role"), state.alias("state"))
+    """(sample, region, role, state): state is both, missing (in the bundle alone) or extra (in the counts alone).
+
+    What a sample has, a join with the bundle tells; what it lacks is the bundle's set less its own, a row for each sample first."""
+    here = counted.select("sample", "region").distinct()
+    roles = bundle.select("region", F.col("role").alias("role_"), F.lit(True).alias("known_"))
+    met = here.join(roles, "region", "left").select("sample", "region", F.col("role_").alias("role"), F.when(F.col("known_"), "both").otherwise("extra").alias("state"))
+    every = bundle.agg(F.collect_set("region").alias("every_"))  # one row of a bundle's few thousand regions
+    lack = here.groupBy("sample").agg(F.collect_set("region").alias("own_")).crossJoin(F.broadcast(every))
+    lack = lack.select("sample", F.explode(F.array_except("every_", "own_")).alias("region")).join(roles, "region")
+    return met.unionByName(lack.select("sample", "region", F.col("role_").alias("role"), F.lit("missing").alias("state")))
 
 
 def looks_cut(counts: DataFrame, share: float = 0.05) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from copyloom.functions import sequences as S
+
 MIN_HITS, AMBIGUOUS = 4, 5
 
 
@@ -43,23 +45,28 @@ def merge(*panels: DataFrame) -> DataFrame:
     return every.join(once, "canon", "left_semi").drop("panel_")
 
 
-def classify(read_kmers: DataFrame, panel: DataFrame, min_hits: int = MIN_HITS) -> DataFrame:
+def hits(reads: DataFrame, panel: DataFrame, k: int) -> DataFrame:
+    """(read, valid, off, class, pos, same): the panel's k-mers in reads, and whether they lie on the unit's strand. reads: (read, seq);
+    valid counts a read's k-mers. The reads' k-mers are looked up as they are rolled, so that only those of the panel become rows."""
+    coded = panel.withColumn("code", S.code(F.col("canon")))
+    at = reads.select("read", S.valid_kmers(F.col("seq"), k).alias("valid"), "seq")
+    found = S.packed_kmers(at, "seq", k, coded).withColumnRenamed("fwd", "fwd_")
+    return found.join(coded.select("code", "class", "pos", "fwd"), "code").select("read", "valid", "off", "class", "pos", (F.col("fwd_") == F.col("fwd")).alias("same"))
+
+
+def classify(hit: DataFrame, min_hits: int = MIN_HITS) -> DataFrame:
     """Families compete for a read: (read, class, hits, second, valid, hit_frac_bin, state). The most hits win, ties go to the lower
-    class; ambiguous if AMBIGUOUS * second > hits; below if fewer than min_hits. read_kmers: (read, off, canon)."""
-    valid = read_kmers.groupBy("read").agg(F.count(F.lit(1)).alias("valid"))
-    hits = read_kmers.join(panel.select("canon", "class"), "canon").groupBy("read", "class").agg(F.count(F.lit(1)).alias("hits"))
+    class; ambiguous if AMBIGUOUS * second > hits; below if fewer than min_hits. hit: (read, valid, class)."""
+    n = hit.groupBy("read", "class").agg(F.count(F.lit(1)).alias("hits"), F.first("valid").alias("valid"))
     order = Window.partitionBy("read").orderBy(F.desc("hits"), "class")
-    best = hits.withColumn("place", F.row_number().over(order)).withColumn("second", F.lead("hits", 1, 0).over(order)).where("place = 1").drop("place")
+    best = n.withColumn("place", F.row_number().over(order)).withColumn("second", F.lead("hits", 1, 0).over(order)).where("place = 1").drop("place")
     state = F.when(F.col("hits") < min_hits, "below").when(AMBIGUOUS * F.col("second") > F.col("hits"), "ambiguous").otherwise("assigned")
-    bin_ = F.least(F.lit(10).cast("long"), F.floor(F.col("hits") * 10 / F.greatest("valid", F.lit(1))))
-    return best.join(valid, "read").select("read", "class", "hits", "second", "valid", bin_.alias("hit_frac_bin"), state.alias("state"))
+    return best.select("read", "class", "hits", "second", "valid", S.hit_bin(F.col("hits"), F.col("valid")).alias("hit_frac_bin"), state.alias("state"))
 
 
-def locate(read_kmers: DataFrame, panel: DataFrame, k: int, min_hits: int = MIN_HITS) -> DataFrame:
+def locate(hit: DataFrame, k: int, min_hits: int = MIN_HITS) -> DataFrame:
     """Positional classes, each by itself: (read, class, hits, reverse, diagonal). A read is reverse if more hits disagree than agree with
     the unit's strand; the diagonal is the upper median of pos - off, or of pos + k - 1 + off, over the hits that agree."""
-    hit = read_kmers.select("read", "off", "canon", F.col("fwd").alias("rf")).join(panel.select("canon", "class", "pos", "fwd"), "canon")
-    hit = hit.withColumn("same", F.col("rf") == F.col("fwd"))
     sums = hit.groupBy("read", "class").agg(
         F.count(F.lit(1)).alias("hits"), (F.count_if(~F.col("same")) > F.count_if("same")).alias("reverse"),
         F.array_sort(F.collect_list(F.when(F.col("same"), F.col("pos") - F.col("off")))).alias("ahead"),

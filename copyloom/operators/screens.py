@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,28 +27,39 @@ def periodic(kmer: Column, k: int, most: int = PERIOD, unlike: int = MISMATCHES)
     return out
 
 
-def not_shared(panel: DataFrame, loci: DataFrame) -> DataFrame:
-    """The panel without k-mers that the locus of another class holds. loci: (class, canon)."""
-    other = loci.select("canon", F.col("class").alias("other_")).distinct()
-    bad = panel.join(other, "canon").where("class != other_").select("canon", "class").distinct()
+def not_shared(panel: DataFrame, loci: DataFrame, k: int) -> DataFrame:
+    """The panel without k-mers that the locus of another class holds. loci: (class, seq)."""
+    coded = panel.withColumn("code", S.code(F.col("canon")))
+    other = S.packed_kmers(loci.select(F.col("class").alias("other_"), "seq"), "seq", k, coded).select("code", "other_").distinct()
+    bad = coded.join(other, "code").where("class != other_").select("canon", "class").distinct()
     return panel.join(bad, ["canon", "class"], "left_anti")
 
 
-def neighbours(kmers: DataFrame) -> DataFrame:
-    """(canon, near): the k-mers one substitution away, in canonical form. kmers: (canon)."""
-    at = kmers.select("canon", F.posexplode(F.split("canon", "")).alias("i", "was")).where("was <> ''")
-    at = at.withColumn("b", F.explode(F.array(*map(F.lit, "ACGT")))).where("b <> was")
-    near = F.expr("overlay(canon placing b from i + 1 for 1)")
-    return at.select("canon", S.canonical(near).alias("near"))
+def neighbours(codes: DataFrame, k: int) -> DataFrame:
+    """(code, near): the k-mers one substitution away, in canonical form, as numbers. codes: (code), canonical."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = batch.column(0).to_numpy().astype(np.uint64)
+            for i in range(k):
+                for d in (1, 2, 3):
+                    x = c ^ np.uint64(d << (2 * i))
+                    back = np.zeros_like(x)
+                    for j in range(k):
+                        back = back << np.uint64(2) | (np.uint64(3) - (x >> np.uint64(2 * j) & np.uint64(3)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.minimum(x, back).astype(np.int64))], names=["code", "near"])
+
+    return codes.select("code").mapInArrow(step, "code long, near long")
 
 
-def near_background(panel: DataFrame, background: DataFrame) -> DataFrame:
-    """(canon, class, near_hits): occurrences in the background of what is one substitution from a panel k-mer. background: (canon).
-    Only k-mers next to the panel are counted, so the background is reduced before it is shuffled."""
-    near = neighbours(panel.select("canon").distinct())
-    met = background.select(F.col("canon").alias("near")).groupBy("near").agg(F.count(F.lit(1)).alias("n"))
-    hits = near.join(met, "near").groupBy("canon").agg(F.sum("n").alias("near_hits"))
-    return panel.join(hits, "canon").select("canon", "class", "near_hits")
+def near_background(panel: DataFrame, background: DataFrame, k: int) -> DataFrame:
+    """(canon, class, near_hits): occurrences in the background of what is one substitution from a panel k-mer. background: (seq).
+    Only k-mers next to the panel become rows."""
+    coded = panel.select("canon", "class", S.code(F.col("canon")).alias("code"))
+    near = neighbours(coded.select("code").distinct(), k)
+    met = S.packed_kmers(background.select("seq"), "seq", k, near.select(F.col("near").alias("code"))).groupBy(F.col("code").alias("near")).agg(F.count(F.lit(1)).alias("n"))
+    hits = near.join(met, "near").groupBy("code").agg(F.sum("n").alias("near_hits"))
+    return coded.join(hits, "code").select("canon", "class", "near_hits")
 
 
 def recall(units: DataFrame, panel: DataFrame, k: int, tile: int = TILE, step: int = STEP, hits: int = HITS) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from copyloom.functions import sequences as S
 from copyloom.operators import cohort, contracts, intervals, panel, screens, tallies
-from copyloom.queries import _BANDS, _MERGE, _PANEL, _PL, _UK, K, _bands, _dna, _kmer_sql, _placements, _units, query, six, table
+from copyloom.queries import _BANDS, _DK, _MERGE, _PANEL, _PL, _UK, K, _bands, _dna, _kmer_sql, _place_sql, _placements, _places, _units, query, six, table
 from copyloom.session import scratch
 
 _FLAGS = "CAST(CASE WHEN event_id % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN event_id % 11 = 0 THEN 1024 ELSE 0 END AS INT)"
@@ -120,25 +120,25 @@ def wide_table(spark, d):
 # -- contracts --------------------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH c AS (SELECT DISTINCT user_id AS sample, event_type AS class FROM events WHERE event_id % 4 = 0), w AS (SELECT DISTINCT event_type AS class FROM events WHERE event_type <> 'view'),
-e AS (SELECT sample, w.class FROM (SELECT DISTINCT sample FROM c), w), r AS (SELECT user_id AS sample, props AS panel FROM events WHERE event_id % 50 = 0),
+@query("""WITH c AS (SELECT DISTINCT user_id AS sample, event_type AS class FROM events), w AS (SELECT DISTINCT event_type AS class FROM events WHERE event_type <> 'view'),
+e AS (SELECT sample, w.class FROM (SELECT DISTINCT sample FROM c), w), r AS (SELECT user_id AS sample, props AS panel FROM events),
 n AS (SELECT panel, count(DISTINCT sample) AS n FROM r GROUP BY panel), b AS (SELECT min(panel) AS common FROM n WHERE n = (SELECT max(n) FROM n))
 SELECT sample, 'error' AS level, 'missing_classes' AS code, string_agg(class, ',' ORDER BY class) AS message FROM e WHERE (sample, class) NOT IN (SELECT (sample, class) FROM c) GROUP BY sample
 UNION ALL SELECT sample, 'warning', 'unknown_classes', string_agg(class, ',' ORDER BY class) FROM c WHERE class NOT IN (SELECT class FROM w) GROUP BY sample
 UNION ALL SELECT sample, 'error', 'mixed_panel', string_agg(DISTINCT panel, ',' ORDER BY panel) FROM r, b WHERE panel <> common GROUP BY sample""")
 def contract_issues(spark, d):
     e = table(spark, d, "events")
-    counted = e.where("event_id % 4 = 0").select(F.col("user_id").alias("sample"), F.col("event_type").alias("class"))
+    counted = e.select(F.col("user_id").alias("sample"), F.col("event_type").alias("class"))
     wanted = e.where("event_type <> 'view'").select(F.col("event_type").alias("class")).distinct()
-    return contracts.issues(wanted, counted, e.where("event_id % 50 = 0").select(F.col("user_id").alias("sample"), F.col("props").alias("panel")), "panel")
+    return contracts.issues(wanted, counted, e.select(F.col("user_id").alias("sample"), F.col("props").alias("panel")), "panel")
 
 
-@query("""WITH b AS (SELECT s_suppkey AS region, s_nationkey AS role FROM supplier WHERE s_suppkey % 3 <> 0), c AS (SELECT DISTINCT l_linenumber AS sample, l_suppkey AS region FROM lineitem WHERE l_orderkey % 40 = 0),
+@query("""WITH b AS (SELECT s_suppkey AS region, s_nationkey AS role FROM supplier), c AS (SELECT DISTINCT l_partkey % 500 AS sample, l_suppkey + l_linenumber % 2 AS region FROM lineitem),
 e AS (SELECT DISTINCT c.sample, b.region, role FROM c, b)
 SELECT coalesce(e.sample, c.sample) AS sample, coalesce(e.region, c.region) AS region, coalesce(role, -1) AS role, CASE WHEN e.region IS NULL THEN 'extra' WHEN c.region IS NULL THEN 'missing' ELSE 'both' END AS state FROM e FULL JOIN c ON e.sample = c.sample AND e.region = c.region""")
 def region_match(spark, d):
-    bundle = table(spark, d, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("region"), F.col("s_nationkey").alias("role"))
-    counted = table(spark, d, "lineitem").where("l_orderkey % 40 = 0").select(F.col("l_linenumber").alias("sample"), F.col("l_suppkey").alias("region"))
+    bundle = table(spark, d, "supplier").select(F.col("s_suppkey").alias("region"), F.col("s_nationkey").alias("role"))
+    counted = table(spark, d, "lineitem").select((F.col("l_partkey") % 500).alias("sample"), (F.col("l_suppkey") + F.col("l_linenumber") % 2).alias("region"))
     return contracts.region_match(bundle, counted).withColumn("role", F.coalesce("role", F.lit(-1)))
 
 
@@ -154,11 +154,11 @@ def kmer_screens(spark, d):
     return p.groupBy(F.col("class").alias("item_id")).agg(F.count_if(screens.periodic(F.col("canon"), K)).alias("periodic"), F.count_if(S.low_complexity(F.col("canon"))).alias("low"))
 
 
-@query(f"""WITH {_UK}, {_PANEL}, o AS (SELECT DISTINCT c, (item_id + 1) % 20 AS other FROM uk WHERE off % 7 = 0)
+@query(f"""WITH {_UK}, {_DK}, {_PANEL}, o AS (SELECT DISTINCT c, doc_id % 40 AS other FROM dk)
 SELECT item_id, count(*) AS kmers FROM panel WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.c = panel.c AND other <> item_id) GROUP BY item_id""")
 def not_shared(spark, d):
-    u = _units(spark, d)
-    got = screens.not_shared(panel.build(u), u.where("off % 7 = 0").select(((F.col("class") + 1) % 20).alias("class"), "canon"))
+    loci = S.spread_out(table(spark, d, "documents").select((F.col("doc_id") % 40).alias("class"), "text")).withColumn("seq", S.dna(F.col("text"))).drop("text")
+    got = screens.not_shared(panel.build(_units(spark, d)), loci, K)
     return got.groupBy(F.col("class").alias("item_id")).agg(F.count(F.lit(1)).alias("kmers"))
 
 
@@ -167,8 +167,8 @@ s AS (SELECT c, item_id, substr(c, 1, i) || b || substr(c, i + 2) AS x, c[i + 1]
 n AS (SELECT c, item_id, least(x, translate(reverse(x), 'ACGT', 'TGCA')) AS near FROM s WHERE was <> b), bg AS (SELECT c, count(*) AS n FROM bk GROUP BY c)
 SELECT n.c AS canon, item_id, CAST(sum(bg.n) AS BIGINT) AS near_hits FROM n JOIN bg ON n.near = bg.c GROUP BY n.c, item_id""")
 def near_background(spark, d):
-    bg = S.kmers(table(spark, d, "conversations").select(S.dna(F.col("text")).alias("seq")), "seq", K, spread=True)
-    return screens.near_background(panel.build(_units(spark, d)), bg.select("canon")).withColumnRenamed("class", "item_id")
+    bg = S.spread_out(table(spark, d, "conversations").select("text")).select(S.dna(F.col("text")).alias("seq"))
+    return screens.near_background(panel.build(_units(spark, d)), bg, K).withColumnRenamed("class", "item_id")
 
 
 @query(f"""WITH {_UK}, {_PANEL}, z AS (SELECT item_id, (max(off) - 85) // 10 + 1 AS tiles FROM uk GROUP BY item_id HAVING max(off) >= 85), t AS (SELECT item_id, unnest(range(0, tiles)) AS tile FROM z),
@@ -185,18 +185,18 @@ def panel_recall(spark, d):
 
 @query(f"""WITH RECURSIVE {_BANDS}, o AS (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY s, e) AS i FROM bands),
 p AS (SELECT contig, i, s AS first, e AS reach, i AS place FROM o WHERE i = 1 UNION ALL SELECT o.contig, o.i, CASE WHEN on_ THEN first ELSE o.s END, CASE WHEN on_ THEN greatest(reach, o.e) ELSE o.e END, CASE WHEN on_ THEN place ELSE o.i END
-FROM (SELECT p.*, o.s - reach <= 300 AND o.e - first <= 2000 AS on_ FROM p JOIN o ON o.contig = p.contig AND o.i = p.i + 1) p JOIN o ON o.contig = p.contig AND o.i = p.i + 1)
+FROM (SELECT p.*, o.s - reach <= 60 AND o.e - first <= 400 AS on_ FROM p JOIN o ON o.contig = p.contig AND o.i = p.i + 1) p JOIN o ON o.contig = p.contig AND o.i = p.i + 1)
 SELECT contig, first AS "start", max(reach) AS "end", count(*) AS members FROM p GROUP BY contig, place, first""")
 def places(spark, d):
-    return intervals.places(_bands(spark, d), ["contig"], 300, 2000)
+    return intervals.places(_bands(spark, d), ["contig"], 60, 400)
 
 
-@query(f"""WITH {_BANDS}, {_MERGE.format(name="m", gap=0)}, a AS (SELECT event_id AS id, event_type AS contig, CAST(floor(value * 100) AS BIGINT) AS s, CAST(floor(value * 100) AS BIGINT) + 400 AS e FROM events WHERE event_id % 20 = 7),
+@query(f"""WITH {_BANDS}, {_MERGE.format(name="m", gap=0)}, a AS (SELECT event_id AS id, contig, s, e FROM ({_place_sql("80", 31)})),
 h AS (SELECT id, a.contig, a.s AS s0, a.e AS e0, m.s AS ms, m.e AS me FROM a JOIN m ON a.contig = m.contig AND m.s < a.e AND a.s < m.e),
 g AS (SELECT id, contig, me AS s, coalesce(lead(ms) OVER (PARTITION BY id ORDER BY ms), e0) AS e FROM h UNION ALL SELECT id, contig, s0, min(ms) FROM h GROUP BY id, contig, s0
 UNION ALL SELECT id, contig, s, e FROM a WHERE id NOT IN (SELECT id FROM h)) SELECT contig, id, s AS "start", e AS "end" FROM g WHERE s < e""")
 def subtract_intervals(spark, d):
-    a = table(spark, d, "events").where("event_id % 20 = 7").select(F.col("event_type").alias("contig"), F.col("event_id").alias("id"), F.floor(F.col("value") * 100).alias("start"), (F.floor(F.col("value") * 100) + 400).alias("end"))
+    a = _places(spark, d, 80, 31).select("contig", F.col("event_id").alias("id"), "start", "end")
     return intervals.subtract(a, intervals.merge(_bands(spark, d), ["contig"]).drop("members"), ["contig"], 128)
 
 
@@ -210,11 +210,11 @@ def heredity_errors(spark, d):
     return cohort.heredity_errors(c, "x", "y").select("n", six("slope").alias("slope"), six("se").alias("se"))
 
 
-@query("""WITH p AS (SELECT l_returnflag, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem WHERE l_orderkey % 10 = 0),
+@query("""WITH p AS (SELECT l_returnflag, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem),
 r AS (SELECT *, rank() OVER (PARTITION BY l_returnflag ORDER BY x) + (count(*) OVER (PARTITION BY l_returnflag, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY l_returnflag ORDER BY y) + (count(*) OVER (PARTITION BY l_returnflag, y) - 1) / 2.0 AS ry FROM p)
 SELECT l_returnflag, count(*) AS n, round(quantile_cont(ln(y / x), 0.5), 6) AS log_median, round(stddev_samp(ln(y / x)), 6) AS log_sd, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY l_returnflag""")
 def agreement(spark, d):
-    p = table(spark, d, "lineitem").where("l_orderkey % 10 = 0").select("l_returnflag", F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+    p = table(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
     got = cohort.agreement(p, ["l_returnflag"])
     return got.select("l_returnflag", "n", *(six(c).alias(c) for c in got.columns[2:]))
 
@@ -225,10 +225,10 @@ def adjusted(spark, d):
     return got.select("c_custkey", F.round("adjusted", 4).alias("adjusted"), six("r2").alias("r2"))
 
 
-@query("""WITH r AS (SELECT DISTINCT event_type AS class, user_id % 30 AS sample, CAST(floor(value / 10) AS BIGINT) AS w FROM events WHERE event_id % 7 < 5), s AS (SELECT class, count(DISTINCT sample) AS n FROM r GROUP BY class)
+@query("""WITH r AS (SELECT DISTINCT event_type AS class, user_id % 10 AS sample, CAST(floor(value / 25) AS BIGINT) AS w FROM events), s AS (SELECT class, count(DISTINCT sample) AS n FROM r GROUP BY class)
 SELECT r.class, w AS window, round(count(*) / n, 6) AS present FROM r JOIN s USING (class) GROUP BY r.class, w, n HAVING count(*) / n >= 0.5""")
 def window_presence(spark, d):
-    e = table(spark, d, "events").where("event_id % 7 < 5").select(F.col("event_type").alias("class"), (F.col("user_id") % 30).alias("sample"), F.floor(F.col("value") / 10).alias("window"), F.col("value").alias("y"))
+    e = table(spark, d, "events").select(F.col("event_type").alias("class"), (F.col("user_id") % 10).alias("sample"), F.floor(F.col("value") / 25).alias("window"), F.col("value").alias("y"))
     return cohort.present(e, ["class"], 0.5).select("class", "window", six("present").alias("present"))
 
 
@@ -260,8 +260,8 @@ def capture_bound(spark, d):
     return cohort.capture_bound(at, at.where("rank % 9 <> 8").select("class", "rank")).select("class", six("bound").alias("bound"))
 
 
-@query("""WITH RECURSIVE l AS (SELECT c_custkey AS a, c_custkey + d AS b FROM customer, (VALUES (1), (3)) t(d) WHERE c_custkey % 9 IN (0, 3)),
-e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r(p, q) AS (SELECT a, b FROM e UNION SELECT r.p, e.b FROM r JOIN e ON r.q = e.a) SELECT p AS person, min(q) AS family FROM r GROUP BY p""")
+@query("""WITH RECURSIVE l AS (SELECT c_custkey AS a, c_custkey // 9 * 9 + d * (1 + c_custkey % 3) AS b FROM customer, (VALUES (0), (1)) t(d)),
+e AS (SELECT a, b FROM l WHERE a <> b UNION SELECT b, a FROM l WHERE a <> b), r(p, q) AS (SELECT a, b FROM e UNION SELECT r.p, e.b FROM r JOIN e ON r.q = e.a) SELECT p AS person, min(q) AS family FROM r GROUP BY p""")
 def families(spark, d):
-    c = table(spark, d, "customer").where("c_custkey % 9 in (0, 3)")
-    return cohort.families(c.select(F.col("c_custkey").alias("child"), (F.col("c_custkey") + 1).alias("father"), (F.col("c_custkey") + 3).alias("mother")), scratch(spark, "families"))
+    c, first = table(spark, d, "customer"), F.floor(F.col("c_custkey") / 9) * 9
+    return cohort.families(c.select(F.col("c_custkey").alias("child"), first.alias("father"), (first + 1 + F.col("c_custkey") % 3).alias("mother")), scratch(spark, "families"))

@@ -50,10 +50,9 @@ def _units(spark, d) -> DataFrame:
     return S.kmers(u, "seq", K, spread=True)
 
 
-def _reads(spark, d) -> DataFrame:
-    r = table(spark, d, "documents").select(F.col("doc_id").alias("read"), "text")
-    r = r.repartition(spark.sparkContext.defaultParallelism).select("read", S.dna(F.col("text")).alias("seq"))
-    return S.kmers(r, "seq", K)
+def _hits(spark, d) -> DataFrame:
+    r = S.spread_out(table(spark, d, "documents").select(F.col("doc_id").alias("read"), "text"))
+    return panel.hits(r.select("read", S.dna(F.col("text")).alias("seq")), panel.build(_units(spark, d)), K)
 
 
 def _dna(col: str) -> str:
@@ -78,7 +77,7 @@ top AS (SELECT *, row_number() OVER w AS r, lead(hits, 1, 0) OVER w AS second FR
 SELECT doc_id, item_id, hits, second, valid, least(10, hits * 10 // greatest(valid, 1)) AS hit_frac_bin,
 CASE WHEN hits < 4 THEN 'below' WHEN 5 * second > hits THEN 'ambiguous' ELSE 'assigned' END AS state FROM top JOIN valid USING (doc_id) WHERE r = 1""")
 def k_classify(spark, d):
-    got = panel.classify(_reads(spark, d), panel.build(_units(spark, d)))
+    got = panel.classify(_hits(spark, d))
     return got.withColumnsRenamed({"read": "doc_id", "class": "item_id"})
 
 
@@ -88,7 +87,7 @@ g AS (SELECT doc_id, item_id, count(*) AS hits, count(*) FILTER (NOT same) > cou
 list_sort(list(pos - off) FILTER (same)) AS ahead, list_sort(list(pos + {K - 1} + off) FILTER (NOT same)) AS back FROM h GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, hits, reverse, CAST(CASE WHEN reverse THEN back[len(back) // 2 + 1] ELSE ahead[len(ahead) // 2 + 1] END AS BIGINT) AS diagonal FROM g WHERE hits >= 4""")
 def k_locate(spark, d):
-    got = panel.locate(_reads(spark, d), panel.build(_units(spark, d)), K)
+    got = panel.locate(_hits(spark, d), K)
     return got.withColumnsRenamed({"read": "doc_id", "class": "item_id"})
 
 
@@ -131,23 +130,36 @@ def five_prime(spark, d):
     return e.select("event_id", S.five_prime(F.col("pos"), F.col("cigar"), F.col("flags").bitwiseAND(16) != 0).alias("end5"))
 
 
-# -- intervals: bands of values per event type ---------------------------------------------------------------------------------
+# -- intervals: events as places along contigs of one type and one of 40 parts each ----------------------------------------------
 
 
-def _bands(spark, d) -> DataFrame:
+def _places(spark, d, length, shift=0) -> DataFrame:
+    """Each event as an interval: (event_id, user_id, contig, start, end)."""
     e = table(spark, d, "events")
-    return e.where("event_id % 10 = 0").select(F.col("event_type").alias("contig"), F.floor(F.col("value") * 100).alias("start"), (F.floor(F.col("value") * 100) + 5 + F.col("event_id") % 40).alias("end"))
+    start = F.floor(F.col("value") * 20) + shift
+    return e.select("event_id", "user_id", F.concat_ws("-", "event_type", F.col("event_id") % 40).alias("contig"), start.alias("start"), (start + length).alias("end"))
+
+
+def _place_sql(length: str, shift: int = 0) -> str:
+    return f"SELECT event_id, user_id, concat(event_type, '-', event_id % 40) AS contig, CAST(floor(value * 20) AS BIGINT) + {shift} AS s, CAST(floor(value * 20) AS BIGINT) + {shift} + {length} AS e FROM events"
+
+
+_LENGTH = "5 + event_id % 60"
+
+
+def _bands(spark, d) -> DataFrame:
+    return _places(spark, d, F.expr(_LENGTH)).select("contig", "start", "end")
 
 
-_BANDS = "bands AS (SELECT event_type AS contig, CAST(floor(value * 100) AS BIGINT) AS s, CAST(floor(value * 100) AS BIGINT) + 5 + event_id % 40 AS e FROM events WHERE event_id % 10 = 0)"
+_BANDS = f"bands AS ({_place_sql(_LENGTH)})"
 _MERGE = """{name}_r AS (SELECT *, max(e) OVER (PARTITION BY contig ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM bands),
 {name}_n AS (SELECT *, sum(CASE WHEN s - reach <= {gap} THEN 0 ELSE 1 END) OVER (PARTITION BY contig ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM {name}_r),
 {name} AS (SELECT contig, min(s) AS s, max(e) AS e, count(*) AS members FROM {name}_n GROUP BY contig, run)"""
-_POINTS = "points AS (SELECT event_id, event_type AS contig, CAST(floor(value * 100) AS BIGINT) AS pos FROM events WHERE event_id % 10 <> 0)"
+_POINTS = f"points AS (SELECT event_id, contig, s AS pos FROM ({_place_sql('1', 31)}))"
 
 
 def _points(spark, d) -> DataFrame:
-    return table(spark, d, "events").where("event_id % 10 <> 0").select("event_id", F.col("event_type").alias("contig"), F.floor(F.col("value") * 100).alias("pos"))
+    return _places(spark, d, 1, 31).select("event_id", "contig", F.col("start").alias("pos"))
 
 
 @query(f'WITH {_BANDS}, {_MERGE.format(name="m", gap=0)} SELECT contig, s AS "start", e AS "end", members FROM m')
@@ -155,9 +167,9 @@ def merge_intervals(spark, d):
     return intervals.merge(_bands(spark, d), ["contig"])
 
 
-@query(f'WITH {_BANDS}, {_MERGE.format(name="m", gap=200)} SELECT contig, s AS "start", e AS "end", members FROM m')
+@query(f'WITH {_BANDS}, {_MERGE.format(name="m", gap=40)} SELECT contig, s AS "start", e AS "end", members FROM m')
 def group_within_gap(spark, d):
-    return intervals.merge(_bands(spark, d), ["contig"], 200)
+    return intervals.merge(_bands(spark, d), ["contig"], 40)
 
 
 @query(f'WITH {_BANDS}, {_MERGE.format(name="m", gap=0)}, g AS (SELECT contig, lag(e) OVER (PARTITION BY contig ORDER BY s) AS a, s AS b FROM m) SELECT contig, a AS "start", b AS "end" FROM g WHERE a < b')
@@ -171,7 +183,7 @@ def region_tally(spark, d):
     return intervals.points_in(_points(spark, d), m, ["contig"], 64).groupBy("contig", "start", "end").agg(F.count(F.lit(1)).alias("ends"))
 
 
-@query(f'WITH {_BANDS}, {_POINTS} SELECT contig, event_id, pos, max(s) AS "start" FROM points JOIN bands USING (contig) WHERE pos >= s AND pos < e GROUP BY contig, event_id, pos')
+@query(f'WITH {_BANDS}, {_POINTS} SELECT contig, points.event_id AS event_id, pos, max(s) AS "start" FROM points JOIN bands USING (contig) WHERE pos >= s AND pos < e GROUP BY contig, points.event_id, pos')
 def last_interval(spark, d):
     return intervals.last_holding(_points(spark, d), _bands(spark, d), ["contig"], 64, ["event_id"])
 
@@ -179,17 +191,17 @@ def last_interval(spark, d):
 @query(f"""WITH {_BANDS}, {_MERGE.format(name="m", gap=0)}, {_POINTS}
 SELECT points.contig AS contig, count(*) AS bins FROM points JOIN m ON points.contig = m.contig AND m.s <= pos AND pos + 3 <= m.e GROUP BY points.contig""")
 def bins_within(spark, d):
-    x = _points(spark, d).select("event_id", "contig", F.col("pos").alias("start"), (F.col("pos") + 3).alias("end"))
+    x = _places(spark, d, 3, 31).select("event_id", "contig", "start", "end")
     m = intervals.merge(_bands(spark, d), ["contig"]).drop("members")
     return intervals.within(x, m, ["contig"], 64).groupBy("contig").agg(F.count(F.lit(1)).alias("bins"))
 
 
-@query(f"""WITH {_BANDS}, {_MERGE.format(name="q", gap=200)}, sl AS (SELECT event_id, event_type AS contig, CAST(floor(value * 100) AS BIGINT) AS a, CAST(floor(value * 100) AS BIGINT) + 20 AS b, user_id + 1 AS size FROM events WHERE event_id % 3 = 0),
+@query(f"""WITH {_BANDS}, {_MERGE.format(name="q", gap=40)}, sl AS (SELECT event_id, contig, s AS a, e AS b, user_id + 1 AS size FROM ({_place_sql("20", 17)})),
 met AS (SELECT DISTINCT q.contig, q.s, event_id, size FROM q JOIN sl ON q.contig = sl.contig AND q.s < sl.b AND sl.a < q.e), f AS (SELECT DISTINCT event_id, size FROM met)
 SELECT (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM met) AS bytes, (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM f) AS floor_bytes, (SELECT count(*) FROM f) AS slices""")
 def plan_price(spark, d):
-    q = intervals.merge(_bands(spark, d), ["contig"], 200).select("contig", "start", "end", F.concat_ws(":", "contig", "start").alias("query"))
-    s = table(spark, d, "events").where("event_id % 3 = 0").select(F.col("event_type").alias("contig"), F.col("event_id").alias("slice"), F.floor(F.col("value") * 100).alias("start"), (F.floor(F.col("value") * 100) + 20).alias("end"), (F.col("user_id") + 1).alias("size"))
+    q = intervals.merge(_bands(spark, d), ["contig"], 40).select("contig", "start", "end", F.concat_ws(":", "contig", "start").alias("query"))
+    s = _places(spark, d, 20, 17).select("contig", F.col("event_id").alias("slice"), "start", "end", (F.col("user_id") + 1).alias("size"))
     return intervals.price(q, s, ["contig"], 128)
 
 
@@ -256,11 +268,11 @@ def centre_groups(spark, d):
     return cohort.centred(table(spark, d, "customer"), "c_nationkey", "c_acctbal", 55).select("c_custkey", F.round("centred", 4).alias("centred"))
 
 
-@query("""WITH t AS (SELECT c.c_acctbal AS c, f.c_acctbal AS f, m.c_acctbal AS m, (f.c_acctbal + m.c_acctbal) / 2 AS mid FROM customer c JOIN customer f ON f.c_custkey = c.c_custkey + 1 JOIN customer m ON m.c_custkey = c.c_custkey + 2 WHERE c.c_custkey % 3 = 0)
+@query("""WITH t AS (SELECT c.c_acctbal AS c, f.c_acctbal AS f, m.c_acctbal AS m, (f.c_acctbal + m.c_acctbal) / 2 AS mid FROM customer c JOIN customer f ON f.c_custkey = c.c_custkey + 1 JOIN customer m ON m.c_custkey = c.c_custkey + 2)
 SELECT count(*) AS n, round(regr_slope(c, mid), 6) AS slope_mid, round(regr_slope(c, f), 6) AS slope_father, round(regr_slope(c, m), 6) AS slope_mother, round(corr(c, mid), 6) AS corr_mid, round(corr(f, m), 6) AS corr_parents, round(stddev_samp(c - mid), 4) AS sd_residual FROM t""")
 def transmission(spark, d):
     c = table(spark, d, "customer")
-    links = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("child"), (F.col("c_custkey") + 1).alias("father"), (F.col("c_custkey") + 2).alias("mother"))
+    links = c.select(F.col("c_custkey").alias("child"), (F.col("c_custkey") + 1).alias("father"), (F.col("c_custkey") + 2).alias("mother"))
     got = cohort.transmission(cohort.trios(c.select(F.col("c_custkey").alias("person"), "c_acctbal"), links, "c_acctbal"))
     return got.select("n", *(six(x).alias(x) for x in got.columns[1:-1]), F.round("sd_residual", 4).alias("sd_residual"))
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from copyloom.functions import sequences as S
 from copyloom.operators import cohort, intervals, models, panel
@@ -11,8 +12,22 @@ def rows(df, *cols):
 
 
 def test_kmers_skip_other_letters(spark):
-    df = spark.createDataFrame([(1, "ACGTACGTNACGTACGT"), (2, "AC"), (3, "")], "id int, seq string")
-    assert [r.off for r in S.kmers(df, "seq", 4).orderBy("off").collect()] == [0, 1, 2, 3, 4, 9, 10, 11, 12, 13]
+    df = spark.createDataFrame([(1, "TTGCANNCAGGTCAxA"), (2, "TG"), (3, ""), (4, None)], "id int, seq string")
+    assert [r.off for r in S.kmers(df, "seq", 3).orderBy("off").collect()] == [0, 1, 2, 7, 8, 9, 10, 11]
+    assert [r.n for r in df.select("id", S.valid_kmers(F.col("seq"), 3).alias("n")).orderBy("id").collect()] == [8, 0, 0, None]
+
+
+@pytest.mark.parametrize("k", [1, 3, 15, 31])
+def test_packed_kmers_agree(spark, k):
+    rng = np.random.default_rng(k)
+    seqs = [(i, "".join(rng.choice(list("ACGTacgtN"), rng.integers(0, 120), p=[0.12] * 8 + [0.04]))) for i in range(60)] + [(60, None), (61, "N" * 50)]
+    df = spark.createDataFrame(seqs, "id int, seq string")
+    want = rows(S.kmers(df, "seq", k).select("id", "off", S.code(F.col("canon")).alias("code"), "fwd"))
+    got = S.packed_kmers(df, "seq", k)
+    assert rows(got, "id", "off", "code", "fwd") == want
+    some = spark.createDataFrame([(c,) for c in sorted({r[2] for r in want})[::3]], "code long")
+    for most in (10, 1_000_000):  # joined, and looked up
+        assert rows(S.packed_kmers(df, "seq", k, some, most), "id", "off", "code", "fwd") == [r for r in want if r[2] in {x[0] for x in some.collect()}]
 
 
 def test_kmers_tiles_agree(spark):
