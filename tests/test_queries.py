@@ -2,7 +2,7 @@ import pytest
 from oracle import frames
 
 from copyloom import queries
-from copyloom.plans import samples  # noqa: F401
+from copyloom.plans import estimates, samples  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
