@@ -1,11 +1,13 @@
 """Text of HTML pages by layout-aware rendering.
 
-A tree builder with implied end tags follows the open elements; visibility rules leave out what a browser doesn't show;
+A tree builder with implied tags follows the open elements; visibility rules leave out what a browser doesn't show;
 blocks, lists, preformatted text and tables keep their shape, table cells aligned in columns.
 """
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -23,51 +25,58 @@ _SPACED = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset
 _BLOCK = _SPACED | set("html body address article aside details dialog dd div dt fieldset figcaption footer form header hgroup legend li main menu nav section summary center tr caption thead tbody tfoot option optgroup".split())
 #: An element ends those of the second set that are open, up to one of the third.
 _CELL, _ROW = {"td", "th"}, {"td", "th", "tr"}
+_GROUPS = {"thead", "tbody", "tfoot"}
 _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": (_CELL, {"tr", "table"}), "th": (_CELL, {"tr", "table"}),
-    "tr": (_ROW, {"table"}), "thead": (_ROW | {"thead", "tbody", "tfoot"}, {"table"}), "tbody": (_ROW | {"thead", "tbody", "tfoot"}, {"table"}), "tfoot": (_ROW | {"thead", "tbody", "tfoot"}, {"table"}),
+    "tr": (_ROW, {"table"}), "thead": (_ROW | _GROUPS, {"table"}), "tbody": (_ROW | _GROUPS, {"table"}), "tfoot": (_ROW | _GROUPS, {"table"}),
     "body": ({"head"}, {"html"}), "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}),
 }
-_ENDS_P = _BLOCK - {"html", "body", "li", "dt", "dd", "tr", "thead", "tbody", "tfoot", "caption", "legend", "summary", "option", "optgroup"}
+_ENDS_P = _BLOCK - {"html", "body", "li", "dt", "dd", "caption", "legend", "summary", "option", "optgroup"} - _ROW - _GROUPS
+_P_SCOPE = {"td", "th", "li", "div", "body", "table", "button"}
+#: Columns of a table, columns and rows that a cell covers at most, and characters to which a column is filled up; wider cells push what follows.
+COLUMNS, ACROSS, DOWN, FILLED = 1000, 100, 65534, 200
+_TAG = re.compile(r"<[a-zA-Z/!?]")
 
 
 class _Sheet:
-    """Lines being written: of the page, or of one table cell."""
+    """Lines being written: of the page, or of one table cell. line holds the pieces of the current one."""
 
     def __init__(self):
         self.lines: list[str] = []
-        self.line, self.gap, self.space = "", 0, False
+        self.line: list[str] = []
+        self.gap, self.space = 0, False
         self.mark = ""
 
     def add(self, text: str, kept: bool) -> None:
         if kept:
-            parts = text.split("\n")
-            for k, part in enumerate(parts):
+            for k, part in enumerate(text.split("\n")):
                 if k:
                     self.end(0, force=True)
-                self._put(part)
+                self.put(part)
             return
         words = text.split(None)
         if not words:
             self.space = self.space or bool(text)
             return
         if self.line and (self.space or text[0].isspace()):
-            self.line += " "
-        self._put(" ".join(words))
+            self.line.append(" ")
+        self.put(" ".join(words))
         self.space = text[-1].isspace()
 
-    def _put(self, text: str) -> None:
+    def put(self, text: str) -> None:
         if not self.line:
             if self.gap and self.lines:
                 self.lines += [""] * (self.gap - 1)
             self.gap = 0
-            self.line, self.mark = self.mark, ""
-        self.line += text
+            if self.mark:
+                self.line, self.mark = [self.mark], ""
+        if text:
+            self.line.append(text)
 
     def end(self, margin: int, force: bool = False) -> None:
         if self.line or force:
-            self.lines.append(self.line.rstrip())
-            self.line = ""
+            self.lines.append("".join(self.line).rstrip())
+            self.line = []
             self.gap = 0
         self.space = False
         self.gap = max(self.gap, margin + 1)
@@ -77,22 +86,33 @@ class _Sheet:
         return self.lines
 
 
+def _number(text: str | None, least: int, most: int, none: int) -> int:
+    m = re.match(r"\s*([+-]?[0-9]{1,9})", text or "")
+    return min(most, max(least, int(m[1]))) if m else none
+
+
 class _Renderer(HTMLParser):
+    """Each open element is (tag, hidden, unseen, closed): it or one above isn't displayed; isn't visible, though an element in it may be;
+    is a closed details, of which only the summary shows. at holds the places of open elements by tag."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []  # the tag, and whether it or one above is hidden
+        self.open: list[tuple[str, bool, bool, bool]] = []
+        self.at: dict[str, list[int]] = defaultdict(list)
         self.sheets = [_Sheet()]
-        self.tables: list[list[list[list[str]]]] = []
+        self.tables: list[list[list[tuple[list[str], int, int]]]] = []
+        self.spans: list[tuple[int, int]] = []
         self.lists: list[list] = []
         self.pre = self.foreign = self.svg = 0
         self.fresh = False  # right after <textarea>, where a line feed doesn't count
 
-    def _hidden(self) -> bool:
-        return bool(self.open) and self.open[-1][1]
+    def _last(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at[t]), default=-1)
 
     def _close(self, k: int) -> None:
         while len(self.open) > k:
-            tag, hidden = self.open.pop()
+            tag, hidden, _, _ = self.open.pop()
+            self.at[tag].pop()
             self.foreign -= tag in _FOREIGN
             self.svg -= tag == "svg"
             if hidden:
@@ -102,7 +122,7 @@ class _Renderer(HTMLParser):
                 lines = self.sheets.pop().text()
                 if not self.tables[-1]:
                     self.tables[-1].append([])
-                self.tables[-1][-1].append([x for x in lines if x] or [""])
+                self.tables[-1][-1].append(([x for x in lines if x] or [""], *self.spans.pop()))
             elif tag == "table" and self.tables:
                 self._table(self.tables.pop())
             elif tag in ("ul", "ol", "menu") and self.lists:
@@ -118,16 +138,44 @@ class _Renderer(HTMLParser):
             elif tag in _BLOCK:
                 sheet.end(int(tag in _SPACED))
 
-    def _table(self, rows: list[list[list[str]]]) -> None:
+    def _table(self, rows: list[list[tuple[list[str], int, int]]]) -> None:
+        """Cells stand in the first free columns; those that cover several columns or rows keep them."""
         sheet = self.sheets[-1]
-        rows = [r for r in rows if r]
-        wide = [max((len(x) for r in rows if len(r) > k for x in r[k]), default=0) for k in range(max(map(len, rows), default=0))]
+        placed, taken, wide = [], {}, {}
+        for r, row in enumerate(r for r in rows if r):
+            col, cells = 0, []
+            for lines, across, down in row:
+                while taken.get(col, 0) > r:
+                    col += 1
+                across = max(1, min(across, COLUMNS - col))
+                cells.append((col, across, lines))
+                for c in range(col, col + across) if down > 1 else ():
+                    taken[c] = r + down
+                if across == 1:
+                    wide[col] = max(wide.get(col, 0), min(FILLED, max(map(len, lines))))
+                col += across
+            placed.append(cells)
+        for col, across, lines in ((c, a, x) for cells in placed for c, a, x in cells if a > 1):  # the last column takes what they need more
+            last, have = col + across - 1, sum(wide[c] + 2 for c in range(col, col + across) if c in wide) - 2
+            more = min(FILLED, max(map(len, lines))) - have
+            if more > 0:
+                wide[last] = wide[last] + more if last in wide else max(0, more - 2)
         sheet.end(1)
-        for r in rows:
-            for n in range(max(map(len, r))):
-                line = "  ".join((r[k][n] if k < len(r) and n < len(r[k]) else "").ljust(wide[k]) for k in range(len(r)))
-                if line.strip():
-                    sheet._put(line)
+        start, upto = [0], 0  # where each column begins
+        for c in range(max((c + a for cells in placed for c, a, _ in cells), default=0)):
+            upto += wide[c] + 2 if c in wide else 0
+            start.append(upto)
+        for cells in placed:
+            for n in range(max(len(lines) for _, _, lines in cells)):
+                line, size = [], 0
+                for col, _, lines in cells:
+                    text = lines[n] if n < len(lines) else ""
+                    if text:
+                        fill = max(start[col] - size, 2 if size else 0)
+                        line.append(" " * fill + text)
+                        size += fill + len(text)
+                if line:
+                    sheet.put("".join(line))
                     sheet.end(0)
         sheet.end(1)
 
@@ -138,43 +186,40 @@ class _Renderer(HTMLParser):
                 return
             if tag not in _IN_HEAD:
                 self._close(len(self.open) - 1)
-        elif tag == "head" and any(x != "html" for x, _ in self.open):
+        elif tag == "head" and any(x[0] != "html" for x in self.open[-2:]):
             return
         if tag in _ENDS:
             ended, limit = _ENDS[tag]
-            for k in range(len(self.open) - 1, -1, -1):
-                if self.open[k][0] in limit:
-                    break
-                if self.open[k][0] in ended:
-                    self._close(k)
-                    if tag not in ("tr", "thead", "tbody", "tfoot"):
-                        break
-        if tag in _ENDS_P:
-            for k in range(len(self.open) - 1, -1, -1):
-                if self.open[k][0] == "p":
-                    self._close(k)
-                    break
-                if self.open[k][0] in ("td", "th", "li", "div", "body", "table", "button"):
+            while (k := self._last(ended)) > self._last(limit):
+                self._close(k)
+                if tag not in _GROUPS and tag != "tr":
                     break
-        a = {k: v or "" for k, v in attrs}
-        style = a.get("style", "").replace(" ", "").lower()
-        hidden = self._hidden() or tag in _HIDDEN or (self.svg and tag in _SVG_HIDDEN) or "hidden" in a or "display:none" in style or "visibility:hidden" in style
+        if tag in _ENDS_P and (k := self._last(("p",))) > self._last(_P_SCOPE):
+            self._close(k)
+        a = {}
+        for k, v in attrs:
+            a.setdefault(k, v or "")
+        style = dict(x.split(":", 1) for x in re.sub(r"\s|!important", "", a.get("style", "").lower()).split(";") if ":" in x)
+        _, hidden, unseen, closed = self.open[-1] if self.open else ("", False, False, False)
+        hidden = hidden or closed and tag != "summary" or tag in _HIDDEN or bool(self.svg) and tag in _SVG_HIDDEN or "hidden" in a or style.get("display") == "none" or tag == "dialog" and "open" not in a
+        if "visibility" in style:
+            unseen = style["visibility"] in ("hidden", "collapse")
+        sheet = self.sheets[-1]
         if tag in _VOID:
             if not hidden:
-                sheet = self.sheets[-1]
                 if tag == "br":
                     sheet.end(0, force=not sheet.line and bool(sheet.lines) and sheet.gap == 1)
                 elif tag == "hr":
                     sheet.end(1)
-                elif tag == "input" and a.get("type", "").lower() in ("submit", "button", "reset") and a.get("value"):
+                elif tag == "input" and not unseen and a.get("type", "").lower() in ("submit", "button", "reset") and a.get("value"):
                     sheet.add(a["value"], False)
             return
-        self.open.append((tag, bool(hidden)))
+        self.at[tag].append(len(self.open))
+        self.open.append((tag, hidden, unseen, tag == "details" and "open" not in a))
         self.foreign += tag in _FOREIGN
         self.svg += tag == "svg"
         if hidden:
             return
-        sheet = self.sheets[-1]
         if tag == "table":
             sheet.end(1)
             self.tables.append([])
@@ -182,30 +227,31 @@ class _Renderer(HTMLParser):
             self.tables[-1].append([])
         elif tag in _CELL and self.tables:
             self.sheets.append(_Sheet())
+            self.spans.append((_number(a.get("colspan"), 1, ACROSS, 1), _number(a.get("rowspan"), 1, DOWN, 1)))
         elif tag in ("ul", "ol", "menu"):
             sheet.end(int(not self.lists))
-            self.lists.append([tag, int(a["start"]) if a.get("start", "").isdecimal() else 1])
+            self.lists.append([tag, _number(a.get("start"), -(10**9), 10**9, 1), -1 if "reversed" in a and "start" in a else 1])
         elif tag == "li":
             sheet.end(0)
-            depth = max(0, len(self.lists) - 1)
             mark = "* "
             if self.lists and self.lists[-1][0] == "ol":
+                self.lists[-1][1] = _number(a.get("value"), -(10**9), 10**9, self.lists[-1][1])
                 mark = f"{self.lists[-1][1]}. "
-                self.lists[-1][1] += 1
-            sheet.mark = "  " * depth + mark
+                self.lists[-1][1] += self.lists[-1][2]
+            sheet.mark = "" if unseen else "  " * min(40, len(self.lists) - 1) + mark
         elif tag == "pre":
             sheet.end(1)
             self.pre += 1
         elif tag == "textarea":
             if sheet.line and sheet.space:
-                sheet.line += " "
+                sheet.line.append(" ")
             sheet.space, self.fresh = False, True
             self.pre += 1
         elif tag == "text" and self.svg:
             sheet.space = True
         elif tag in _BLOCK:
             sheet.end(int(tag in _SPACED))
-            if tag == "optgroup" and a.get("label"):
+            if tag == "optgroup" and a.get("label") and not unseen:
                 sheet.add(a["label"], False)
                 sheet.end(0)
 
@@ -217,24 +263,22 @@ class _Renderer(HTMLParser):
             self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self._close(k)
-                return
-            if self.open[k][0] in _CELL and tag not in ("tr", "table", "tbody", "thead", "tfoot", "body", "html"):
-                return
+        if tag == "p" and not self.at["p"]:
+            self.handle_starttag("p", [])  # an end alone is an empty paragraph
+        if tag == "br":
+            self.handle_starttag("br", [])
+        k = self._last((tag,))
+        if k >= 0 and (tag in _GROUPS or tag in _CELL or tag in ("tr", "table", "body", "html") or k > self._last(_CELL)):
+            self._close(k)
 
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1][0] == "head" and data.strip():
             self._close(len(self.open) - 1)
         if self.fresh:
             data, self.fresh = data.removeprefix("\r").removeprefix("\n"), False
-        if not self._hidden() and not (self.svg and self._drawn()):
-            self.sheets[-1].add(data, self.pre > 0)
-
-    def _drawn(self) -> bool:
-        """Whether the innermost of svg and the elements that show text in it is svg itself."""
-        return next(x for x, _ in reversed(self.open) if x == "svg" or x in _SVG_TEXT) == "svg"
+        if self.open and any(self.open[-1][1:]) or self.svg and self._last(("svg",)) > self._last(_SVG_TEXT):
+            return
+        self.sheets[-1].add(data, self.pre > 0)
 
     def result(self) -> str:
         self._close(0)
@@ -242,9 +286,12 @@ class _Renderer(HTMLParser):
 
 
 def render(html: str | None) -> str:
-    """The visible text of a page; an empty string for null, empty or invisible ones."""
+    """The visible text of a page; an empty string for null, empty or invisible ones. What follows a tag or comment that never ends is dropped."""
     if not html:
         return ""
+    last = html.rfind(">") + 1
+    if cut := _TAG.search(html, last):
+        html = html[: cut.start()]
     page = _Renderer()
     page.feed(html)
     page.close()
