@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +18,7 @@ from copyloom.llm.html_text import render
 RECORD = "record_id string, warc_type string, refers_to string, target_uri string, date string, content_type string, http_headers string, payload_digest string, block_digest string, content_length long, block binary"
 DATE = "1970-01-01T00:00:00Z"
 _EOL = "\r\n"
+BATCH = 16 << 20
 
 
 def _urn(*parts: Column | str) -> Column:
@@ -42,19 +46,75 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 
 def _split_http(block: bytes) -> tuple[str, bytes]:
-    for mark in (b"\r\n\r\n", b"\n\n"):
-        head, found, body = block.partition(mark)
-        if found:
-            return head.decode("utf-8", "replace") + _EOL, body
-    return "", block
+    """The headers, each ended by a line feed, and the body; a block that doesn't begin as a response is all body."""
+    if not block.startswith(b"HTTP/"):
+        return "", block
+    found = re.search(rb"\r?\n\r?\n", block)
+    if not found:
+        return block.decode("utf-8", "replace"), b""
+    return block[: found.start()].decode("utf-8", "replace") + _EOL, block[found.end() :]
+
+
+def _unchunked(body: bytes) -> bytes:
+    """A chunked body put together; what follows a broken chunk is left as it is."""
+    out, at = [], 0
+    while found := _CHUNK.match(body, at):
+        size = int(found[1], 16)
+        if not size:
+            return b"".join(out)
+        out.append(body[found.end() : found.end() + size])
+        at = found.end() + size
+    return b"".join([*out, body[at:]])
+
+
+_CHUNK = re.compile(rb"(?:\r?\n)?([0-9a-fA-F]{1,15})[^\r\n]*\r?\n")
+
+
+def _decoded(body: bytes, head: dict[str, str]) -> bytes:
+    """The body without its transfer and content encodings; one that can't be undone leaves it as it is."""
+    if head.get("transfer-encoding", "").lower().split(",")[-1].strip() == "chunked":
+        body = _unchunked(body)
+    for name in reversed([x.strip() for x in head.get("content-encoding", "").lower().split(",")]):
+        try:
+            if name in ("gzip", "x-gzip"):
+                body = zlib.decompressobj(31).decompress(body)
+            elif name == "deflate":
+                body = zlib.decompressobj(15 if body[:1] == b"x" else -15).decompress(body)
+        except zlib.error:
+            break
+    return body
+
+
+def page_text(head: str, body: bytes) -> str | None:
+    """The visible text of an HTTP response; plain text as it is, null for what is neither text nor HTML. Bytes are read by the byte order mark,
+    the header's charset, or the page's own; what isn't in that charset is replaced."""
+    fields: dict[str, str] = {}
+    for line in head.splitlines()[1:]:
+        name, _, value = line.partition(":")
+        fields.setdefault(name.strip().lower(), value.strip())
+    kind, _, rest = fields.get("content-type", "").partition(";")
+    kind = kind.strip().lower()
+    body = _decoded(body, fields)
+    if kind and kind not in ("text/html", "application/xhtml+xml", "text/plain"):
+        return None
+    told = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", rest, re.I)
+    own = re.search(rb"<meta[^>]{0,200}?charset\s*=\s*[\"']?([\w.:-]+)", body[:2048], re.I)
+    marks = {b"\xef\xbb\xbf": "utf-8-sig", b"\xff\xfe": "utf-16", b"\xfe\xff": "utf-16"}
+    charset = next((c for m, c in marks.items() if body.startswith(m)), None) or (told[1] if told else own[1].decode() if own and kind != "text/plain" else "utf-8")
+    try:
+        text = body.decode({"iso-8859-1": "cp1252", "latin1": "cp1252", "ascii": "cp1252", "us-ascii": "cp1252"}.get(charset.lower(), charset), "replace")
+    except (LookupError, UnicodeError):
+        text = body.decode("utf-8", "replace")
+    return text if kind == "text/plain" else render(text)
 
 
 def derivatives(records: DataFrame) -> DataFrame:
     """Two records for each response in records (RECORD): a metadata record with the source's headers and digests, and a
-    conversion record with the page's visible text; both refer to the response's identifier. Other types give none.
+    conversion record with the page's visible text; both refer to the response's identifier. Other types give none, and a response that is neither HTML nor
+    plain text has no conversion record.
 
-    A response without HTTP headers is all body; bytes that aren't UTF-8 are replaced. Null blocks count as empty. The derivatives'
-    identifiers follow from the source's, so reruns agree and repeated responses give repeated derivatives.
+    A response without HTTP headers is all body, taken for HTML; transfer and content encodings are undone, and bytes read by their charset. Null blocks
+    count as empty. The derivatives' identifiers follow from the source's, so reruns agree and repeated responses give repeated derivatives.
     """
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +123,7 @@ def derivatives(records: DataFrame) -> DataFrame:
             for block in batch.column("block").to_pylist():
                 head, body = _split_http(block or b"")
                 heads.append(head)
-                texts.append(render(body.decode("utf-8", "replace")))
+                texts.append(page_text(head, body))
             cols = [batch.column(c) for c in ("record_id", "target_uri", "date", "payload_digest", "block_digest", "content_length")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(heads, pa.string()), pa.array(texts, pa.string())], names=["source", "target_uri", "date", "source_payload", "source_digest", "source_length", "head", "text"])
 
@@ -71,13 +131,13 @@ def derivatives(records: DataFrame) -> DataFrame:
     at = slim.mapInArrow(convert, "source string, target_uri string, date string, source_payload string, source_digest string, source_length long, head string, text string")
     fields = F.concat(
         F.lit("source-record-id: "), F.coalesce("source", F.lit("")), F.lit(f"{_EOL}source-payload-digest: "), F.coalesce("source_payload", F.lit("")), F.lit(f"{_EOL}source-block-digest: "), F.coalesce("source_digest", F.lit("")),
-        F.lit(f"{_EOL}source-content-length: "), F.coalesce(F.col("source_length").cast("string"), F.lit("")), F.lit(f"{_EOL}text-length: "), F.char_length("text").cast("string"), F.lit(_EOL), "head",
+        F.lit(f"{_EOL}source-content-length: "), F.coalesce(F.col("source_length").cast("string"), F.lit("")), F.lit(f"{_EOL}text-length: "), F.coalesce(F.char_length("text"), F.lit(0)).cast("string"), F.lit(_EOL), "head",
     )
     kinds = F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), F.encode(fields, "UTF-8").alias("block")),
         F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.encode("text", "UTF-8").alias("block")),
     )
-    at = at.select("source", "target_uri", "date", "head", F.inline(kinds))
+    at = at.select("source", "target_uri", "date", "head", F.inline(F.filter(kinds, lambda x: x["block"].isNotNull())))
     return at.select(
         _urn(F.coalesce("source", F.lit("")), "warc_type").alias("record_id"), "warc_type", F.col("source").alias("refers_to"), "target_uri", "date", "content_type", F.col("head").alias("http_headers"),
         _digest(F.col("block")).alias("payload_digest"), _digest(F.col("block")).alias("block_digest"), F.length("block").cast("long").alias("content_length"), "block",
@@ -104,9 +164,11 @@ def members(records: DataFrame) -> DataFrame:
     return records.mapInArrow(write, "record_id string, member binary")
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """The records of a file's bytes, plain or gzip."""
-    f = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+def parse(f: BinaryIO) -> Iterator[dict]:
+    """The records of a file, plain or gzip, one at a time. A gzip file is unpacked as it is read."""
+    start = f.read(2)
+    f.seek(0)
+    f = gzip.GzipFile(fileobj=f) if start == b"\x1f\x8b" else f
     while line := f.readline():
         if not line.startswith(b"WARC/"):
             continue
@@ -122,14 +184,22 @@ def parse(data: bytes) -> Iterator[dict]:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records (RECORD) of WARC files; a file is read by one task, so files should be of the customary size (about 1 GB)."""
+    """The records (RECORD) of WARC files. A file's bytes are one row, so it should be of the customary size (about 1 GB, 2 GB at most), but it is unpacked
+    record by record, and no more than BATCH bytes of records wait at once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in RECORD.split(", ")]
         kinds = {"content_length": pa.int64(), "block": pa.binary()}
+        made = lambda got: pa.RecordBatch.from_arrays([pa.array([r[c] for r in got], kinds.get(c, pa.string())) for c in names], names=names)
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                got = list(parse(data))
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in got], kinds.get(c, pa.string())) for c in names], names=names)
+            for data in batch.column(0):
+                got, size = [], 0
+                for row in parse(io.BufferedReader(pa.BufferReader(data.as_buffer()))):
+                    got.append(row)
+                    size += row["content_length"]
+                    if size > BATCH:
+                        yield made(got)
+                        got, size = [], 0
+                yield made(got)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, RECORD)
