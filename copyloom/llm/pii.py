@@ -1,15 +1,15 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base matches of four kinds are the seed entities. The words around them are lexical patterns; Spark scores patterns by how many
-of their instances are known, and instances by their best pattern, in turns. Patterns of high confidence then name
-identifiers that have a looser form of a kind and that the base rules miss.
+Base matches of four kinds are the seed entities. The words around them are lexical patterns, and so are the words around whatever else looks like an
+identifier; Spark scores patterns by the share of their instances that are known to be of a kind, and instances by their best pattern, in turns.
+Patterns of high confidence then name what stands in their slot, in whatever form, and what is found so supports patterns in turn.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,22 +19,27 @@ from copyloom.llm.common import stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Known instances that a pattern needs; share of known instances that makes a pattern, and its instances, trusted; mean rise of
-#: scores in a round at which they count as settled.
-SUPPORT, TRUST, SETTLED = 5, 0.8, 1e-6
+#: scores in a round at which they count as settled; characters before and after a span in which its context is sought.
+SUPPORT, TRUST, SETTLED, BEFORE, AFTER = 5, 0.8, 1e-6, 80, 40
+#: The kind of a candidate that isn't known.
+ANY = -1
 
-_RUN = re.compile(r"[A-Za-z0-9._%+@-]*@[A-Za-z0-9._%+@-]*")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")  # a match always starts a run of digits
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-#: Looser forms, by kind: what a trusted pattern may add.
+#: Forms that span several words: addresses spelt out or without a dot, long numbers in groups, local numbers; names and labels of an address have at most 64 and 63 characters.
 _LOOSE = (
-    re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|@) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{1,63})*"),
+    re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|@|(?<= )at(?= )) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\.|(?<= )dot(?= )) ?[A-Za-z0-9-]{1,63})+|[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|@) ?[A-Za-z0-9-]{1,63}"),
     re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
     re.compile(r"(?<![0-9])[0-9]{4}(?:[ .-]?[0-9]{2,6}){2,4}(?![0-9])"),
     re.compile(r"(?<![0-9+])\(?[0-9]{2,4}\)?[ .-][0-9]{3}[ .-][0-9]{3,4}(?![0-9])"),
 )
+#: Any other word with a digit or an @ in it may be an identifier, without the marks around it.
+_WORD = re.compile(r"[^\s]*[0-9@][^\s]*")
+_AROUND = "\"'`.,;:!?()[]{}<>|*=%"
 
 
 def _luhn(digits: str) -> bool:
@@ -45,17 +50,23 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of the base matches, by kind, then start."""
-    out = []
-    at = text.find("@")
-    while at >= 0:  # only the stretch of an address's characters around each @ is searched
+def _emails(text: str) -> Iterator[tuple[int, int, int]]:
+    """Before each @, the run of an address's characters; a run whose @ has no domain after it begins no address from any of its places."""
+    at, done = text.find("@"), 0
+    while at >= 0:
         lo = at
-        while lo and (text[lo - 1].isascii() and text[lo - 1].isalnum() or text[lo - 1] in "._%+-@"):
+        while lo > done and text[lo - 1] in _LOCAL:
             lo -= 1
-        run = _RUN.match(text, lo)
-        out += [(0, m.start(), m.end()) for m in _EMAIL.finditer(text, lo, run.end())]
-        at = text.find("@", run.end())
+        found = _DOMAIN.match(text, at + 1) if lo < at else None
+        done = found.end() if found else at + 1
+        if found:
+            yield 0, lo, done
+        at = text.find("@", done)
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the base matches, by kind, then start."""
+    out = list(_emails(text))
     if not _DIGIT.search(text):
         return out
     for m in _IP.finditer(text):
@@ -73,23 +84,48 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _loose_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    out = []
+def _free(spans: Iterable[tuple[int, int, int]], taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those spans, in order of their starts, that overlap none of the taken ones."""
+    held, out, k, reach = sorted((s, e) for _, s, e in taken), [], 0, 0
+    for kind, start, end in spans:
+        while k < len(held) and held[k][0] < end:
+            reach = max(reach, held[k][1])
+            k += 1
+        if start >= reach:
+            out.append((kind, start, end))
+    return out
+
+
+def _candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """What else may be an identifier, of whatever kind: forms of several words, then words; none overlaps another or a base span."""
     if not _DIGIT.search(text) and "@" not in text and "at" not in text:
-        return out
+        return []
+    out: list[tuple[int, int, int]] = []
     for kind, form in enumerate(_LOOSE):
-        if kind == 0 and not ("@" in text or "(at)" in text or "[at]" in text):
+        if kind == 0 and not ("@" in text or "(at)" in text or "[at]" in text or " dot " in text):
             continue
-        for m in form.finditer(text):
-            if not any(s < m.end() and m.start() < e for _, s, e in taken + out):
-                out.append((kind, m.start(), m.end()))
-    return out
+        whole = ((ANY, m.start(), m.end()) for m in form.finditer(text) if _edge(text, m.start() - 1) and _edge(text, m.end()))
+        out += _free(whole, base + out)
+    return out + _free(_words(text), base + out)
+
+
+def _edge(text: str, k: int) -> bool:
+    return not 0 <= k < len(text) or text[k].isspace() or text[k] in _AROUND
+
+
+def _words(text: str) -> Iterator[tuple[int, int, int]]:
+    for m in _WORD.finditer(text):
+        word = m[0].lstrip(_AROUND)
+        start = m.end() - len(word)
+        word = word.rstrip(_AROUND)
+        if len(word) >= 4:
+            yield ANY, start, start + len(word)
 
 
 def _contexts(text: str, start: int, end: int) -> list[str]:
     """The patterns that a span stands in: the word before it, the two before it, and the words on both sides; lower-cased."""
-    left = text[max(0, start - 80) : start].lower().split()[-2:]
-    right = text[end : end + 40].lower().split()[:1]
+    left = text[max(0, start - BEFORE) : start].lower().split()[-2:]
+    right = text[end : end + AFTER].lower().split()[:1]
     one = left[-1] if left else ""
     return [f"1 {one}", f"2 {' '.join(left)}", f"3 {one} _ {right[0] if right else ''}"]
 
@@ -110,8 +146,8 @@ def _scan(docs: DataFrame) -> DataFrame:
                 text = text or ""
                 spans = base_spans(text)
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
-                both = [(x, True) for x in spans] + [(x, False) for x in _loose_spans(text, spans)]
-                seen.append([{"kind": k, "start": s, "end": e, "seed": seed, "instance": _key(text[s:e]), "patterns": [_key(f"{k} {c}") for c in _contexts(text, s, e)]} for (k, s, e), seed in both])
+                both = [(x, True) for x in spans] + [(x, False) for x in _candidates(text, spans)]
+                seen.append([{"kind": k, "start": s, "end": e, "seed": seed, "instance": _key(text[s:e]), "patterns": [_key(c) for c in _contexts(text, s, e)]} for (k, s, e), seed in both])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.list_(_SPAN)), pa.array(seen, pa.list_(_SEEN))], names=["uid", "doc_id", "base", "seen"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -119,26 +155,31 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 
 def _bootstrapped(seen: DataFrame) -> DataFrame:
-    """Rows of seen, not seeds, whose instance ends as known: (uid, kind, start, end).
+    """Rows of seen, not seeds, whose instance ends as known: (uid, kind, start, end), with the kind of the best pattern.
 
-    Instances found in one round count as support in the next, by their score. Scores only rise, so rounds come to rest; they
-    end when none adds an instance or raises scores further, as rising scores alone can still carry a pattern over TRUST.
+    A pattern's trust in a kind is the share of all its different instances that are known to be of it, by their scores. Instances found in one round
+    count as support in the next. Scores only rise, so rounds come to rest; they end when none adds an instance or raises scores further, as rising
+    scores alone can still carry a pattern over TRUST.
     """
-    graph = stored(seen.select("kind", "instance", "seed", F.explode("patterns").alias("pattern")).groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
-    # Patterns with fewer instances than the support asks for never gain it; all others can.
-    live = graph.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") >= SUPPORT).select("kind", "pattern")
-    graph = stored(graph.join(live, ["kind", "pattern"]), "live")
-    score = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0)))
-    edges, before = graph.withColumn("best", F.lit(None).cast("double")), (0, 0.0)
+    of = F.when(F.col("seed"), F.col("kind"))
+    graph = seen.select("instance", of.alias("seed"), F.explode("patterns").alias("pattern"))
+    graph = stored(graph.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
+    # Patterns with fewer instances than the support asks for never gain it; all others can, if a seed stands in one of them.
+    live = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") >= SUPPORT)
+    graph = stored(graph.join(live, "pattern"), "live")
+    seeds = graph.where("seed is not null").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
+    known, before = seeds.distinct(), (0, 0.0)
     while True:
-        rated = edges.withColumn("score", score).groupBy("kind", "pattern").agg(F.avg("score").alias("trust"), F.count_if(F.col("score") >= TRUST).alias("known"))
-        rated = rated.where((F.col("trust") >= TRUST) & (F.col("known") >= SUPPORT))
-        best = stored(graph.join(rated, ["kind", "pattern"]).groupBy("kind", "instance").agg(F.max("trust").alias("best")), "best")
-        now = best.agg(F.count(F.lit(1)), F.coalesce(F.sum("best"), F.lit(0.0))).first()
+        rated = graph.join(known, "instance").groupBy("pattern", "kind").agg((F.sum("score") / F.first("all")).alias("trust"), F.count_if(F.col("score") >= TRUST).alias("known"))
+        rated = rated.where((F.col("trust") >= TRUST) & (F.col("known") >= SUPPORT)).select("pattern", "kind", "trust")
+        met = graph.where("seed is null").join(rated, "pattern")
+        best = met.groupBy("instance").agg(F.max(F.struct("trust", -F.col("kind"))).alias("b")).select("instance", (-F.col("b.col2")).alias("kind"), F.col("b.trust").alias("score"))
+        best = stored(best, "best")
+        now = best.agg(F.count(F.lit(1)), F.coalesce(F.sum("score"), F.lit(0.0))).first()
         if now[0] == before[0] and now[1] - before[1] <= SETTLED * max(1, now[0]):
             break
-        edges, before = graph.join(best, ["kind", "instance"], "left"), now
-    return seen.where("not seed").join(best.select("kind", "instance"), ["kind", "instance"]).select("uid", "kind", "start", "end")
+        known, before = seeds.distinct().unionByName(best.join(seeds.select("instance").distinct(), "instance", "left_anti")), now
+    return seen.where("not seed").drop("kind").join(best.select("instance", "kind"), "instance").select("uid", "kind", "start", "end")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,8 +204,8 @@ def _told(spans):
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base matches), base_sha256, spans (base and added), n_added."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base matches), base_sha256, spans (base and added), n_added, n_spans (all)."""
     found = find_pii(docs)
     kinds = F.transform("base", lambda x: x["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(_told(F.col("base")), 256).alias("base_sha256"), _told(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"))
+    return found.select("doc_id", *counts, F.sha2(_told(F.col("base")), 256).alias("base_sha256"), _told(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
