@@ -20,11 +20,13 @@ ONE_TASK = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set where there is none (tests, local mode)."""
+    """The folder named by spark.checkpoint.dir. Where none is named, a temporary one is set in local mode (tests), where all tasks share it;
+    on a cluster that is an error, as executors would write to disks of their own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = tempfile.mkdtemp(prefix="copyloom-")
-        spark.sparkContext.setCheckpointDir(where)
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="copyloom-"))
         where = spark.sparkContext.getCheckpointDir()
     return where
 
