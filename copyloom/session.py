@@ -36,9 +36,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder's name in the one that spark.checkpoint.dir names; a temporary one is set where there is none (tests, local mode)."""
+    """A new folder's name in the one that spark.checkpoint.dir names. Where none is named, a temporary one is set in local mode (tests); on a
+    cluster that is an error, as executors would write to disks of their own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="copyloom-"))
         where = spark.sparkContext.getCheckpointDir()
     return f"{where}/copyloom-{what}-{uuid.uuid4().hex}"

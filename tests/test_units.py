@@ -97,3 +97,16 @@ def test_text_tables(spark, tmp_path):
     assert rows(tables.read_counts(spark, str(tmp_path / "c.json")), "sample", "records", "error") == [("s", 5, None)]
     (tmp_path / "ped").write_text("FamilyID SampleID FatherID MotherID Sex\nf k d m 1\nf d 0 0 1\n")
     assert rows(tables.read_pedigree(spark, str(tmp_path / "ped"))) == [("k", "d", "m")]
+
+
+def test_stream_takes_in_what_lands(spark, tmp_path):
+    from copyloom.streaming.counts import bin_counts, stream_bins
+
+    land, at = tmp_path / "land", str(tmp_path / "state")
+    one = spark.createDataFrame([("a", 5.0), ("a", 15.0), ("b", 7.0)], "event_type string, value double")
+    two = spark.createDataFrame([("a", 6.0), ("c", 99.0)], "event_type string, value double")
+    one.coalesce(1).write.parquet(str(land))
+    assert rows(stream_bins(spark, str(land), "*.parquet", at)) == rows(bin_counts(one))
+    two.coalesce(1).write.mode("append").parquet(str(land))
+    assert rows(stream_bins(spark, str(land), "*.parquet", at)) == rows(bin_counts(one.unionByName(two)))
+    assert rows(stream_bins(spark, str(land), "*.parquet", at)) == rows(bin_counts(one.unionByName(two)))
