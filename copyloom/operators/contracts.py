@@ -56,3 +56,66 @@ def issues(wanted: DataFrame, counted: DataFrame, resources: DataFrame, what: st
         _issue(mixed_resources(resources, what), "error", f"mixed_{what}", what),
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def panel_mismatch(counted: DataFrame, panel: DataFrame) -> DataFrame:
+    """(sample, class, message): positional classes counted with k-mers other than the panel's. counted: (sample, class, kind, k, length, kmers); panel: (class, kind,
+    k, length, kmers). What counts lack isn't checked."""
+    at = counted.where("kind = 'positional'").join(panel.select("class", *(F.col(c).alias(f"{c}_") for c in ("kind", "k", "length", "kmers"))), "class")
+    parts = [F.when(F.col("kind_") != "positional", F.concat(F.lit("kind "), "kind_"))]
+    parts += [F.when(F.col(c) != F.col(f"{c}_"), F.concat(F.lit(f"{c} "), F.col(c).cast("string"), F.lit(" for "), F.col(f"{c}_").cast("string"))) for c in ("k", "length", "kmers")]
+    return at.select("sample", "class", F.concat_ws("; ", *parts).alias("message")).where("message <> ''")
+
+
+def incomplete_sinks(counted: DataFrame, skipped: DataFrame, missing: DataFrame) -> DataFrame:
+    """(sample, class, status, intervals, bp): classes that a fetch didn't read in full. counted: (sample, class); skipped: (sample, class, intervals, bp), rows of the
+    sinks on contigs that the input lacks, where an empty class serves all; missing: (sample, class), classes without any sink."""
+    all_ = skipped.where("class = ''").select("sample", "intervals", "bp").join(counted, "sample")
+    own = skipped.where("class <> ''").join(counted, ["sample", "class"]).select("sample", "class", "intervals", "bp")
+    cut = own.unionByName(all_.select("sample", "class", "intervals", "bp")).groupBy("sample", "class").agg(F.sum("intervals").alias("intervals"), F.sum("bp").alias("bp"))
+    none = missing.join(counted, ["sample", "class"], "left_semi").distinct().withColumn("none_", F.lit(True))
+    at = cut.join(none, ["sample", "class"], "full")
+    return at.select("sample", "class", F.when(F.col("none_"), "no_sinks_in_fetch").otherwise("sinks_skipped").alias("status"), "intervals", "bp")
+
+
+def subset_only(placements: DataFrame, options: DataFrame, width: int) -> DataFrame:
+    """(sample, class, bins): classes whose every placed bin overlaps an interval of one of the class's options, so that the fetch read those alone. placements: (sample, class,
+    contig, start); options: (class, contig, start, end)."""
+    placed = placements.where("contig <> '*'")
+    parts = options.select("class", "contig", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))).alias("bin_")).distinct()
+    at = placed.join(options.select("class").distinct(), "class").withColumn("bin_", F.floor(F.col("start") / width)).join(parts.withColumn("in_", F.lit(1)), ["class", "contig", "bin_"], "left")
+    got = at.groupBy("sample", "class").agg(F.count(F.lit(1)).alias("bins"), F.count("in_").alias("n_"))
+    return got.where("bins = n_").drop("n_")
+
+
+def unverified(counted: DataFrame, options: DataFrame, fetches: DataFrame, known: DataFrame, only: DataFrame) -> DataFrame:
+    """(sample, class): classes with options, counted by a fetch (sample, sinks) whose sinks nobody knows (known: sinks), unless only names them."""
+    odd = fetches.join(known.select("sinks").distinct(), "sinks", "left_anti").select("sample")
+    return counted.join(odd, "sample", "left_semi").join(options.select("class"), "class", "left_semi").join(only, ["sample", "class"], "left_anti").select("sample", "class").distinct()
+
+
+def other_build(contigs: DataFrame, expected: DataFrame) -> DataFrame:
+    """(sample, contig, length, expected, contigs): samples whose header disagrees with the build, by their first such contig and how many there are."""
+    at = contigs.join(expected.select("contig", F.col("length").alias("expected")), "contig").where("length <> expected")
+    return at.groupBy("sample").agg(F.min_by(F.struct("contig", "length", "expected"), "contig").alias("f"), F.count(F.lit(1)).alias("contigs")).select("sample", "f.*", "contigs")
+
+
+def mixed_signatures(counted: DataFrame, fields: list[str]) -> DataFrame:
+    """(class, field, values): fields of a class that aren't the same in all samples."""
+    at = counted.select("class", F.explode(F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*(F.col(f).cast("string") for f in fields)))).alias("field", "value")).where("value is not null")
+    return at.groupBy("class", "field").agg(F.array_join(F.array_sort(F.collect_set("value")), " / ").alias("values"), F.count_distinct("value").alias("n_")).where("n_ > 1").drop("n_")
+
+
+def clashing_panels(used: DataFrame) -> DataFrame:
+    """(sample, other): pairs of panel sets (sample, hash) of which neither holds the other, each set by its first sample. There are few different sets."""
+    sets = used.groupBy("sample").agg(F.array_sort(F.collect_set("hash")).alias("set")).groupBy("set").agg(F.min("sample").alias("sample"))
+    a, b = sets, sets.toDF("other_set", "other")
+    within = lambda x, y: F.size(F.array_except(x, y)) == 0
+    at = a.join(F.broadcast(b), F.col("sample") < F.col("other"))
+    return at.where(~within("set", "other_set") & ~within("other_set", "set")).select("sample", "other")
+
+
+def with_covariates(samples: DataFrame, components: DataFrame) -> DataFrame:
+    """Samples with their components (sample, ...); names of component files may carry .by1000. and what follows a last dot. Those without any keep nulls."""
+    named = components.withColumn("sample", F.regexp_replace("sample", r"(\.by1000)?\.[^.]*$", ""))
+    return samples.join(named, "sample", "left")

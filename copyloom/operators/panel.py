@@ -10,12 +10,17 @@ from copyloom.functions import sequences as S
 MIN_HITS, AMBIGUOUS = 4, 5
 
 
-def candidates(units: DataFrame, background: DataFrame | None = None) -> DataFrame:
-    """(canon, class, n, shared, background): k-mers by class with how often they occur in it, whether another class holds them,
-    and their count in the background. units: (class, kind, off, canon, fwd); background: (canon)."""
+def candidates(units: DataFrame, background: DataFrame | None = None, keep: DataFrame | None = None) -> DataFrame:
+    """(canon, class, kind, n, at, shared, background, outside): k-mers by class with how often they occur in it, whether another class holds them, their count in the
+    background, and whether they begin outside the class's keep intervals, if it has any; what is shared is told from all of a class's k-mers,
+    kept or not. units: (class, kind, off, canon, fwd); background: (canon); keep: (class, start, end)."""
     own = units.groupBy("canon", "class", "kind").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("off", "fwd"), "off").alias("at"))
     classes = own.groupBy("canon").agg((F.count(F.lit(1)) > 1).alias("shared"))
-    own = own.join(classes, "canon")
+    own = own.join(classes, "canon").withColumn("outside", F.lit(False))
+    if keep is not None:
+        lists = keep.groupBy("class").agg(F.collect_list(F.struct("start", "end")).alias("keep_"))  # a unit's intervals
+        held = F.exists("keep_", lambda x: (F.col("at.off") >= x["start"]) & (F.col("at.off") < x["end"]))
+        own = own.join(lists, "class", "left").withColumn("outside", F.col("keep_").isNotNull() & ~held).drop("keep_")
     if background is None:
         return own.withColumn("background", F.lit(0).cast("long"))
     met = background.join(own.select("canon").distinct(), "canon", "left_semi").groupBy("canon").agg(F.count(F.lit(1)).alias("background"))
@@ -25,14 +30,14 @@ def candidates(units: DataFrame, background: DataFrame | None = None) -> DataFra
 def reason(min_count: int = 1, max_background: int = 0) -> Column:
     """Why a candidate is dropped, in the order of the tests; 'kept' if it isn't."""
     return (
-        F.when(F.col("shared"), "shared").when((F.col("kind") == "positional") & (F.col("n") > 1), "repeated")
+        F.when(F.col("shared"), "shared").when(F.col("outside"), "outside").when((F.col("kind") == "positional") & (F.col("n") > 1), "repeated")
         .when((F.col("kind") == "compositional") & (F.col("n") < min_count), "rare").when(F.col("background") > max_background, "background").otherwise("kept")
     )
 
 
-def build(units: DataFrame, background: DataFrame | None = None, min_count: int = 1, max_background: int = 0) -> DataFrame:
+def build(units: DataFrame, background: DataFrame | None = None, min_count: int = 1, max_background: int = 0, keep: DataFrame | None = None) -> DataFrame:
     """The panel: (canon, class, kind, pos, fwd)."""
-    kept = candidates(units, background).where(reason(min_count, max_background) == "kept")
+    kept = candidates(units, background, keep).where(reason(min_count, max_background) == "kept")
     return kept.select("canon", "class", "kind", F.col("at.off").alias("pos"), F.col("at.fwd").alias("fwd"))
 
 
