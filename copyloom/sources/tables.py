@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import gzip
+import re
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BED = "contig string, start long, end long, name string"
@@ -83,19 +89,185 @@ def write_panel(panel: DataFrame, k: int, path: str) -> None:
 
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Counts documents, one per file; keys that are missing are null. error holds why a document is of no use."""
-    at = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.from_json("value", COUNTS).alias("c"))
+    """Counts documents, one per file, plain or gzip by their first bytes; keys that are missing are null. error holds why a document is of no use."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for raw in batch.column(1).to_pylist():
+                try:
+                    texts.append((gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode())
+                except (OSError, EOFError, UnicodeDecodeError, zlib.error):
+                    texts.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["path", "value"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")  # a document has a few hundred kB
+    at = files.mapInArrow(opened, "path string, value string").select("path", F.from_json("value", COUNTS).alias("c"))
     wrong = F.when(F.col("c.format").isNull(), "not a counts document").when(~F.col("c.format").rlike(COUNTS_FORMAT), "another format")
     return at.select("path", "c.*", wrong.alias("error"))
 
 
+#: Names of columns in headers, in lower case without marks; and what stands for a missing parent or label.
+_CHILD, _FATHER, _MOTHER = ("child", "kid", "sampleid", "sample", "iid", "individualid", "id"), ("father", "fatherid", "dad", "pat", "paternalid"), ("mother", "motherid", "mom", "mat", "maternalid")
+_GROUP = ("population", "pop", "group", "cluster", "ancestry", "superpop", "superpopulation")
+_NO_PARENT, _NO_LABEL = ("0", "-9", "NA", "."), ("NA", ".", "-9", "")
+
+
+def _norm(name: str) -> str:
+    return re.sub(r"[^a-z0-9]", "", name.lower())
+
+
+def _place(head: list[str], names: tuple[str, ...]) -> int | None:
+    low = [_norm(x) for x in head]
+    return next((low.index(n) for n in names if n in low), None)
+
+
+def _table(spark: SparkSession, path: str) -> tuple[list[str] | None, DataFrame]:
+    """The words of the first line if they name a child or sample, and the rows below as arrays c of words; further lines that start with # are comments."""
+    lines = _lines(spark, path).where("trim(value) <> ''").select(F.split(F.trim("value"), r"\s+").alias("c"), "value")
+    first = lines.first()
+    head = first.value.lstrip("#").split() if first else []
+    named = _place(head, _CHILD) is not None
+    body = lines.where(~F.startswith("value", F.lit("#"))).select("c")
+    return (head if named else None), body.where(F.concat_ws(" ", "c") != " ".join(first.value.split())) if named else body
+
+
 def read_pedigree(spark: SparkSession, path: str) -> DataFrame:
-    """(child, father, mother) of a headed or bare table of white-space columns: family child father mother, or child father mother
-    where it has three or, with a population, four columns whose first is named child or kid."""
-    at = _lines(spark, path).where("trim(value) <> ''").select(F.split(F.trim("value"), r"\s+").alias("c"))
-    head = at.where(F.lower(F.regexp_replace(F.get("c", F.lit(0)), "^#", "")).isin("child", "kid")).limit(1).count()
-    first = 0 if head else at.select(F.min(F.when(F.size("c") > 3, 1).otherwise(0))).first()[0]
-    g = lambda k: F.get("c", F.lit(first + k))
-    at = at.select(g(0).alias("child"), g(1).alias("father"), g(2).alias("mother"))
-    names = ("child", "kid", "sampleid", "iid", "individual_id")
-    return at.where(~F.lower(F.regexp_replace("child", "^#", "")).isin(*names)).where("father not in ('0', 'NA', '') and mother not in ('0', 'NA', '')")
+    """(child, father, mother, population) of complete trios from a table of white-space columns, with a header or without: then child father mother where the commonest
+    number of columns is three, with a population where it is four, and family child father mother where it is more. Parents 0, -9, NA and . are absent; rows too short
+    for the layout are left out."""
+    head, body = _table(spark, path)
+    group = None
+    if head:
+        at = [_place(head, names) for names in (_CHILD, _FATHER, _MOTHER)]
+        if None in at:
+            raise ValueError(f"{path}: the header names a child but no father or mother")
+        group = _place(head, _GROUP)
+    else:
+        common = body.groupBy(F.size("c").alias("n")).count().orderBy(F.desc("count"), "n").first()
+        wide = common.n if common else 3
+        at, group = ([0, 1, 2], 3 if wide == 4 else None) if wide <= 4 else ([1, 2, 3], None)
+    g = lambda k: F.get("c", F.lit(k))
+    label = F.lit(None).cast("string") if group is None else F.when(~g(group).isin(*_NO_LABEL), g(group))
+    rows = body.where(F.size("c") > max(at)).select(g(at[0]).alias("child"), g(at[1]).alias("father"), g(at[2]).alias("mother"), label.alias("population"))
+    return rows.where(~F.col("father").isin(*_NO_PARENT) & ~F.col("mother").isin(*_NO_PARENT))
+
+
+def read_groups(spark: SparkSession, path: str) -> DataFrame:
+    """(sample, population) from a table that names both in a header, or has them as its first two columns; labels NA, . and -9 are missing."""
+    head, body = _table(spark, path)
+    at = (_place(head, _CHILD), _place(head, _GROUP)) if head else (0, 1)
+    if None in at:
+        raise ValueError(f"{path}: the header names samples but no population")
+    got = body.select(F.get("c", F.lit(at[0])).alias("sample"), F.get("c", F.lit(at[1])).alias("population"))
+    return got.where(F.col("population").isNotNull() & ~F.col("population").isin(*_NO_LABEL))
+
+
+def read_components(spark: SparkSession, path: str) -> DataFrame:
+    """A tab-separated table with a column sample and numbers; .by1000. and what follows a last dot is cut from the names."""
+    at = spark.read.csv(path, sep="\t", header=True, inferSchema=True)
+    first = at.columns[0]
+    return at.select(F.regexp_replace(F.col(f"`{first}`").cast("string"), r"(\.by1000)?\.[^.]*$", "").alias("sample"), *(F.col(f"`{c}`") for c in at.columns[1:]))
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(name, kind, fasta, circular, min_count, keep) of a manifest of at most 255 classes: tab-separated name, kind, fasta, circular, and where needed min_count
+    (compositional classes) and keep, a BED of unit intervals (positional classes). Anything else is refused, and so are names that repeat."""
+    c = F.transform(F.split("value", "\t"), lambda x: F.trim(x))
+    at = _lines(spark, path).where("trim(value) <> '' and not startswith(value, '#')").select(c.alias("c"))
+    g = lambda k: F.coalesce(F.get("c", F.lit(k)), F.lit(""))
+    unset = lambda k: g(k).isin("", ".")
+    circular = F.when(F.lower(g(3)).isin("1", "true"), True).when(F.lower(g(3)).isin("0", "false"), False)
+    count = F.when(unset(4), 1).otherwise(g(4).try_cast("int"))
+    rows = at.select(F.size("c").alias("n_"), F.size(F.filter(F.slice("c", 7, 1000), lambda x: x != "")).alias("more_"), g(0).alias("name"), g(1).alias("kind"), g(2).alias("fasta"), circular.alias("circular"), count.alias("min_count"), F.when(~unset(5), g(5)).alias("keep"))
+    rows = _checked(rows, (F.col("n_") >= 4) & (F.col("more_") == 0) & (F.col("name") != "") & (F.col("fasta") != "") & F.col("kind").isin("positional", "compositional"), "not a class")
+    rows = _checked(rows, F.col("circular").isNotNull() & F.coalesce(F.col("min_count") >= 1, F.lit(False)), "circular is 0, 1, true or false, and min_count a number of 1 or more")
+    rows = _checked(rows, F.when(F.col("kind") == "positional", F.col("min_count") == 1).otherwise(F.col("keep").isNull()), "min_count is for compositional classes, keep for positional ones")
+    rows = _checked(rows.withColumn("same_", F.count(F.lit(1)).over(Window.partitionBy("name"))), F.col("same_") == 1, "a class is defined twice").drop("n_", "more_", "same_")
+    n = rows.limit(256).count()
+    if not 1 <= n <= 255:
+        raise ValueError(f"{path}: a manifest has 1 to 255 classes")
+    return rows
+
+
+def read_contigs(spark: SparkSession, path: str) -> DataFrame:
+    """(contig, length) from an index of a FASTA file, the @SQ lines of a header, or names (length null); a mixture is refused."""
+    at = _lines(spark, path).where("trim(value) <> '' and (not startswith(value, '@') or startswith(value, '@SQ\t'))")
+    c = F.split("value", "\t")
+    sq, fai = F.startswith("value", F.lit("@SQ")), F.coalesce(F.get(c, F.lit(1)).rlike("^[0-9]+$"), F.lit(False))
+    kind = F.when(sq, "sq").when(fai, "fai").otherwise("name")
+    name = F.when(sq, F.regexp_extract("value", r"\tSN:([^\t]+)", 1)).when(fai, F.get(c, F.lit(0))).otherwise(F.regexp_extract("value", r"^(\S+)", 1))
+    length = F.when(sq, F.nullif(F.regexp_extract("value", r"\tLN:([0-9]+)(?:\t|$)", 1), F.lit(""))).when(fai, F.get(c, F.lit(1))).cast("long")
+    got = _checked(at.select(name.alias("contig"), length.alias("length"), kind.alias("kind")), F.col("contig") != "", "a sequence without a name")
+    kinds = [r.kind for r in got.select("kind").distinct().collect()]
+    if len(kinds) != 1:
+        raise ValueError(f"{path}: not a FASTA index, a header or a list of names")
+    return got.drop("kind")
+
+
+def read_slices(spark: SparkSession, path: str) -> DataFrame:
+    """(ref, start, span, container, offset, size) of a CRAM index, gzip by its name's ending: six whole numbers a line."""
+    c = F.split("value", "\t")
+    names = ("ref", "start", "span", "container", "offset", "size")
+    at = _lines(spark, path).where("trim(value) <> ''").select(F.size(c).alias("n_"), *(F.get(c, F.lit(k)).try_cast("long").alias(n) for k, n in enumerate(names)))
+    good = F.col("n_") == 6
+    for n in names:
+        good = good & F.col(n).isNotNull()
+    return _checked(at, good, "not a line of six numbers").drop("n_")
+
+
+def read_annotation(spark: SparkSession, path: str) -> DataFrame:
+    """(sample, haplotype, contig, start, end, label, parts) of assembly annotation, one BED a haplotype named <sample>_hap1_... or _hap2_...; parts are the label's pieces between commas
+    outside parentheses."""
+    c = F.split("value", "\t")
+    file = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    at = _lines(spark, path).where("trim(value) <> '' and not startswith(value, '#') and not startswith(value, 'track')").select(
+        F.regexp_extract(file, r"^(.+?)_hap[12]", 1).alias("sample"), F.regexp_extract(file, r"_hap([12])", 1).try_cast("int").alias("haplotype"), F.get(c, F.lit(0)).alias("contig"),
+        F.get(c, F.lit(1)).try_cast("long").alias("start"), F.get(c, F.lit(2)).try_cast("long").alias("end"), F.get(c, F.lit(3)).alias("label"),
+    )
+    at = _checked(at, F.col("start").isNotNull() & (F.col("end") > F.col("start")) & F.col("label").isNotNull(), "not an annotation")
+    return at.withColumn("parts", F.transform(F.regexp_extract_all("label", F.lit(r"((?:[^,(]|\([^)]*\))+)"), 1), lambda x: F.trim(x)))
+
+
+def read_panel_classes(spark: SparkSession, path: str) -> DataFrame:
+    """(k, id, name, kind, length, circular, kmers_input, kmers_kept) of a panel's header lines; k is that of all classes."""
+    at = _lines(spark, path)
+    head = at.where("startswith(value, '##class\t')").select(F.str_to_map(F.expr("substring(value, 9)"), F.lit("\t"), F.lit("=")).alias("m"))
+    k = at.where("startswith(value, '##k=')").select(F.regexp_extract("value", r"^##k=(\d+)", 1).cast("int").alias("k")).first()
+    if k is None or not 1 <= k.k <= 31:
+        raise ValueError(f"{path}: no k of 1 to 31 in the header")
+    m = lambda x, t: F.col("m")[x].cast(t).alias(x)
+    return head.select(F.lit(k.k).alias("k"), m("id", "int"), m("name", "string"), m("kind", "string"), m("length", "long"), (F.col("m")["circular"] == "1").alias("circular"), m("kmers_input", "long"), m("kmers_kept", "long"))
+
+
+def write_report(candidates: DataFrame, path: str) -> None:
+    """Every candidate k-mer of a panel in order: class, position, count in its class, shared, background. candidates as operators.panel gives them."""
+    rows = candidates.where(~F.col("outside")).select("class", F.col("at.off").alias("pos"), "n", F.col("shared").cast("int").alias("shared"), "background")
+    rows.orderBy("class", "pos", "n").write.csv(path, sep="\t", header=True)
+
+
+def write_sinks(rows: DataFrame, path: str) -> None:
+    """(class, contig, start, end) as BED with the class as name, in order."""
+    rows.orderBy("contig", "start", "end", "class").select(F.concat_ws("\t", "contig", "start", "end", "class").alias("value")).write.text(path)
+
+
+def write_statistics(rows: DataFrame, path: str, held_out: str | None = None) -> None:
+    """Interval statistics by class and rank; held_out says which samples learned the intervals, in a column, as a table's parts have no header of their own."""
+    at = rows if held_out is None else rows.withColumn("held_out", F.lit(held_out))
+    at.orderBy("class", "rank").write.csv(path, sep="\t", header=True, nullValue="NA")
+
+
+def write_estimates(rows: DataFrame, path: str) -> None:
+    """One JSON document a sample, with its classes nested."""
+    values = [c for c in rows.columns if c not in ("sample", "class")]
+    rows.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("class", *values))).alias("classes")).write.json(path)
+
+
+def write_segments(rows: DataFrame, path: str) -> None:
+    """Stretches of copy states in order."""
+    rows.orderBy(*[c for c in ("sample", "class", "first") if c in rows.columns]).write.csv(path, sep="\t", header=True, nullValue="NA")
+
+
+def write_region_subset(fasta: DataFrame, regions: DataFrame, path: str) -> None:
+    """The records (name, description, seq) of a controls FASTA whose name is among regions (name)."""
+    write_fasta(fasta.join(regions.select("name").distinct(), "name", "left_semi").orderBy("name"), path)

@@ -96,7 +96,7 @@ def test_text_tables(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"format": "x-counts/1", "sample": "s", "records": 5}')
     assert rows(tables.read_counts(spark, str(tmp_path / "c.json")), "sample", "records", "error") == [("s", 5, None)]
     (tmp_path / "ped").write_text("FamilyID SampleID FatherID MotherID Sex\nf k d m 1\nf d 0 0 1\n")
-    assert rows(tables.read_pedigree(spark, str(tmp_path / "ped"))) == [("k", "d", "m")]
+    assert rows(tables.read_pedigree(spark, str(tmp_path / "ped")), "child", "father", "mother") == [("k", "d", "m")]
 
 
 def test_stream_takes_in_what_lands(spark, tmp_path):
