@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copyloom.functions import sequences as S
+from copyloom.operators import cohort, models
 from copyloom.operators import estimate as E
 from copyloom.queries import _dna, query, six, table
 
@@ -168,3 +169,31 @@ def sub_options(spark, d):
     worth = e.select("sample", "class").distinct().withColumn("worth", 0.5 + F.col("sample"))
     got = E.sub_options(e.groupBy("sample", "class", "contig", "start").agg(F.count(F.lit(1)).alias("reads")), o, worth, 10)
     return got.withColumn("mass", six("mass"))
+
+
+@query("""WITH l AS (SELECT c_nationkey % 5 AS class, ln(10 + c_acctbal / 4000) AS level FROM customer), m AS (SELECT class, quantile_cont(exp(level), 0.5) AS mid FROM l GROUP BY class),
+k AS (SELECT class, exp(level) AS cn FROM l JOIN m USING (class) WHERE abs(exp(level) - mid) < 0.5 * mid / 10) SELECT class, round(ln(quantile_cont(cn, 0.5) / 10), 4) AS delta, round(quantile_cont(cn, 0.5), 4) AS mode, count(*) AS n FROM k GROUP BY class""")
+def mode_pin(spark, d):
+    c = table(spark, d, "customer").select((F.col("c_nationkey") % 5).alias("class"), F.log(10 + F.col("c_acctbal") / 4000).alias("level"))
+    return models.mode_pin(c, ["class"], 10.0).select("class", F.round("delta", 4).alias("delta"), F.round("mode", 4).alias("mode"), "n")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, length(text) // 150 AS state FROM conversations), f AS (SELECT *, CASE WHEN state IS NOT DISTINCT FROM lag(state) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS nw FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+g AS (SELECT *, sum(nw) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM f), s AS (SELECT conv_id, state, min(turn) AS a, max(turn) AS b, max(turn) - min(turn) + 1 AS size FROM g GROUP BY conv_id, run, state),
+x AS (SELECT conv_id, max(size) AS mx, min(a) AS lo, max(b) AS hi FROM s GROUP BY conv_id), h AS (SELECT s.conv_id, state, sum(size) AS held FROM s JOIN x USING (conv_id) WHERE size >= 2 OR (mx < 2 AND size = mx) GROUP BY ALL),
+c AS (SELECT conv_id, state AS copies FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY held DESC, state) AS r FROM h) WHERE r = 1),
+d AS (SELECT s.*, copies, state - copies AS delta, lo, hi FROM s JOIN c USING (conv_id) JOIN x USING (conv_id)), n AS (SELECT *, CASE WHEN delta IS NOT DISTINCT FROM lag(delta) OVER (PARTITION BY conv_id ORDER BY a) THEN 0 ELSE 1 END AS nw FROM d),
+r AS (SELECT *, sum(nw) OVER (PARTITION BY conv_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM n),
+e AS (SELECT conv_id, copies, delta, min(a) AS first, max(b) AS last, sum(size) AS n, bool_or(a = lo OR b = hi) AS at_end FROM r WHERE delta <> 0 GROUP BY conv_id, copies, delta, run)
+SELECT conv_id, copies, first, last, delta, CASE WHEN n >= 2 AND at_end THEN 'partial ' || CASE WHEN delta > 0 THEN 'copy' ELSE 'loss' END WHEN delta > 0 THEN 'gain' ELSE 'loss' END AS kind FROM e""")
+def segment_events(spark, d):
+    x = table(spark, d, "conversations").select("conv_id", "turn", F.floor(F.length("text") / 150).alias("state"))
+    return models.events(cohort.runs(x, ["conv_id"], "turn", "state"), ["conv_id"], 2)
+
+
+@query()
+def heredity_resampled(spark, d):
+    """The slope of customers on those before them, with its spread over resampled families of ten, and the chance of its correlation."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("y"))
+    at = c.join(c.select((F.col("k") + 1).alias("k"), F.col("y").alias("x")), "k").withColumn("family", F.floor(F.col("k") / 10))
+    return cohort.family_bootstrap(at, "x", "y", "family").crossJoin(cohort.permutation_p(at, "x", "y", 99))  # one row each
