@@ -35,7 +35,7 @@ _ENDS_P = _BLOCK - {"html", "body", "li", "dt", "dd", "caption", "legend", "summ
 _P_SCOPE = {"td", "th", "li", "div", "body", "table", "button"}
 #: Columns of a table, columns and rows that a cell covers at most, and characters to which a column is filled up; wider cells push what follows.
 COLUMNS, ACROSS, DOWN, FILLED = 1000, 100, 65534, 200
-_TAG = re.compile(r"<[a-zA-Z/!?]")
+_TAG, _SPACE = re.compile(r"<[a-zA-Z/!?]"), re.compile(r"\s|!important")
 
 
 class _Sheet:
@@ -106,8 +106,17 @@ class _Renderer(HTMLParser):
         self.pre = self.foreign = self.svg = 0
         self.fresh = False  # right after <textarea>, where a line feed doesn't count
 
+    def updatepos(self, i: int, j: int) -> int:
+        """Lines aren't counted."""
+        return j
+
     def _last(self, tags) -> int:
-        return max((self.at[t][-1] for t in tags if self.at[t]), default=-1)
+        """The place of the innermost open element of these tags."""
+        last = -1
+        for t in tags:
+            if (at := self.at.get(t)) and at[-1] > last:
+                last = at[-1]
+        return last
 
     def _close(self, k: int) -> None:
         while len(self.open) > k:
@@ -194,16 +203,16 @@ class _Renderer(HTMLParser):
                 self._close(k)
                 if tag not in _GROUPS and tag != "tr":
                     break
-        if tag in _ENDS_P and (k := self._last(("p",))) > self._last(_P_SCOPE):
-            self._close(k)
-        a = {}
-        for k, v in attrs:
-            a.setdefault(k, v or "")
-        style = dict(x.split(":", 1) for x in re.sub(r"\s|!important", "", a.get("style", "").lower()).split(";") if ":" in x)
+        if self.at["p"] and tag in _ENDS_P and self.at["p"][-1] > self._last(_P_SCOPE):
+            self._close(self.at["p"][-1])
+        a = {k: v or "" for k, v in reversed(attrs)}  # the first of a name counts
         _, hidden, unseen, closed = self.open[-1] if self.open else ("", False, False, False)
-        hidden = hidden or closed and tag != "summary" or tag in _HIDDEN or bool(self.svg) and tag in _SVG_HIDDEN or "hidden" in a or style.get("display") == "none" or tag == "dialog" and "open" not in a
-        if "visibility" in style:
-            unseen = style["visibility"] in ("hidden", "collapse")
+        hidden = hidden or closed and tag != "summary" or tag in _HIDDEN or bool(self.svg) and tag in _SVG_HIDDEN or "hidden" in a or tag == "dialog" and "open" not in a
+        if "style" in a:
+            style = dict(x.split(":", 1) for x in _SPACE.sub("", a["style"].lower()).split(";") if ":" in x)
+            hidden = hidden or style.get("display") == "none"
+            if "visibility" in style:
+                unseen = style["visibility"] in ("hidden", "collapse")
         sheet = self.sheets[-1]
         if tag in _VOID:
             if not hidden:
@@ -267,7 +276,7 @@ class _Renderer(HTMLParser):
             self.handle_starttag("p", [])  # an end alone is an empty paragraph
         if tag == "br":
             self.handle_starttag("br", [])
-        k = self._last((tag,))
+        k = self.at[tag][-1] if self.at[tag] else -1
         if k >= 0 and (tag in _GROUPS or tag in _CELL or tag in ("tr", "table", "body", "html") or k > self._last(_CELL)):
             self._close(k)
 
@@ -276,7 +285,7 @@ class _Renderer(HTMLParser):
             self._close(len(self.open) - 1)
         if self.fresh:
             data, self.fresh = data.removeprefix("\r").removeprefix("\n"), False
-        if self.open and any(self.open[-1][1:]) or self.svg and self._last(("svg",)) > self._last(_SVG_TEXT):
+        if self.open and (self.open[-1][1] or self.open[-1][2] or self.open[-1][3]) or self.svg and self._last(("svg",)) > self._last(_SVG_TEXT):
             return
         self.sheets[-1].add(data, self.pre > 0)
 
