@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from copyloom.operators import intervals
+
 
 def robust(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, n, median, mad_sd): median and 1.4826 times the median deviation, of values that are neither null nor NaN."""
@@ -73,6 +75,40 @@ def centred(df: DataFrame, group: str, value: str, least: int = 5) -> DataFrame:
     return at.withColumn("centred", F.col(value) - F.when(F.col("n_") >= least, F.col("mean_")).otherwise(F.col("grand_"))).drop("mean_", "n_", "grand_")
 
 
+def centred_chain(df: DataFrame, groups: list[str], value: str, least: int = 5) -> DataFrame:
+    """The value less the mean of its group by all of `groups`, or by the first of them alone that has `least` rows, or the grand mean. Rows without a value count nowhere."""
+    at, tries = df, [groups, *([g] for g in groups)]
+    for k, keys in enumerate(tries):
+        mean = df.groupBy(*keys).agg(F.avg(value).alias(f"mean{k}_"), F.count(value).alias(f"n{k}_"))
+        at = at.join(mean.withColumnsRenamed({c: f"{c}{k}_" for c in keys}), [at[c].eqNullSafe(F.col(f"{c}{k}_")) for c in keys]).drop(*(f"{c}{k}_" for c in keys))
+    at = at.crossJoin(F.broadcast(df.agg(F.avg(value).alias("grand_"))))  # one row
+    mean = F.coalesce(*(F.when(F.col(f"n{k}_") >= least, F.col(f"mean{k}_")) for k in range(len(tries))), F.col("grand_"))
+    return at.withColumn("centred", F.col(value) - mean).drop("grand_", *(f"{x}{k}_" for k in range(len(tries)) for x in ("mean", "n")))
+
+
+def trimmed_mean(df: DataFrame, keys: list[str], value: str, z: float = 3.0) -> DataFrame:
+    """(keys, mean, kept): the mean of the values within z robust standard deviations of the median."""
+    mid = robust(df, keys, value).select(*keys, "median", "mad_sd")
+    near = df.join(mid, keys).where(F.abs(F.col(value) - F.col("median")) <= z * F.col("mad_sd"))
+    return near.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("kept"))
+
+
+def level_windows(windows: DataFrame, excluded: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Windows (keys, start, end) that overlap no excluded interval (keys, start, end)."""
+    met = intervals.overlaps(windows.select(*keys, "start", "end"), excluded.select(*keys, "start", "end"), keys, width).select(*keys, "start", "end").distinct()
+    return windows.join(met, [*keys, "start", "end"], "left_anti")
+
+
+def by_sex(at: DataFrame) -> DataFrame:
+    """(child_sex, parent_sex, n, r, z, q, q_all): correlations of children with fathers and mothers by the child's sex, Fisher's z, and Cochran's Q of all pairings' z about their mean weighted
+    by n - 3, with each pairing's part. at: (child_value, father_value, mother_value, sex)."""
+    both = at.select(F.col("sex").alias("child_sex"), "child_value", F.inline(F.array(F.struct(F.lit("father").alias("parent_sex"), F.col("father_value").alias("p")), F.struct(F.lit("mother").alias("parent_sex"), F.col("mother_value").alias("p")))))
+    r = both.groupBy("child_sex", "parent_sex").agg(F.count(F.lit(1)).alias("n"), F.corr("child_value", "p").alias("r")).where("n > 3").withColumn("z", F.atanh("r")).withColumn("w_", F.col("n") - 3)
+    mid = r.agg((F.sum(F.col("w_") * F.col("z")) / F.sum("w_")).alias("mid_"))
+    q = r.crossJoin(F.broadcast(mid)).withColumn("q", F.col("w_") * (F.col("z") - F.col("mid_")) * (F.col("z") - F.col("mid_")))  # one row
+    return q.crossJoin(F.broadcast(q.agg(F.sum("q").alias("q_all")))).select("child_sex", "parent_sex", "n", "r", "z", "q", "q_all")
+
+
 def trios(people: DataFrame, links: DataFrame, value: str) -> DataFrame:
     """(child, father, mother) and their values, for complete trios. people: (person, value); links: (child, father, mother)."""
     at = links

@@ -50,6 +50,14 @@ def merge(*panels: DataFrame) -> DataFrame:
     return every.join(once, "canon", "left_semi").drop("panel_")
 
 
+def selected(panel: DataFrame, names: list[str]) -> DataFrame:
+    """The panel's k-mers of the named classes, with asked; if one of them is compositional, all compositional classes stay, as they compete for reads."""
+    at = panel.withColumn("asked", F.col("class").isin(*names))
+    family = F.max((F.col("asked") & (F.col("kind") == "compositional")).cast("int"))
+    at = at.crossJoin(F.broadcast(at.agg((family == 1).alias("contest_"))))  # one row
+    return at.where(F.col("asked") | F.col("contest_") & (F.col("kind") == "compositional")).drop("contest_")
+
+
 def hits(reads: DataFrame, panel: DataFrame, k: int) -> DataFrame:
     """(read, valid, off, class, pos, same): the panel's k-mers in reads, and whether they lie on the unit's strand. reads: (read, seq);
     valid counts a read's k-mers. The reads' k-mers are looked up as they are rolled, so that only those of the panel become rows."""

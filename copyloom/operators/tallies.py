@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from copyloom.operators.intervals import points_in
+
 #: Flags of a read, and caps of the histograms of insert sizes and read lengths.
-PROPER, DUPLICATE = 0x2, 0x400
+PROPER, UNMAPPED, REVERSE, DUPLICATE = 0x2, 0x4, 0x10, 0x400
 INSERT_CAP, INSERT_BIN, LENGTH_CAP = 1500, 10, 400
 
 
@@ -94,3 +96,57 @@ def wide(rows: DataFrame, key: str, name: str, value: str, names: list[str]) ->
 
 def write_wide(table: DataFrame, path: str) -> None:
     table.write.csv(path, sep="\t", header=True, nullValue="NA", emptyValue="")
+
+
+def placed(reads: DataFrame) -> DataFrame:
+    """Reads with a place: those without are counted and classified, but in no contig, bin or region."""
+    return reads.where(~has(UNMAPPED))
+
+
+def bin_tally(reads: DataFrame, width: int) -> DataFrame:
+    """(contig, bin, reads, dup) of reads (contig, pos, flags)."""
+    return placed(reads).groupBy("contig", F.floor(F.col("pos") / width).alias("bin")).agg(F.count(F.lit(1)).alias("reads"), F.count_if(has(DUPLICATE)).alias("dup"))
+
+
+def contig_reads(reads: DataFrame) -> DataFrame:
+    """(contig, reads, dup)."""
+    return placed(reads).groupBy("contig").agg(F.count(F.lit(1)).alias("reads"), F.count_if(has(DUPLICATE)).alias("dup"))
+
+
+def read_lengths(reads: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, length, n): lengths beyond LENGTH_CAP count as that."""
+    return reads.groupBy(*keys, F.least(F.col("length"), F.lit(LENGTH_CAP)).alias("length")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def control_stats(reads: DataFrame, regions: DataFrame, keys: list[str], width: int = 1 << 12) -> DataFrame:
+    """(keys, ctrl, ctrl_dup, ctrl_mapq0): reads whose place lies in control regions (contig, start, end), which don't overlap."""
+    at = points_in(placed(reads), regions, ["contig"], width)
+    return at.groupBy(*keys).agg(F.count(F.lit(1)).alias("ctrl"), F.count_if(has(DUPLICATE)).alias("ctrl_dup"), F.count_if(F.col("mapq") == 0).alias("ctrl_mapq0"))
+
+
+def gc_observed(positions: DataFrame, ends: DataFrame) -> DataFrame:
+    """(gc, n, o): position-strands by the GC of their window (class, pos, reverse, gc; those without one are left out), and the ends seen at them. ends: (class, pos, reverse, n)."""
+    at = positions.where("gc >= 0").join(ends.select("class", "pos", "reverse", F.col("n").alias("seen_")), ["class", "pos", "reverse"], "left")
+    return at.groupBy("gc").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("seen_"), F.lit(0)).alias("o"))
+
+
+def region_totals(tables: DataFrame) -> DataFrame:
+    """(region, positions, mean_gc) of the positions of regions by GC (region, gc, n)."""
+    return tables.groupBy("region").agg(F.sum("n").alias("positions"), (F.sum(F.col("n") * F.col("gc")) / F.sum("n") / 100).alias("mean_gc"))
+
+
+def sequenced_end(pos: Column, length: Column, against: Column, stored: Column) -> tuple[Column, Column]:
+    """(end, reverse): where the end that was sequenced first lies on a unit, and its strand. pos: the place of the stored sequence's first base, on the strand that `against`
+    tells; stored: whether the record holds the reverse complement of what was sequenced."""
+    span = length - 1
+    return F.when(~stored, pos).when(against, pos - span).otherwise(pos + span), against != stored
+
+
+def stored_reversed(flags: Column) -> Column:
+    """Whether a record holds the reverse complement; that flag means nothing for reads without a place."""
+    return (flags.bitwiseAND(REVERSE) != 0) & (flags.bitwiseAND(UNMAPPED) == 0)
+
+
+def placement_order(placements: DataFrame) -> DataFrame:
+    """Placements (class, contig, start, reads) with their place in the order of a class: most reads first, then contig and start."""
+    return placements.withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("reads"), "contig", "start")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from copyloom.functions import sequences as S
 from copyloom.operators import contracts, intervals, panel, sinks
 from copyloom.queries import _BANDS, _MERGE, _UK, _bands, _dna, _place_sql, _places, _units, query, six, table
+from copyloom.session import kept
 
 #: Bases of a placement bin and of a neighbourhood, and of padding.
 WIDTH, NEAR, PAD = 10, 30, 20
@@ -34,7 +35,7 @@ def _contigs(spark) -> DataFrame:
 
 
 def _learned(spark, d) -> DataFrame:
-    return sinks.learned(_placed(spark, d), _contigs(spark), WIDTH, NEAR, 0.05, 2, PAD)
+    return kept(sinks.learned(_placed(spark, d), _contigs(spark), WIDTH, NEAR, 0.05, 2, PAD), "learned")
 
 
 @query(f'WITH {_LEARNED} SELECT class, contig, s AS "start", e AS "end" FROM bed')

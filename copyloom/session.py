@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -45,3 +45,10 @@ def scratch(spark: SparkSession, what: str) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="copyloom-"))
         where = spark.sparkContext.getCheckpointDir()
     return f"{where}/copyloom-{what}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it back, so that what uses it several times makes it once."""
+    at = scratch(df.sparkSession, what)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
