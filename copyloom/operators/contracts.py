@@ -45,7 +45,7 @@ def region_match(bundle: DataFrame, counted: DataFrame) -> DataFrame:
 
 def looks_cut(counts: DataFrame, share: float = 0.05) -> DataFrame:
     """Samples whose reads in control regions are more than `share` of all: files that hold chosen regions only."""
-    return counts.where(F.col("ctrl_reads") > share * F.col("primary")).select("sample", (F.col("ctrl_reads") / F.col("primary")).alias("share"))
+    return counts.where((F.col("primary") > 0) & (F.col("ctrl_reads") > share * F.col("primary"))).select("sample", (F.col("ctrl_reads") / F.col("primary")).alias("share"))
 
 
 def issues(wanted: DataFrame, counted: DataFrame, resources: DataFrame, what: str) -> DataFrame:

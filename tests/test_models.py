@@ -82,3 +82,25 @@ def test_family_bootstrap_and_permutations(spark):
     assert abs(got.slope - np.polyfit(x, y, 1)[0]) < 1e-9 and 0.8 < got.se / np.std(slopes) < 1.25 and got.low < got.slope < got.high
     far, none = cohort.permutation_p(df, "x", "y", 99).first(), cohort.permutation_p(df, "x", "other", 99).first()
     assert abs(far.r - np.corrcoef(x, y)[0, 1]) < 1e-9 and far.p == 0.01 and none.p > 0.01
+
+
+def test_rates_span_thin_strata_and_refuse_dropout():
+    gc = np.arange(101)
+    n = np.where((gc >= 25) & (gc <= 70), 30_000, 0)
+    n[40] = 100  # thin, between others
+    rate = 0.02 * np.exp(-(((gc - 48) / 25.0) ** 2))
+    o = np.random.default_rng(3).poisson(n * rate)
+    got, se = models.fit_rate(n.astype(float), o.astype(float))
+    have = np.flatnonzero(~np.isnan(got))
+    assert have[0] == 25 and have[-1] == 70 and np.abs(got[have] / rate[have] - 1).max() < 0.2 and np.isfinite(se[have]).all()
+    o[50:53] = 0
+    assert models.fit_rate(n.astype(float), o.astype(float)) == "dropout"
+    assert models.fit_rate(np.full(101, 10.0), np.full(101, 200.0)) == "too few positions"
+    assert models.fit_rate(np.where((gc > 40) & (gc < 45), 5e4, 0), np.where((gc > 40) & (gc < 45), 5e3, 0)) == "too few knots"
+
+
+def test_samples_that_look_cut(spark):
+    from copyloom.operators import contracts
+
+    df = spark.createDataFrame([("a", 4, 100), ("b", 6, 100), ("c", 0, 0)], "sample string, ctrl_reads long, primary long")
+    assert rows(contracts.looks_cut(df), "sample") == [("b",)]
