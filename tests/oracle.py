@@ -9,6 +9,11 @@ TOP = Path(__file__).resolve().parents[1]
 DATA = Path("/root/testdata")
 
 
+def nullable(x):
+    """Columns of numbers with nulls: pandas has several types for them."""
+    return {c for c in x.columns if x[c].isna().any() and (x[c].dtype == "Int64" or x[c].dtype == "float64" and (x[c].dropna() % 1 == 0).all())}
+
+
 def frames(spark, query, sql, sf):
     con = duckdb.connect()
     for p in (DATA / sf).glob("*.parquet"):
@@ -17,6 +22,7 @@ def frames(spark, query, sql, sf):
     got = query(spark, str(DATA / sf)).toPandas()
     assert sorted(got.columns) == sorted(want.columns), (list(got.columns), list(want.columns))
     cols = sorted(got.columns)
+    got, want = (x.assign(**{c: x[c].astype("Float64") for c in nullable(got) | nullable(want)}) for x in (got, want))
     return [[tuple(r) for r in x[cols].astype(str).sort_values(cols).itertuples(index=False)] for x in (got, want)]
 
 
