@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copyloom.llm import divergence, exact_dedup, html_text, language_model, mixing, ngram_join, packing, pii, quality, variants, vector_dedup, warc
+from copyloom.llm import divergence, exact_dedup, html_text, language_model, mixing, ngram_join, packing, pii, quality, url_filter, variants, vector_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(_table(spark, sf_dir, "pages"))
+
+
 def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(_table(spark, sf_dir, "documents"))
 
@@ -73,9 +77,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_pii, op3_html_text, op4_exact_dedup, op5_mixing, op6_ngram_join, op7_warc, op8_vector_dedup, op9_language_model, op10_quality, op12_variants, op13_divergence, pipeline)
+    found = (op1_packing, op2_pii, op3_html_text, op4_exact_dedup, op5_mixing, op6_ngram_join, op7_warc, op8_vector_dedup, op9_language_model, op10_quality, op11_url_filter, op12_variants, op13_divergence, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op6_ngram_join": ngram_join.ORACLE_SQL, "op8_vector_dedup": vector_dedup.ORACLE_SQL, "op12_variants": variants.ORACLE_SQL, "op13_divergence": divergence.ORACLE_SQL}
+    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op6_ngram_join": ngram_join.ORACLE_SQL, "op8_vector_dedup": vector_dedup.ORACLE_SQL, "op11_url_filter": url_filter.ORACLE_SQL, "op12_variants": variants.ORACLE_SQL, "op13_divergence": divergence.ORACLE_SQL}
