@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copyloom.llm.common import stored
+from copyloom.llm.common import small, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Known instances that a pattern needs; share of known instances that makes a pattern, and its instances, trusted; mean rise of
@@ -37,8 +37,8 @@ _LOOSE = (
     re.compile(r"(?<![0-9])[0-9]{4}(?:[ .-]?[0-9]{2,6}){2,4}(?![0-9])"),
     re.compile(r"(?<![0-9+])\(?[0-9]{2,4}\)?[ .-][0-9]{3}[ .-][0-9]{3,4}(?![0-9])"),
 )
-#: Any other word with a digit or an @ in it may be an identifier, without the marks around it.
-_WORD = re.compile(r"[^\s]*[0-9@][^\s]*")
+#: Any other word with a digit or an @ in it may be an identifier, without the marks around it, if it has so many characters.
+_WORD, LEAST = re.compile(r"\S+"), 4
 _AROUND = "\"'`.,;:!?()[]{}<>|*=%"
 
 
@@ -115,10 +115,12 @@ def _edge(text: str, k: int) -> bool:
 
 def _words(text: str) -> Iterator[tuple[int, int, int]]:
     for m in _WORD.finditer(text):
+        if not _DIGIT.search(m[0]) and "@" not in m[0]:
+            continue
         word = m[0].lstrip(_AROUND)
         start = m.end() - len(word)
         word = word.rstrip(_AROUND)
-        if len(word) >= 4:
+        if len(word) >= LEAST:
             yield ANY, start, start + len(word)
 
 
@@ -172,7 +174,7 @@ def _bootstrapped(seen: DataFrame) -> DataFrame:
     while True:
         rated = graph.join(known, "instance").groupBy("pattern", "kind").agg((F.sum("score") / F.first("all")).alias("trust"), F.count_if(F.col("score") >= TRUST).alias("known"))
         rated = rated.where((F.col("trust") >= TRUST) & (F.col("known") >= SUPPORT)).select("pattern", "kind", "trust")
-        met = graph.where("seed is null").join(rated, "pattern")
+        met = graph.where("seed is null").join(small(stored(rated, "rated")), "pattern")
         best = met.groupBy("instance").agg(F.max(F.struct("trust", -F.col("kind"))).alias("b")).select("instance", (-F.col("b.col2")).alias("kind"), F.col("b.trust").alias("score"))
         best = stored(best, "best")
         now = best.agg(F.count(F.lit(1)), F.coalesce(F.sum("score"), F.lit(0.0))).first()

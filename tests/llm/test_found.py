@@ -1,6 +1,7 @@
 """Identifiers that no rule knows, found by their contexts in a table where they are planted."""
 
 import random
+import time
 
 import pytest
 
@@ -59,3 +60,21 @@ def test_others_are_left_alone_and_base_spans_stay(planted):
     rows, found = planted
     assert not any(found[k].added for k, _, truth, _, _ in rows if truth == "")
     assert all([tuple(s) for s in found[k].base] == pii.base_spans(text) for k, text, *_ in rows)
+
+
+@pytest.mark.parametrize("word", ["a", "中", "1", "@", "a@", "a1.", "1-", "+1 ", "at ", "(at)", "1.", "dot "])
+def test_long_words_take_time_in_proportion(word):
+    def took(n):
+        text = word * (n // len(word)) + " 1"
+        at = time.process_time()
+        pii._candidates(text, pii.base_spans(text))
+        return time.process_time() - at
+
+    few = min(took(250_000) for _ in range(2))
+    assert few < 1 and took(1_000_000) < 6 * max(few, 0.1)
+
+
+def test_repeated_rows_and_long_words_have_their_spans(spark):
+    text = "x" * 300_000 + "7" + " mail a@b.org " + "y" * 300_000
+    rows = pii.find_pii(spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")).collect()
+    assert [[tuple(s) for s in r.base] for r in rows] == [[(0, 300_007, 300_014)]] * 3
