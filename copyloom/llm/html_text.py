@@ -7,6 +7,7 @@ blocks, lists, preformatted text and tables keep their shape, table cells aligne
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -35,6 +36,8 @@ _ENDS_P = _BLOCK - {"html", "body", "li", "dt", "dd", "caption", "legend", "summ
 _P_SCOPE = {"td", "th", "li", "div", "body", "table", "button"}
 #: Columns of a table, columns and rows that a cell covers at most, and characters to which a column is filled up; wider cells push what follows.
 COLUMNS, ACROSS, DOWN, FILLED = 1000, 100, 65534, 200
+#: Spaces in front of a cell at most; tables in one another whose columns are aligned, as each copies the lines within it (the cells of deeper ones follow one another).
+BLANK, DEEP = 400, 16
 _TAG, _SPACE = re.compile(r"<[a-zA-Z/!?]"), re.compile(r"\s|!important")
 
 
@@ -103,7 +106,7 @@ class _Renderer(HTMLParser):
         self.tables: list[list[list[tuple[list[str], int, int]]]] = []
         self.spans: list[tuple[int, int]] = []
         self.lists: list[list] = []
-        self.pre = self.foreign = self.svg = 0
+        self.pre = self.foreign = self.svg = self.flat = 0
         self.fresh = False  # right after <textarea>, where a line feed doesn't count
 
     def updatepos(self, i: int, j: int) -> int:
@@ -127,7 +130,10 @@ class _Renderer(HTMLParser):
             if hidden:
                 continue
             sheet = self.sheets[-1]
-            if tag in _CELL and self.tables and len(self.sheets) > 1:
+            if self.flat and tag in _CELL | {"table"}:
+                sheet.end(int(tag == "table"))
+                self.flat -= tag == "table"
+            elif tag in _CELL and self.tables and len(self.sheets) > 1:
                 lines = self.sheets.pop().text()
                 if not self.tables[-1]:
                     self.tables[-1].append([])
@@ -150,16 +156,25 @@ class _Renderer(HTMLParser):
     def _table(self, rows: list[list[tuple[list[str], int, int]]]) -> None:
         """Cells stand in the first free columns; those that cover several columns or rows keep them."""
         sheet = self.sheets[-1]
-        placed, taken, wide = [], {}, {}
+        placed, wide = [], {}
+        # Columns that a cell from above covers until some row; of those before `high`, the free ones in order.
+        until, due, free, high = {}, defaultdict(list), [], 0
         for r, row in enumerate(r for r in rows if r):
+            if back := [c for c in due.pop(r, ()) if until[c] == r]:
+                free = sorted([*free, *back])
             col, cells = 0, []
             for lines, across, down in row:
-                while taken.get(col, 0) > r:
-                    col += 1
+                k = bisect_left(free, col)
+                col = free[k] if k < len(free) else max(col, high)
                 across = max(1, min(across, COLUMNS - col))
                 cells.append((col, across, lines))
-                for c in range(col, col + across) if down > 1 else ():
-                    taken[c] = r + down
+                if down > 1:
+                    free = [*free, *range(high, col)]
+                    high = max(high, col + across)
+                    del free[bisect_left(free, col) : bisect_left(free, col + across)]
+                    for c in range(col, col + across):
+                        until[c] = r + down
+                        due[r + down].append(c)
                 if across == 1:
                     wide[col] = max(wide.get(col, 0), min(FILLED, max(map(len, lines))))
                 col += across
@@ -177,10 +192,10 @@ class _Renderer(HTMLParser):
         for cells in placed:
             for n in range(max(len(lines) for _, _, lines in cells)):
                 line, size = [], 0
+                cells = [x for x in cells if len(x[2]) > n]
                 for col, _, lines in cells:
-                    text = lines[n] if n < len(lines) else ""
-                    if text:
-                        fill = max(start[col] - size, 2 if size else 0)
+                    if text := lines[n]:
+                        fill = min(BLANK, max(start[col] - size, 2 if size else 0))
                         line.append(" " * fill + text)
                         size += fill + len(text)
                 if line:
@@ -229,7 +244,12 @@ class _Renderer(HTMLParser):
         self.svg += tag == "svg"
         if hidden:
             return
-        if tag == "table":
+        if tag == "table" and len(self.tables) >= DEEP:
+            sheet.end(1)
+            self.flat += 1
+        elif self.flat and tag in _CELL | {"tr"}:
+            sheet.end(0)
+        elif tag == "table":
             sheet.end(1)
             self.tables.append([])
         elif tag == "tr" and self.tables:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,26 +68,48 @@ def _unchunked(body: bytes) -> bytes:
     return b"".join([*out, body[at:]])
 
 
+_TEXT = re.compile(rb"[\t\n\f\r\x20-\x7e]*\Z|[\t\n\f\r\x20-\x7e]{8}")
 _CHUNK = re.compile(rb"(?:\r?\n)?([0-9a-fA-F]{1,15})[^\r\n]*\r?\n")
 
 
-def _decoded(body: bytes, head: dict[str, str]) -> bytes:
-    """The body without its transfer and content encodings; one that can't be undone leaves it as it is."""
+def _unpacked(body: bytes) -> bytes:
+    """All members of a gzip body; what is no member after the first is dropped."""
+    out: list[bytes] = []
+    while body.startswith(b"\x1f\x8b") or not out:
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(body))
+        except zlib.error:
+            if not out:
+                raise
+            break
+        body = member.unused_data
+    return b"".join(out)
+
+
+def _decoded(body: bytes, head: dict[str, str]) -> bytes | None:
+    """The body without its transfer and content encodings; null if one of these is unknown or its data are broken. A body that isn't packed at
+    all, whatever its header says, is left as it is."""
     if head.get("transfer-encoding", "").lower().split(",")[-1].strip() == "chunked":
         body = _unchunked(body)
     for name in reversed([x.strip() for x in head.get("content-encoding", "").lower().split(",")]):
         try:
             if name in ("gzip", "x-gzip"):
-                body = zlib.decompressobj(31).decompress(body)
+                body = _unpacked(body)
             elif name == "deflate":
                 body = zlib.decompressobj(15 if body[:1] == b"x" else -15).decompress(body)
-        except zlib.error:
-            break
+            elif name == "zstd":
+                with zstandard.ZstdDecompressor().stream_reader(body, read_across_frames=True) as frames:
+                    body = frames.read()
+            elif name not in ("", "identity"):
+                return None
+        except (zlib.error, zstandard.ZstdError):
+            return None if b"\x00" in body[:4096] or body[:2] == b"\x1f\x8b" or not _TEXT.match(body) else body
     return body
 
 
 def page_text(head: str, body: bytes) -> str | None:
-    """The visible text of an HTTP response; plain text as it is, null for what is neither text nor HTML. Bytes are read by the byte order mark,
+    """The visible text of an HTTP response; plain text as it is, null for what is neither text nor HTML, or is packed in a way unknown here. Bytes are read by the byte order mark,
     the header's charset, or the page's own; what isn't in that charset is replaced."""
     fields: dict[str, str] = {}
     for line in head.splitlines()[1:]:
@@ -95,7 +118,7 @@ def page_text(head: str, body: bytes) -> str | None:
     kind, _, rest = fields.get("content-type", "").partition(";")
     kind = kind.strip().lower()
     body = _decoded(body, fields)
-    if kind and kind not in ("text/html", "application/xhtml+xml", "text/plain"):
+    if body is None or kind and kind not in ("text/html", "application/xhtml+xml", "text/plain"):
         return None
     told = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", rest, re.I)
     own = re.search(rb"<meta[^>]{0,200}?charset\s*=\s*[\"']?([\w.:-]+)", body[:2048], re.I)
@@ -111,7 +134,7 @@ def page_text(head: str, body: bytes) -> str | None:
 def derivatives(records: DataFrame) -> DataFrame:
     """Two records for each response in records (RECORD): a metadata record with the source's headers and digests, and a
     conversion record with the page's visible text; both refer to the response's identifier. Other types give none, and a response that is neither HTML nor
-    plain text has no conversion record.
+    plain text, or whose encoding can't be undone, has no conversion record.
 
     A response without HTTP headers is all body, taken for HTML; transfer and content encodings are undone, and bytes read by their charset. Null blocks
     count as empty. The derivatives' identifiers follow from the source's, so reruns agree and repeated responses give repeated derivatives.
