@@ -76,11 +76,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not rows:
             return
         terms = {t: k for k, t in enumerate(dict.fromkeys(r[0] for r in rows))}
+        size = [len(posts) for _, _, posts in rows]
+        k, block = (np.repeat(x, size) for x in ([terms[r[0]] for r in rows], [r[1] for r in rows]))
+        posts = np.concatenate([r[2] for r in rows])
         p, p0, has = (np.zeros((2, len(terms), BLOCK), x) for x in (np.int64, np.int64, bool))
-        for term, block, posts in rows:
-            at, k = np.array([(x["at"], x["p"], x["p0"]) for x in posts], np.int64).T, terms[term]
-            for side in {int(block != i), int(block == j)} if i == j else {int(block == j)}:
-                p[side, k, at[0] % BLOCK], p0[side, k, at[0] % BLOCK], has[side, k, at[0] % BLOCK] = at[1], at[2], True
+        for side, of in enumerate((i, j)):
+            here = block == of
+            at = (side, k[here], posts[here, 0] % BLOCK)
+            p[at], p0[at], has[at] = posts[here, 1], posts[here, 2], True
         for a in np.flatnonzero(has[0].any(0)):
             t = np.flatnonzero(has[0][:, a])
             b = np.flatnonzero(has[1][t].any(0))
@@ -98,13 +101,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.string()), pa.array(a + i * BLOCK), pa.array(b + j * BLOCK), pa.array(state["sum"][a, b])], names=["lang", "a", "b", "f"])
 
     for batch in batches:
-        for lang, i, j, term, block, posts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        lists = batch.column(5)
+        ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        flat = np.stack([c.to_numpy() for c in lists.flatten().flatten()], 1)
+        for (lang, i, j, term, block), s, e in zip(zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             if (lang, i, j) != state["tile"]:
                 yield from out()
                 state |= {"tile": (lang, i, j), "sum": np.zeros((BLOCK, BLOCK), np.int64)}
             elif len(state["rows"]) >= TERMS and term != state["rows"][-1][0]:
                 add()
-            state["rows"].append((term, block, posts))
+            state["rows"].append((term, block, flat[s:e]))
     yield from out()
 
 
