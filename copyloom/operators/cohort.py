@@ -133,33 +133,26 @@ def _uniform(*what) -> Column:
     return F.pmod(F.xxhash64(*what), F.lit(1 << 52)) / float(1 << 52)
 
 
+def poisson(u: Column) -> Column:
+    """A Poisson number of mean 1 from a uniform one."""
+    w, upto = F.lit(0), 0.0
+    for k in range(12):
+        upto += float(np.exp(-1) / np.prod(np.arange(1, k + 1)))
+        w = w + F.when(u >= upto, 1).otherwise(0)
+    return w
+
+
 def family_bootstrap(at: DataFrame, x: str, y: str, family: str, times: int = 200, seed: int = 1) -> DataFrame:
     """(slope, se, low, high): the slope of y on x and its spread over `times` resamples of whole families, each drawn a Poisson number of times by a hash; a resample's slope is one
     row's work in a grouped sum."""
     drawn = at.select(family, x, y, F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("r_"))
-    u, w, upto = _uniform(family, "r_", F.lit(seed)), F.lit(0), 0.0
-    for k in range(12):
-        upto += float(np.exp(-1) / np.prod(np.arange(1, k + 1)))
-        w = w + F.when(u >= upto, 1).otherwise(0)
-    drawn = drawn.withColumn("w_", w).where("w_ > 0").withColumn("a_", F.col(x).cast("double")).withColumn("b_", F.col(y).cast("double"))
+    drawn = drawn.withColumn("w_", poisson(_uniform(family, "r_", F.lit(seed)))).where("w_ > 0").withColumn("a_", F.col(x).cast("double")).withColumn("b_", F.col(y).cast("double"))
     sums = drawn.groupBy("r_").agg(*(F.sum(F.col("w_") * v).alias(n) for n, v in (("n", F.lit(1.0)), ("a", F.col("a_")), ("b", F.col("b_")), ("ab", F.col("a_") * F.col("b_")), ("aa", F.col("a_") * F.col("a_")))))
     slope = (F.col("ab") - F.col("a") * F.col("b") / F.col("n")) / (F.col("aa") - F.col("a") * F.col("a") / F.col("n"))
     spread = sums.select(slope.alias("s")).agg(F.stddev_samp("s").alias("se"), F.percentile("s", 0.025).alias("low"), F.percentile("s", 0.975).alias("high"))
     return at.agg(F.regr_slope(y, x).alias("slope")).crossJoin(spread)  # one row each
 
 
-def permutation_p(at: DataFrame, x: str, y: str, times: int = 199, seed: int = 1) -> DataFrame:
-    """(r, p): the correlation of x and y, and how often it is as far from 0 when y is dealt anew: each of `times` times, the k-th row by one hash gets the y of the
-    k-th by another. A window holds the rows of one time."""
-    both = at.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.monotonically_increasing_id().alias("i_"), F.col(x).cast("double").alias("x_"), F.col(y).cast("double").alias("y_"))
-    every = both.withColumn("r_", F.explode(F.sequence(F.lit(1), F.lit(times))))
-    place = lambda s: F.row_number().over(Window.partitionBy("r_").orderBy(F.xxhash64("x_", "y_", "r_", F.lit(s)), "i_"))
-    left, right = every.select("r_", "x_", place(seed).alias("k_")), every.select("r_", "y_", place(seed + 1).alias("k_"))
-    dealt = left.join(right, ["r_", "k_"]).groupBy("r_").agg(F.corr("x_", "y_").alias("c_"))
-    seen = both.agg(F.corr("x_", "y_").alias("r"))
-    return dealt.crossJoin(F.broadcast(seen)).groupBy("r").agg(((F.count_if(F.abs("c_") >= F.abs("r")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))  # seen is one row
-
-
 def heredity_errors(at: DataFrame, x: str, y: str) -> DataFrame:
     """(n, slope, se): the slope of y on x and its error by squared residuals, each row with its own variance (n / (n - 2))."""
     fit = at.agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mx_"), F.avg(y).alias("my_"), F.regr_slope(y, x).alias("slope"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copyloom.functions import sequences as S
-from copyloom.operators import cohort, models
+from copyloom.operators import cohort, heredity, models
 from copyloom.operators import estimate as E
 from copyloom.queries import _dna, query, six, table
 
@@ -196,4 +196,4 @@ def heredity_resampled(spark, d):
     """The slope of customers on those before them, with its spread over resampled families of ten, and the chance of its correlation."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("y"))
     at = c.join(c.select((F.col("k") + 1).alias("k"), F.col("y").alias("x")), "k").withColumn("family", F.floor(F.col("k") / 10))
-    return cohort.family_bootstrap(at, "x", "y", "family").crossJoin(cohort.permutation_p(at, "x", "y", 99))  # one row each
+    return cohort.family_bootstrap(at, "x", "y", "family").crossJoin(heredity.permutation_p(at, "x", "y", 99))  # one row each

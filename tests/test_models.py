@@ -1,6 +1,6 @@
 import numpy as np
 
-from copyloom.operators import cohort, models
+from copyloom.operators import cohort, heredity, models
 
 
 def rows(df, *cols):
@@ -63,14 +63,6 @@ def test_short_runs_go_where_they_fit():
     assert models.without_short_runs(s, cn, 0.5, 4).tolist() == [5] * 20 + [6] * 23
 
 
-def test_noise_edge_finds_what_is_planted():
-    rng = np.random.default_rng(1)
-    for m in (0, 2, 5):
-        x = rng.normal(size=(200, 800)) + sum(3.0 * np.outer(rng.normal(size=200), rng.normal(size=800)) / np.sqrt(20) for _ in range(m))
-        assert models.noise_edge(np.linalg.svd(x - x.mean(0), compute_uv=False), 200, 800) == m
-    assert models.noise_edge(np.ones(5), 200, 800) == 0
-
-
 def test_family_bootstrap_and_permutations(spark):
     rng = np.random.default_rng(8)
     fam = np.repeat(np.arange(150), 3)
@@ -80,7 +72,7 @@ def test_family_bootstrap_and_permutations(spark):
     got = cohort.family_bootstrap(df, "x", "y", "family").first()
     slopes = [np.polyfit(np.concatenate([x[fam == f] for f in some]), np.concatenate([y[fam == f] for f in some]), 1)[0] for some in rng.integers(0, 150, (300, 150))]
     assert abs(got.slope - np.polyfit(x, y, 1)[0]) < 1e-9 and 0.8 < got.se / np.std(slopes) < 1.25 and got.low < got.slope < got.high
-    far, none = cohort.permutation_p(df, "x", "y", 99).first(), cohort.permutation_p(df, "x", "other", 99).first()
+    far, none = heredity.permutation_p(df, "x", "y", 99).first(), heredity.permutation_p(df, "x", "other", 99).first()
     assert abs(far.r - np.corrcoef(x, y)[0, 1]) < 1e-9 and far.p == 0.01 and none.p > 0.01
 
 

@@ -77,7 +77,6 @@ def test_polish_and_states():
     assert np.std(got - c) < 0.01
     cn = np.r_[np.full(50, 10.0), np.full(40, 9.0), np.full(50, 10.0)] + rng.normal(0, 0.3, 140)
     assert models.best_states(cn, 0.3).tolist() == [10] * 50 + [9] * 40 + [10] * 50
-    assert models.noise_edge(np.linalg.svd(rng.normal(size=(60, 400)) + 3 * np.outer(rng.normal(size=60), rng.normal(size=400)), compute_uv=False), 60, 400) == 1
 
 
 def test_text_tables(spark, tmp_path):
