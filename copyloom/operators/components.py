@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from copyloom.session import kept
@@ -224,13 +224,13 @@ def _fold_fits(width: int, folds: int):
     return fit
 
 
-def cross_validated(rows: DataFrame, folds: int = 10, seed: int = 1) -> DataFrame:
+def cross_validated(rows: DataFrame, folds: int = 10, seed: int = 1, fold: Column | None = None) -> DataFrame:
     """(sample, column, k, adjusted): the values of each column without their part on the first k covariates, for all k from 0, as predicted from the other folds; the column's mean
-    stays. rows: (sample, column, y, covariates), the covariates an array of one length. Rows with a null or NaN count nowhere; a sample's fold follows from its hash. k = 0 is no adjustment. Columns with
+    stays. rows: (sample, column, y, covariates), the covariates an array of one length. Rows with a null or NaN count nowhere; a sample's fold, below `folds`, follows from its hash unless it is told. k = 0 is no adjustment. Columns with
     fewer than 3 rows a fold, or than covariates and folds together and 2, give none.
 
     One pass sums each fold's products; a fit takes the sums of the other folds, and its nested models are leading parts of one factorisation."""
-    rows = kept(rows.where("y is not null and not isnan(y) and covariates is not null and not exists(covariates, x -> x is null or isnan(x))").withColumn("fold", F.pmod(F.xxhash64("sample", F.lit(seed)), F.lit(folds)).cast("int")), "folds")
+    rows = kept(rows.where("y is not null and not isnan(y) and covariates is not null and not exists(covariates, x -> x is null or isnan(x))").withColumn("fold", (F.pmod(F.xxhash64("sample", F.lit(seed)), F.lit(folds)) if fold is None else fold).cast("int")), "folds")
     first = rows.select(F.size("covariates")).first()
     schema = f"sample {rows.schema['sample'].dataType.simpleString()}, column string, k long, adjusted double"
     if first is None:

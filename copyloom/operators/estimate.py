@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copyloom.operators import models
+from copyloom.operators import intervals, models, sinks
 
 #: GC share of anchor bins; ends in them below which all bins set the level; bins of which so much is usable have copies.
 ANCHOR_GC, ANCHOR_ENDS, USABLE = (0.40, 0.60), 1000, 0.5
@@ -60,15 +60,19 @@ def _copies(obs: Column, exp: Column) -> Column:
     return F.when(exp > 0, 2 * obs / exp)
 
 
-def windows(bins: DataFrame, per: int, width: int) -> DataFrame:
-    """(sample, class, start, end, gc, obs, exp, usable, cn) of `per` bins each, both strands; cn is null where too little is usable."""
+def windows(bins: DataFrame, per: int, width: int, lengths: DataFrame | None = None) -> DataFrame:
+    """(sample, class, start, end, gc, obs, exp, usable, cn) of `per` bins each, both strands; cn is null where too little is usable. The last window ends with its unit, where lengths
+    (class, length) are given."""
     use = F.col("usable")
     at = bins.groupBy("sample", "class", F.floor(F.col("bin") / per).alias("w_")).agg(
         F.coalesce(F.avg(F.when(use, F.col("gc"))), F.avg("gc")).alias("gc"), F.coalesce(F.sum(F.when(use, F.col("obs"))), F.lit(0)).alias("obs"),
         F.coalesce(F.sum(F.when(use, F.col("exp"))), F.lit(0.0)).alias("exp"), F.avg(use.cast("int")).alias("usable"), F.max("bin").alias("last_"),
     )
     cn = F.when(F.col("usable") >= USABLE, _copies(F.col("obs"), F.col("exp")))
-    return at.select("sample", "class", (F.col("w_") * per * width).alias("start"), ((F.col("last_") + 1) * width).alias("end"), "gc", "obs", "exp", "usable", cn.alias("cn"))
+    end = (F.col("last_") + 1) * width
+    if lengths is not None:
+        at, end = at.join(lengths.select("class", F.col("length").alias("length_")), "class", "left"), F.least(end, F.coalesce("length_", end))
+    return at.select("sample", "class", (F.col("w_") * per * width).alias("start"), end.alias("end"), "gc", "obs", "exp", "usable", cn.alias("cn"))
 
 
 def _inside(intervals: DataFrame, width: int, keep: list[str]) -> DataFrame:
@@ -202,12 +206,27 @@ def relative_error(cn: DataFrame) -> DataFrame:
     return got.select("sample", "class", F.sqrt(F.col("v_") / F.col("k_") + 1 / F.greatest("n_", F.lit(1))).alias("cn_se_rel"))
 
 
-def sub_options(placed: DataFrame, options: DataFrame, per_read: DataFrame, width: int) -> DataFrame:
+def option_status(options: DataFrame, samples: DataFrame, beds: DataFrame) -> DataFrame:
+    """(sample, option, status) of what a sample says of an option: ok for whole scans (mode is not fetch); of a fetch, ok if the intervals it read are known and hold the option's, not_fetched if
+    they lack some, unverified if they aren't known. options: (option, class, contig, start, end); samples: (sample, mode, sinks); beds: (sinks, class, contig, start, end)."""
+    joined = intervals.merge(beds.select("sinks", "class", "contig", "start", "end"), ["sinks", "class", "contig"]).select("sinks", "class", "contig", F.col("start").alias("s_"), F.col("end").alias("e_"))
+    held = options.join(joined, ["class", "contig"]).where("s_ <= start and end <= e_").select("sinks", "option", "contig", "start", "end").distinct().groupBy("sinks", "option").agg(F.count(F.lit(1)).alias("held_"))
+    asked = options.select("option", "contig", "start", "end").distinct().groupBy("option").agg(F.count(F.lit(1)).alias("all_"))
+    at = samples.join(F.broadcast(asked), F.lit(True)).join(beds.select("sinks").distinct().withColumn("known_", F.lit(True)), "sinks", "left").join(held, ["sinks", "option"], "left")
+    status = F.when(F.col("mode") != "fetch", "ok").when(F.col("known_").isNull(), "unverified").when(F.coalesce("held_", F.lit(0)) < F.col("all_"), "not_fetched").otherwise("ok")
+    return at.select("sample", "option", status.alias("status"))
+
+
+def sub_options(placed: DataFrame, options: DataFrame, per_read: DataFrame, width: int, contigs: DataFrame | None = None, status: DataFrame | None = None) -> DataFrame:
     """(sample, option, class, reads, mass): the reads of a class in placement bins wholly inside an option's intervals, times what a read of the class is
-    worth. placed: (sample, class, contig, start, reads); options: (option, class, contig, start, end); per_read: (sample, class, worth)."""
-    first, last = F.ceil(F.col("start") / width), F.floor(F.col("end") / width) - 1
-    bins = options.where(first <= last).select("option", "class", "contig", F.explode(F.sequence(first, last)).alias("b_")).distinct()
-    at = placed.withColumn("b_", F.floor(F.col("start") / width)).drop("start").join(bins, ["class", "contig", "b_"]).groupBy("sample", "option", "class").agg(F.sum("reads").alias("reads"))
-    every = per_read.join(options.select("option", "class").distinct(), "class")
-    got = every.join(at, ["sample", "option", "class"], "left").withColumn("reads", F.coalesce("reads", F.lit(0)))
-    return got.select("sample", "option", "class", "reads", (F.col("reads") * F.col("worth")).alias("mass"))
+    worth. placed: (sample, class, contig, start, reads); options: (option, class, contig, start, end); per_read: (sample, class, worth). A bin ends with its contig, where contigs (contig, length)
+    are given. With status, as option_status() gives it, there is a column for it; reads that weren't fetched are null, and so is the mass of all that isn't ok."""
+    bed = options.select(F.col("option").alias("class"), "contig", "start", "end")
+    at = placed.join(options.select("option", "class").distinct(), "class").select("sample", F.col("option").alias("class"), "contig", "start", "reads")
+    ends = contigs if contigs is not None else placed.sparkSession.createDataFrame([], f"contig {placed.schema['contig'].dataType.simpleString()}, length long")
+    held = sinks.inside(at.withColumn("contig", F.col("contig").cast("string")), bed.withColumn("contig", F.col("contig").cast("string")), ends.withColumn("contig", F.col("contig").cast("string")), width).groupBy("sample", F.col("class").alias("option")).agg(F.sum("reads").alias("reads"))
+    every = per_read.join(options.select("option", "class").distinct(), "class").join(held, ["sample", "option"], "left").withColumn("reads", F.coalesce("reads", F.lit(0)))
+    if status is None:
+        return every.select("sample", "option", "class", "reads", (F.col("reads") * F.col("worth")).alias("mass"))
+    every = every.join(status, ["sample", "option"], "left")
+    return every.select("sample", "option", "class", F.when(F.col("status") != "not_fetched", F.col("reads")).alias("reads"), F.when(F.col("status") == "ok", F.col("reads") * F.col("worth")).alias("mass"), "status")

@@ -162,32 +162,39 @@ def chain(x: np.ndarray, sd: np.ndarray, ref: float, tau: float = TAU) -> np.nda
     return levels[np.array(path[::-1])]
 
 
+def cut(x: np.ndarray, sd: np.ndarray, ref: float, tau: float = TAU) -> list[tuple[int, int, float, float, int]]:
+    """(first, last, level, error, places too far) of the stretches of one chromosome's places: runs of the chain, the closest neighbours joined as long as their levels don't differ by what a change costs,
+    or one of them is too short."""
+
+    def level(s: int, e: int) -> tuple[float, float, int]:
+        mid = float(np.median(x[s:e]))
+        return near_mean(x[s:e], sd[s:e] * np.sqrt(max(mid, DIM * ref) / ref), mid)
+
+    path = chain(x, sd, ref, tau) if len(x) >= 2 * SHORTEST else np.zeros(len(x))
+    cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(x)]
+    found = [level(s, e) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+    while len(found) > 1:
+        size = np.diff(cuts)
+        gap = np.array([(a[0] - b[0]) ** 2 / (a[1] ** 2 + b[1] ** 2) for a, b in zip(found[:-1], found[1:], strict=True)])
+        short = np.minimum(size[:-1], size[1:]) < SHORTEST
+        k = int(np.argmin(np.where(short, gap - 1e12, gap)))
+        if not short[k] and gap[k] > 2 * tau:
+            break
+        del cuts[k + 1]
+        found[k : k + 2] = [level(cuts[k], cuts[k + 1])]
+    return [(s, e - 1, *f) for s, e, f in zip(cuts[:-1], cuts[1:], found, strict=True)]
+
+
 def _stretches(tau: float):
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Stretches of one chromosome of a sample: runs of the chain, the closest neighbours joined as long as their levels don't differ by what a change costs or a run is too short."""
-        pdf = pdf.sort_values("place", ignore_index=True)
-        x, sd, ref = pdf.x.to_numpy(), pdf.sd.to_numpy(), float(pdf.ref.iloc[0])
-
-        def level(s: int, e: int) -> tuple[float, float, int]:
-            mid = float(np.median(x[s:e]))
-            return near_mean(x[s:e], sd[s:e] * np.sqrt(max(mid, DIM * ref) / ref), mid)
-
-        path = chain(x, sd, ref, tau) if len(x) >= 2 * SHORTEST else np.zeros(len(x))
-        cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(x)]
-        while len(cuts) > 2:
-            found = [level(s, e) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
-            size = np.diff(cuts)
-            gap = np.array([(a[0] - b[0]) ** 2 / (a[1] ** 2 + b[1] ** 2) for a, b in zip(found[:-1], found[1:], strict=True)])
-            short = np.minimum(size[:-1], size[1:]) < SHORTEST
-            k = int(np.argmin(np.where(short, gap - 1e12, gap)))
-            if not short[k] and gap[k] > 2 * tau:
-                break
-            del cuts[k + 1]
-        rows = [(s, e - 1, *level(s, e)) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
-        out = pd.DataFrame(rows, columns=["first", "last", "copies", "se", "far"])
-        return out.assign(first=pdf.place.to_numpy()[out["first"]], last=pdf.place.to_numpy()[out["last"]], sample=pdf["sample"].iloc[0], chrom=pdf.chrom.iloc[0])[["sample", "chrom", "first", "last", "copies", "se", "far"]]
-
-    return cut
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The stretches of a sample's chromosomes."""
+        pdf = pdf.sort_values(["chrom", "place"])
+        chrom, place, x, sd, ref = (pdf[c].to_numpy() for c in ("chrom", "place", "x", "sd", "ref"))
+        edges = [0, *(np.flatnonzero(chrom[1:] != chrom[:-1]) + 1).tolist(), len(chrom)]
+        rows = [(chrom[s], place[s + a], place[s + b], *rest) for s, e in zip(edges[:-1], edges[1:], strict=True) for a, b, *rest in cut(x[s:e], sd[s:e], float(ref[s]), tau)]
+        return pd.DataFrame(rows, columns=["chrom", "first", "last", "copies", "se", "far"]).assign(sample=pdf["sample"].iloc[0])[["sample", "chrom", "first", "last", "copies", "se", "far"]]
+
+    return one
 
 
 def _dot(a: str, b: str) -> Column:
@@ -218,9 +225,14 @@ def _weighted(df: DataFrame, keys: list[str], x: str, sd: str) -> DataFrame:
     return at.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (some(F.col("w_") * F.col(x)) / some(F.col("w_"))).alias("x"), some(F.col("w_")).alias("w"), some(F.col("w_") * F.col("w_")).alias("ww"))
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """Rows by sample over all cores: a sample has few rows and much work, so partitions must not be joined for their size."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, "sample")
+
+
 def _round(at: DataFrame, model: Model, tau: float, local: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scored, chromosomes, stretches) of one round: at has the cells with their regions' model, e, and off."""
-    scored = kept(at.groupBy("sample").applyInPandas(_scorer(model.spread), f"sample {at.schema['sample'].dataType.simpleString()}, level double, noise double, scores array<double>, cov array<double>"), "scores")
+    scored = kept(_dealt(at).groupBy("sample").applyInPandas(_scorer(model.spread), f"sample {at.schema['sample'].dataType.simpleString()}, level double, noise double, scores array<double>, cov array<double>"), "scores")
     base = F.when(F.col("kind") == "A", F.col("level")).otherwise(F.col("level") - float(np.log(2)))
     rest = kept(at.join(scored.drop("cov"), "sample").select("sample", "region", "chrom", "kind", "place", "arm", "start", "end", "off", "sd", "u", "noise", (F.col("e") - base - _dot("v", "scores")).alias("r")), "residuals")
     on = rest.where("kind = 'A' and not off").withColumn("s_", F.col("sd") * F.col("noise"))
@@ -228,7 +240,7 @@ def _round(at: DataFrame, model: Model, tau: float, local: float) -> tuple[DataF
     errors = F.broadcast(model.errors)  # a row for each chromosome
     levels = levels.join(errors, F.col("chrom") == F.col("key"), "left").withColumn("se", F.sqrt(F.pow(F.greatest(F.coalesce("phi", F.lit(1.0)), F.lit(1.0)), 2) / F.col("w") + F.pow(F.coalesce("floor", F.lit(0.0)) / 2, 2)))
     every = rest.select("sample", "chrom", "kind").distinct().join(levels.select("sample", "chrom", F.col("x").alias("mu"), "se"), ["sample", "chrom"], "left").join(F.broadcast(model.gc), "chrom", "left")
-    lines = kept(every.groupBy("sample").applyInPandas(_line, f"sample {at.schema['sample'].dataType.simpleString()}, chrom string, tilt double, tilt_var double"), "lines")
+    lines = kept(_dealt(every).groupBy("sample").applyInPandas(_line, f"sample {at.schema['sample'].dataType.simpleString()}, chrom string, tilt double, tilt_var double"), "lines")
     u = F.coalesce("u", F.lit(1.0))
     r = F.exp(F.col("r") - F.col("tilt"))
     x = F.when(F.col("kind") == "A", 2 * r).when(F.col("kind") == "X", 1 + (r - 1) / u).otherwise(r)
@@ -238,12 +250,12 @@ def _round(at: DataFrame, model: Model, tau: float, local: float) -> tuple[DataF
     shared = F.pow(F.lit(local) * F.col("ref"), 2) * (1 - F.col("ww") / (F.col("w") * F.col("w")))  # what pieces of one place share isn't known better by having more of them
     spots = kept(spots.select("sample", "chrom", "ref", "place", "x", F.sqrt(1 / F.col("w") + shared).alias("sd")), "places")
     enough = spots.groupBy("sample", "chrom").count().where(F.col("count") >= LEAST).drop("count")
-    cut = spots.join(enough, ["sample", "chrom"]).groupBy("sample", "chrom").applyInPandas(_stretches(tau), f"sample {at.schema['sample'].dataType.simpleString()}, chrom string, first long, last long, copies double, se double, far long")
+    found = kept(_dealt(spots.join(enough, ["sample", "chrom"])).groupBy("sample").applyInPandas(_stretches(tau), f"sample {at.schema['sample'].dataType.simpleString()}, chrom string, first long, last long, copies double, se double, far long"), "cuts")
     # The scores' and the line's share of a level's error.
     k = len(model.spread)
     mean = model.regions.groupBy("chrom", "kind").agg(F.array(*(F.sum(F.col("v")[i] / (F.col("sd") * F.col("sd"))) / F.sum(1 / (F.col("sd") * F.col("sd"))) for i in range(k))).cast("array<double>").alias("vm"))
     mean = mean.select("chrom", "kind", F.flatten(F.transform("vm", lambda a: F.transform("vm", lambda b: a * b))).alias("outer"))
-    got = cut.join(F.broadcast(mean), "chrom").join(scored.select("sample", "noise", "cov"), "sample").join(lines, ["sample", "chrom"])  # mean: a row for each chromosome
+    got = found.join(F.broadcast(mean), "chrom").join(scored.select("sample", "noise", "cov"), "sample").join(lines, ["sample", "chrom"])  # mean: a row for each chromosome
     ref = F.when(F.col("kind") == "A", 2.0).otherwise(1.0)
     more = F.pow(F.greatest(F.col("copies"), DIM * ref), 2) * (F.col("noise") * F.col("noise") * _dot("outer", "cov") + F.col("tilt_var"))
     stretches = got.select("sample", "chrom", "kind", ref.alias("ref"), "first", "last", "copies", F.sqrt(F.col("se") * F.col("se") + more).alias("se0"), "far", "tilt")
@@ -327,10 +339,11 @@ def _regressed(k: int):
     return solve
 
 
-def fit(cells: DataFrame, regions: DataFrame, gc: DataFrame, modes: int = MODES, rounds: int = 2, tau: float = TAU) -> Model:
+def fit(cells: DataFrame, regions: DataFrame, gc: DataFrame, modes: int = MODES, rounds: int = 2, tau: float = TAU, reads: int = ROUNDS) -> Model:
     """Learns a model on a cohort: cells (sample, region, log_ratio), regions as layout() gives them, gc (chrom, gc). Efficiencies are medians and spreads robust; modes are the components of contrasts within
     chromosomes above the edge of noise, without those that live on one chromosome; what a reading finds off its whole number stays out of the next round. X is learned on samples with one copy of it (on those
-    with two, if fewer than 10 have one), Y on those with one."""
+    with two, if fewer than 10 have one), Y on those with one. `reads` bounds the rounds of
+    each reading."""
     spark = cells.sparkSession
     y = cells.where("log_ratio is not null and not isnan(log_ratio)").join(regions.select("region", "chrom", "kind"), "region")
     level = y.where("kind = 'A'").groupBy("sample").agg(F.percentile("log_ratio", 0.5).alias("level_"))
@@ -396,7 +409,7 @@ def fit(cells: DataFrame, regions: DataFrame, gc: DataFrame, modes: int = MODES,
         none = spark.createDataFrame([], "key string, phi double, floor double")
         model = Model(table.withColumn("v", F.coalesce("v", F.array_repeat(F.lit(0.0), width))), spread, none, gc, held | {"samples": n, "components": width, "above_noise": int(found), "x_from": "one" if from_one else "two"})
         if k < rounds:
-            off = read(cells, model, tau).off
+            off = read(cells, model, tau, rounds=reads).off
     return model
 
 

@@ -81,12 +81,17 @@ def nearest_table(lengths: DataFrame, keys: list[str], target: str) -> DataFrame
 
 def callable_starts(unit: DataFrame, read: int, k: int, least: int) -> DataFrame:
     """(class, pos, ahead, back): whether a read of so many bases that begins at pos holds at least so many of the panel's k-mers, on
-    either strand. unit: (class, pos, kept), a row for each position at which a k-mer begins, gapless."""
-    w = Window.partitionBy("class").orderBy("pos")
+    either strand. unit: (class, pos, kept), a row for each position at which a k-mer begins, gapless, and where known circular: such a unit goes on at its start, as often as a read goes round it."""
+    at = unit if "circular" in unit.columns else unit.withColumn("circular", F.lit(False))
+    size = at.groupBy("class").agg(F.count(F.lit(1)).alias("size_"))
+    turns = F.when(F.col("circular"), F.ceil(F.lit(read) / F.col("size_"))).otherwise(0)
+    at = at.join(size, "class").withColumn("turn_", F.explode(F.sequence(-turns, turns))).withColumn("at_", F.col("pos") + F.col("turn_") * F.col("size_")).where(f"at_ > -{read} and at_ < size_ + {read}")
+    w = Window.partitionBy("class").orderBy("at_")
     kept = F.col("kept").cast("int")
     ahead, back = w.rowsBetween(0, read - k), w.rowsBetween(1 - read, 1 - k)
     full = lambda f: F.count(F.lit(1)).over(f) == read - k + 1
-    return unit.select("class", "pos", (full(ahead) & (F.sum(kept).over(ahead) >= least)).alias("ahead"), (full(back) & (F.coalesce(F.sum(kept).over(back), F.lit(0)) >= least)).alias("back"))
+    got = at.select("class", "pos", "turn_", (full(ahead) & (F.sum(kept).over(ahead) >= least)).alias("ahead"), (full(back) & (F.coalesce(F.sum(kept).over(back), F.lit(0)) >= least)).alias("back"))
+    return got.where("turn_ = 0").drop("turn_")
 
 
 def wide(rows: DataFrame, key: str, name: str, value: str, names: list[str]) -> DataFrame:

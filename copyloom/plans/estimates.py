@@ -29,7 +29,7 @@ b AS (SELECT sample, class, pos // {WIDTH} AS bin, reverse, bool_and(ok AND rate
 FROM p JOIN curve USING (gc) GROUP BY sample, class, pos // {WIDTH}, reverse),
 bins AS (SELECT b.*, coalesce(n, 0) AS obs FROM b LEFT JOIN seen USING (sample, class, bin, reverse)),
 win AS (SELECT sample, class, bin // {PER} AS w, coalesce(avg(gc) FILTER (usable), avg(gc)) AS gc, coalesce(sum(obs) FILTER (usable), 0) AS obs, coalesce(sum(exp) FILTER (usable), 0) AS exp, avg(usable::INT) AS usable, max(bin) AS last FROM bins GROUP BY ALL),
-windows AS (SELECT sample, class, w * {PER * WIDTH} AS "start", (last + 1) * {WIDTH} AS "end", gc, obs, exp, usable, CASE WHEN usable >= 0.5 AND exp > 0 THEN 2 * obs / exp END AS cn FROM win)"""
+windows AS (SELECT sample, class, w * {PER * WIDTH} AS "start", least((last + 1) * {WIDTH}, size) AS "end", gc, obs, exp, usable, CASE WHEN usable >= 0.5 AND exp > 0 THEN 2 * obs / exp END AS cn FROM win JOIN v USING (class))"""
 
 
 def curve(spark) -> DataFrame:
@@ -52,7 +52,8 @@ def _anchors(spark, d) -> DataFrame:
 
 @query(f'WITH {_BINS} SELECT sample, class, "start", "end", round(gc, 6) AS gc, CAST(obs AS BIGINT) AS obs, round(exp, 6) AS exp, round(usable, 6) AS usable, round(cn, 6) AS cn FROM windows')
 def copy_windows(spark, d):
-    w = E.windows(_strand_bins(spark, d), PER, WIDTH)
+    lengths = table(spark, d, "benchmark").select(F.col("item_id").alias("class"), F.length(S.dna(F.col("text"))).alias("length"))
+    w = E.windows(_strand_bins(spark, d), PER, WIDTH, lengths)
     return w.select("sample", "class", "start", "end", "obs", *(six(c).alias(c) for c in ("gc", "exp", "usable", "cn")))
 
 
@@ -159,15 +160,15 @@ def sample_estimates(spark, d):
 
 
 @query("""WITH p AS (SELECT user_id % 5 AS sample, event_type AS class, user_id % 3 AS contig, CAST(floor(value) AS BIGINT) // 10 * 10 AS s, count(*) AS reads FROM events GROUP BY ALL),
-o AS (SELECT event_type AS class, concat(event_type, '-', c) AS option, c AS contig, 45 + 30 * c AS s, 183 + 70 * c AS e FROM (SELECT DISTINCT event_type FROM events), range(2) r(c)),
-w AS (SELECT DISTINCT user_id % 5 AS sample, event_type AS class FROM events), n AS (SELECT sample, option, sum(reads) AS reads FROM p JOIN o ON p.class = o.class AND p.contig = o.contig AND p.s >= o.s AND p.s + 10 <= o.e GROUP BY ALL)
+o AS (SELECT event_type AS class, concat(event_type, '-', c) AS option, c AS contig, 45 + 30 * c AS s, 174 + 65 * c AS e FROM (SELECT DISTINCT event_type FROM events), range(2) r(c)),
+w AS (SELECT DISTINCT user_id % 5 AS sample, event_type AS class FROM events), n AS (SELECT sample, option, sum(reads) AS reads FROM p JOIN o ON p.class = o.class AND p.contig = o.contig AND p.s >= o.s AND least(p.s + 10, 174 + 60 * p.contig) <= o.e GROUP BY ALL)
 SELECT w.sample, o.option, w.class, CAST(coalesce(reads, 0) AS BIGINT) AS reads, round(coalesce(reads, 0) * (0.5 + w.sample), 6) AS mass FROM w JOIN o ON w.class = o.class LEFT JOIN n ON n.sample = w.sample AND n.option = o.option""")
 def sub_options(spark, d):
     e = table(spark, d, "events").select((F.col("user_id") % 5).alias("sample"), F.col("event_type").alias("class"), (F.col("user_id") % 3).alias("contig"), (F.floor(F.floor("value") / 10) * 10).alias("start"))
     o = e.select("class").distinct().select("class", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("contig"))
-    o = o.select("class", F.concat_ws("-", "class", "contig").alias("option"), "contig", (45 + 30 * F.col("contig")).alias("start"), (183 + 70 * F.col("contig")).alias("end"))
+    o = o.select("class", F.concat_ws("-", "class", "contig").alias("option"), "contig", (45 + 30 * F.col("contig")).alias("start"), (174 + 65 * F.col("contig")).alias("end"))
     worth = e.select("sample", "class").distinct().withColumn("worth", 0.5 + F.col("sample"))
-    got = E.sub_options(e.groupBy("sample", "class", "contig", "start").agg(F.count(F.lit(1)).alias("reads")), o, worth, 10)
+    got = E.sub_options(e.groupBy("sample", "class", "contig", "start").agg(F.count(F.lit(1)).alias("reads")), o, worth, 10, e.select("contig").distinct().select("contig", (174 + 60 * F.col("contig")).alias("length")))
     return got.withColumn("mass", six("mass"))
 
 

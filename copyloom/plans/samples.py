@@ -97,16 +97,16 @@ def nearest_table(spark, d):
     return tallies.nearest_table(x.select("o_orderkey", (F.col("l_linenumber") * 100).alias("l"), (F.col("o_custkey") % 700).alias("t")), ["o_orderkey"], "t")
 
 
-_AT = "kept_at AS (SELECT item_id, off, c IN (SELECT c FROM panel) AS kept FROM uk)"
+_AT = """kept_at AS (SELECT item_id, off + n * j AS off, j, c IN (SELECT c FROM panel) AS kept FROM (SELECT *, unnest(CASE WHEN item_id % 3 = 1 THEN range(-((50 + n - 1) // n), (50 + n - 1) // n + 1) ELSE [0] END) AS j FROM (SELECT item_id, off, c, count(*) OVER (PARTITION BY item_id) AS n FROM uk)))"""
 
 
-@query(f"""WITH {_UK}, {_PANEL}, {_AT}, f AS (SELECT item_id, count(*) OVER a AS na, count(*) FILTER (kept) OVER a AS ka, count(*) OVER b AS nb, count(*) FILTER (kept) OVER b AS kb FROM kept_at
+@query(f"""WITH {_UK}, {_PANEL}, {_AT}, f AS (SELECT item_id, j, count(*) OVER a AS na, count(*) FILTER (kept) OVER a AS ka, count(*) OVER b AS nb, count(*) FILTER (kept) OVER b AS kb FROM kept_at
 WINDOW a AS (PARTITION BY item_id ORDER BY off ROWS BETWEEN CURRENT ROW AND 35 FOLLOWING), b AS (PARTITION BY item_id ORDER BY off ROWS BETWEEN 49 PRECEDING AND 14 PRECEDING))
-SELECT item_id, count(*) AS starts, count(*) FILTER (na = 36 AND ka >= 30) AS ahead, count(*) FILTER (nb = 36 AND kb >= 30) AS back FROM f GROUP BY item_id""")
+SELECT item_id, count(*) AS starts, count(*) FILTER (na = 36 AND ka >= 30) AS ahead, count(*) FILTER (nb = 36 AND kb >= 30) AS back FROM f WHERE j = 0 GROUP BY item_id""")
 def callable_starts(spark, d):
     u = _units(spark, d)
     kept = panel.build(u).select("canon", F.lit(True).alias("kept"))
-    at = u.join(kept, "canon", "left").select("class", F.col("off").alias("pos"), F.coalesce("kept", F.lit(False)).alias("kept"))
+    at = u.join(kept, "canon", "left").select("class", F.col("off").alias("pos"), F.coalesce("kept", F.lit(False)).alias("kept"), (F.col("class") % 3 == 1).alias("circular"))
     got = tallies.callable_starts(at, 50, K, 30)
     return got.groupBy(F.col("class").alias("item_id")).agg(F.count(F.lit(1)).alias("starts"), F.count_if("ahead").alias("ahead"), F.count_if("back").alias("back"))
 

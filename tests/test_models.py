@@ -31,15 +31,11 @@ def test_calibration_with_anchors_and_unstable_windows(spark):
     assert all(abs(single[i] - got[i].level) < 0.02 for i in range(3))
 
 
-def test_mode_pin_and_comb(spark):
+def test_mode_pin(spark):
     rng = np.random.default_rng(2)
     cn = np.r_[10 + rng.normal(0, 0.1, 80), 9 + rng.normal(0, 0.1, 30)] * 1.05
     got = models.mode_pin(spark.createDataFrame([("a", float(np.log(x))) for x in cn], "class string, level double"), ["class"], 10.0).first()
     assert abs(got.mode - np.median(cn[np.abs(cn - np.median(cn)) < np.median(cn) / 20])) < 1e-9 and abs(got.delta - np.log(1.05)) < 0.01
-    level = np.r_[np.full(60, 10.0), np.full(60, 9.0)] + rng.normal(0, 0.03, 120)
-    copies = np.round(level) - (rng.random(120) < 0.4)
-    assert abs(models.comb_offset(copies / np.round(level) * np.exp(0.05) + rng.normal(0, 0.001, 120), level) - 0.05) < 0.006
-    assert models.comb_offset(np.ones(10), np.full(10, 10.0)) == 0.0
 
 
 def test_segments_with_scale_lean_and_short_runs(spark):
