@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copyloom.operators import cohort, cohort_table, components, fractions, heredity, karyotype
+from copyloom.operators import assembly, cohort, cohort_table, components, fractions, heredity, karyotype
 from copyloom.queries import query, six, table
 
 _CELLS = "cells AS (SELECT l_suppkey % 40 AS r, l_partkey % 60 AS c, avg(ln(l_extendedprice)) AS v FROM lineitem GROUP BY ALL)"
@@ -175,3 +175,31 @@ def cohort_layer(spark, d):
     rules = {"class0": cohort_table.Rule(excluded=[(3500, 3800)], expected=10.0, polymorphic=[("end", 3500, 3800, 0.02, 0.15)])}
     got = cohort_table.cohort_table(windows, controls, anchors, rules)
     return got.values.select("sample", "column", F.round("value", 5).alias("value"))
+
+
+_ANNOTATED = """a AS (SELECT user_id % 4 AS sample, user_id % 2 AS haplotype, event_type AS contig, CAST(floor(value * 40) AS BIGINT) AS s, CAST(floor(value * 40) AS BIGINT) + 20 + event_id % 7 * 10 AS e, event_id % 9 AS k FROM events),
+b AS (SELECT *, row_number() OVER () AS id, CASE WHEN k < 2 THEN 'HSat2' WHEN k = 2 THEN 'HSat3' WHEN k = 3 THEN 'ACRO' WHEN k = 6 THEN 'SST1' END AS class, k IN (5, 6) AS gap, k = 5 AS alone, k IN (4, 8) AS rdna FROM a)"""
+
+
+def _annotation(spark, d) -> DataFrame:
+    kinds = ["HSat2", "HSat2", "HSat3", "cenSat(ACRO1,COMP)", "rDNA", "GAP", "GAP,SST1x", "ct", "rDNA"]
+    e = table(spark, d, "events")
+    start = F.floor(F.col("value") * 40)
+    parts = F.split(F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") % 9 + 1).cast("int")), r",(?![^(]*\))")
+    return e.select((F.col("user_id") % 4).alias("sample"), (F.col("user_id") % 2).alias("haplotype"), F.col("event_type").alias("contig"), start.alias("start"), (start + 20 + F.col("event_id") % 7 * 10).alias("end"), parts.alias("parts"))
+
+
+@query(f"""WITH {_ANNOTATED}, near AS (SELECT DISTINCT g.id, g.sample, g.e - g.s AS size, b.class FROM b g JOIN b ON g.alone AND NOT b.alone AND b.class IS NOT NULL AND b.sample = g.sample AND b.haplotype = g.haplotype AND b.contig = g.contig AND b.s <= g.e AND b.e >= g.s),
+n AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM near), u AS (SELECT sample, class, sum((e - s) * (NOT gap)::INT) AS mass, sum((e - s) * gap::INT)::DOUBLE AS gapped, 0 AS unsized FROM b WHERE class IS NOT NULL GROUP BY ALL
+UNION ALL SELECT sample, class, 0, sum(size / n), count(*) FILTER (size = 100) FROM n GROUP BY ALL) SELECT sample, class, sum(mass)::BIGINT AS mass, round(sum(gapped), 4) AS gapped, sum(unsized)::BIGINT AS unsized FROM u GROUP BY ALL""")
+def assembly_mass(spark, d):
+    return assembly.mass(_annotation(spark, d)).withColumn("gapped", F.round("gapped", 4))
+
+
+@query(f"""WITH {_ANNOTATED}, p AS (SELECT *, count(*) FILTER (gap) OVER (PARTITION BY sample, haplotype, contig ORDER BY s, e, gap ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part FROM b WHERE gap OR rdna),
+r AS (SELECT *, max(e) OVER (PARTITION BY sample, haplotype, contig, part ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p WHERE NOT gap),
+n AS (SELECT *, sum((reach IS NULL OR s - reach >= 30)::INT) OVER (PARTITION BY sample, haplotype, contig, part ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run, CASE WHEN reach IS NULL OR s - reach >= 30 THEN e - s ELSE greatest(0, e - greatest(s, reach)) END AS fresh FROM r),
+t AS (SELECT sample, haplotype, sum(fresh) AS bases, max(e) - min(s) AS span FROM n GROUP BY sample, haplotype, contig, part, run)
+SELECT sample, sum(bases)::BIGINT AS total, max(span) AS longest, count(DISTINCT haplotype) AS haplotypes FROM t GROUP BY sample""")
+def assembly_stretches(spark, d):
+    return assembly.longest(assembly.stretches(_annotation(spark, d), near=30))
