@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from copyloom.operators import intervals
+from copyloom.session import kept
 
 
 def robust(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -177,7 +178,7 @@ def mean_ranks(rows: DataFrame, keys: list[str], value: str, name: str, parts: i
 
 def agreement(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, log_median, log_sd, pearson, spearman) of pairs (keys, x, y), both above 0. Equal values share their mean rank."""
-    at = pairs.where("x > 0 and y > 0").withColumn("log_", F.log(F.col("y") / F.col("x")))
+    at = kept(pairs.where("x > 0 and y > 0").withColumn("log_", F.log(F.col("y") / F.col("x"))), "logs")
     for c in ("x", "y"):
         at = at.join(mean_ranks(at, keys, c, f"rank_{c}"), [*keys, c])
     return at.groupBy(*keys).agg(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copyloom.operators import intervals, models, sinks
+from copyloom.session import kept
 
 #: GC share of anchor bins; ends in them below which all bins set the level; bins of which so much is usable have copies.
 ANCHOR_GC, ANCHOR_ENDS, USABLE = (0.40, 0.60), 1000, 0.5
@@ -144,25 +145,25 @@ def control_qc(regions: DataFrame, region: float = REGION, chromosome: float = C
     median, against the level of all kept regions outside the chromosomes flagged so far, up to five times; what is kept by
     chromosome is one short list a sample."""
     lr = F.log(F.greatest(F.col("obs") / F.greatest("exp", F.lit(1e-9)), F.lit(1e-9)))
-    at = regions.withColumn("lr_", lr).withColumn("se_", 1 / F.sqrt(F.greatest("exp", F.lit(1.0))))
+    at = kept(regions.withColumn("lr_", lr).withColumn("se_", 1 / F.sqrt(F.greatest("exp", F.lit(1.0)))), "regions")
     mid = at.groupBy("sample").agg(F.percentile("lr_", 0.5).alias("mid_"), F.percentile("se_", 0.5).alias("error_"))
     at = at.join(mid, "sample")
     spread = at.groupBy("sample").agg(F.percentile(F.abs(F.col("lr_") - F.col("mid_")), 0.5).alias("mad_"))
     at = at.join(spread, "sample").withColumn("phi_", F.greatest(F.lit(1.0), F.pow(1.4826 * F.col("mad_") / F.col("error_"), 2)))
     at = at.join(at.groupBy("sample", "chrom").agg(F.percentile("lr_", 0.5).alias("own_")), ["sample", "chrom"])
     out = lambda c: (F.abs(F.col("lr_") - F.col(c)) > region) & (F.abs(F.col("lr_") - F.col(c)) > z * F.sqrt("phi_") * F.col("se_"))
-    at = at.withColumn("keep_", ~out("mid_")).withColumn("mine_", ~out("own_"))
+    at = kept(at.withColumn("keep_", ~out("mid_")).withColumn("mine_", ~out("own_")), "judged-regions")
     some = lambda m, c: F.coalesce(F.sum(F.when(F.col(m), F.col(c).cast("double"))), F.lit(0.0))
     by = at.groupBy("sample", "chrom").agg(F.count_if("mine_").alias("n"), some("mine_", "obs").alias("o"), some("mine_", "exp").alias("e"), some("keep_", "obs").alias("ko"), some("keep_", "exp").alias("ke"), F.count_if("keep_").alias("kn"), F.sum("obs").cast("double").alias("ao"), F.sum("exp").alias("ae"), F.count(F.lit(1)).alias("an"), F.first("phi_").alias("phi"))
     cs = by.withColumn("chrom", F.col("chrom").cast("string")).groupBy("sample").agg(F.array_sort(F.collect_list(F.struct(natural(F.col("chrom").cast("string")).alias("k"), "chrom", "n", "o", "e", "ko", "ke", "kn", "ao", "ae", "an", "phi"))).alias("cs"))
-    kept = lambda field, f: f"aggregate(filter(cs, d -> not array_contains({f}, d.chrom)), 0d, (s, d) -> s + d.{field})"
-    departs = f"abs(ln(c.o / c.e) - ln({kept('ko', 'f')} / {kept('ke', 'f')}))"
+    left_in = lambda field, f: f"aggregate(filter(cs, d -> not array_contains({f}, d.chrom)), 0d, (s, d) -> s + d.{field})"
+    departs = f"abs(ln(c.o / c.e) - ln({left_in('ko', 'f')} / {left_in('ke', 'f')}))"
     flagged = F.expr(f"aggregate(sequence(1, 5), cast(array() as array<string>), (f, i) -> transform(filter(cs, c -> c.n >= {least} and {departs} > {chromosome} and {departs} > {z} * sqrt(c.phi / c.e)), c -> c.chrom))")
     total = lambda field: f"aggregate(cs, 0d, (s, d) -> s + d.{field})"
-    cs = cs.withColumn("flagged", flagged)
+    cs = kept(cs.withColumn("flagged", flagged), "flagged")
     qc = cs.select(
-        "sample", F.expr(f"({kept('ko', 'flagged')} / {kept('ke', 'flagged')}) / ({total('ao')} / {total('ae')})").alias("rescale"), F.expr(f"cast({total('an')} as long)").alias("n_regions"),
-        F.expr(f"cast({total('an')} - {kept('kn', 'flagged')} as long)").alias("n_flagged_regions"), "flagged", F.expr(f"transform(filter(cs, c -> c.n < {least}), c -> c.chrom)").alias("untestable"),
+        "sample", F.expr(f"({left_in('ko', 'flagged')} / {left_in('ke', 'flagged')}) / ({total('ao')} / {total('ae')})").alias("rescale"), F.expr(f"cast({total('an')} as long)").alias("n_regions"),
+        F.expr(f"cast({total('an')} - {left_in('kn', 'flagged')} as long)").alias("n_flagged_regions"), "flagged", F.expr(f"transform(filter(cs, c -> c.n < {least}), c -> c.chrom)").alias("untestable"),
     )
     left = at.where("keep_").join(qc.select("sample", "flagged"), "sample").where(~F.array_contains("flagged", F.col("chrom").cast("string")))
     left = left.join(left.groupBy("sample").agg(F.percentile("lr_", 0.5).alias("c_")), "sample")

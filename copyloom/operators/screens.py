@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copyloom.functions import sequences as S
+from copyloom.session import kept
 
 #: A k-mer is periodic if shifting it by at most PERIOD bases leaves at most MISMATCHES unlike.
 PERIOD, MISMATCHES = 6, 2
@@ -41,13 +42,13 @@ def neighbours(codes: DataFrame, k: int) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = batch.column(0).to_numpy().astype(np.uint64)
+            back = np.zeros_like(c)  # the reverse complement; a changed base changes the mirrored pair of bits in the same way
+            for j in range(k):
+                back = back << np.uint64(2) | (np.uint64(3) - (c >> np.uint64(2 * j) & np.uint64(3)))
             for i in range(k):
                 for d in (1, 2, 3):
-                    x = c ^ np.uint64(d << (2 * i))
-                    back = np.zeros_like(x)
-                    for j in range(k):
-                        back = back << np.uint64(2) | (np.uint64(3) - (x >> np.uint64(2 * j) & np.uint64(3)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.minimum(x, back).astype(np.int64))], names=["code", "near"])
+                    x, y = c ^ np.uint64(d << (2 * i)), back ^ np.uint64(d << (2 * (k - 1 - i)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.minimum(x, y).astype(np.int64))], names=["code", "near"])
 
     return codes.select("code").mapInArrow(step, "code long, near long")
 
@@ -55,8 +56,8 @@ def neighbours(codes: DataFrame, k: int) -> DataFrame:
 def near_background(panel: DataFrame, background: DataFrame, k: int) -> DataFrame:
     """(canon, class, near_hits): occurrences in the background of what is one substitution from a panel k-mer. background: (seq).
     Only k-mers next to the panel become rows."""
-    coded = panel.select("canon", "class", S.code(F.col("canon")).alias("code"))
-    near = neighbours(coded.select("code").distinct(), k)
+    coded = kept(panel.select("canon", "class", S.code(F.col("canon")).alias("code")), "coded-panel")
+    near = kept(neighbours(coded.select("code").distinct(), k), "neighbours")
     met = S.packed_kmers(background.select("seq"), "seq", k, near.select(F.col("near").alias("code"))).groupBy(F.col("code").alias("near")).agg(F.count(F.lit(1)).alias("n"))
     hits = near.join(met, "near").groupBy("code").agg(F.sum("n").alias("near_hits"))
     return coded.join(hits, "code").select("canon", "class", "near_hits")

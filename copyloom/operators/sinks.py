@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from copyloom.operators import intervals
+from copyloom.session import kept
 
 UNPLACED = "*"
 
@@ -49,6 +50,7 @@ def interval_statistics(placements: DataFrame, bed: DataFrame, contigs: DataFram
 
     placements with all, the reads of any class in the bin. An interval has the bins inside the class's intervals that start in it; samples without reads of a
     class say nothing of it. Intervals rank by the median share over the median of all reads, then share, contig and start."""
+    placements, bed = kept(placements, "placements"), kept(bed, "bed")
     total = placements.groupBy("sample", "class").agg(F.sum("reads").alias("total_")).where("total_ > 0")
     rows = bed.select("class", "contig", F.col("start").alias("s_"), F.col("end").alias("e_")).distinct()
     parts = rows.withColumn("part_", F.explode(F.sequence(F.floor(F.col("s_") / span), F.floor((F.col("e_") - 1) / span))))
@@ -57,6 +59,7 @@ def interval_statistics(placements: DataFrame, bed: DataFrame, contigs: DataFram
     held = at.groupBy("sample", "class", "contig", "s_", "e_").agg(F.sum("reads").alias("reads_"), F.sum("all").alias("all_"))
     every = rows.join(total, "class").join(held, ["sample", "class", "contig", "s_", "e_"], "left")
     every = every.select("sample", "class", "contig", "s_", "e_", (F.coalesce("reads_", F.lit(0)) / F.col("total_")).alias("share"), F.coalesce("all_", F.lit(0)).alias("all_"))
+    every = kept(every, "shares")
     each = every.groupBy("class", "contig", "s_", "e_").agg(
         F.count(F.lit(1)).alias("scans"), F.percentile("share", 0.5).alias("share_median"), F.percentile("share", 0.1).alias("share_p10"), F.max("share").alias("share_max"), F.percentile("all_", 0.5).alias("reads_median")
     )

@@ -72,7 +72,7 @@ def test_family_bootstrap_and_permutations(spark):
     assert abs(far.r - np.corrcoef(x, y)[0, 1]) < 1e-9 and far.p == 0.01 and none.p > 0.01
 
 
-def test_rates_span_thin_strata_and_refuse_dropout():
+def test_rates_span_thin_strata_and_refuse_dropout(spark):
     gc = np.arange(101)
     n = np.where((gc >= 25) & (gc <= 70), 30_000, 0)
     n[40] = 100  # thin, between others
@@ -82,7 +82,11 @@ def test_rates_span_thin_strata_and_refuse_dropout():
     have = np.flatnonzero(~np.isnan(got))
     assert have[0] == 25 and have[-1] == 70 and np.abs(got[have] / rate[have] - 1).max() < 0.2 and np.isfinite(se[have]).all()
     o[50:53] = 0
-    assert models.fit_rate(n.astype(float), o.astype(float)) == "dropout"
+    strata = lambda key, o: [(key, int(g), int(n[g]), int(o[g])) for g in gc]
+    low = np.where(gc == 30, 0, np.minimum(o, 2))  # nothing where little is expected
+    df = spark.createDataFrame([*strata("gone", o), *strata("low", low), *strata("none", o * 0)], "key string, gc long, n long, o long")
+    assert rows(models.dropouts(df.where("n >= 2000"), ["key"])) == [("gone", True), ("low", False), ("none", False)]
+    assert {r.key: r.status for r in models.gc_curves(df, ["key"]).collect()} == {"gone": "dropout", "low": "too few ends", "none": "too few ends"}
     assert models.fit_rate(np.full(101, 10.0), np.full(101, 200.0)) == "too few positions"
     assert models.fit_rate(np.where((gc > 40) & (gc < 45), 5e4, 0), np.where((gc > 40) & (gc < 45), 5e3, 0)) == "too few knots"
 
@@ -92,3 +96,11 @@ def test_samples_that_look_cut(spark):
 
     df = spark.createDataFrame([("a", 4, 100), ("b", 6, 100), ("c", 0, 0)], "sample string, ctrl_reads long, primary long")
     assert rows(contracts.looks_cut(df), "sample") == [("b",)]
+
+
+def test_rates_are_of_greatest_likelihood():
+    rng = np.random.default_rng(12)
+    m, off = np.column_stack([np.ones(60), rng.normal(size=(60, 3))]), rng.normal(3, 1, 60)
+    y = rng.poisson(np.exp(off + m @ [0.3, 0.5, -0.4, 0.1]))
+    beta, mu, settled = models._poisson(m, y.astype(float), off)
+    assert settled and np.abs(m.T @ (y - mu)).max() < 1e-4 * y.sum() and np.allclose(mu, np.exp(off + m @ beta))
