@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -119,3 +123,39 @@ def with_covariates(samples: DataFrame, components: DataFrame) -> DataFrame:
     """Samples with their components (sample, ...); names of component files may carry .by1000. and what follows a last dot. Those without any keep nulls."""
     named = components.withColumn("sample", F.regexp_replace("sample", r"(\.by1000)?\.[^.]*$", ""))
     return samples.join(named, "sample", "left")
+
+
+def missing_from_bed(counted: DataFrame, fetches: DataFrame, beds: DataFrame) -> DataFrame:
+    """(sample, class): classes that a fetch counted though its intervals, where they are known, name other classes alone. counted: (sample, class); fetches: (sample, sinks); beds: (sinks, class), an empty class where a row
+    names none. Intervals that name no class serve all."""
+    named = beds.where("class is not null and class <> ''").select("sinks", "class").distinct()
+    asked = fetches.join(named.select("sinks").distinct(), "sinks", "left_semi")
+    return counted.select("sample", "class").distinct().join(asked, "sample").join(named, ["sinks", "class"], "left_anti").select("sample", "class")
+
+
+def pipeline_check(fetches: DataFrame, learned: DataFrame) -> DataFrame:
+    """(sample, status) of fetches (sample, programs, sq_sha256, sq_n), whether they come from the pipeline that the intervals were learned under, learned (aligner, sq_sha256, sq_n), one row: ok, or what differs, or null where nothing
+    can be told. programs are the names of what wrote a header; the hashes of references are told apart only between headers of as many contigs."""
+    at = fetches.crossJoin(F.broadcast(learned.toDF("want_", "hash_", "n_")))  # one row
+    names = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce("programs", F.array().cast("array<string>")), F.lower), lambda x: x != "")))
+    told = (F.coalesce("want_", F.lit("")) != "") & (F.size(names) > 0)
+    other = told & ~F.exists(names, lambda x: x.contains(F.lower("want_")))
+    comparable = F.col("hash_").isNotNull() & F.col("sq_sha256").isNotNull() & (F.col("n_").isNull() | F.col("n_").eqNullSafe(F.col("sq_n")))
+    away = comparable & (F.col("sq_sha256") != F.col("hash_"))
+    what = F.concat_ws("; ", F.when(other, F.concat(F.lit("aligned by "), F.array_join(names, ", "), F.lit(", not "), "want_")), F.when(away, "other reference"))
+    return at.select("sample", F.when(told | comparable, F.when(what == "", "ok").otherwise(what)).alias("status"))
+
+
+def panel_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256) of panel files: of a file as stored, and of what it holds if it is packed, as that stays when it is packed anew. A panel has some megabytes."""
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, hashes = [], []
+            for name, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for data in (raw, *([gzip.decompress(raw)] if raw[:2] == b"\x1f\x8b" else [])):
+                    paths.append(name)
+                    hashes.append(hashlib.sha256(data).hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(hashes, pa.string())], names=["path", "sha256"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(unpacked, "path string, sha256 string").distinct()
