@@ -155,3 +155,10 @@ def stored_reversed(flags: Column) -> Column:
 def placement_order(placements: DataFrame) -> DataFrame:
     """Placements (class, contig, start, reads) with their place in the order of a class: most reads first, then contig and start."""
     return placements.withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("reads"), "contig", "start")))
+
+
+def control_ends(reads: DataFrame, regions: DataFrame, roles: list[str] | None = None, width: int = 1 << 12) -> DataFrame:
+    """(region, offset, reverse, n): the 5' ends of placed reads (contig, pos, flags) in regions (region, role, contig, start, end) of those roles (all, unless told), by place in the region and strand."""
+    some = regions if roles is None else regions.where(F.col("role").isin(roles))
+    at = points_in(placed(reads), some, ["contig"], width)
+    return at.groupBy("region", (F.col("pos") - F.col("start")).alias("offset"), has(REVERSE).alias("reverse")).agg(F.count(F.lit(1)).alias("n"))

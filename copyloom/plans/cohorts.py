@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copyloom.operators import assembly, cohort, cohort_table, components, fractions, heredity, karyotype
-from copyloom.queries import query, six, table
+from copyloom.operators import assembly, cohort, cohort_table, components, contracts, documents, fractions, heredity, intervals, karyotype, tallies
+from copyloom.plans.more import _READS, _reads
+from copyloom.queries import _BANDS, _MERGE, _bands, query, six, table
 
 _CELLS = "cells AS (SELECT l_suppkey % 40 AS r, l_partkey % 60 AS c, avg(ln(l_extendedprice)) AS v FROM lineitem GROUP BY ALL)"
 
@@ -203,3 +204,43 @@ t AS (SELECT sample, haplotype, sum(fresh) AS bases, max(e) - min(s) AS span FRO
 SELECT sample, sum(bases)::BIGINT AS total, max(span) AS longest, count(DISTINCT haplotype) AS haplotypes FROM t GROUP BY sample""")
 def assembly_stretches(spark, d):
     return assembly.longest(assembly.stretches(_annotation(spark, d), near=30))
+
+
+@query(f"""WITH {_READS}, {_BANDS}, {_MERGE.format(name="m", gap=0)}, g AS (SELECT contig, s, e, concat(contig, ':', s) AS region, CASE s % 3 WHEN 0 THEN 'control' WHEN 1 THEN 'test' ELSE 'dosage' END AS role FROM m)
+SELECT region, pos - s AS "offset", flags & 16 <> 0 AS reverse, count(*) AS n FROM reads JOIN g ON reads.contig = g.contig AND s <= pos AND pos < e WHERE flags & 4 = 0 AND role <> 'dosage' GROUP BY ALL""")
+def control_ends(spark, d):
+    m = intervals.merge(_bands(spark, d), ["contig"]).drop("members")
+    role = F.element_at(F.array(F.lit("control"), F.lit("test"), F.lit("dosage")), (F.col("start") % 3 + 1).cast("int"))
+    return tallies.control_ends(_reads(spark, d), m.select(F.concat_ws(":", "contig", "start").alias("region"), role.alias("role"), "contig", "start", "end"), ["control", "test"], 64)
+
+
+@query("""WITH s AS (SELECT DISTINCT l_linenumber % 3 AS sample, 'c' || l_partkey % 5 AS class FROM lineitem), g AS (SELECT sample, class, bin, reverse FROM s, range(20) b(bin), (VALUES (false), (true)) r(reverse)),
+e AS (SELECT l_linenumber % 3 AS sample, 'c' || l_partkey % 5 AS class, l_suppkey % 20 AS bin, l_linestatus = 'O' AS reverse, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT g.sample::VARCHAR AS sample, g.class, g.bin, g.reverse, coalesce(n, 0) AS n FROM g LEFT JOIN e ON g.sample = e.sample AND g.class = e.class AND g.bin = e.bin AND g.reverse = e.reverse""")
+def document_bins(spark, d):
+    x = table(spark, d, "lineitem").select((F.col("l_linenumber") % 3).alias("sample"), F.format_string("c%d", F.col("l_partkey") % 5).alias("class"), (F.col("l_suppkey") % 20).alias("bin"), (F.col("l_linestatus") == "O").alias("reverse"), "l_partkey", "l_quantity")
+    ends = x.groupBy("sample", "class", "bin", "reverse").agg(F.count(F.lit(1)).alias("n"))
+    classes = x.groupBy("sample", "class").agg(F.count(F.lit(1)).alias("reads")).select("sample", "class", F.lit("positional").alias("kind"), F.lit(50).alias("bin"), F.lit(20).alias("bins"), "reads", F.lit(0).alias("dup_flagged"))
+    samples = x.groupBy("sample").agg(F.count(F.lit(1)).alias("records")).select("sample", F.lit("scan").alias("mode"), "records", F.col("records").alias("primary"), F.lit(300).alias("insert_median"), F.lit(100).alias("read_length_mode"))
+    gc = x.groupBy("sample", F.lit(300).alias("l"), F.col("l_quantity").cast("long").alias("gc")).agg(F.count(F.lit(1)).alias("n")).withColumn("o", F.col("n"))
+    placements = x.groupBy("sample", "class", F.lit("c1").alias("contig"), (F.col("l_partkey") % 9 * 1000).alias("start")).agg(F.count(F.lit(1)).alias("reads"))
+    return documents.end_bins(documents.assembled(samples, gc, classes, ends, placements))
+
+
+@query("""WITH c AS (SELECT DISTINCT user_id % 30 AS sample, event_type AS class FROM events), f AS (SELECT DISTINCT user_id % 30 AS sample, 'h' || user_id % 30 % 7 AS sinks FROM events), b AS (SELECT DISTINCT 'h' || user_id % 5 AS sinks, CASE WHEN user_id % 5 = 4 THEN '' ELSE event_type END AS class FROM events WHERE (length(event_type) + user_id) % 5 <> 2)
+SELECT c.sample, c.class FROM c JOIN f USING (sample) WHERE sinks IN (SELECT sinks FROM b WHERE class <> '') AND NOT EXISTS (SELECT 1 FROM b WHERE b.sinks = f.sinks AND b.class = c.class)""")
+def missing_from_bed(spark, d):
+    e = table(spark, d, "events")
+    sample = F.col("user_id") % 30
+    beds = e.where((F.length("event_type") + F.col("user_id")) % 5 != 2).select(F.format_string("h%d", F.col("user_id") % 5).alias("sinks"), F.when(F.col("user_id") % 5 == 4, "").otherwise(F.col("event_type")).alias("class"))
+    return contracts.missing_from_bed(e.select(sample.alias("sample"), F.col("event_type").alias("class")), e.select(sample.alias("sample"), F.format_string("h%d", sample % 7).alias("sinks")).distinct(), beds)
+
+
+@query("""WITH f AS (SELECT event_id AS sample, CASE WHEN event_id % 7 = 0 THEN NULL ELSE upper(event_type) END AS p, CASE WHEN event_id % 5 > 0 THEN 'h' || event_id % 3 END AS h, event_id % 2 AS n FROM events),
+t AS (SELECT *, p IS NOT NULL AS told, h IS NOT NULL AND n = 1 AS same FROM f)
+SELECT sample, CASE WHEN told OR same THEN CASE WHEN concat_ws('; ', CASE WHEN told AND NOT contains(lower(p), 'click') THEN 'aligned by ' || lower(p) || ', not click' END, CASE WHEN same AND h <> 'h0' THEN 'other reference' END) = '' THEN 'ok'
+ELSE concat_ws('; ', CASE WHEN told AND NOT contains(lower(p), 'click') THEN 'aligned by ' || lower(p) || ', not click' END, CASE WHEN same AND h <> 'h0' THEN 'other reference' END) END END AS status FROM t""")
+def pipeline_check(spark, d):
+    e = table(spark, d, "events")
+    f = e.select(F.col("event_id").alias("sample"), F.when(F.col("event_id") % 7 != 0, F.array(F.upper("event_type"))).alias("programs"), F.when(F.col("event_id") % 5 > 0, F.format_string("h%d", F.col("event_id") % 3)).alias("sq_sha256"), (F.col("event_id") % 2).alias("sq_n"))
+    return contracts.pipeline_check(f, spark.createDataFrame([("click", "h0", 1)], "aligner string, sq_sha256 string, sq_n long"))
