@@ -10,12 +10,41 @@ from copyloom.operators import intervals
 from copyloom.session import kept
 
 
+#: Rows up to which a side is broadcast, once they have been counted.
+BROADCAST = 100_000
+#: Parts of about equal size that a key's different values are dealt to when their order matters.
+PARTS = 64
+
+
+def _parts(counts: DataFrame, keys: list[str], value: str, parts: int) -> DataFrame:
+    """Adds part_, the values' range by order, from cuts that are about even."""
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10 * parts).alias("cuts_"))
+    return counts.join(cuts, keys).withColumn("part_", F.size(F.filter("cuts_", lambda x: x < F.col(value)))).drop("cuts_")
+
+
+def medians(df: DataFrame, keys: list[str], value: str, parts: int = PARTS) -> DataFrame:
+    """(keys, n, median) of the values that are neither null nor NaN, exactly, without a buffer or a window of a key's values: equal values are counted first, sums of parts tell in which of them the middle lies, and those alone
+    are put in order."""
+    at = df.select(*keys, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull() & ~F.isnan(value))
+    counts = at.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_"))
+    counts = kept(_parts(counts, keys, value, parts), "value-counts")
+    before = Window.partitionBy(*keys).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy(*keys, "part_").agg(F.sum("n_").alias("sum_")).withColumn("base_", F.coalesce(F.sum("sum_").over(before), F.lit(0))).withColumn("n", F.sum("sum_").over(Window.partitionBy(*keys)))
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    holds = lambda rank: (F.col("base_") < rank) & (rank <= F.col("base_") + F.col("sum_"))
+    near = counts.join(sums.where(holds(low) | holds(high)), [*keys, "part_"])
+    upto = F.col("base_") + F.sum("n_").over(Window.partitionBy(*keys, "part_").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("upto_", upto)
+    first = lambda rank: F.min(F.when(F.col("upto_") >= rank, F.col(value)))
+    return near.groupBy(*keys, "n").agg(((first(low) + first(high)) / 2).alias("median")).select(*keys, "n", "median")
+
+
 def robust(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, n, median, mad_sd): median and 1.4826 times the median deviation, of values that are neither null nor NaN."""
-    at = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    mid = at.groupBy(*keys).agg(F.percentile(value, 0.5).alias("median"), F.count(F.lit(1)).alias("n"))
-    off = at.join(mid, keys).groupBy(*keys, "median", "n").agg((F.lit(1.4826) * F.percentile(F.abs(F.col(value) - F.col("median")), 0.5)).alias("mad_sd"))
-    return off.select(*keys, "n", "median", "mad_sd")
+    at = kept(df.select(*keys, value), "robust-values")
+    mid = kept(medians(at, keys, value), "medians")
+    off = medians(at.join(F.broadcast(mid) if mid.limit(BROADCAST + 1).count() <= BROADCAST else mid, keys).select(*keys, F.abs(F.col(value) - F.col("median")).alias("off_")), keys, "off_")
+    return mid.join(off.select(*keys, (F.lit(1.4826) * F.col("median")).alias("mad_sd")), keys).select(*keys, "n", "median", "mad_sd")
 
 
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
@@ -163,12 +192,10 @@ def heredity_errors(at: DataFrame, x: str, y: str) -> DataFrame:
     return sums.select("n", "slope", (F.sqrt(F.col("mid_") * F.col("n") / (F.col("n") - 2)) / F.col("xx_")).alias("se"))
 
 
-def mean_ranks(rows: DataFrame, keys: list[str], value: str, name: str, parts: int = 64) -> DataFrame:
+def mean_ranks(rows: DataFrame, keys: list[str], value: str, name: str, parts: int = PARTS) -> DataFrame:
     """(keys, value, name): the rank of each different value in its key; equal values share their mean rank. Values are ordered part by part of
     about equal size, so no window holds a key."""
-    n = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_"))
-    cuts = n.groupBy(*keys).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10 * parts).alias("cuts_"))
-    at = n.join(cuts, keys).withColumn("part_", F.size(F.filter("cuts_", lambda x: x < F.col(value)))).drop("cuts_")
+    at = kept(_parts(rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_")), keys, value, parts), "value-counts")
     before = Window.partitionBy(*keys).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
     base = at.groupBy(*keys, "part_").agg(F.sum("n_").alias("sum_")).withColumn("base_", F.coalesce(F.sum("sum_").over(before), F.lit(0))).drop("sum_")
     inside = Window.partitionBy(*keys, "part_").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
@@ -179,11 +206,11 @@ def mean_ranks(rows: DataFrame, keys: list[str], value: str, name: str, parts: i
 def agreement(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, log_median, log_sd, pearson, spearman) of pairs (keys, x, y), both above 0. Equal values share their mean rank."""
     at = kept(pairs.where("x > 0 and y > 0").withColumn("log_", F.log(F.col("y") / F.col("x"))), "logs")
+    mid = medians(at, keys, "log_").select(*keys, F.col("median").alias("log_median"))
     for c in ("x", "y"):
         at = at.join(mean_ranks(at, keys, c, f"rank_{c}"), [*keys, c])
-    return at.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile("log_", 0.5).alias("log_median"), F.stddev_samp("log_").alias("log_sd"), F.corr("x", "y").alias("pearson"), F.corr("rank_x", "rank_y").alias("spearman")
-    )
+    got = at.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("log_").alias("log_sd"), F.corr("x", "y").alias("pearson"), F.corr("rank_x", "rank_y").alias("spearman"))
+    return got.join(mid, keys).select(*keys, "n", "log_median", "log_sd", "pearson", "spearman")
 
 
 def adjust(rows: DataFrame, value: str, covariates: list[str]) -> DataFrame:

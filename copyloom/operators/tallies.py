@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from copyloom.operators.cohort import robust
 from copyloom.operators.intervals import points_in
+from copyloom.session import kept
 
 #: Flags of a read, and caps of the histograms of insert sizes and read lengths.
 PROPER, UNMAPPED, REVERSE, DUPLICATE = 0x2, 0x4, 0x10, 0x400
@@ -60,10 +62,9 @@ def log_ratio(obs: str, exp: str) -> Column:
 
 def truth_copies(regions: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, regions, copies, median, mad_sd): copies per diploid genome over all regions of a key, and of the regions one by one."""
-    one = regions.where("exp > 0").withColumn("cn_", 2 * F.col("obs") / F.col("exp"))
-    at = one.groupBy(*keys).agg(F.count(F.lit(1)).alias("regions"), (2 * F.sum("obs") / F.sum("exp")).alias("copies"), F.percentile("cn_", 0.5).alias("median"))
-    mad = one.join(at, keys).groupBy(*keys).agg((F.lit(1.4826) * F.percentile(F.abs(F.col("cn_") - F.col("median")), 0.5)).alias("mad_sd"))
-    return at.join(mad, keys)
+    one = kept(regions.where("exp > 0").withColumn("cn_", 2 * F.col("obs") / F.col("exp")), "copies")
+    at = one.groupBy(*keys).agg(F.count(F.lit(1)).alias("regions"), (2 * F.sum("obs") / F.sum("exp")).alias("copies"))
+    return at.join(robust(one, keys, "cn_").select(*keys, "median", "mad_sd"), keys)
 
 
 def mass(reads: DataFrame, curve: DataFrame, keys: list[str], covered: float) -> DataFrame:
@@ -87,10 +88,10 @@ def callable_starts(unit: DataFrame, read: int, k: int, least: int) -> DataFrame
     turns = F.when(F.col("circular"), F.ceil(F.lit(read) / F.col("size_"))).otherwise(0)
     at = at.join(size, "class").withColumn("turn_", F.explode(F.sequence(-turns, turns))).withColumn("at_", F.col("pos") + F.col("turn_") * F.col("size_")).where(f"at_ > -{read} and at_ < size_ + {read}")
     w = Window.partitionBy("class").orderBy("at_")
-    kept = F.col("kept").cast("int")
+    has_kmer = F.col("kept").cast("int")
     ahead, back = w.rowsBetween(0, read - k), w.rowsBetween(1 - read, 1 - k)
     full = lambda f: F.count(F.lit(1)).over(f) == read - k + 1
-    got = at.select("class", "pos", "turn_", (full(ahead) & (F.sum(kept).over(ahead) >= least)).alias("ahead"), (full(back) & (F.coalesce(F.sum(kept).over(back), F.lit(0)) >= least)).alias("back"))
+    got = at.select("class", "pos", "turn_", (full(ahead) & (F.sum(has_kmer).over(ahead) >= least)).alias("ahead"), (full(back) & (F.coalesce(F.sum(has_kmer).over(back), F.lit(0)) >= least)).alias("back"))
     return got.where("turn_ = 0").drop("turn_")
 
 

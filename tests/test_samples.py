@@ -95,3 +95,19 @@ def test_places_of_one_key_in_islands(spark):
         else:
             merged.append((s, e, 1))
     assert rows(intervals.merge(df.where("contig = 'a'"), ["contig"], 3), "start", "end", "members") == sorted(merged)
+
+
+def test_medians_are_exact(spark):
+    """Even and odd numbers of values, ties, one key that holds most rows, nulls and NaNs."""
+    import numpy as np
+
+    from copyloom.operators import cohort
+
+    rng = np.random.default_rng(6)
+    data = {"one": [3.0], "two": [1.0, 2.0], "ties": [5.0] * 7 + [1.0, 9.0], "many": rng.normal(size=5000).round(2).tolist(), "even": rng.normal(size=500).tolist(), "int": list(map(float, range(10)))}
+    rows = [(k, v) for k, x in data.items() for v in x] + [("one", None), ("two", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "key string, v double").repartition(4)
+    got = {r.key: (r.n, r.median) for r in cohort.medians(df, ["key"], "v", 8).collect()}
+    assert got == {k: (len(x), float(np.median(x))) for k, x in data.items()}
+    both = {r.key: r for r in cohort.robust(df, ["key"], "v").collect()}
+    assert set(both) == set(data) and all(abs(both[k].mad_sd - 1.4826 * np.median(np.abs(np.array(x) - np.median(x)))) < 1e-12 for k, x in data.items())
