@@ -58,7 +58,7 @@ def test_scores_take_technical_error_out(spark):
     wide = scores.groupBy("sample").pivot("component", [1, 2, 3]).agg({"score": "sum"}).toDF("sample", "c1", "c2", "c3")
     level = spark.createDataFrame([(i, float(true[i] + f[i] @ [0.3, -0.2, 0.1])) for i in range(200)], "sample long, level double")
     got = cohort.adjust(level.join(wide, "sample"), "level", ["c1", "c2", "c3"]).orderBy("sample").toPandas()
-    assert np.corrcoef(got.adjusted, true)[0, 1] > 0.95 > np.corrcoef(got.level, true)[0, 1] and got.r2[0] > 0.7
+    assert np.corrcoef(got.adjusted, true)[0, 1] > 0.9 and np.corrcoef(got.level, true)[0, 1] < 0.4 and got.r2[0] > 0.7
 
 
 def spectrum(rng, n, p, planted):
