@@ -52,6 +52,13 @@ def looks_cut(counts: DataFrame, share: float = 0.05) -> DataFrame:
     return counts.where((F.col("primary") > 0) & (F.col("ctrl_reads") > share * F.col("primary"))).select("sample", (F.col("ctrl_reads") / F.col("primary")).alias("share"))
 
 
+def scan_state(counts: DataFrame, share: float = 0.05) -> DataFrame:
+    """(sample, state): whole for counts of a whole file, from which alone sinks are learned and their capture measured; cut for those whose reads are mostly of chosen regions; not a scan for any other mode, a missing one included."""
+    cut = looks_cut(counts, share).select("sample").distinct().withColumn("cut_", F.lit(True))
+    state = F.when(~F.col("mode").eqNullSafe("scan"), "not a scan").when(F.col("cut_"), "cut").otherwise("whole")
+    return counts.select("sample", "mode").join(cut, "sample", "left").select("sample", state.alias("state"))
+
+
 def issues(wanted: DataFrame, counted: DataFrame, resources: DataFrame, what: str) -> DataFrame:
     """All of it."""
     parts = [

@@ -201,10 +201,11 @@ def estimate(status: DataFrame, positional_: DataFrame, compositional_: DataFram
 
 
 def relative_error(cn: DataFrame) -> DataFrame:
-    """(sample, class, cn_se_rel) from windows (sample, class, cn, obs): the error of the mean log copies of windows, and of the count of all ends."""
-    ok = cn.where("cn > 0")
-    got = ok.groupBy("sample", "class").agg(F.var_samp(F.log("cn")).alias("v_"), F.count(F.lit(1)).alias("k_"), F.sum("obs").alias("n_"))
-    return got.select("sample", "class", F.sqrt(F.col("v_") / F.col("k_") + 1 / F.greatest("n_", F.lit(1))).alias("cn_se_rel"))
+    """(sample, class, cn_se_rel) from windows (sample, class, cn, obs): the error of the mean log copies of windows, and of the count of all ends; null with fewer than three windows of some copies, or without ends."""
+    some = F.col("cn") > 0
+    got = cn.groupBy("sample", "class").agg(F.var_samp(F.when(some, F.log("cn"))).alias("v_"), F.count_if(some).alias("k_"), F.sum("obs").alias("n_"))
+    told = (F.col("k_") >= 3) & (F.col("n_") > 0)
+    return got.select("sample", "class", F.when(told, F.sqrt(F.col("v_") / F.col("k_") + 1 / F.col("n_"))).alias("cn_se_rel"))
 
 
 def option_status(options: DataFrame, samples: DataFrame, beds: DataFrame) -> DataFrame:

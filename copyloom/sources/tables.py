@@ -271,3 +271,16 @@ def write_segments(rows: DataFrame, path: str) -> None:
 def write_region_subset(fasta: DataFrame, regions: DataFrame, path: str) -> None:
     """The records (name, description, seq) of a controls FASTA whose name is among regions (name)."""
     write_fasta(fasta.join(regions.select("name").distinct(), "name", "left_semi").orderBy("name"), path)
+
+
+def read_paf(spark: SparkSession, path: str) -> DataFrame:
+    """(name, name_length, from, to, back, contig, length, start, end, matches, columns, mapq, cs) of PAF lines; cs is null without that tag. Lines with fewer than twelve columns, or with other than numbers where these belong, are refused."""
+    c = F.split("value", "\t")
+    n = lambda k: F.get(c, F.lit(k)).try_cast("long")
+    tag = F.get(F.filter(F.slice(c, 13, 1 << 20), lambda x: x.startswith("cs:Z:")), F.lit(0))
+    at = _lines(spark, path).where("value <> ''").select(
+        F.get(c, F.lit(0)).alias("name"), n(1).alias("name_length"), n(2).alias("from"), n(3).alias("to"), (F.get(c, F.lit(4)) == "-").alias("back"), F.get(c, F.lit(5)).alias("contig"),
+        n(6).alias("length"), n(7).alias("start"), n(8).alias("end"), n(9).alias("matches"), n(10).alias("columns"), n(11).cast("int").alias("mapq"), F.substring(tag, 6, 1 << 30).alias("cs"),
+    )
+    whole = [c for c in at.columns if c != "cs"]
+    return _checked(at, F.forall(F.array(*(F.col(c).isNotNull() for c in whole)), lambda x: x), "not a PAF line")

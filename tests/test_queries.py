@@ -2,7 +2,7 @@ import pytest
 from oracle import frames
 
 from copyloom import queries
-from copyloom.plans import checks, cohorts, estimates, more, samples  # noqa: F401
+from copyloom.plans import checks, cohorts, estimates, more, samples, units  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
