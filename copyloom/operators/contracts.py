@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -166,3 +166,34 @@ def panel_hashes(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(hashes, pa.string())], names=["path", "sha256"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(unpacked, "path string, sha256 string").distinct()
+
+
+def panel_faults(rows: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(canon, class, pos, fault): rows that no panel may have, with the first of their faults: a k-mer of another length, one that isn't canonical, a class that isn't declared, a position outside its class (a
+    compositional one has position 0 alone), a k-mer that comes twice. rows: (canon, class, pos, ...); classes: (class, kind, length), one row each; what is null is a fault."""
+    told = classes.select(F.col("class").alias("class_"), F.col("kind").alias("kind_"), F.col("length").alias("length_"))
+    at = rows.join(told, F.col("class") == F.col("class_"), "left")
+    often = rows.groupBy("canon").agg(F.count(F.lit(1)).alias("n_")).where("n_ > 1")
+    at = at.join(often, "canon", "left")
+    good = F.when(F.col("kind_") == "compositional", F.col("pos") == 0).otherwise((F.col("pos") >= 0) & (F.col("pos") < F.col("length_")))
+    canonical = F.col("canon").rlike("^[ACGT]+$") & (F.col("canon") <= F.translate(F.reverse("canon"), "ACGT", "TGCA"))
+    tests = {"length": F.length("canon") == k, "not canonical": canonical, "undeclared class": F.col("class_").isNotNull(), "outside": good, "twice": F.col("n_").isNull()}
+    fault = F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in tests.items()))
+    return at.select("canon", "class", "pos", fault.alias("fault")).where("fault is not null")
+
+
+def control_faults(regions: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(contig, start, end, role, fault): control regions on contigs that the alignments lack (absent), and regions of any role that begin before an earlier one of their contig ends (overlap); regions of other roles may be
+    absent, and aren't compared there. regions: (contig, start, end, role); contigs: (contig)."""
+    at = regions.join(contigs.select("contig").distinct().withColumn("there_", F.lit(True)), "contig", "left")
+    order = Window.partitionBy("contig").orderBy("start", "end", "role").rowsBetween(Window.unboundedPreceding, -1)  # a contig's regions, some hundreds
+    at = at.withColumn("reach_", F.max("end").over(order))
+    fault = F.when(F.col("there_").isNull() & (F.col("role") == "control"), "absent").when(F.col("there_") & (F.col("start") < F.col("reach_")), "overlap")
+    return at.select("contig", "start", "end", "role", fault.alias("fault")).where("fault is not null")
+
+
+def refuse(faults: DataFrame, what: str) -> None:
+    """An error that names the first of the faults, if there is one."""
+    first = faults.orderBy(*faults.columns).first()
+    if first is not None:
+        raise ValueError(f"{what}: {first.fault}: " + ", ".join(f"{k} {v}" for k, v in first.asDict().items() if k != "fault"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,8 +21,10 @@ def merge(df: DataFrame, keys: list[str], gap: int = 0) -> DataFrame:
 
 def complement(merged: DataFrame, keys: list[str]) -> DataFrame:
     """The gaps between merged intervals of a key."""
-    before = F.lag("end").over(Window.partitionBy(*keys).orderBy("start"))
-    return merged.select(*keys, before.alias("start"), F.col("start").alias("end")).where("start < end")
+    at = _carried(merged.select(*keys, "start", "end", F.floor(F.col("start") / RANGE).alias("bucket_")), keys, F.col("end"), "reach_")
+    before = Window.partitionBy(*keys, "bucket_").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.greatest("reach_", F.max("end").over(before))
+    return at.select(*keys, reach.alias("start"), F.col("start").alias("end")).where("start < end")
 
 
 def _binned(df: DataFrame, width: int) -> DataFrame:
@@ -63,26 +65,27 @@ def price(queries: DataFrame, slices: DataFrame, keys: list[str], width: int) ->
     return met.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).crossJoin(once)
 
 
-def _islands(df: DataFrame, keys: list[str], gap: int, width: int) -> DataFrame:
-    """df with island_, the start of the stretch that a row lies in; stretches of a key are more than `gap` apart. Windows hold the
-    starts of `width`, or a row for each such range of a key."""
-    at = df.withColumn("bucket_", F.floor(F.col("start") / width))
+def _carried(at: DataFrame, keys: list[str], what: Column, name: str) -> DataFrame:
+    """Adds what is largest in the earlier ranges (bucket_) of a row's key, from a row for each range."""
     on = [*keys, "bucket_"]
     earlier = Window.partitionBy(*keys).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
-    order = Window.partitionBy(*on).orderBy("start", "end")
+    top = at.groupBy(*on).agg(F.max(what).alias("top_")).select(*(F.col(c).alias(f"{c}k_") for c in on), "top_", F.col("bucket_"), *keys)
+    base = top.withColumn(name, F.max("top_").over(earlier)).drop("top_", *on)
+    same = F.lit(True)
+    for c in on:
+        same = same & at[c].eqNullSafe(base[f"{c}k_"])
+    return at.join(base, same).drop(*(f"{c}k_" for c in on))
 
-    def carried(at: DataFrame, what, name: str) -> DataFrame:
-        top = at.groupBy(*on).agg(F.max(what).alias("top_")).select(*(F.col(c).alias(f"{c}k_") for c in on), "top_", F.col("bucket_"), *keys)
-        base = top.withColumn(name, F.max("top_").over(earlier)).drop("top_", *on)
-        same = F.lit(True)
-        for c in on:
-            same = same & at[c].eqNullSafe(base[f"{c}k_"])
-        return at.join(base, same).drop(*(f"{c}k_" for c in on))
 
-    at = carried(at, F.col("end"), "reach_")
+def _islands(df: DataFrame, keys: list[str], gap: int, width: int) -> DataFrame:
+    """df with island_, the start of the stretch that a row lies in; stretches of a key are more than `gap` apart. Windows hold the
+    starts of `width`, or a row for each such range of a key."""
+    at = df.withColumn("bucket_", F.floor(F.col("start") / width))
+    order = Window.partitionBy(*keys, "bucket_").orderBy("start", "end")
+    at = _carried(at, keys, F.col("end"), "reach_")
     reach = F.greatest("reach_", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     at = at.withColumn("new_", F.when(reach.isNull() | (F.col("start") - reach > gap), F.col("start")))
-    at = carried(at, F.col("new_"), "last_")
+    at = _carried(at, keys, F.col("new_"), "last_")
     return at.withColumn("island_", F.greatest("last_", F.max("new_").over(order.rowsBetween(Window.unboundedPreceding, 0)))).drop("bucket_", "reach_", "new_", "last_")
 
 

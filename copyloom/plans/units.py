@@ -139,3 +139,25 @@ def profile_readings(spark, d):
     """The readings of customers' balances by nation as profiles in order of keys, with what is called of them."""
     c = table(spark, d, "customer").select((F.col("c_nationkey") % 3).alias("sample"), (F.col("c_custkey") * 250).alias("start"), (F.round(F.col("c_acctbal") / 4000 + 8) + F.col("c_custkey") % 7 / 40).alias("cn"), (0.8 + F.col("c_custkey") % 3 / 5).alias("noise"))
     return profiles.calls(profiles.readings(c, ["sample"], 250, lean=False), ["sample"])
+
+
+@query(f"""WITH r AS (SELECT * FROM (SELECT item_id % 8 AS class, off + item_id % 3 AS pos, CASE WHEN off % 50 = 7 THEN translate(reverse(c), 'ACGT', 'TGCA') WHEN off % 50 = 9 THEN substr(c, 2) ELSE c END AS canon FROM (WITH {_UK} SELECT * FROM uk))),
+c AS (SELECT DISTINCT item_id % 8 AS class, CASE WHEN item_id % 8 = 3 THEN 'compositional' ELSE 'positional' END AS kind, 300 AS length FROM benchmark WHERE item_id % 8 < 7), n AS (SELECT canon, count(*) AS n FROM r GROUP BY canon),
+f AS (SELECT r.class, CASE WHEN length(canon) <> {K} THEN 'length' WHEN canon > translate(reverse(canon), 'ACGT', 'TGCA') THEN 'not canonical' WHEN c.class IS NULL THEN 'undeclared class' WHEN CASE kind WHEN 'compositional' THEN pos <> 0 ELSE pos >= 300 END THEN 'outside' WHEN n > 1 THEN 'twice' END AS fault
+FROM r JOIN n USING (canon) LEFT JOIN c ON c.class = r.class) SELECT class, fault, count(*) AS kmers FROM f WHERE fault IS NOT NULL GROUP BY ALL""")
+def panel_faults(spark, d):
+    b = table(spark, d, "benchmark")
+    u = S.kmers(b.select("item_id", S.dna(F.col("text")).alias("seq")), "seq", K, spread=True)
+    canon = F.when(F.col("off") % 50 == 7, S.reverse_complement(F.col("canon"))).when(F.col("off") % 50 == 9, F.expr("substring(canon, 2)")).otherwise(F.col("canon"))
+    rows = u.select((F.col("item_id") % 8).alias("class"), (F.col("off") + F.col("item_id") % 3).alias("pos"), canon.alias("canon"))
+    classes = b.select((F.col("item_id") % 8).alias("class")).distinct().where("class < 7").select("class", F.when(F.col("class") == 3, "compositional").otherwise("positional").alias("kind"), F.lit(300).alias("length"))
+    return contracts.panel_faults(rows, classes, K).groupBy("class", "fault").agg(F.count(F.lit(1)).alias("kmers"))
+
+
+@query("""WITH r AS (SELECT DISTINCT user_id % 40 AS contig, CAST(floor(value * 3000) AS BIGINT) AS s, CAST(floor(value * 3000) AS BIGINT) + 5 + event_id % 3 * 5 AS e, CASE WHEN event_id % 4 = 0 THEN 'test' ELSE 'control' END AS role FROM events),
+o AS (SELECT *, max(e) OVER (PARTITION BY contig ORDER BY s, e, role ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+f AS (SELECT *, CASE WHEN contig % 10 = 9 THEN CASE WHEN role = 'control' THEN 'absent' END WHEN s < reach THEN 'overlap' END AS fault FROM o) SELECT contig, s AS "start", e AS "end", role, fault FROM f WHERE fault IS NOT NULL""")
+def control_faults(spark, d):
+    start = F.floor(F.col("value") * 3000)
+    r = table(spark, d, "events").select((F.col("user_id") % 40).alias("contig"), start.alias("start"), (start + 5 + F.col("event_id") % 3 * 5).alias("end"), F.when(F.col("event_id") % 4 == 0, "test").otherwise("control").alias("role")).distinct()
+    return contracts.control_faults(r, r.select("contig").distinct().where("contig % 10 <> 9"))

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from copyloom.operators.contracts import control_faults, panel_faults, refuse
+
 BED = "contig string, start long, end long, name string"
 READS = "name string, flags int, contig string, pos long, mapq int, cigar string, tlen int, seq string"
 COUNTS = "format string, sample string, mode string, records long, `primary` long, insert_median long, read_length_mode long, gc_tables array<struct<l:long,n:array<long>,o:array<long>>>, classes array<struct<name:string,kind:string,bin:long,fwd:array<long>,rev:array<long>,reads:long,dup_flagged:long>>, placements array<struct<class:string,contig:string,start:long,reads:long>>"
@@ -240,6 +242,29 @@ def read_panel_classes(spark: SparkSession, path: str) -> DataFrame:
     return head.select(F.lit(k.k).alias("k"), m("id", "int"), m("name", "string"), m("kind", "string"), m("length", "long"), (F.col("m")["circular"] == "1").alias("circular"), m("kmers_input", "long"), m("kmers_kept", "long"))
 
 
+def open_panel(spark: SparkSession, path: str) -> DataFrame:
+    """read_panel()'s rows with name and kind, after the checks of contracts.panel_faults() against the file's own classes; ids of classes must be 0, 1, 2... and names differ, and there must be rows."""
+    classes = read_panel_classes(spark, path)
+    ids = classes.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.count_distinct("id").alias("ids"), F.count_distinct(F.nullif("name", F.lit(""))).alias("names"), F.max("k").alias("k")).first()
+    if not ids.n or (ids.low, ids.high, ids.ids, ids.names) != (0, ids.n - 1, ids.n, ids.n):
+        raise ValueError(f"{path}: classes are not numbered from 0 or not named apart")
+    rows = read_panel(spark, path).withColumn("class", F.col("class").try_cast("int"))
+    refuse(panel_faults(rows, classes.select(F.col("id").alias("class"), "kind", "length"), ids.k), path)
+    if rows.isEmpty():
+        raise ValueError(f"{path}: no k-mers")
+    return rows.join(F.broadcast(classes.select(F.col("id").alias("class"), "name", "kind")), "class").select("canon", "class", "pos", "fwd", "name", "kind")  # at most some hundred classes
+
+
+def open_controls(spark: SparkSession, path: str, contigs: DataFrame) -> DataFrame:
+    """read_controls()'s regions with absent, after the checks of contracts.control_faults() against the contigs (contig) of the alignments; one of them at least must be a control."""
+    regions = read_controls(spark, path)
+    if regions.where("role = 'control'").isEmpty():
+        raise ValueError(f"{path}: no region with role=control")
+    refuse(control_faults(regions, contigs), path)
+    there = contigs.select("contig").distinct().withColumn("there_", F.lit(True))
+    return regions.join(there, "contig", "left").withColumn("absent", F.col("there_").isNull()).drop("there_")
+
+
 def write_report(candidates: DataFrame, path: str) -> None:
     """Every candidate k-mer of a panel in order: class, position, count in its class, shared, background. candidates as operators.panel gives them."""
     rows = candidates.where(~F.col("outside")).select("class", F.col("at.off").alias("pos"), "n", F.col("shared").cast("int").alias("shared"), "background")
