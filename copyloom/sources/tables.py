@@ -309,3 +309,20 @@ def read_paf(spark: SparkSession, path: str) -> DataFrame:
     )
     whole = [c for c in at.columns if c != "cs"]
     return _checked(at, F.forall(F.array(*(F.col(c).isNotNull() for c in whole)), lambda x: x), "not a PAF line")
+
+
+#: Endings of files of one unit, in the order in which they are taken.
+UNIT_ENDINGS = (".fa", ".fa.gz", ".fasta", ".fasta.gz")
+
+
+def find_units(spark: SparkSession, folders: list[str], classes: DataFrame) -> DataFrame:
+    """(class, path): the file named after each class (class) in the first of the folders that has one, by UNIT_ENDINGS within a folder; null where none has. Folders must exist; files are listed, not read."""
+    found = None
+    for k, folder in enumerate(folders):
+        at = spark.read.format("binaryFile").option("pathGlobFilter", "*.{fa,fa.gz,fasta,fasta.gz}").load(folder).select("path", F.lit(k).alias("k_"))
+        found = at if found is None else found.unionByName(at)
+    name = F.regexp_extract("path", r"([^/]+?)(\.fa|\.fa\.gz|\.fasta|\.fasta\.gz)$", 1)
+    ending = F.regexp_extract("path", r"[^/]+?(\.fa|\.fa\.gz|\.fasta|\.fasta\.gz)$", 1)
+    place = F.array_position(F.array(*map(F.lit, UNIT_ENDINGS)), ending)
+    first = found.select(name.alias("class"), F.struct("k_", place.alias("e_"), "path").alias("f_")).groupBy("class").agg(F.min("f_").alias("f_"))
+    return classes.select("class").distinct().join(first, "class", "left").select("class", F.col("f_.path").alias("path"))

@@ -46,3 +46,13 @@ def test_gaps_cross_ranges(spark):
     df = spark.createDataFrame([("a", 5, 9), ("a", 10 * w, 10 * w + 3), ("a", 10 * w + 4, 40 * w), ("a", 40 * w + 1, 40 * w + 2), (None, 3, 4), (None, 7, 8)], "contig string, start long, end long")
     got = intervals.complement(df, ["contig"])
     assert sorted((str(c), s, e) for c, s, e in rows(got.where("contig is null or true").fillna("None"))) == [("None", 4, 7), ("a", 9, 10 * w), ("a", 10 * w + 3, 10 * w + 4), ("a", 40 * w, 40 * w + 1)]
+
+
+def test_units_are_looked_for_in_order(spark, tmp_path):
+    for d, names in (("one", ["a.fasta", "a.fa.gz", "x.txt"]), ("two", ["a.fa", "b.v2.fa", "c.tsv"])):
+        (tmp_path / d).mkdir()
+        for n in names:
+            (tmp_path / d / n).write_text(">u\nACGT\n")
+    classes = spark.createDataFrame([("a",), ("b.v2",), ("b",), ("c",), ("a",)], "class string")
+    got = tables.find_units(spark, [str(tmp_path / "one"), str(tmp_path / "two")], classes)
+    assert [(c, p and p.split("/")[-2:]) for c, p in sorted(map(tuple, got.collect()))] == [("a", ["one", "a.fa.gz"]), ("b", None), ("b.v2", ["two", "b.v2.fa"]), ("c", None)]
