@@ -125,8 +125,8 @@ def trimmed_mean(df: DataFrame, keys: list[str], value: str, z: float = 3.0) ->
 
 def level_windows(windows: DataFrame, excluded: DataFrame, keys: list[str], width: int) -> DataFrame:
     """Windows (keys, start, end) that overlap no excluded interval (keys, start, end)."""
-    met = intervals.overlaps(windows.select(*keys, "start", "end"), excluded.select(*keys, "start", "end"), keys, width).select(*keys, "start", "end").distinct()
-    return windows.join(met, [*keys, "start", "end"], "left_anti")
+    at = intervals.reached(windows, excluded, keys, "reach_", max(width, intervals.RANGE))
+    return at.where(~F.coalesce(F.col("reach_") > F.col("start"), F.lit(False))).drop("reach_")
 
 
 def by_sex(at: DataFrame) -> DataFrame:

@@ -46,14 +46,32 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str], width: int) -> DataFra
     return at.where(F.col("bin_") == F.floor(F.greatest("start", "start_b") / width)).drop("bin_")
 
 
+def reached(a: DataFrame, b: DataFrame, keys: list[str], name: str, width: int = RANGE) -> DataFrame:
+    """a with the largest end of the intervals of b that start before a row's end (null if none does): one of b overlaps it if that lies beyond its start.
+    Both are put in order by ranges of places, so no pair is made, however many of b overlap one of a."""
+    none = F.lit(None).cast("long")
+    known = b.where(" and ".join(f"`{c}` is not null" for c in (*keys, "start", "end")))
+    starts = known.groupBy(*keys, F.col("start").alias("pos_")).agg(F.max("end").cast("long").alias("end_"))  # of equal starts the longest says all
+    asked = a.select(*keys, F.col("end").alias("pos_"), none.alias("end_"), F.struct(*a.columns).alias("row_"))
+    at = asked.unionByName(starts, allowMissingColumns=True).withColumn("bucket_", F.floor(F.col("pos_") / width))
+    at = _carried(at, keys, F.col("end_"), "reach_")
+    upto = Window.partitionBy(*keys, "bucket_").orderBy("pos_", F.col("end_").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    at = at.withColumn("reach_", F.greatest("reach_", F.max("end_").over(upto))).where("row_ is not null")
+    return at.select("row_.*", F.col("reach_").alias(name))
+
+
 def within(a: DataFrame, merged: DataFrame, keys: list[str], width: int) -> DataFrame:
     """Intervals of a that lie wholly inside one merged interval."""
     return overlaps(a, merged, keys, width).where("start_b <= start and end <= end_b").drop("start_b", "end_b")
 
 
 def last_holding(points: DataFrame, intervals: DataFrame, keys: list[str], width: int, by: list[str]) -> DataFrame:
-    """Each point with the interval that starts last of those that hold it."""
-    return points_in(points, intervals, keys, width).groupBy(*keys, *by, "pos").agg(F.max("start").alias("start"))
+    """Each point with the interval that starts last of those that hold it. Places are asked once, however many points lie there, and of
+    intervals with one start only the longest, so a place meets no more of them than the longest has bases."""
+    longest = intervals.groupBy(*keys, "start").agg(F.max("end").alias("end"))
+    asked = points.select(*keys, "pos").distinct()
+    found = points_in(asked, longest, keys, width).groupBy(*keys, "pos").agg(F.max("start").alias("start"))
+    return points.select(*keys, *by, "pos").distinct().join(found, [*keys, "pos"]).select(*keys, *by, "pos", "start")
 
 
 def price(queries: DataFrame, slices: DataFrame, keys: list[str], width: int) -> DataFrame:
