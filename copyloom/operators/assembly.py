@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from copyloom.operators.intervals import overlaps
+from copyloom.operators.intervals import reached
 from copyloom.session import kept
 
 # The class of each label, and of labels that begin so; the label of a catch-all, of a gap, and the span of a gap of unknown size.
@@ -17,7 +17,7 @@ CLASS_OF = {
 }
 PREFIXES = {"ACRO": "ACRO", "SST1": "SST1", "SATR": "SATR"}
 ANY, GAP, UNSIZED = "cenSat", "GAP", 100
-#: Bases between records of one stretch at most, and of a bin in which touching records meet.
+#: Bases between records of one stretch at most, and of a range whose records are put in order at once.
 NEAR, BIN = 1000, 1 << 20
 
 
@@ -47,7 +47,10 @@ def mass(annotation: DataFrame) -> DataFrame:
     own = at.where("class is not null").groupBy("sample", "class").agg(F.sum(F.when(~F.col("gap"), size).otherwise(0)).alias("mass"), F.sum(F.when(F.col("gap"), size).otherwise(0)).cast("double").alias("gapped"), F.lit(0).cast("long").alias("unsized"))
     # A gap's ends are moved out by one base, so that what touches it overlaps it.
     gaps = at.where("alone").select(*on, F.monotonically_increasing_id().alias("gap_"), size.alias("size_"), (F.col("start") - 1).alias("start"), (F.col("end") + 1).alias("end"))
-    near = overlaps(kept(gaps, "gaps"), at.where("class is not null and not alone").select(*on, "class", "start", "end"), on, BIN).select("sample", "gap_", "size_", "class").distinct()
+    named = at.where("class is not null and not alone").select(*on, "class", "start", "end")
+    # A row for each gap and each class of its contig, which is asked whether one of its records reaches the gap.
+    asked = kept(gaps, "gaps").join(named.select(*on, "class").distinct(), on)
+    near = reached(asked, named, [*on, "class"], "reach_", BIN).where("reach_ > start").select("sample", "gap_", "size_", "class")
     share = near.withColumn("n_", F.count(F.lit(1)).over(Window.partitionBy("gap_")))  # classes of one gap
     shared = share.groupBy("sample", "class").agg(F.lit(0).cast("long").alias("mass"), F.sum(F.col("size_") / F.col("n_")).alias("gapped"), F.count_if(F.col("size_") == UNSIZED).alias("unsized"))
     return own.unionByName(shared).groupBy("sample", "class").agg(F.sum("mass").alias("mass"), F.sum("gapped").alias("gapped"), F.sum("unsized").alias("unsized"))
