@@ -99,7 +99,8 @@ def placed(rows: DataFrame, keys: list[str], order: Column, ties: list[str], nam
     before = Window.partitionBy(*keys).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
     count = count.select(*keys, "range_", F.coalesce(F.sum("k_").over(before), F.lit(0)).alias("before_"))
     inside = Window.partitionBy(*keys, "range_").orderBy("o_", *ties)
-    return at.join(count, [*keys, "range_"]).withColumn(name, F.col("before_") + F.row_number().over(inside)).drop("o_", "range_", "before_")
+    # Sizes are told from tables before explode() makes a row of each for each permutation, so the sides are never to be broadcast.
+    return at.join(count.hint("merge"), [*keys, "range_"]).withColumn(name, F.col("before_") + F.row_number().over(inside)).drop("o_", "range_", "before_")
 
 
 def permutation_p(at: DataFrame, x: str, y: str, times: int = 199, seed: int = 1) -> DataFrame:
@@ -107,7 +108,7 @@ def permutation_p(at: DataFrame, x: str, y: str, times: int = 199, seed: int = 1
     both = kept(at.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.monotonically_increasing_id().alias("i_"), F.col(x).cast("double").alias("x_"), F.col(y).cast("double").alias("y_")), "pairs")
     every = both.withColumn("r_", F.explode(F.sequence(F.lit(1), F.lit(times))))
     side = lambda c, s: placed(every.select("r_", "i_", c), ["r_"], F.xxhash64("i_", "r_", F.lit(s)), ["i_"], "k_").drop("i_")
-    dealt = side("x_", seed).join(side("y_", seed + 1), ["r_", "k_"]).groupBy("r_").agg(F.corr("x_", "y_").alias("c_"))
+    dealt = side("x_", seed).join(side("y_", seed + 1).hint("merge"), ["r_", "k_"]).groupBy("r_").agg(F.corr("x_", "y_").alias("c_"))
     seen = both.agg(F.corr("x_", "y_").alias("r"))
     return dealt.crossJoin(F.broadcast(seen)).groupBy("r").agg(((F.count_if(F.abs("c_") >= F.abs("r")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))  # seen is one row
 
@@ -119,7 +120,7 @@ def permuted_slope(at: DataFrame, strata: list[str] | None = None, times: int =
     both = kept(_whole(at).select(F.monotonically_increasing_id().alias("i_"), *strata, F.col("child_value").cast("double").alias("y_"), ((F.col("father_value") + F.col("mother_value")) / 2).alias("x_")), "dealt")
     every = both.withColumn("r_", F.explode(F.sequence(F.lit(1), F.lit(times))))
     side = lambda c, s: placed(every.select("r_", "i_", *strata, c), ["r_", *strata], F.xxhash64("i_", "r_", F.lit(s)), ["i_"], "k_").drop("i_")
-    null = side("x_", seed).join(side("y_", seed + 1), ["r_", *strata, "k_"]).groupBy("r_").agg(F.regr_slope("y_", "x_").alias("s_"))
+    null = side("x_", seed).join(side("y_", seed + 1).hint("merge"), ["r_", *strata, "k_"]).groupBy("r_").agg(F.regr_slope("y_", "x_").alias("s_"))
     seen = both.agg(F.count(F.lit(1)).alias("n"), F.regr_slope("y_", "x_").alias("slope"))
     got = null.crossJoin(F.broadcast(seen)).groupBy("n", "slope")  # seen is one row
     return got.agg(F.avg("s_").alias("null_mean"), F.stddev_pop("s_").alias("null_sd"), ((F.count_if(F.col("s_") >= F.col("slope")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
