@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from copyloom.operators import assembly, cohort, cohort_table, components, contracts, documents, fractions, heredity, intervals, karyotype, tallies
 from copyloom.plans.more import _READS, _reads
 from copyloom.queries import _BANDS, _MERGE, _bands, query, six, table
+from copyloom.session import kept
 
 _CELLS = "cells AS (SELECT l_suppkey % 40 AS r, l_partkey % 60 AS c, avg(ln(l_extendedprice)) AS v FROM lineitem GROUP BY ALL)"
 
@@ -124,8 +125,9 @@ def karyotypes(spark, d):
     chrom = F.element_at(F.array(*map(F.lit, _CHROMOSOMES)), (F.col("l_partkey") % len(_CHROMOSOMES) + 1).cast("int"))
     at = (F.col("l_suppkey") % 8) * 400_000 + 1000
     cells = x.groupBy((F.col("o_custkey") % 24).cast("string").alias("sample"), F.format_string("%s:%d-%d", chrom, at, at + 10_000).alias("region")).agg(F.sum("l_quantity").alias("q"))
+    cells = kept(cells, "sums")
     total = cells.groupBy("region").agg(F.sum("q").alias("all"))
-    cells = cells.join(total, "region").select("sample", "region", F.log(24 * F.col("q") / F.col("all")).alias("log_ratio"))
+    cells = kept(cells.join(total, "region").select("sample", "region", F.log(24 * F.col("q") / F.col("all")).alias("log_ratio")), "cells")  # the model reads them many times
     arms = spark.createDataFrame([(c, 1_700_000) for c in _CHROMOSOMES], "chrom string, border long")
     regions = karyotype.layout(cells.select("region"), arms)
     gc = spark.createDataFrame([(c, 0.36 + 0.005 * k) for k, c in enumerate(karyotype.AUTOSOMES)], "chrom string, gc double")
