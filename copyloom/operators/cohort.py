@@ -22,11 +22,11 @@ def _parts(counts: DataFrame, keys: list[str], value: str, parts: int) -> DataFr
     return counts.join(cuts, keys).withColumn("part_", F.size(F.filter("cuts_", lambda x: x < F.col(value)))).drop("cuts_")
 
 
-def medians(df: DataFrame, keys: list[str], value: str, parts: int = PARTS) -> DataFrame:
+def medians(df: DataFrame, keys: list[str], value: str, parts: int = PARTS, count: str | None = None) -> DataFrame:
     """(keys, n, median) of the values that are neither null nor NaN, exactly, without a buffer or a window of a key's values: equal values are counted first, sums of parts tell in which of them the middle lies, and those alone
-    are put in order."""
-    at = df.select(*keys, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull() & ~F.isnan(value))
-    counts = at.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_"))
+    are put in order. A row stands for as many as its count, where that is named."""
+    at = df.select(*keys, F.col(value).cast("double").alias(value), (F.lit(1).cast("long") if count is None else F.col(count)).alias("c_")).where(F.col(value).isNotNull() & ~F.isnan(value))
+    counts = at.groupBy(*keys, value).agg(F.sum("c_").alias("n_"))
     counts = kept(_parts(counts, keys, value, parts), "value-counts")
     before = Window.partitionBy(*keys).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
     sums = counts.groupBy(*keys, "part_").agg(F.sum("n_").alias("sum_")).withColumn("base_", F.coalesce(F.sum("sum_").over(before), F.lit(0))).withColumn("n", F.sum("sum_").over(Window.partitionBy(*keys)))
@@ -192,10 +192,10 @@ def heredity_errors(at: DataFrame, x: str, y: str) -> DataFrame:
     return sums.select("n", "slope", (F.sqrt(F.col("mid_") * F.col("n") / (F.col("n") - 2)) / F.col("xx_")).alias("se"))
 
 
-def mean_ranks(rows: DataFrame, keys: list[str], value: str, name: str, parts: int = PARTS) -> DataFrame:
+def mean_ranks(rows: DataFrame, keys: list[str], value: str, name: str, parts: int = PARTS, count: str | None = None) -> DataFrame:
     """(keys, value, name): the rank of each different value in its key; equal values share their mean rank. Values are ordered part by part of
     about equal size, so no window holds a key."""
-    at = kept(_parts(rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_")), keys, value, parts), "value-counts")
+    at = kept(_parts(rows.groupBy(*keys, value).agg((F.count(F.lit(1)) if count is None else F.sum(count)).alias("n_")), keys, value, parts), "value-counts")
     before = Window.partitionBy(*keys).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
     base = at.groupBy(*keys, "part_").agg(F.sum("n_").alias("sum_")).withColumn("base_", F.coalesce(F.sum("sum_").over(before), F.lit(0))).drop("sum_")
     inside = Window.partitionBy(*keys, "part_").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
@@ -204,13 +204,22 @@ def mean_ranks(rows: DataFrame, keys: list[str], value: str, name: str, parts: i
 
 
 def agreement(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, log_median, log_sd, pearson, spearman) of pairs (keys, x, y), both above 0. Equal values share their mean rank."""
-    at = kept(pairs.where("x > 0 and y > 0").withColumn("log_", F.log(F.col("y") / F.col("x"))), "logs")
-    mid = medians(at, keys, "log_").select(*keys, F.col("median").alias("log_median"))
+    """(keys, n, log_median, log_sd, pearson, spearman) of pairs (keys, x, y), both above 0. Equal values share their mean rank. Pairs are read once for what sums alone tell,
+    and counted by value for what takes order, so that joins and ranges hold a row for each different pair."""
+    log = F.log(F.col("y") / F.col("x"))
+    pairs = pairs.where("x > 0 and y > 0")
+    told = kept(pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(log).alias("log_sd"), F.corr("x", "y").alias("pearson")), "sums")
+    at = kept(pairs.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("n_")).withColumn("log_", log), "pair-counts")
+    mid = medians(at, keys, "log_", count="n_").select(*keys, F.col("median").alias("log_median"))
     for c in ("x", "y"):
-        at = at.join(mean_ranks(at, keys, c, f"rank_{c}"), [*keys, c])
-    got = at.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("log_").alias("log_sd"), F.corr("x", "y").alias("pearson"), F.corr("rank_x", "rank_y").alias("spearman"))
-    return got.join(mid, keys).select(*keys, "n", "log_median", "log_sd", "pearson", "spearman")
+        at = at.join(mean_ranks(at, keys, c, f"rank_{c}", count="n_"), [*keys, c])
+    # Ranks have a mean that is known, so their sums of products are taken about it.
+    x, y = (F.col(f"rank_{c}") - (F.col("n") + 1) / 2 for c in ("x", "y"))
+    at = at.join(F.broadcast(told) if told.limit(BROADCAST + 1).count() <= BROADCAST else told, keys)
+    ranks = at.groupBy(*keys).agg(*(F.sum(F.col("n_") * a * b).alias(k) for k, a, b in (("xx_", x, x), ("yy_", y, y), ("xy_", x, y))))
+    spread = F.sqrt(F.col("xx_")) * F.sqrt(F.col("yy_"))
+    got = told.join(ranks, keys).join(mid, keys)
+    return got.select(*keys, "n", "log_median", "log_sd", "pearson", F.when(spread > 0, F.col("xy_") / spread).alias("spearman"))
 
 
 def adjust(rows: DataFrame, value: str, covariates: list[str]) -> DataFrame:
