@@ -9,6 +9,7 @@ from copyloom.functions import sequences as S
 from copyloom.operators import contracts, loci, profiles
 from copyloom.operators import estimate as E
 from copyloom.queries import _DK, _UK, K, query, six, table
+from copyloom.session import dealt, kept
 
 _HITS = """hits AS (SELECT l_partkey % 20 AS class, l_suppkey % 9 AS contig, 120000 AS length, CAST(floor(l_extendedprice) AS BIGINT) AS s, CAST(floor(l_extendedprice) AS BIGINT) + 300 + l_orderkey % 900 AS e, 300 + l_orderkey % 900 AS cols, CAST(ceil((300 + l_orderkey % 900) * (1 - l_discount)) AS BIGINT) AS matches FROM lineitem),
 wide AS (SELECT class, contig, greatest(0, s - 150) AS s, least(length, e + 150) AS e FROM hits WHERE e - s >= 500 AND matches >= 0.97 * cols)"""
@@ -94,12 +95,12 @@ v AS (SELECT sample, unit, copies, delta, s, e, CASE WHEN delta > 0 THEN CASE WH
 
 
 def _read(spark, d) -> tuple[DataFrame, DataFrame]:
-    g = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sample"), (F.col("l_orderkey") % 5).alias("unit"), F.col("l_linenumber").alias("n")).agg((F.sum("l_quantity").cast("long") * 1000).alias("size"), (9 + F.max("l_partkey") % 3).alias("state"))
+    g = dealt(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey"), "l_orderkey").groupBy(F.col("l_orderkey").alias("sample"), (F.col("l_orderkey") % 5).alias("unit"), F.col("l_linenumber").alias("n")).agg((F.sum("l_quantity").cast("long") * 1000).alias("size"), (9 + F.max("l_partkey") % 3).alias("state"))
     g = g.withColumn("end", F.expr("sum(size) OVER (PARTITION BY sample ORDER BY n)")).withColumn("start", F.col("end") - F.col("size")).withColumn("reading", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
     state = F.col("state") + F.when(F.col("reading") == 0, 0).when(F.col("reading") == 1, F.col("sample") % 2).otherwise(1)
     g = g.select("sample", "unit", "reading", (-F.col("reading") * (1 + F.col("sample") % 4)).alias("score"), F.lit(1.0).alias("scale"), F.lit(0.0).alias("lean"), F.lit(0.1).alias("sd"), "start", "end", state.alias("state"))
     poly = table(spark, d, "orders").select((F.col("o_orderkey") % 5).alias("unit")).distinct().select("unit", (10000 * F.col("unit")).alias("start"), (10000 * F.col("unit") + 60000).alias("end"))
-    return g, poly
+    return kept(g, "readings"), poly
 
 
 _ON = ["sample", "unit"]

@@ -47,6 +47,20 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{where}/copyloom-{what}-{uuid.uuid4().hex}"
 
 
+#: Rows of a part that dealt() makes, about.
+PART = 250_000
+
+
+def dealt(df: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
+    """df by keys in parts of about PART rows each, so that what a task sorts or holds doesn't grow with the table; df is counted for it, so it should be stored or
+    scanned, if the number isn't given."""
+    return df.repartition(parts or parts_of(df), *keys)
+
+
+def parts_of(df: DataFrame) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // PART))
+
+
 def kept(df: DataFrame, what: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back, so that what uses it several times makes it once."""
     at = scratch(df.sparkSession, what)
