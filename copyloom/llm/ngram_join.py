@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from copyloom.llm.common import Forest, by_tile, chunks, components, mixed, runs, small, stored, text_bytes, tiles, word_hashes
+from copyloom.llm.common import Forest, by_tile, chunks, components, giving_back, mixed, runs, small, stored, text_bytes, tiles, word_hashes
 
 WORDS, PERCENT = 5, 75
 #: Counters of the sketch by which shingles are ordered, and the rows that carry them. Its size doesn't grow with the data (counters
@@ -101,7 +101,7 @@ def set_table(docs: DataFrame, words: int = WORDS) -> DataFrame:
             none = [pa.nulls(SKETCH_ROWS, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(SKETCH_ROWS), pa.int32()), pa.array(rows, pa.binary())], names=names)
 
-    return docs.mapInArrow(measure, "doc_id long, n long, fp binary, bits binary, part int, counts binary")
+    return docs.mapInArrow(giving_back(measure), "doc_id long, n long, fp binary, bits binary, part int, counts binary")
 
 
 def _sketch(table: DataFrame) -> list[bytes]:
@@ -290,8 +290,8 @@ def ngram_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
                 yield pa.RecordBatch.from_arrays([part.column("tiles"), part.column("node"), part.column("n"), pa.array(raw, pa.binary())], names=["tiles", "node", "n", "shingles"]).filter(pa.array(same))
 
     texts = slim.withColumnRenamed("doc_id", "node").join(small(dealt), "node")
-    nodes = texts.mapInArrow(with_sets, "tiles array<struct<tile:long,side:int>>, node long, n long, shingles binary")
-    near = by_tile(nodes).mapInArrow(_tile_links(percent), "a long, b long")
+    nodes = texts.mapInArrow(giving_back(with_sets), "tiles array<struct<tile:long,side:int>>, node long, n long, shingles binary")
+    near = by_tile(nodes).mapInArrow(giving_back(_tile_links(percent)), "a long, b long")
     return sets, stored(near.unionByName(equal), "links")
 
 

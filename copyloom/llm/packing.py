@@ -19,11 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from copyloom.llm.common import chunks, small, stored, text_bytes
+from copyloom.llm.common import chunks, give_back, giving_back, small, stored, text_bytes
 
 WINDOW, END_ID = 2048, 1
-#: Stretches whose ids a Python worker remembers; it forgets all when there are more. Bytes of text that are looked up together; words encoded in one call.
-REMEMBERED, TOGETHER, LOT = 600_000, 8 << 20, 32
+#: Stretches whose ids a Python worker remembers; it forgets all when there are more. Bytes of text that are looked up together, some thirty of memory each;
+#: words encoded as one text, and texts encoded in one call, as the encoder's own results hold some hundred bytes a token.
+REMEMBERED, TOGETHER, LOT, CALL = 600_000, 2 << 20, 32, 256
 _TOKENIZERS: dict = {}
 _MARKS = ".,;:!?$%&*#|"
 #: How the default tokenizer prepares a text: spaces of any kind become one space, no piece holds a space, and what is no letter or digit
@@ -84,7 +85,7 @@ class _Ids:
         self.filled = end
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return [e.ids for k in range(0, len(texts), CALL) for e in self.model.encode_batch_fast(texts[k : k + CALL], add_special_tokens=False)]
 
     def learn(self, stretches: Iterable[str]) -> None:
         """Encodes those that are new. Words of letters go many at a time: each is one piece, with one end, or its lot is encoded word by word."""
@@ -173,8 +174,9 @@ def token_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
                 cols = [pa.array(np.full(j - i, part, np.int32)), pa.array(place + ends - n), pa.array(n), some.column(0), raw]
                 yield pa.RecordBatch.from_arrays(cols, names=["part", "start", "n", "doc_id", "ids"])
                 place += int(ends[-1])
+            give_back()
 
-    return slim.mapInArrow(tokenize, schema)
+    return slim.mapInArrow(giving_back(tokenize), schema)
 
 
 def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:

@@ -66,3 +66,19 @@ def test_components_by_rounds_and_in_one_task(spark, monkeypatch, most):
     got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in met}
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_step_gives_its_memory_back():
+    """What a task's allocators held, batches long gone, is not left to later stages of the same worker."""
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20
+
+    def step(batches):
+        for batch in batches:
+            many = [pa.array(np.arange(1 << 14) + k) for k in range(1500)]  # some 190 MB
+            del many
+            yield batch
+
+    batch = pa.record_batch({"x": [1]})
+    before = held()
+    assert list(common.giving_back(step)(iter([batch, batch]))) == [batch, batch]
+    assert held() < before + 60
