@@ -17,12 +17,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copyloom.llm.common import LOWER, chunks, give_back, stored, text_bytes, word_hashes
+from copyloom.llm.common import LOWER, batches_of, chunks, give_back, stored, text_bytes, word_hashes
 
 DEPTH = 5
 #: A chunk is scored with one table of the words and grams it has: so many rows of a partition at most, as a power of two, where
 #: partitions of less than so many bytes are read together. Larger chunks repeat fewer words and grams.
 CHUNK_BITS, CHUNK_BYTES = 15, 64_000_000
+#: Bytes of text that a Python worker gets at once, about, and its rows: a row of questions or answers has some tens of kilobytes.
+BATCH_BYTES, BATCH_ROWS = 256_000, (64, 10_000)
 #: Raw keys that a task gathers before it counts them, and different keys that it holds before it gives them out.
 GATHERED, HELD = 500_000, 2_500_000
 #: Keys are dealt to buckets by hash: a power of two that follows the number of chunks, within these limits.
@@ -364,12 +366,19 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, depth: int = DEPT
     The model stays a table: each chunk of documents asks for the words and grams it has, with its counts of them; their sums are the
     corpus's counts, a second pass over the questions answers them, and the answers meet the chunk's texts in one task, which holds the
     answers and streams the texts. Questions and answers are packed arrays, dealt by the hash of the key, so no key or context is a
-    hot group. The chunks are written first, as docs may come in another order when read again.
+    hot group. The chunks are written first, as docs may come in another order when read again. Tasks get texts in small batches, whatever
+    the session's setting; the scores are written, so that it can be put back.
     """
     doc = F.col(id_col)
     held_out = default_held_out(doc) if held_out is None else held_out
-    n_bytes = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first().n or 0
-    slim = docs.coalesce(n_bytes // CHUNK_BYTES + 1).select(F.shiftright(F.monotonically_increasing_id(), chunk_bits).alias("chunk"), doc.alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    few = min(max(BATCH_BYTES * size.rows // max(size.n, 1), BATCH_ROWS[0]), BATCH_ROWS[1])
+    with batches_of(docs.sparkSession, few):
+        return stored(_scores(docs, doc, held_out, F.col(text_col).cast("string"), size.n, depth, chunk_bits), "scores")
+
+
+def _scores(docs: DataFrame, doc: Column, held_out: Column, text: Column, n_bytes: int, depth: int, chunk_bits: int) -> DataFrame:
+    slim = docs.coalesce(n_bytes // CHUNK_BYTES + 1).select(F.shiftright(F.monotonically_increasing_id(), chunk_bits).alias("chunk"), doc.alias("doc_id"), held_out.alias("held_out"), text.alias("text"))
     slim = stored(slim, "chunked")
     bits = min(max(int(n_bytes // CHUNK_BYTES).bit_length(), BUCKET_BITS[0]), BUCKET_BITS[1])
     asked = chunk_keys(slim.select("chunk", "text", (~F.col("held_out")).alias("learnt")), bits, depth)
@@ -398,7 +407,7 @@ def _scorer(base_of: float, depth: int):
             c = words.of(h)
             g, ga = grams(b, o, depth)
             sums = [np.add.reduceat(x, at[:-1]) for x in ((c > 0).astype(np.int64), np.log10(c + 0.5) - base_of)]
-            cols = [np.diff(at), *sums, np.add.reduceat(tree.of(g), ga[:-1]), np.diff(o) + 1]
+            cols = [np.diff(at), *sums, np.add.reduceat(tree.of(g).astype(np.float64), ga[:-1]), np.diff(o) + 1]
             ids = [rows.column(x).slice(i, j - i) for x in ("doc_id", "held_out")]
             yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, cols)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
 
@@ -413,7 +422,7 @@ def _scorer(base_of: float, depth: int):
                 part = batch.slice(s, e - s)
                 if kind[s] < 2:
                     for n, raw, x in zip(*(part.column(c).to_pylist() for c in ("n", "keys", "x")), strict=True):
-                        held[kind[s]].append((_unpacked_keys(raw, n), unpacked(x, n, _WORTH[kind[s]]).astype(np.float64)))
+                        held[kind[s]].append((_unpacked_keys(raw, n), unpacked(x, n, _WORTH[kind[s]])))
                     continue
                 if found is None:
                     found, held = [_Values(h) for h in held], [[], []]

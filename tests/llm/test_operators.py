@@ -288,6 +288,38 @@ def test_language_model(spark):
     assert language_model.lm_scores(empty(spark)).count() == 0
 
 
+def test_language_model_gets_small_batches(spark, monkeypatch):
+    name, real = "spark.sql.execution.arrow.maxRecordsPerBatch", language_model._scorer
+    was = spark.conf.get(name)
+
+    def watched(base_of, depth):
+        score = real(base_of, depth)
+
+        def checked(batches):
+            def few():
+                for batch in batches:
+                    assert batch.num_rows <= 64, batch.num_rows
+                    yield batch
+
+            yield from score(few())
+
+        return checked
+
+    monkeypatch.setattr(language_model, "_scorer", watched)
+    some = [f"word{i % 7} " * 700 for i in range(300)]
+    got = language_model.lm_scores(table(spark, some), depth=1)
+    assert spark.conf.get(name) == was
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == dict.fromkeys(range(300), 701)
+    try:
+        with common.batches_of(spark, 5):
+            assert spark.conf.get(name) == "5"
+            with common.batches_of(spark, 9):
+                assert spark.conf.get(name) == "5"
+            raise KeyError
+    except KeyError:
+        assert spark.conf.get(name) == was
+
+
 def test_quality(spark):
     rng = random.Random(6)
     some, labels = [], []
