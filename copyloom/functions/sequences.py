@@ -33,10 +33,17 @@ def circular(seq: Column, k: int) -> Column:
     return F.concat(seq, F.substring(seq, 1, k - 1))
 
 
-def spread_out(df: DataFrame) -> DataFrame:
-    """The rows dealt out if the table comes in fewer partitions than there are cores, as a few small files do; larger ones stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+#: Bytes of text in a part whose k-mers a task counts: a count of each different one takes some 60 bytes.
+PART_BYTES = 2_000_000
+
+
+def spread_out(df: DataFrame, text: str | None = None) -> DataFrame:
+    """The rows dealt out if the table comes in fewer partitions than there are cores, as a few small files do; larger ones stay as they are.
+    If a column is named, also in parts of about PART_BYTES of it, so that what a task counts of their k-mers doesn't grow with the table."""
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    if text is not None:
+        parts = max(parts, -(-(df.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0) // PART_BYTES))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
 def kmers(df: DataFrame, seq: str, k: int, spread: bool = False) -> DataFrame:

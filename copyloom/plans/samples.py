@@ -167,7 +167,7 @@ s AS (SELECT c, item_id, substr(c, 1, i) || b || substr(c, i + 2) AS x, c[i + 1]
 n AS (SELECT c, item_id, least(x, translate(reverse(x), 'ACGT', 'TGCA')) AS near FROM s WHERE was <> b), bg AS (SELECT c, count(*) AS n FROM bk GROUP BY c)
 SELECT n.c AS canon, item_id, CAST(sum(bg.n) AS BIGINT) AS near_hits FROM n JOIN bg ON n.near = bg.c GROUP BY n.c, item_id""")
 def near_background(spark, d):
-    bg = S.spread_out(table(spark, d, "conversations").select("text")).select(S.dna(F.col("text")).alias("seq"))
+    bg = S.spread_out(table(spark, d, "conversations").select("text"), "text").select(S.dna(F.col("text")).alias("seq"))
     return screens.near_background(panel.build(_units(spark, d)), bg, K).withColumnRenamed("class", "item_id")
 
 

@@ -2,6 +2,7 @@ import numpy as np
 
 from copyloom.functions import sequences as S
 from copyloom.operators import cohort, contracts, intervals, screens, tallies
+from copyloom.plans import samples
 
 
 def rows(df, *cols):
@@ -54,6 +55,19 @@ def test_neighbours(spark):
     assert got == set(map(pack, want))
 
 
+def test_background_comes_in_parts_that_a_task_can_count(spark, tmp_path, monkeypatch):
+    parts, real = [], screens.near_background
+    monkeypatch.setattr(screens, "near_background", lambda panel, background, k: parts.append(background.rdd.getNumPartitions()) or real(panel, background, k))
+    spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen = [("the quick brown fix jumps over the lazy dog " * 3,), (None,), ("",)] * 20
+    spark.createDataFrame(seen, "text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    few = rows(samples.near_background(spark, str(tmp_path)))
+    monkeypatch.setattr(S, "PART_BYTES", 100)
+    many = rows(samples.near_background(spark, str(tmp_path)))
+    assert parts[1] >= 27 > parts[0]  # 20 times 132 bytes
+    assert few == many and few
+
+
 def test_mass_of_unsupported_gc_is_null(spark):
     reads = spark.createDataFrame([("a", 40, 10), ("b", 40, 10), ("b", 90, 1), ("c", 90, 0)], "sample string, gc long, n long")
     curve = spark.createDataFrame([(40, 2.0)], "gc long, rate double")
