@@ -33,13 +33,13 @@ def circular(seq: Column, k: int) -> Column:
     return F.concat(seq, F.substring(seq, 1, k - 1))
 
 
-#: Bytes of text in a part whose k-mers a task counts: a count of each different one takes some 60 bytes.
+#: Bytes of text in a part; a count of each different k-mer takes some 60 bytes.
 PART_BYTES = 2_000_000
 
 
 def spread_out(df: DataFrame, text: str | None = None) -> DataFrame:
     """The rows dealt out if the table comes in fewer partitions than there are cores, as a few small files do; larger ones stay as they are.
-    If a column is named, also in parts of about PART_BYTES of it, so that what a task counts of their k-mers doesn't grow with the table."""
+    If a column is named, also in parts of about PART_BYTES of it, so that what a task has of their k-mers doesn't grow with the table."""
     parts = df.sparkSession.sparkContext.defaultParallelism
     if text is not None:
         parts = max(parts, -(-(df.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0) // PART_BYTES))
@@ -131,6 +131,28 @@ class Wanted:
         return maybe
 
 
+def _end_to_end(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column's sequences, and where each starts."""
+    col = col.fill_null("") if col.null_count else col
+    wide = np.int64 if pa.types.is_large_string(col.type) else np.int32
+    offs = np.frombuffer(col.buffers()[1], wide)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    data = col.buffers()[2]
+    return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None else np.zeros(0, np.uint8), offs - offs[0]
+
+
+def counted_kmers(df: DataFrame, seq: str, k: int, parts: int) -> DataFrame:
+    """(code, n): how often each k-mer of ACGT is in seq, k at most 31. They are counted piece by piece, and the counts summed in so many parts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, codes, _ in rolled_kmers(*_end_to_end(batch.column(0)), k):
+                code, n = np.unique(codes, return_counts=True)
+                for lo in range(0, len(code), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)].astype(np.int64)) for x in (code, n)], names=["code", "n"])
+
+    return df.select(seq).mapInArrow(count, "code long, n long").repartition(parts, "code").groupBy("code").agg(F.sum("n").alias("n"))
+
+
 def packed_kmers(df: DataFrame, seq: str, k: int, wanted: DataFrame | None = None, most: int = 2_000_000) -> DataFrame:
     """The other columns of df with off, code and fwd for each k-mer of ACGT in seq, k at most 31; only those whose code is in wanted (code) if it
     is given. Up to `most` wanted codes go to the tasks, which look them up before a row is made; more are joined."""
@@ -145,13 +167,7 @@ def packed_kmers(df: DataFrame, seq: str, k: int, wanted: DataFrame | None = Non
     def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Wanted(look.value) if look is not None else None
         for batch in batches:
-            col = batch.column(batch.num_columns - 1)
-            col = col.fill_null("") if col.null_count else col
-            wide = np.int64 if pa.types.is_large_string(col.type) else np.int32
-            offs = np.frombuffer(col.buffers()[1], wide)[col.offset : col.offset + len(col) + 1].astype(np.int64)
-            data = col.buffers()[2]
-            buf = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None else np.zeros(0, np.uint8)
-            for row, off, codes, fwd in rolled_kmers(buf, offs - offs[0], k):
+            for row, off, codes, fwd in rolled_kmers(*_end_to_end(batch.column(batch.num_columns - 1)), k):
                 if found is not None:
                     at = found.has(codes)
                     row, off, codes, fwd = row[at], off[at], codes[at], fwd[at]

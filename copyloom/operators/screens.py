@@ -56,12 +56,15 @@ def neighbours(codes: DataFrame, k: int) -> DataFrame:
 def near_background(panel: DataFrame, background: DataFrame, k: int, most: int = 100_000) -> DataFrame:
     """(canon, class, near_hits): occurrences in the background of what is one substitution from a panel k-mer. background: (seq).
     Up to `most` neighbours are looked up as the background is rolled, so that only they become rows; of more, the background's k-mers are counted first and met once.
-    A task counts those of one part of the background, so its parts should be of bounded size (S.spread_out with a column)."""
+    Counts are summed in twice as many parts as the background has, so those should be of bounded size (S.spread_out with a column)."""
     coded = kept(panel.select("canon", "class", S.code(F.col("canon")).alias("code")), "coded-panel")
     codes = coded.select("code").repartition(coded.sparkSession.sparkContext.defaultParallelism, "code").distinct()  # a small panel would be one task
     near = kept(neighbours(codes, k), "neighbours")
-    wanted = near.select(F.col("near").alias("code")) if near.count() <= most else None
-    met = S.packed_kmers(background.select("seq"), "seq", k, wanted).groupBy(F.col("code").alias("near")).agg(F.count(F.lit(1)).alias("n"))
+    if near.count() <= most:
+        met = S.packed_kmers(background.select("seq"), "seq", k, near.select(F.col("near").alias("code"))).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        met = S.counted_kmers(background, "seq", k, 2 * background.rdd.getNumPartitions())
+    met = met.withColumnRenamed("code", "near")
     hits = near.join(met, "near").groupBy("code").agg(F.sum("n").alias("near_hits"))
     return coded.join(hits, "code").select("canon", "class", "near_hits")
 

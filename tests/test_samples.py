@@ -57,7 +57,7 @@ def test_neighbours(spark):
 
 def test_background_comes_in_parts_that_a_task_can_count(spark, tmp_path, monkeypatch):
     parts, real = [], screens.near_background
-    monkeypatch.setattr(screens, "near_background", lambda panel, background, k: parts.append(background.rdd.getNumPartitions()) or real(panel, background, k))
+    monkeypatch.setattr(screens, "near_background", lambda panel, background, k: parts.append(background.rdd.getNumPartitions()) or real(panel, background, k, 0 if len(parts) > 1 else 100_000))
     spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     seen = [("the quick brown fix jumps over the lazy dog " * 3,), (None,), ("",)] * 20
     spark.createDataFrame(seen, "text string").write.parquet(f"{tmp_path}/conversations.parquet")
