@@ -1,34 +1,38 @@
 """N-gram Jaccard join: size-banded tiles, hashed bitmaps whose bit counts bound the overlap, exact sorted-array intersection.
 
 Two sets with Jaccard similarity of t or more share a shingle among the first n - ceil(t n) + 1 of each in any common order;
-here rare shingles come first, by a sketch of counts over all documents. Documents that share such a shingle, directly or by others,
-form a group, and no link leaves a group. Groups are dealt to tiles by size band, where the bit counts of the bitmaps rule out
-most pairs; what is left falls into smaller groups, whose tiles carry the sets and decide by exact intersection.
-Documents with equal sets stand for one another.
+here rare shingles come first, by how many different sets have them. Half of all shingles, by hash, are counted for that, exactly and
+in buckets; the others follow in order of their hashes. A set whose first shingles no other set has links with nothing and is done.
+Documents that share a first shingle, directly or by others, form a group, and no link leaves a group. Groups are dealt to tiles by
+size band, where the bit counts of the bitmaps rule out most pairs; what is left falls into smaller groups, whose tiles carry the
+sets and decide by exact intersection. Documents with equal sets stand for one another.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from copyloom.llm.common import Forest, by_tile, chunks, components, giving_back, mixed, runs, small, stored, text_bytes, tiles, word_hashes
+from copyloom.llm.common import Forest, by_tile, chunks, components, give_back, giving_back, mixed, runs, small, stored, text_bytes, tiles, word_hashes
+from copyloom.llm.language_model import packed, unpacked
 
 WORDS, PERCENT = 5, 75
-#: Counters of the sketch by which shingles are ordered, and the rows that carry them. Its size doesn't grow with the data (counters
-#: stop at 255); the result is the same for any order, so what collides only makes groups larger.
-SKETCH_BITS, SKETCH_ROWS = 25, 64
+#: A chunk of documents has so many counted shingles, about, and rows at most; a bucket about as many as the second number. The number of
+#: buckets, a power of two within these limits, follows the bytes of text, of which there are some KEY_BYTES to a counted shingle.
+CHUNK, CHUNK_ROWS, BUCKET, BUCKET_BITS, KEY_BYTES = 1 << 21, 1 << 16, 1 << 22, (7, 16), 14
+#: Documents up to which those that need their sets are picked from the texts by a broadcast of their ids alone.
+PICKED = 1_000_000
 #: Bits of a bitmap: the power of two from twice the set's size, within these limits.
 BITMAP = (256, 1 << 15)
-#: Documents in a block of a tile of sets, of bitmaps, and shingles that a task gathers before it gives out what it has of them.
-BLOCK, MAP_BLOCK, GATHERED = 512, 4096, 800_000
+#: Documents in a block of a tile of sets, of bitmaps.
+BLOCK, MAP_BLOCK = 512, 4096
 _FACTORS = [np.uint64(x | 1) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
 
 
@@ -52,10 +56,6 @@ def shingle_sets(col: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-
-
 def _first(n: np.ndarray | int, percent: int):
     return n - (n * percent + 99) // 100 + 1
 
@@ -67,103 +67,151 @@ def bitmap(x: np.ndarray) -> bytes:
     return np.packbits(row).tobytes()
 
 
-def set_table(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Rows (doc_id, n, fp, bits) of all documents, and rows (part, counts) of the sketch: how often each slot's shingles occur."""
+def bucket_bits(docs: DataFrame, text_col: str = "text") -> int:
+    """The buckets, as a power of two, that the counted shingles of docs are dealt to."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    return min(max((size // (KEY_BYTES * BUCKET)).bit_length(), BUCKET_BITS[0]), BUCKET_BITS[1])
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint8)
-        names = ["doc_id", "n", "fp", "bits", "part", "counts"]
-        some: list[np.ndarray] = []
-        held = 0
 
-        def settle() -> None:
-            slot, n = np.unique(_slot(np.concatenate(some)), return_counts=True)
-            counts[slot] = np.minimum(counts[slot] + np.minimum(n, 255), 255)
-            some.clear()
-
-        for batch in batches:
-            n, fp, maps = [], [], []
-            for x in shingle_sets(batch.column(1), words):
-                n.append(len(x))
-                fp.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
-                maps.append(bitmap(x) if len(x) else None)
-                some.append(x)
-                held += len(x)
-                if held > 1 << 20:
-                    settle()
-                    held = 0
-            k = len(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(maps, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
-        if some:
-            settle()
-        if counts.any():
-            rows = [zlib.compress(r.tobytes(), 1) for r in counts.reshape(SKETCH_ROWS, -1)]
-            none = [pa.nulls(SKETCH_ROWS, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(range(SKETCH_ROWS), pa.int32()), pa.array(rows, pa.binary())], names=names)
-
-    return docs.mapInArrow(giving_back(measure), "doc_id long, n long, fp binary, bits binary, part int, counts binary")
+def set_table(docs: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
+    """Rows (doc_id, n, fp, bits, chunk, ord, counted, rest) of all documents, and rows (chunk, bucket, ords, keys) of each chunk's counted
+    shingles: those whose hash has no highest bit. counted is their number, rest the first of the others where counted ones are too
+    few. A key is the hash's next 32 bits after those of the bucket."""
+    shape = "doc_id long, n long, fp binary, bits binary, chunk long, ord int, counted long, rest binary, bucket int, ords binary, keys binary"
+    kinds = dict(doc_id=pa.int64(), n=pa.int64(), fp=pa.binary(), bits=pa.binary(), chunk=pa.int64(), ord=pa.int32(), counted=pa.int64(), rest=pa.binary(), bucket=pa.int32(), ords=pa.binary(), keys=pa.binary())
 
+    def rows(k: int, **cols) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(cols[name], kind) if name in cols else pa.nulls(k, kind) for name, kind in kinds.items()], names=list(kinds))
 
-def _sketch(table: DataFrame) -> list[bytes]:
-    """The sketch summed over all tasks: SKETCH_ROWS compressed rows of counters."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, counts in zip(*batch.columns, strict=True):
-                x = np.frombuffer(zlib.decompress(counts.as_py()), np.uint8).astype(np.uint16)
-                sums[part.as_py()] = np.minimum(sums.get(part.as_py(), 0) + x, 255).astype(np.uint16)
-        raw = [zlib.compress(x.astype(np.uint8).tobytes(), 1) for x in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(raw, pa.binary())], names=["part", "sums"])
-
-    none = zlib.compress(bytes((1 << SKETCH_BITS) // SKETCH_ROWS), 1)
-    found = {r.part: bytes(r.sums) for r in table.where("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part int, sums binary").collect()}
-    return [found.get(k, none) for k in range(SKETCH_ROWS)]
-
-
-def _postings(docs: DataFrame, sketch, words: int, percent: int) -> DataFrame:
-    """Rows (h, a): documents with the same h share one of their first shingles, directly or by others.
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        held: dict[str, list] = {name: [] for name in ("doc_id", "n", "fp", "bits", "counted", "rest")}
+        some: list[np.ndarray] = []
 
-    A task gives one document for each shingle, and ties the others that it met to that one by an h of their own, so that even
-    a shingle of all documents has no more rows than there are tasks (and flushes within them).
-    """
+        def out() -> Iterator[pa.RecordBatch]:
+            k, counted = len(some), np.array(held["counted"])
+            yield rows(k, **held, chunk=np.full(k, chunk), ord=np.arange(k))
+            x, d = np.concatenate(some), np.repeat(np.arange(k, dtype=np.uint16), counted)
+            bucket = (x >> np.uint64(63 - bits)).astype(np.uint16)
+            order = np.argsort(bucket, kind="stable")
+            bucket, d, key = bucket[order], d[order], (x[order] >> np.uint64(31 - bits)).astype(np.uint32)
+            cuts = _cuts(bucket)
+            if cuts:
+                yield rows(len(cuts), chunk=np.full(len(cuts), chunk), bucket=[int(bucket[s]) for s, _ in cuts], ords=[_ords(d[s:e]) for s, e in cuts], keys=[key[s:e].tobytes() for s, e in cuts])
+            some.clear()
+            for c in held.values():
+                c.clear()
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(b"".join(map(zlib.decompress, sketch.value)), np.uint8)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out() -> pa.RecordBatch:
-            h, d = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            order = np.argsort(h, kind="stable")
-            h, d = h[order], d[order]
-            new = np.ones(len(h), bool)
-            new[1:] = h[1:] != h[:-1]
-            start = np.flatnonzero(new)
-            low = np.minimum.reduceat(d, start)
-            mine = low[np.cumsum(new) - 1]
-            pairs = np.unique(np.stack([d, mine], 1)[d != mine], axis=0)
-            tie = mixed(mixed(pairs[:, 0].view(np.uint64) + np.uint64(1)) ^ pairs[:, 1].view(np.uint64))
-            hs = np.concatenate([h[start], tie, tie]).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(hs), pa.array(np.concatenate([low, pairs[:, 0], pairs[:, 1]]))], names=["h", "a"])
-
-        size = 0
         for batch in batches:
             for doc, x in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words), strict=True):
-                if not len(x) or doc is None:
-                    continue
-                first = int(_first(len(x), percent))
-                if first < len(x):  # ties of the count: by hash
-                    x = x[np.argsort(counts[_slot(x)], kind="stable")[:first]]
-                held.append((x, np.full(len(x), doc, np.int64)))
-                size += len(x)
-                if size > GATHERED:
-                    yield out()
-                    size = 0
-        if held:
-            yield out()
-
-    return docs.mapInArrow(gather, "h long, a long")
+                n, counted = len(x), int(np.searchsorted(x, np.uint64(1 << 63)))
+                first = int(_first(n, percent)) if n else 0
+                fp = hashlib.blake2b(x.tobytes(), digest_size=16).digest() if n else None
+                rest = x[counted:first].tobytes() if first > counted else None
+                for c, v in zip(held.values(), (doc, n, fp, bitmap(x) if n else None, counted, rest), strict=True):
+                    c.append(v)
+                some.append(x[:counted])
+                size += counted
+                if size >= CHUNK or len(some) == CHUNK_ROWS:
+                    yield from out()
+                    chunk, size = chunk + 1, 0
+        if some:
+            yield from out()
+
+    return docs.mapInArrow(giving_back(measure), shape)
+
+
+def _cuts(tag: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of equal tags start and end."""
+    at = np.flatnonzero(np.diff(tag)) + 1
+    return list(zip([0, *at.tolist()], [*at.tolist(), len(tag)], strict=True)) if len(tag) else []
+
+
+def _ords(d: np.ndarray) -> bytes:
+    return packed(np.diff(d, prepend=d.dtype.type(0)))
+
+
+def _unpacked_ords(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpacked(raw, n, np.uint16), dtype=np.int64)
+
+
+def _alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bit for each row of a chunk: whether it stands for its set."""
+    for batch in batches:
+        out = []
+        for ords in batch.column(1):
+            bit = np.zeros(CHUNK_ROWS, bool)
+            bit[ords.values.to_numpy()] = True
+            out.append(np.packbits(bit[: len(bit) - int(bit[::-1].argmax())]).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["chunk", "alive"])
+
+
+def _met(t: pa.Table) -> pa.Table:
+    """Of a bucket's keys those that two sets or more have, with how many have them (255 at most)."""
+    ds, ks = [], []
+    for ords, keys, alive in zip(*(t.column(c).to_pylist() for c in ("ords", "keys", "alive")), strict=True):
+        d, k = _unpacked_ords(ords, len(keys) // 4), np.frombuffer(keys, np.uint32)
+        bit = np.zeros(CHUNK_ROWS, bool)
+        bit[: 8 * len(alive)] = np.unpackbits(np.frombuffer(alive, np.uint8))
+        ds.append(d[bit[d]])
+        ks.append(k[bit[d]])
+    at = np.cumsum([0, *map(len, ks)])
+    key = np.concatenate(ks)
+    order = np.sort(key.astype(np.uint64) << np.uint64(32) | np.arange(len(key), dtype=np.uint64))
+    start = np.flatnonzero(np.r_[True, np.diff(order >> np.uint64(32)) != 0]) if len(key) else np.zeros(0, np.int64)
+    n = np.diff(np.r_[start, len(key)])
+    sets = np.zeros(len(key), np.uint8)
+    sets[(order & np.uint64(0xFFFFFFFF)).astype(np.int64)] = np.repeat(np.minimum(n, 255), n)
+    out: list[tuple] = []
+    for chunk, s, d, k in zip(t.column("chunk").to_pylist(), at[:-1].tolist(), ds, ks, strict=True):
+        c = sets[s : s + len(k)]
+        if (use := c > 1).any():
+            out.append((chunk, _ords(d[use].astype(np.uint16)), k[use].tobytes(), c[use].tobytes()))
+    cols = list(zip(*out, strict=True)) if out else [[]] * 4
+    give_back()
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    made = dict(zip(("chunk", "ords", "keys", "sets"), map(pa.array, cols, kinds), strict=True))
+    return pa.table(made | {"bucket": pa.array([t.column("bucket")[0].as_py()] * len(out), pa.int32())})
+
+
+def _tied(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(h, a) that tie together what (h, d) does: one document for each shingle, and the others tied to that one by an h of their own, so
+    that even a shingle of all documents has no more rows than there are chunks."""
+    order = np.argsort(h, kind="stable")
+    h, d = h[order], d[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    start = np.flatnonzero(new)
+    low = np.minimum.reduceat(d, start)
+    mine = low[np.cumsum(new) - 1]
+    pairs = np.unique(np.stack([d, mine], 1)[d != mine], axis=0)
+    tie = mixed(mixed(pairs[:, 0].view(np.uint64) + np.uint64(1)) ^ pairs[:, 1].view(np.uint64)).view(np.int64)
+    return np.concatenate([h[start], tie, tie]), np.concatenate([low, pairs[:, 0], pairs[:, 1]])
+
+
+def _first_met(percent: int):
+    """Of a chunk's sets and of their keys that others have too: (h, a) for those among each set's first."""
+
+    def first(sets: pa.Table, met: pa.Table) -> pa.Table:
+        sets = sets.sort_by("ord")
+        ord_, node, n, counted = (sets.column(c).to_numpy() for c in ("ord", "node", "n", "counted"))
+        cols = [(_unpacked_ords(o, len(c)), np.frombuffer(k, np.uint32).astype(np.int64) + (b << 32), np.frombuffer(c, np.uint8)) for b, o, k, c in zip(*(met.column(c).to_pylist() for c in ("bucket", "ords", "keys", "sets")), strict=True)]
+        at, key, many = (np.concatenate([np.zeros(0, kind), *x]) for x, kind in zip(zip(*cols, strict=True) if cols else ([], [], []), (np.int64, np.int64, np.uint8), strict=True))
+        at = np.searchsorted(ord_, at)
+        want = _first(n, percent) - (counted - np.bincount(at, minlength=len(n)))  # the keys that no other set has come first
+        use = want[at] > 0
+        at, key, many = at[use], key[use], many[use]
+        order = np.lexsort((key, many, at))
+        at, key = at[order], key[order]
+        use = np.arange(len(at)) - np.searchsorted(at, at) < want[at]
+        rest = [(np.frombuffer(x, np.int64), d) for x, d in zip(sets.column("rest").to_pylist(), node.tolist(), strict=True) if x]
+        h = np.concatenate([key[use], *(x for x, _ in rest)])
+        d = np.concatenate([node[at[use]], *(np.full(len(x), d) for x, d in rest)])
+        h, d = _tied(h, d) if len(h) else (h, d)
+        give_back()
+        return pa.table({"h": pa.array(h, pa.int64()), "a": pa.array(d, pa.int64())})
+
+    return first
 
 
 def _forest_rows(forest: Forest, node: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -255,29 +303,31 @@ def _tile_links(percent: int):
 def ngram_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(sets, links): a row (doc_id, n, fp) for each row of docs, and edges (a, b) between documents whose components
     are those of all links. Each edge is a link of similarity percent / 100 or more, or joins equal sets."""
-    spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    table = stored(set_table(slim, words), "sets")
-    every = table.where("part is null")
+    table = stored(set_table(slim, words, percent, bucket_bits(slim)), "sets")
+    every = table.where("ord is not null")
     sets = every.select("doc_id", "n", "fp")
-    sketch = spark.sparkContext.broadcast(_sketch(table))
-    low = F.min("a").over(Window.partitionBy("h"))  # a window has a row for each task at most
-    shared = _postings(slim, sketch, words, percent).select("a", low.alias("b")).where("a != b")
-    known = sets.where("fp is not null and doc_id is not null")
-    stands = stored(known.groupBy("fp", "n").agg(F.min("doc_id").alias("node")), "classes")
-    equal = stored(known.join(stands, ["fp", "n"]).where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct(), "equal")
+    known = every.where("fp is not null and doc_id is not null")
+    stands = known.groupBy("fp", "n").agg(F.min(F.struct("doc_id", "chunk", "ord", "counted", "rest")).alias("one"))
+    stands = stored(stands.select("fp", "n", F.col("one.doc_id").alias("node"), "one.chunk", "one.ord", "one.counted", "one.rest"), "classes")
+    equal = stored(known.join(stands.select("fp", "n", "node"), ["fp", "n"]).where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct(), "equal")
+    alive = stored(stands.groupBy("chunk").agg(F.collect_list("ord").alias("ords")).mapInArrow(_alive, "chunk long, alive binary"), "alive")
+    keys = table.where("bucket is not null").select("chunk", "bucket", "ords", "keys").join(small(alive), "chunk")
+    met = keys.groupBy("bucket").applyInArrow(_met, "chunk long, ords binary, keys binary, sets binary, bucket int")
+    first = stands.select("chunk", "ord", "node", "n", "counted", "rest").groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(_first_met(percent), "h long, a long")
+    low = F.min("a").over(Window.partitionBy("h"))  # a window has a row for each chunk at most
+    shared = first.select("a", low.alias("b")).where("a != b")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
 
     def grouped(edges: DataFrame) -> DataFrame:
         """Of groups with two sets or more, one document of each set."""
-        many = stored(components(edges).join(stands, "node").withColumnRenamed("component", "group"), "many")
+        many = stored(components(edges).join(stands.select("node", "n", "fp"), "node").withColumnRenamed("component", "group"), "many")
         some = many.groupBy("group").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("group")
         return stored(many.join(some, "group").select("node", "group", "n", "fp", band.alias("band")), "grouped")
 
-    maps = every.select(F.col("doc_id").alias("node"), "fp", "bits").join(grouped(shared.unionByName(equal)), ["node", "fp"]).dropDuplicates(["node", "fp"])
+    maps = every.select(F.col("doc_id").alias("node"), "fp", "bits").join(grouped(shared), ["node", "fp"]).dropDuplicates(["node", "fp"])
     maps = tiles(maps.select("group", "band", "node", "n", "bits"), MAP_BLOCK).select("tiles", "node", "n", "bits")
     close = stored(by_tile(maps).mapInArrow(_tile_bounds(percent), "a long, b long"), "close")
-    sketch.destroy()  # what came of it is stored
     dealt = stored(tiles(grouped(close), BLOCK).drop("band"), "tiles")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +339,7 @@ def ngram_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
                 same = [f == g for f, g in zip(fps, part.column("fp").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("tiles"), part.column("node"), part.column("n"), pa.array(raw, pa.binary())], names=["tiles", "node", "n", "shingles"]).filter(pa.array(same))
 
-    texts = slim.withColumnRenamed("doc_id", "node").join(small(dealt), "node")
+    texts = slim.withColumnRenamed("doc_id", "node").join(small(dealt.select("node"), PICKED), "node", "left_semi").join(small(dealt), "node")
     nodes = texts.mapInArrow(giving_back(with_sets), "tiles array<struct<tile:long,side:int>>, node long, n long, shingles binary")
     near = by_tile(nodes).mapInArrow(giving_back(_tile_links(percent)), "a long, b long")
     return sets, stored(near.unionByName(equal), "links")

@@ -206,6 +206,39 @@ def test_ngram_join_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in ngram_join.ngram_join(table(spark)).collect()} == want
 
 
+def test_ngram_join_chunks(spark, monkeypatch):
+    """Small chunks and few or many buckets, rows that repeat an id with the same and with other texts, rows without an id."""
+    some = texts()
+    rows = [(i, t) for i, t in enumerate(some)] + [(i, some[i]) for i in range(20)] + [(i, some[i + 60]) for i in range(5)] + [(i, some[90]) for i in range(30, 33)] + [(None, t) for t in some[:9]]
+
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = [(i, shingles(t)) for i, t in rows]
+    pairs = [(a, b) for k, (a, x) in enumerate(sets) for b, y in sets[:k] if a is not None and b is not None and x and 100 * len(x & y) >= 75 * len(x | y)]
+    up = reach(len(some), pairs)
+    want = sorted(((i, len(x), None if i is None else up[i]) for i, x in sets), key=str)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for chunk, chunk_rows, bits in ((50, 1 << 16, 2), (1 << 21, 7, 9)):
+        monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+        monkeypatch.setattr(ngram_join, "CHUNK_ROWS", chunk_rows)
+        monkeypatch.setattr(ngram_join, "BUCKET_BITS", (bits, bits))
+        got = ngram_join.ngram_join(df).select("doc_id", "n_shingles", "component_id")
+        assert sorted(map(tuple, got.collect()), key=str) == want
+
+
+def test_ngram_join_rare_first(spark, monkeypatch):
+    """Texts that share a passage with their neighbours, and are else their own, are no candidates, however many other shingles there are."""
+    some = [" ".join([f"p{i}-{k}" for k in range(6)] + [f"w{i}-{k}" for k in range(60)] + [f"p{i + 1}-{k}" for k in range(6)]) for i in range(300)]
+    monkeypatch.setattr(ngram_join, "SKETCH_BITS", 8, raising=False)  # as full as a large corpus makes a sketch of fixed size
+    monkeypatch.setattr(ngram_join, "_slot", lambda h: (h >> np.uint64(56)).astype(np.int64), raising=False)
+    seen, was = [], ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda edges: seen.append(edges.count()) or was(edges))
+    got = ngram_join.ngram_join(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").repartition(4))
+    assert got.where("component_id != doc_id").count() == 0 and seen[0] == 0
+
+
 def test_vector_dedup(spark, monkeypatch):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(80, 12)).tolist()
